@@ -1,0 +1,31 @@
+"""Lookup joins whose broadcast side has a checked size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A lookup of up to this many rows is shipped to every executor; above
+# it the join falls back to a shuffle join (AQE's skew-join handling
+# splits hot keys on the big side).
+DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+
+
+def lookup_join(
+    fact: DataFrame,
+    lookup: DataFrame,
+    on: list[str],
+    lookup_rows: int,
+    how: str = "left",
+    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+) -> DataFrame:
+    """Join a big fact to a lookup whose row count the caller measured.
+
+    ``lookup_rows`` must be an exact count of ``lookup`` (e.g. from a
+    materialized table), never a guess: that count is what licenses the
+    broadcast.  A hot key on the fact side then costs nothing extra,
+    because a broadcast hash join never shuffles the fact.
+    """
+    if lookup_rows <= max_broadcast_rows:
+        lookup = F.broadcast(lookup)
+    return fact.join(lookup, on=on, how=how)
