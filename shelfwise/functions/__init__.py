@@ -1,3 +1,18 @@
-from shelfwise.functions.numeric import count_if, flag, order_case, pct, round_half_up, safe_div, sum_if
+from shelfwise.functions.numeric import (
+    count_if,
+    flag,
+    lit,
+    num,
+    order_case,
+    pct,
+    round_half_up,
+    safe_div,
+    select_list,
+    sql,
+    sum_if,
+)
 
-__all__ = ["count_if", "flag", "order_case", "pct", "round_half_up", "safe_div", "sum_if"]
+__all__ = [
+    "count_if", "flag", "lit", "num", "order_case", "pct", "round_half_up",
+    "safe_div", "select_list", "sql", "sum_if",
+]

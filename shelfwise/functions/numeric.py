@@ -1,52 +1,70 @@
-"""Column helpers shared by every operator (all JVM-side expressions)."""
+"""SQL expression builders shared by every operator.
+
+Operators are written as Spark SQL text (``spark.sql`` with DataFrame
+arguments): Catalyst sees exactly the plan the Column API would build,
+while the driver makes one call per stage instead of one per
+expression node.  These helpers return SQL fragments.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+
+
+def sql(text: str, **frames: DataFrame) -> DataFrame:
+    """Run ``text`` with ``{name}`` placeholders bound to DataFrames."""
+    spark = next(iter(frames.values())).sparkSession
+    return spark.sql(text, **frames)
+
 
+def lit(s: str) -> str:
+    """A SQL string literal."""
+    return "'" + s.replace("'", "''") + "'"
 
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
 
+def num(x: float | int) -> str:
+    """A numeric literal compared as DOUBLE (never a DECIMAL literal)."""
+    return f"CAST({float(x)!r} AS DOUBLE)"
 
-def round_half_up(c: Column | str, scale: int) -> Column:
-    """Decimal half-away-from-zero rounding of a double, returned as double.
+
+def round_half_up(expr: str, scale: int) -> str:
+    """Decimal half-away-from-zero rounding of a double, returned as DOUBLE.
 
     ``round`` on a binary double can land on the wrong side of a .5
     boundary (23/40 -> 0.57); going through DECIMAL(38,10) rounds the
     printed decimal value like a numeric column would.
     """
-    return F.round(_col(c).cast("decimal(38,10)"), scale).cast("double")
+    return f"CAST(ROUND(CAST({expr} AS DECIMAL(38,10)), {scale}) AS DOUBLE)"
 
 
-def safe_div(num: Column | str, den: Column | str) -> Column:
-    """``num / den`` as double, NULL when ``den`` is 0 (never raises under ANSI)."""
-    return _col(num).cast("double") / F.nullif(_col(den), F.lit(0)).cast("double")
+def safe_div(num_expr: str, den_expr: str) -> str:
+    """``num / den`` as DOUBLE, NULL when ``den`` is 0 (never raises under ANSI)."""
+    return f"(CAST({num_expr} AS DOUBLE) / CAST(NULLIF({den_expr}, 0) AS DOUBLE))"
 
 
-def pct(c: Column | str, scale: int = 2) -> Column:
+def pct(rate_expr: str, scale: int = 2) -> str:
     """A 0..1 rate shown as a rounded percentage."""
-    return round_half_up(_col(c) * F.lit(100.0), scale)
+    return round_half_up(f"({rate_expr}) * 100.0D", scale)
+
+
+def flag(cond: str) -> str:
+    """0/1 INT flag; a NULL condition counts as 0."""
+    return f"CASE WHEN {cond} THEN 1 ELSE 0 END"
 
 
-def flag(cond: Column) -> Column:
-    """0/1 integer flag; NULL conditions count as 0."""
-    return F.when(cond, F.lit(1)).otherwise(F.lit(0))
+def count_if(cond: str) -> str:
+    return f"CAST(SUM({flag(cond)}) AS BIGINT)"
 
 
-def count_if(cond: Column) -> Column:
-    """Number of rows where ``cond`` holds (BIGINT)."""
-    return F.sum(flag(cond)).cast("bigint")
+def sum_if(cond: str, value: str) -> str:
+    return f"CAST(SUM(CASE WHEN {cond} THEN {value} ELSE 0 END) AS BIGINT)"
 
 
-def sum_if(cond: Column, value: Column | str) -> Column:
-    return F.sum(F.when(cond, _col(value)).otherwise(F.lit(0))).cast("bigint")
+def order_case(col: str, ordered: list[str]) -> str:
+    """Position of a label in a presentation order (others last)."""
+    whens = " ".join(f"WHEN {lit(v)} THEN {i}" for i, v in enumerate(ordered, start=1))
+    return f"CASE {col} {whens} ELSE {len(ordered) + 1} END"
 
 
-def order_case(c: Column | str, ordered_values: list[str]) -> Column:
-    """Position of a label in a presentation order (unknown labels last)."""
-    expr = None
-    for i, v in enumerate(ordered_values, start=1):
-        expr = F.when(_col(c) == v, F.lit(i)) if expr is None else expr.when(_col(c) == v, F.lit(i))
-    return expr.otherwise(F.lit(len(ordered_values) + 1))
+def select_list(items: list[str]) -> str:
+    return ",\n  ".join(items)

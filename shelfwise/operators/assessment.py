@@ -7,96 +7,92 @@ decimals), exactly as the published view does.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from shelfwise import config as L
 from shelfwise.config import DEFAULT, Thresholds
-from shelfwise.functions import round_half_up
+from shelfwise.functions import lit, num, round_half_up, select_list, sql
 from shelfwise.operators.cadence import CADENCE_COLUMNS
-from shelfwise.operators.rollup import JOIN_KEYS, REPLENISHMENT_COLUMNS, replenishment_base
+from shelfwise.operators.rollup import REPLENISHMENT_COLUMNS, replenishment_columns
 
 ASSESSMENT_LABELS = [
     "reorder_behavior_assessment", "safety_stock_behavior_assessment",
     "lead_time_behavior_proxy", "demand_variability_band",
 ]
+ASSESSMENT_COLUMNS = [*REPLENISHMENT_COLUMNS, *CADENCE_COLUMNS, *ASSESSMENT_LABELS]
 
 
-def assessment_labels(t: Thresholds = DEFAULT) -> dict[str, Column]:
+def assessment_labels(t: Thresholds = DEFAULT) -> list[str]:
     """The four labels over rounded base columns and rounded cadence columns."""
-    c = F.col
     late = (
-        (c("avg_cover_days") < t.low_cover_days)
-        | (c("low_cover_pct") >= t.low_cover_pct)
-        | (c("zero_inventory_pct") >= t.zero_inventory_pct)
+        f"(avg_cover_days < {num(t.low_cover_days)} OR low_cover_pct >= {num(t.low_cover_pct)}"
+        f" OR zero_inventory_pct >= {num(t.zero_inventory_pct)})"
     )
-    early = (c("avg_cover_days") > t.high_cover_days) | (c("high_cover_pct") >= t.high_cover_pct)
-    volatile = (c("demand_cv") > t.cv_high) | (c("wape") > t.wape_poor) | (F.abs(c("forecast_bias")) > t.bias_abs)
-    trigger = F.when(late, L.TRIGGER_LATE).when(early, L.TRIGGER_EARLY).otherwise(L.TRIGGER_OK)
-    buffer = (
-        F.when(volatile & late, L.BUFFER_INSUFFICIENT)
-        .when((c("demand_cv") <= t.cv_medium) & (c("wape") <= t.wape_good) & early, L.BUFFER_EXCESSIVE)
-        .when(volatile, L.BUFFER_REVIEW)
-        .otherwise(L.BUFFER_OK)
+    early = f"(avg_cover_days > {num(t.high_cover_days)} OR high_cover_pct >= {num(t.high_cover_pct)})"
+    volatile = (
+        f"(demand_cv > {num(t.cv_high)} OR wape > {num(t.wape_poor)}"
+        f" OR abs(forecast_bias) > {num(t.bias_abs)})"
     )
-    gap, gap_sd = c("avg_days_between_orders"), c("stddev_days_between_orders")
-    lead = (
-        F.when(
-            (c("order_day_pct") >= t.continuous_order_day_pct)
-            & (F.coalesce(gap, F.lit(1.0)) <= t.continuous_gap_days),
-            L.CADENCE_CONTINUOUS,
-        )
-        .when(F.coalesce(gap_sd, F.lit(0.0)) > t.irregular_gap_stddev, L.CADENCE_IRREGULAR)
-        .when(F.coalesce(gap, F.lit(0.0)) >= t.sparse_gap_days, L.CADENCE_SPARSE)
-        .otherwise(L.CADENCE_MODERATE)
-    )
-    variability = (
-        F.when(c("demand_cv") > t.cv_high, L.VARIABILITY_HIGH)
-        .when(c("demand_cv") > t.cv_medium, L.VARIABILITY_MEDIUM)
-        .otherwise(L.VARIABILITY_LOW)
-    )
-    return {
-        "reorder_behavior_assessment": trigger,
-        "safety_stock_behavior_assessment": buffer,
-        "lead_time_behavior_proxy": lead,
-        "demand_variability_band": variability,
-    }
-
-
-def with_cadence(pairs: DataFrame, cadence: DataFrame) -> DataFrame:
-    """Left join of pair rows to the (rounded) cadence; pairs without orders get NULLs."""
-    return pairs.join(cadence, on=JOIN_KEYS, how="left")
+    return [
+        f"""CASE WHEN {late} THEN {lit(L.TRIGGER_LATE)}
+       WHEN {early} THEN {lit(L.TRIGGER_EARLY)}
+       ELSE {lit(L.TRIGGER_OK)} END AS reorder_behavior_assessment""",
+        f"""CASE WHEN {volatile} AND {late} THEN {lit(L.BUFFER_INSUFFICIENT)}
+       WHEN demand_cv <= {num(t.cv_medium)} AND wape <= {num(t.wape_good)} AND {early}
+         THEN {lit(L.BUFFER_EXCESSIVE)}
+       WHEN {volatile} THEN {lit(L.BUFFER_REVIEW)}
+       ELSE {lit(L.BUFFER_OK)} END AS safety_stock_behavior_assessment""",
+        f"""CASE WHEN order_day_pct >= {num(t.continuous_order_day_pct)}
+            AND coalesce(avg_days_between_orders, 1.0D) <= {num(t.continuous_gap_days)}
+         THEN {lit(L.CADENCE_CONTINUOUS)}
+       WHEN coalesce(stddev_days_between_orders, 0.0D) > {num(t.irregular_gap_stddev)}
+         THEN {lit(L.CADENCE_IRREGULAR)}
+       WHEN coalesce(avg_days_between_orders, 0.0D) >= {num(t.sparse_gap_days)}
+         THEN {lit(L.CADENCE_SPARSE)}
+       ELSE {lit(L.CADENCE_MODERATE)} END AS lead_time_behavior_proxy""",
+        f"""CASE WHEN demand_cv > {num(t.cv_high)} THEN {lit(L.VARIABILITY_HIGH)}
+       WHEN demand_cv > {num(t.cv_medium)} THEN {lit(L.VARIABILITY_MEDIUM)}
+       ELSE {lit(L.VARIABILITY_LOW)} END AS demand_variability_band""",
+    ]
+
+
+def cadence_join(pairs_sql: str) -> str:
+    """``pairs_sql`` (a subquery) left-joined to ``{cad}`` on (store, product)."""
+    cad = ", ".join(f"c.{n}" for n in CADENCE_COLUMNS)
+    return f"""
+SELECT p.*, {cad}
+FROM ({pairs_sql}) p
+LEFT JOIN {{cad}} c ON p.store_id = c.store_id AND p.product_id = c.product_id
+"""
 
 
 def reorder_assessment(rollup: DataFrame, cadence: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """Replenishment base + cadence + four assessment labels."""
-    base = with_cadence(replenishment_base(rollup), cadence)
-    return base.select(
-        *REPLENISHMENT_COLUMNS, *CADENCE_COLUMNS,
-        *[col.alias(n) for n, col in assessment_labels(t).items()],
+    base = f"SELECT {select_list(replenishment_columns())} FROM {{r}}"
+    return sql(
+        f"SELECT {select_list([*REPLENISHMENT_COLUMNS, *CADENCE_COLUMNS, *assessment_labels(t)])} "
+        f"FROM ({cadence_join(base)})",
+        r=rollup,
+        cad=cadence,
     )
 
 
+_BY_SALES = "total_units_sold DESC NULLS FIRST, product_id, store_id"
+
+
 def assessment_row_count(ra: DataFrame) -> DataFrame:
     """E5."""
-    return ra.agg(F.count(F.lit(1)).alias("assessment_rows"))
+    return sql("SELECT count(*) AS assessment_rows FROM {ra}", ra=ra)
 
 
 def assessment_top20(ra: DataFrame, n: int = 20) -> DataFrame:
     """E6."""
-    return ra.orderBy(F.col("total_units_sold").desc_nulls_first(), "product_id", "store_id").limit(n)
-
-
-def _dist(ra: DataFrame, label: str, *extra: Column) -> DataFrame:
-    return (
-        ra.groupBy(label)
-        .agg(
-            F.count(F.lit(1)).alias("sku_store_count"),
-            F.sum("total_units_sold").cast("bigint").alias("total_units_sold"),
-            *extra,
-        )
-        .orderBy(label)
-    )
+    return sql(f"SELECT * FROM {{ra}} ORDER BY {_BY_SALES} LIMIT {n}", ra=ra)
+
+
+def _dist(ra: DataFrame, label: str, *extra: str) -> DataFrame:
+    items = [label, "count(*) AS sku_store_count", "CAST(sum(total_units_sold) AS BIGINT) AS total_units_sold", *extra]
+    return sql(f"SELECT {select_list(items)} FROM {{ra}} GROUP BY {label} ORDER BY {label}", ra=ra)
 
 
 def reorder_distribution(ra: DataFrame) -> DataFrame:
@@ -116,31 +112,33 @@ def lead_time_distribution(ra: DataFrame) -> DataFrame:
 
 def variability_distribution(ra: DataFrame) -> DataFrame:
     """E10."""
-    return _dist(ra, "demand_variability_band", round_half_up(F.avg("demand_cv"), 4).alias("avg_demand_cv"))
+    return _dist(ra, "demand_variability_band", f"{round_half_up('avg(demand_cv)', 4)} AS avg_demand_cv")
 
 
 def assessment_null_labels(ra: DataFrame) -> DataFrame:
     """Pairs with a missing assessment label (expected empty)."""
-    cond = None
-    for n in ASSESSMENT_LABELS:
-        cond = F.col(n).isNull() if cond is None else cond | F.col(n).isNull()
-    return ra.where(cond)
+    return ra.where(" OR ".join(f"{n} IS NULL" for n in ASSESSMENT_LABELS))
 
 
 def assessment_master(ra: DataFrame) -> DataFrame:
     """Every assessment column by units sold."""
-    return ra.orderBy(F.col("total_units_sold").desc_nulls_first(), "product_id", "store_id")
+    return sql(f"SELECT * FROM {{ra}} ORDER BY {_BY_SALES}", ra=ra)
+
+
+_PROXY_SUMS = [
+    "CAST(sum(total_at_risk_units_proxy) AS BIGINT) AS total_at_risk_units_proxy",
+    "CAST(sum(total_excess_units_proxy) AS BIGINT) AS total_excess_units_proxy",
+]
 
 
 def reorder_summary(ra: DataFrame) -> DataFrame:
     """E13."""
     return _dist(
         ra, "reorder_behavior_assessment",
-        round_half_up(F.avg("avg_cover_days"), 2).alias("avg_cover_days"),
-        round_half_up(F.avg("low_cover_pct"), 2).alias("avg_low_cover_pct"),
-        round_half_up(F.avg("high_cover_pct"), 2).alias("avg_high_cover_pct"),
-        F.sum("total_at_risk_units_proxy").cast("bigint").alias("total_at_risk_units_proxy"),
-        F.sum("total_excess_units_proxy").cast("bigint").alias("total_excess_units_proxy"),
+        f"{round_half_up('avg(avg_cover_days)', 2)} AS avg_cover_days",
+        f"{round_half_up('avg(low_cover_pct)', 2)} AS avg_low_cover_pct",
+        f"{round_half_up('avg(high_cover_pct)', 2)} AS avg_high_cover_pct",
+        *_PROXY_SUMS,
     )
 
 
@@ -148,11 +146,10 @@ def safety_stock_summary(ra: DataFrame) -> DataFrame:
     """E14."""
     return _dist(
         ra, "safety_stock_behavior_assessment",
-        round_half_up(F.avg("demand_cv"), 4).alias("avg_demand_cv"),
-        round_half_up(F.avg("wape"), 4).alias("avg_wape"),
-        round_half_up(F.avg("avg_cover_days"), 2).alias("avg_cover_days"),
-        F.sum("total_at_risk_units_proxy").cast("bigint").alias("total_at_risk_units_proxy"),
-        F.sum("total_excess_units_proxy").cast("bigint").alias("total_excess_units_proxy"),
+        f"{round_half_up('avg(demand_cv)', 4)} AS avg_demand_cv",
+        f"{round_half_up('avg(wape)', 4)} AS avg_wape",
+        f"{round_half_up('avg(avg_cover_days)', 2)} AS avg_cover_days",
+        *_PROXY_SUMS,
     )
 
 
@@ -160,41 +157,43 @@ def lead_time_summary(ra: DataFrame) -> DataFrame:
     """E15."""
     return _dist(
         ra, "lead_time_behavior_proxy",
-        round_half_up(F.avg("order_day_pct"), 2).alias("avg_order_day_pct"),
-        round_half_up(F.avg("avg_days_between_orders"), 2).alias("avg_days_between_orders"),
-        round_half_up(F.avg("stddev_days_between_orders"), 2).alias("avg_stddev_days_between_orders"),
+        f"{round_half_up('avg(order_day_pct)', 2)} AS avg_order_day_pct",
+        f"{round_half_up('avg(avg_days_between_orders)', 2)} AS avg_days_between_orders",
+        f"{round_half_up('avg(stddev_days_between_orders)', 2)} AS avg_stddev_days_between_orders",
     )
 
 
 def category_assessment_summary(ra: DataFrame) -> DataFrame:
     """Category x trigger x buffer."""
-    keys = ["category_clean", "reorder_behavior_assessment", "safety_stock_behavior_assessment"]
-    return (
-        ra.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("sku_store_count"),
-            F.sum("total_units_sold").cast("bigint").alias("total_units_sold"),
-            F.sum("total_at_risk_units_proxy").cast("bigint").alias("total_at_risk_units_proxy"),
-            F.sum("total_excess_units_proxy").cast("bigint").alias("total_excess_units_proxy"),
-        )
-        .orderBy(*keys)
+    keys = "category_clean, reorder_behavior_assessment, safety_stock_behavior_assessment"
+    return sql(
+        f"""
+SELECT {keys}, count(*) AS sku_store_count,
+  CAST(sum(total_units_sold) AS BIGINT) AS total_units_sold, {', '.join(_PROXY_SUMS)}
+FROM {{ra}} GROUP BY {keys} ORDER BY {keys}
+""",
+        ra=ra,
     )
 
 
+REVIEW_COLUMNS = [
+    "store_id", "product_id", "category_clean", "region_clean",
+    "total_units_sold", "total_units_ordered", "avg_daily_demand", "demand_cv",
+    "avg_cover_days", "low_cover_pct", "high_cover_pct", "zero_inventory_pct",
+    "order_day_pct", "wape", "forecast_bias",
+    "avg_days_between_orders", "stddev_days_between_orders",
+    *ASSESSMENT_LABELS,
+]
+
+
 def review_priority_items(ra: DataFrame) -> DataFrame:
     """Pairs whose trigger or buffer is not in the normal band."""
-    return (
-        ra.where(
-            (F.col("reorder_behavior_assessment") != L.TRIGGER_OK)
-            | (F.col("safety_stock_behavior_assessment") != L.BUFFER_OK)
-        )
-        .select(
-            "store_id", "product_id", "category_clean", "region_clean",
-            "total_units_sold", "total_units_ordered", "avg_daily_demand", "demand_cv",
-            "avg_cover_days", "low_cover_pct", "high_cover_pct", "zero_inventory_pct",
-            "order_day_pct", "wape", "forecast_bias",
-            "avg_days_between_orders", "stddev_days_between_orders",
-            *ASSESSMENT_LABELS,
-        )
-        .orderBy(F.col("total_units_sold").desc_nulls_first(), "product_id", "store_id")
+    return sql(
+        f"""
+SELECT {', '.join(REVIEW_COLUMNS)} FROM {{ra}}
+WHERE reorder_behavior_assessment <> {lit(L.TRIGGER_OK)}
+   OR safety_stock_behavior_assessment <> {lit(L.BUFFER_OK)}
+ORDER BY {_BY_SALES}
+""",
+        ra=ra,
     )

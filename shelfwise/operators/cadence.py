@@ -17,34 +17,30 @@ are recovered without floating-point cancellation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from shelfwise.functions import round_half_up
-from shelfwise.operators.rollup import JOIN_KEYS
+from shelfwise.functions import round_half_up, sql
 
 CADENCE_COLUMNS = [
     "order_event_count", "avg_order_size_on_order_days", "order_size_stddev",
     "avg_days_between_orders", "stddev_days_between_orders",
 ]
 
-_DEC = "decimal(38,0)"
-
-
-def _order_days(kb: DataFrame) -> DataFrame:
-    """One row per (pair, order day): orders that day and their size moments."""
-    x = F.col("units_ordered").cast(_DEC)
-    days = (
-        kb.where(F.col("units_ordered") > 0)
-        .groupBy(*JOIN_KEYS, F.col("date").cast("date").alias("order_date"))
-        .agg(
-            F.count(F.lit(1)).alias("orders"),
-            F.sum(x).alias("size_sum"),
-            F.sum(x * x).alias("size_sumsq"),
-        )
-    )
-    w = Window.partitionBy(*JOIN_KEYS).orderBy("order_date")
-    return days.withColumn("prev_order_date", F.lag("order_date").over(w))
+_DEC = "DECIMAL(38,0)"
+
+ORDER_DAYS = f"""
+SELECT store_id, product_id, order_date, orders, size_sum, size_sumsq,
+       lag(order_date) OVER (PARTITION BY store_id, product_id ORDER BY order_date) AS prev_order_date
+FROM (
+  SELECT store_id, product_id, CAST(date AS DATE) AS order_date,
+         count(*) AS orders,
+         sum(CAST(units_ordered AS {_DEC})) AS size_sum,
+         sum(CAST(units_ordered AS {_DEC}) * CAST(units_ordered AS {_DEC})) AS size_sumsq
+  FROM {{kb}}
+  WHERE units_ordered > 0
+  GROUP BY store_id, product_id, CAST(date AS DATE)
+)
+"""
 
 
 def order_events(kb: DataFrame) -> DataFrame:
@@ -53,58 +49,67 @@ def order_events(kb: DataFrame) -> DataFrame:
     Rows of one (pair, day) share that day's previous order day; where
     a key is duplicated the reference gives it to one arbitrary copy and
     the same day to the others (the gap statistics in E2 follow that).
+    The join is an equi-join on (pair, day) whose right side has one row
+    per key, so AQE's skew-join split handles a hot key on the left.
     """
-    days = _order_days(kb).select(*JOIN_KEYS, "order_date", "prev_order_date")
-    ev = kb.where(F.col("units_ordered") > 0).select(
-        *JOIN_KEYS, F.col("date").cast("date").alias("order_date"), "units_ordered"
-    )
-    # equi-join on (pair, day); the right side has one row per key, so
-    # AQE's skew-join split handles a hot key on the left.
-    return ev.join(days, on=[*JOIN_KEYS, "order_date"], how="left").select(
-        *JOIN_KEYS, "order_date", "units_ordered", "prev_order_date"
+    return sql(
+        f"""
+WITH days AS ({ORDER_DAYS})
+SELECT e.store_id, e.product_id, e.order_date, e.units_ordered, d.prev_order_date
+FROM (
+  SELECT store_id, product_id, CAST(date AS DATE) AS order_date, units_ordered
+  FROM {{kb}} WHERE units_ordered > 0
+) e
+LEFT JOIN days d
+  ON e.store_id = d.store_id AND e.product_id = d.product_id AND e.order_date = d.order_date
+""",
+        kb=kb,
     )
 
 
-def _mean_sd(n: Column, s: Column, ss: Column) -> tuple[Column, Column]:
+def _mean_sd(n: str, s: str, ss: str) -> tuple[str, str]:
     """Mean and sample standard deviation from exact count, sum, sum of squares."""
-    nd = n.cast(_DEC)
-    mean = s.cast("double") / F.nullif(n, F.lit(0)).cast("double")
-    var_num = (nd * ss - s * s).cast("double")
-    var = var_num / F.nullif(n * (n - F.lit(1)), F.lit(0)).cast("double")
-    sd = F.when(n > 1, F.sqrt(F.greatest(var, F.lit(0.0))))
+    mean = f"(CAST({s} AS DOUBLE) / CAST(NULLIF({n}, 0) AS DOUBLE))"
+    var = (
+        f"(CAST(CAST({n} AS {_DEC}) * {ss} - {s} * {s} AS DOUBLE)"
+        f" / CAST(NULLIF({n} * ({n} - 1), 0) AS DOUBLE))"
+    )
+    sd = f"CASE WHEN {n} > 1 THEN sqrt(greatest({var}, 0.0D)) END"
     return mean, sd
 
 
 def order_cadence_raw(kb: DataFrame) -> DataFrame:
     """Unrounded cadence per pair with at least one order."""
-    days = _order_days(kb)
-    gap = F.datediff("order_date", "prev_order_date").cast(_DEC)
-    g = days.groupBy(*JOIN_KEYS).agg(
-        F.sum("orders").alias("order_event_count"),
-        F.sum("size_sum").alias("_s"),
-        F.sum("size_sumsq").alias("_ss"),
-        F.coalesce(F.sum(gap), F.lit(0).cast(_DEC)).alias("_gs"),
-        F.coalesce(F.sum(gap * gap), F.lit(0).cast(_DEC)).alias("_gss"),
-    )
-    n = F.col("order_event_count").cast("bigint")
-    size_mean, size_sd = _mean_sd(n, F.col("_s"), F.col("_ss"))
-    gaps = n - F.lit(1)  # every order but the first has a predecessor
-    gap_mean, gap_sd = _mean_sd(gaps, F.col("_gs"), F.col("_gss"))
-    return g.select(
-        *JOIN_KEYS,
-        n.alias("order_event_count"),
-        size_mean.alias("avg_order_size_on_order_days"),
-        size_sd.alias("order_size_stddev"),
-        gap_mean.alias("avg_days_between_orders"),
-        gap_sd.alias("stddev_days_between_orders"),
+    size_mean, size_sd = _mean_sd("n", "s", "ss")
+    # every order but the first has a predecessor: n - 1 gaps
+    gap_mean, gap_sd = _mean_sd("(n - 1)", "gs", "gss")
+    return sql(
+        f"""
+WITH days AS ({ORDER_DAYS}),
+moments AS (
+  SELECT store_id, product_id,
+         CAST(sum(orders) AS BIGINT) AS n,
+         sum(size_sum) AS s,
+         sum(size_sumsq) AS ss,
+         coalesce(sum(CAST(datediff(order_date, prev_order_date) AS {_DEC})), CAST(0 AS {_DEC})) AS gs,
+         coalesce(sum(CAST(datediff(order_date, prev_order_date) AS {_DEC})
+                      * CAST(datediff(order_date, prev_order_date) AS {_DEC})), CAST(0 AS {_DEC})) AS gss
+  FROM days
+  GROUP BY store_id, product_id
+)
+SELECT store_id, product_id,
+       n AS order_event_count,
+       {size_mean} AS avg_order_size_on_order_days,
+       {size_sd} AS order_size_stddev,
+       {gap_mean} AS avg_days_between_orders,
+       {gap_sd} AS stddev_days_between_orders
+FROM moments
+""",
+        kb=kb,
     )
 
 
 def order_cadence(kb: DataFrame) -> DataFrame:
     """Rounded order cadence per pair with at least one order."""
-    raw = order_cadence_raw(kb)
-    return raw.select(
-        *JOIN_KEYS,
-        "order_event_count",
-        *[round_half_up(n, 2).alias(n) for n in CADENCE_COLUMNS[1:]],
-    )
+    rounded = [f"{round_half_up(n, 2)} AS {n}" for n in CADENCE_COLUMNS[1:]]
+    return order_cadence_raw(kb).selectExpr("store_id", "product_id", "order_event_count", *rounded)

@@ -1,92 +1,93 @@
 """Dashboard marts: the data behind the executive overview page.
 
-Shares of a grand total use a one-row aggregate cross-joined to the
-grouped rows (a 1-row broadcast), never ``SUM() OVER ()``, which would
-move every row into one partition.
+Shares of a grand total use a one-row aggregate joined to the grouped
+rows (a 1-row broadcast), never ``SUM() OVER ()``, which would move
+every row into one partition.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from shelfwise import config as L
-from shelfwise.functions import count_if, round_half_up, sum_if
+from shelfwise.functions import count_if, lit, order_case, round_half_up, safe_div, sql, sum_if
 from shelfwise.operators.policy import PRIORITY_ORDER
-from shelfwise.functions import order_case
 
 
 def dash_headline(bi: DataFrame) -> DataFrame:
     """G1: headline KPI tiles."""
-    c = F.col
-    sold = F.sum("total_units_sold")
-    return bi.agg(
-        sold.cast("bigint").alias("total_units_sold"),
-        F.count(F.lit(1)).alias("sku_store_combinations"),
-        F.sum("primary_impact_units_proxy").cast("bigint").alias("primary_impact_units"),
-        count_if(c("impact_theme") == L.THEME_BURDEN).alias("operational_burden_items"),
-        count_if(c("impact_priority") == L.PRIORITY_HIGH).alias("high_priority_items"),
-        round_half_up(
-            F.lit(100.0) * sum_if(c("impact_theme") == L.THEME_EXCESS, "total_units_sold")
-            / F.nullif(sold, F.lit(0)).cast("double"),
-            2,
-        ).alias("excess_sales_share_pct"),
+    excess_sales = sum_if(f"impact_theme = {lit(L.THEME_EXCESS)}", "total_units_sold")
+    return sql(
+        f"""
+SELECT CAST(sum(total_units_sold) AS BIGINT) AS total_units_sold,
+  count(*) AS sku_store_combinations,
+  CAST(sum(primary_impact_units_proxy) AS BIGINT) AS primary_impact_units,
+  {count_if(f"impact_theme = {lit(L.THEME_BURDEN)}")} AS operational_burden_items,
+  {count_if(f"impact_priority = {lit(L.PRIORITY_HIGH)}")} AS high_priority_items,
+  {round_half_up(f"100.0D * {excess_sales} / CAST(NULLIF(sum(total_units_sold), 0) AS DOUBLE)", 2)} AS excess_sales_share_pct
+FROM {{bi}}
+""",
+        bi=bi,
     )
 
 
 def dash_monthly_units(kb: DataFrame) -> DataFrame:
     """Monthly units sold, flagging a month the data does not cover to its end."""
-    month = F.trunc("date", "MM")
-    return (
-        kb.groupBy(month.alias("month"))
-        .agg(
-            F.sum("units_sold").cast("bigint").alias("total_units_sold"),
-            F.max("date").alias("last_date"),
-        )
-        .select(
-            "month",
-            "total_units_sold",
-            F.when(F.col("last_date") < F.last_day("month"), F.lit(1)).otherwise(F.lit(0)).alias("incomplete_month_flag"),
-        )
-        .orderBy("month")
+    return sql(
+        """
+SELECT month, total_units_sold,
+  CASE WHEN last_date < last_day(month) THEN 1 ELSE 0 END AS incomplete_month_flag
+FROM (
+  SELECT trunc(date, 'MM') AS month,
+         CAST(sum(units_sold) AS BIGINT) AS total_units_sold,
+         max(date) AS last_date
+  FROM {kb} GROUP BY trunc(date, 'MM')
+)
+ORDER BY month
+""",
+        kb=kb,
     )
 
 
 def dash_monthly_wape(kb: DataFrame) -> DataFrame:
     """Monthly forecast accuracy (WAPE) and bias."""
-    sold = F.nullif(F.sum("units_sold"), F.lit(0)).cast("double")
-    return (
-        kb.groupBy(F.trunc("date", "MM").alias("month"))
-        .agg(
-            round_half_up(F.sum("abs_forecast_error") / sold, 4).alias("wape"),
-            round_half_up(F.sum("forecast_error") / sold, 4).alias("forecast_bias"),
-        )
-        .orderBy("month")
+    return sql(
+        f"""
+SELECT trunc(date, 'MM') AS month,
+  {round_half_up(safe_div('sum(abs_forecast_error)', 'sum(units_sold)'), 4)} AS wape,
+  {round_half_up(safe_div('sum(forecast_error)', 'sum(units_sold)'), 4)} AS forecast_bias
+FROM {{kb}} GROUP BY trunc(date, 'MM') ORDER BY month
+""",
+        kb=kb,
     )
 
 
 def dash_priority_by_region(bi: DataFrame) -> DataFrame:
     """Region x impact priority counts (long form)."""
-    return (
-        bi.groupBy("region_clean", "impact_priority")
-        .agg(F.count(F.lit(1)).alias("sku_store_count"))
-        .orderBy("region_clean", order_case("impact_priority", PRIORITY_ORDER))
+    return sql(
+        f"""
+SELECT region_clean, impact_priority, count(*) AS sku_store_count
+FROM {{bi}} GROUP BY region_clean, impact_priority
+ORDER BY region_clean, {order_case('impact_priority', PRIORITY_ORDER)}
+""",
+        bi=bi,
     )
 
 
 def _share(bi: DataFrame, dim: str, measure: str, total_name: str, pct_name: str) -> DataFrame:
-    grouped = bi.groupBy(dim).agg(F.sum(measure).cast("bigint").alias(total_name))
-    grand = bi.agg(F.sum(measure).alias("_grand"))  # exactly one row
-    return (
-        grouped.crossJoin(F.broadcast(grand))
-        .select(
-            dim,
-            total_name,
-            round_half_up(
-                F.lit(100.0) * F.col(total_name) / F.nullif(F.col("_grand"), F.lit(0)).cast("double"), 2
-            ).alias(pct_name),
-        )
-        .orderBy(F.col(total_name).desc_nulls_first(), dim)
+    return sql(
+        f"""
+WITH grouped AS (
+  SELECT {dim}, CAST(sum({measure}) AS BIGINT) AS {total_name} FROM {{bi}} GROUP BY {dim}
+), grand AS (
+  SELECT sum({measure}) AS grand_total FROM {{bi}}  -- exactly one row
+)
+SELECT /*+ BROADCAST(grand) */ {dim}, {total_name},
+  {round_half_up(f"100.0D * {total_name} / CAST(NULLIF(grand_total, 0) AS DOUBLE)", 2)} AS {pct_name}
+FROM grouped CROSS JOIN grand
+ORDER BY {total_name} DESC NULLS FIRST, {dim}
+""",
+        bi=bi,
     )
 
 
@@ -107,8 +108,10 @@ def dash_sales_by_category(bi: DataFrame) -> DataFrame:
 
 def dash_trigger_counts(ra: DataFrame) -> DataFrame:
     """Pairs per reorder-trigger assessment."""
-    return (
-        ra.groupBy("reorder_behavior_assessment")
-        .agg(F.count(F.lit(1)).alias("sku_store_count"))
-        .orderBy("reorder_behavior_assessment")
+    return sql(
+        """
+SELECT reorder_behavior_assessment, count(*) AS sku_store_count
+FROM {ra} GROUP BY reorder_behavior_assessment ORDER BY reorder_behavior_assessment
+""",
+        ra=ra,
     )

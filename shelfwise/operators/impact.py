@@ -10,14 +10,12 @@ narrow projections.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from shelfwise import config as L
 from shelfwise.config import DEFAULT, Thresholds
-from shelfwise.functions import count_if, order_case, round_half_up, sum_if
-from shelfwise.operators.assessment import ASSESSMENT_LABELS, assessment_labels, with_cadence
-from shelfwise.operators.cadence import CADENCE_COLUMNS
-from shelfwise.operators.policy import PRIORITY_ORDER, policy_labels
+from shelfwise.functions import count_if, lit, order_case, round_half_up, select_list, sql, sum_if
+from shelfwise.operators.assessment import ASSESSMENT_LABELS, assessment_labels, cadence_join
+from shelfwise.operators.policy import POLICY_LABELS, PRIORITY_ORDER, policy_labels
 from shelfwise.operators.rollup import replenishment_columns
 
 IMPACT_COLUMNS = [
@@ -25,7 +23,7 @@ IMPACT_COLUMNS = [
     "total_units_sold", "total_units_ordered", "avg_inventory_level", "avg_cover_days",
     "low_cover_pct", "high_cover_pct", "zero_inventory_pct", "order_day_pct",
     "wape", "forecast_bias", "total_at_risk_units_proxy", "total_excess_units_proxy",
-    "policy_status", "root_cause_hint", "priority_band",
+    *POLICY_LABELS,
     *ASSESSMENT_LABELS,
     "impact_theme", "impact_priority", "primary_impact_units_proxy", "primary_impact_vs_sales_ratio",
 ]
@@ -33,170 +31,160 @@ IMPACT_COLUMNS = [
 
 def business_impact(seg: DataFrame, cadence: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """one row per pair with policy, assessment and impact labels."""
-    c = F.col
     # step 1: policy labels need the unrounded rates of the segment rows
-    pol = seg.select(
-        *replenishment_columns(),
-        *[col.alias(n) for n, col in policy_labels(t).items()],
+    pol = f"SELECT {select_list([*replenishment_columns(), *policy_labels(t)])} FROM {{seg}}"
+    excess = (
+        f"(reorder_behavior_assessment = {lit(L.TRIGGER_EARLY)} OR policy_status = {lit(L.STATUS_OVER)})"
     )
-    # step 2: assessment labels need the rounded rates and the cadence
-    ra = with_cadence(pol, cadence).select(
-        *pol.columns, *CADENCE_COLUMNS,
-        *[col.alias(n) for n, col in assessment_labels(t).items()],
+    service = (
+        f"(reorder_behavior_assessment = {lit(L.TRIGGER_LATE)} OR policy_status = {lit(L.STATUS_UNDER)})"
     )
-    excess = (c("reorder_behavior_assessment") == L.TRIGGER_EARLY) | (c("policy_status") == L.STATUS_OVER)
-    service = (c("reorder_behavior_assessment") == L.TRIGGER_LATE) | (c("policy_status") == L.STATUS_UNDER)
-    continuous = c("lead_time_behavior_proxy") == L.CADENCE_CONTINUOUS
-    theme = (
-        F.when(excess, L.THEME_EXCESS)
-        .when(service, L.THEME_SERVICE)
-        .when(continuous, L.THEME_BURDEN)
-        .otherwise(L.THEME_MONITOR)
+    continuous = f"(lead_time_behavior_proxy = {lit(L.CADENCE_CONTINUOUS)})"
+    return sql(
+        f"""
+WITH ra AS (
+  -- step 2: assessment labels need the rounded rates and the cadence
+  SELECT *, {select_list(assessment_labels(t))}
+  FROM ({cadence_join(pol)})
+), themed AS (
+  SELECT *,
+    CASE WHEN {excess} THEN {lit(L.THEME_EXCESS)}
+         WHEN {service} THEN {lit(L.THEME_SERVICE)}
+         WHEN {continuous} THEN {lit(L.THEME_BURDEN)}
+         ELSE {lit(L.THEME_MONITOR)} END AS impact_theme,
+    CASE WHEN {excess} AND priority_band = {lit(L.PRIORITY_HIGH)} THEN {lit(L.PRIORITY_HIGH)}
+         WHEN {continuous} THEN {lit(L.PRIORITY_MEDIUM)}
+         ELSE {lit(L.PRIORITY_LOW)} END AS impact_priority,
+    CAST(CASE WHEN {excess} THEN total_excess_units_proxy
+              WHEN {service} THEN total_at_risk_units_proxy
+              ELSE 0 END AS BIGINT) AS primary_impact_units_proxy
+  FROM ra
+)
+SELECT {', '.join(IMPACT_COLUMNS[:-1])},
+  CASE WHEN total_units_sold > 0
+       THEN CAST(primary_impact_units_proxy AS DOUBLE) / CAST(NULLIF(total_units_sold, 0) AS DOUBLE)
+  END AS primary_impact_vs_sales_ratio
+FROM themed
+""",
+        seg=seg,
+        cad=cadence,
     )
-    priority = (
-        F.when(excess & (c("priority_band") == L.PRIORITY_HIGH), L.PRIORITY_HIGH)
-        .when(continuous, L.PRIORITY_MEDIUM)
-        .otherwise(L.PRIORITY_LOW)
-    )
-    units = (
-        F.when(excess, c("total_excess_units_proxy"))
-        .when(service, c("total_at_risk_units_proxy"))
-        .otherwise(F.lit(0))
-        .cast("bigint")
-    )
-    out = ra.withColumns(
-        {"impact_theme": theme, "impact_priority": priority, "primary_impact_units_proxy": units}
-    ).withColumn(
-        "primary_impact_vs_sales_ratio",
-        F.when(
-            c("total_units_sold") > 0,
-            c("primary_impact_units_proxy").cast("double") / F.nullif(c("total_units_sold"), F.lit(0)).cast("double"),
-        ),
-    )
-    return out.select(*IMPACT_COLUMNS)
+
+
+_BY_SALES = "total_units_sold DESC NULLS FIRST, product_id, store_id"
+_BY_URGENCY = (
+    f"{order_case('impact_priority', PRIORITY_ORDER)}, primary_impact_units_proxy DESC NULLS FIRST, {_BY_SALES}"
+)
 
 
 def impact_row_count(bi: DataFrame) -> DataFrame:
     """F2."""
-    return bi.agg(F.count(F.lit(1)).alias("impact_rows"))
+    return sql("SELECT count(*) AS impact_rows FROM {bi}", bi=bi)
 
 
 def impact_top20(bi: DataFrame, n: int = 20) -> DataFrame:
     """F3."""
-    return bi.orderBy(F.col("total_units_sold").desc_nulls_first(), "product_id", "store_id").limit(n)
-
-
-def _impact_dist(bi: DataFrame, label: str) -> DataFrame:
-    return bi.groupBy(label).agg(
-        F.count(F.lit(1)).alias("sku_store_count"),
-        F.sum("total_units_sold").cast("bigint").alias("total_units_sold"),
-        F.sum("primary_impact_units_proxy").cast("bigint").alias("total_primary_impact_units_proxy"),
+    return sql(f"SELECT * FROM {{bi}} ORDER BY {_BY_SALES} LIMIT {n}", bi=bi)
+
+
+def _impact_dist(bi: DataFrame, keys: str, order: str) -> DataFrame:
+    return sql(
+        f"""
+SELECT {keys}, count(*) AS sku_store_count,
+  CAST(sum(total_units_sold) AS BIGINT) AS total_units_sold,
+  CAST(sum(primary_impact_units_proxy) AS BIGINT) AS total_primary_impact_units_proxy
+FROM {{bi}} GROUP BY {keys} ORDER BY {order}
+""",
+        bi=bi,
     )
 
 
 def impact_theme_distribution(bi: DataFrame) -> DataFrame:
     """F4."""
-    return _impact_dist(bi, "impact_theme").orderBy("impact_theme")
+    return _impact_dist(bi, "impact_theme", "impact_theme")
 
 
 def impact_priority_distribution(bi: DataFrame) -> DataFrame:
     """F5."""
-    return _impact_dist(bi, "impact_priority").orderBy(order_case("impact_priority", PRIORITY_ORDER))
+    return _impact_dist(bi, "impact_priority", order_case("impact_priority", PRIORITY_ORDER))
 
 
 def impact_null_labels(bi: DataFrame) -> DataFrame:
     """pairs with a missing impact label (expected empty)."""
-    return bi.where(F.col("impact_theme").isNull() | F.col("impact_priority").isNull())
+    return bi.where("impact_theme IS NULL OR impact_priority IS NULL")
 
 
 def impact_master(bi: DataFrame) -> DataFrame:
     """the impact export by priority, impact units, units sold."""
-    return bi.orderBy(
-        order_case("impact_priority", PRIORITY_ORDER),
-        F.col("primary_impact_units_proxy").desc_nulls_first(),
-        F.col("total_units_sold").desc_nulls_first(),
-        "product_id", "store_id",
-    )
+    return sql(f"SELECT * FROM {{bi}} ORDER BY {_BY_URGENCY}", bi=bi)
 
 
 def impact_overall(bi: DataFrame) -> DataFrame:
     """F8: one row of portfolio totals by theme and priority."""
-    c = F.col
-    excess = c("impact_theme") == L.THEME_EXCESS
-    service = c("impact_theme") == L.THEME_SERVICE
-    high = c("impact_priority") == L.PRIORITY_HIGH
-    sold = F.sum("total_units_sold")
-    return bi.agg(
-        F.count(F.lit(1)).alias("total_sku_store_count"),
-        sold.cast("bigint").alias("total_units_sold"),
-        count_if(excess).alias("excess_item_count"),
-        sum_if(excess, "total_units_sold").alias("units_sold_in_excess_items"),
-        sum_if(excess, "primary_impact_units_proxy").alias("excess_units_proxy_total"),
-        count_if(service).alias("service_risk_item_count"),
-        sum_if(service, "total_units_sold").alias("units_sold_in_service_risk_items"),
-        sum_if(service, "primary_impact_units_proxy").alias("at_risk_units_proxy_total"),
-        count_if(c("impact_theme") == L.THEME_BURDEN).alias("operational_burden_item_count"),
-        count_if(high).alias("high_priority_item_count"),
-        sum_if(high, "primary_impact_units_proxy").alias("high_priority_impact_units_proxy"),
-        round_half_up(
-            F.lit(100.0) * sum_if(excess, "total_units_sold") / F.nullif(sold, F.lit(0)).cast("double"), 2
-        ).alias("sales_share_in_excess_items_pct"),
+    excess = f"impact_theme = {lit(L.THEME_EXCESS)}"
+    service = f"impact_theme = {lit(L.THEME_SERVICE)}"
+    high = f"impact_priority = {lit(L.PRIORITY_HIGH)}"
+    share = round_half_up(
+        f"100.0D * {sum_if(excess, 'total_units_sold')} / CAST(NULLIF(sum(total_units_sold), 0) AS DOUBLE)", 2
+    )
+    return sql(
+        f"""
+SELECT count(*) AS total_sku_store_count,
+  CAST(sum(total_units_sold) AS BIGINT) AS total_units_sold,
+  {count_if(excess)} AS excess_item_count,
+  {sum_if(excess, 'total_units_sold')} AS units_sold_in_excess_items,
+  {sum_if(excess, 'primary_impact_units_proxy')} AS excess_units_proxy_total,
+  {count_if(service)} AS service_risk_item_count,
+  {sum_if(service, 'total_units_sold')} AS units_sold_in_service_risk_items,
+  {sum_if(service, 'primary_impact_units_proxy')} AS at_risk_units_proxy_total,
+  {count_if(f"impact_theme = {lit(L.THEME_BURDEN)}")} AS operational_burden_item_count,
+  {count_if(high)} AS high_priority_item_count,
+  {sum_if(high, 'primary_impact_units_proxy')} AS high_priority_impact_units_proxy,
+  {share} AS sales_share_in_excess_items_pct
+FROM {{bi}}
+""",
+        bi=bi,
     )
 
 
 def impact_theme_summary(bi: DataFrame) -> DataFrame:
     """F9."""
-    return (
-        bi.groupBy("impact_theme")
-        .agg(
-            F.count(F.lit(1)).alias("sku_store_count"),
-            F.sum("total_units_sold").cast("bigint").alias("total_units_sold"),
-            F.sum("primary_impact_units_proxy").cast("bigint").alias("total_primary_impact_units_proxy"),
-            round_half_up(F.avg("avg_cover_days"), 2).alias("avg_cover_days"),
-            round_half_up(F.avg("wape"), 4).alias("avg_wape"),
-            round_half_up(F.avg("order_day_pct"), 2).alias("avg_order_day_pct"),
-        )
-        .orderBy("impact_theme")
-    )
-
-
-def _impact_two_way(bi: DataFrame, dim: str) -> DataFrame:
-    return (
-        bi.groupBy(dim, "impact_theme")
-        .agg(
-            F.count(F.lit(1)).alias("sku_store_count"),
-            F.sum("total_units_sold").cast("bigint").alias("total_units_sold"),
-            F.sum("primary_impact_units_proxy").cast("bigint").alias("total_primary_impact_units_proxy"),
-        )
-        .orderBy(dim, "impact_theme")
+    return sql(
+        f"""
+SELECT impact_theme, count(*) AS sku_store_count,
+  CAST(sum(total_units_sold) AS BIGINT) AS total_units_sold,
+  CAST(sum(primary_impact_units_proxy) AS BIGINT) AS total_primary_impact_units_proxy,
+  {round_half_up('avg(avg_cover_days)', 2)} AS avg_cover_days,
+  {round_half_up('avg(wape)', 4)} AS avg_wape,
+  {round_half_up('avg(order_day_pct)', 2)} AS avg_order_day_pct
+FROM {{bi}} GROUP BY impact_theme ORDER BY impact_theme
+""",
+        bi=bi,
     )
 
 
 def category_impact_summary(bi: DataFrame) -> DataFrame:
     """F10."""
-    return _impact_two_way(bi, "category_clean")
+    return _impact_dist(bi, "category_clean, impact_theme", "category_clean, impact_theme")
 
 
 def region_impact_summary(bi: DataFrame) -> DataFrame:
     """F11."""
-    return _impact_two_way(bi, "region_clean")
+    return _impact_dist(bi, "region_clean, impact_theme", "region_clean, impact_theme")
 
 
 def top_impact_items(bi: DataFrame) -> DataFrame:
     """every non-Monitor pair, most urgent first."""
-    return (
-        bi.where(F.col("impact_theme") != L.THEME_MONITOR)
-        .select(
-            "store_id", "product_id", "category_clean", "region_clean", "total_units_sold",
-            "primary_impact_units_proxy",
-            round_half_up("primary_impact_vs_sales_ratio", 4).alias("primary_impact_vs_sales_ratio"),
-            "avg_cover_days", "order_day_pct", "wape", "policy_status",
-            "reorder_behavior_assessment", "lead_time_behavior_proxy", "impact_theme", "impact_priority",
-        )
-        .orderBy(
-            order_case("impact_priority", PRIORITY_ORDER),
-            F.col("primary_impact_units_proxy").desc_nulls_first(),
-            F.col("total_units_sold").desc_nulls_first(),
-            "product_id", "store_id",
-        )
+    return sql(
+        f"""
+SELECT store_id, product_id, category_clean, region_clean, total_units_sold,
+  primary_impact_units_proxy,
+  {round_half_up('primary_impact_vs_sales_ratio', 4)} AS primary_impact_vs_sales_ratio,
+  avg_cover_days, order_day_pct, wape, policy_status,
+  reorder_behavior_assessment, lead_time_behavior_proxy, impact_theme, impact_priority
+FROM {{bi}}
+WHERE impact_theme <> {lit(L.THEME_MONITOR)}
+ORDER BY {_BY_URGENCY}
+""",
+        bi=bi,
     )

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from shelfwise.functions import flag, pct, round_half_up, safe_div
+from shelfwise.functions import num, pct, round_half_up, safe_div, select_list, sql
 
 KPI_BASE_COLUMNS = [
     "date", "store_id", "product_id", "category_clean", "region_clean",
@@ -21,148 +20,158 @@ def kpi_base(clean: DataFrame, low_cover_days: float = 1.0, high_cover_days: flo
 
     ``clean`` may lack ``category_clean``/``region_clean`` (rollups that do
     not need the labels skip the lookup joins); they are then omitted.
+    Cover is ``inventory / forecast`` divided through ``nullif``: the two
+    cover flags stay safe from ANSI divide-by-zero even after common
+    subexpression elimination hoists the division out of the CASE.
     """
-    c = F.col
-    f = c("demand_forecast_clean")
-    inv = c("inventory_level")
-    err = f - c("units_sold")
-    # cover = inventory / forecast; dividing by nullif() keeps the two
-    # cover flags safe from ANSI divide-by-zero even after common
-    # subexpression elimination hoists the division out of the CASE.
-    cover = F.when(f > 0, safe_div(inv, f))
     keep = [n for n in KPI_BASE_COLUMNS[:9] if n in clean.columns]
-    return clean.select(
-        *keep,
-        err.alias("forecast_error"),
-        F.abs(err).alias("abs_forecast_error"),
-        cover.alias("cover_days"),
-        flag(cover < low_cover_days).alias("low_cover_flag"),
-        flag(cover > high_cover_days).alias("high_cover_flag"),
-        flag(inv == 0).alias("zero_inventory_flag"),
-        F.greatest(f - inv, F.lit(0)).alias("at_risk_units_proxy"),
-        F.greatest(inv - F.lit(7) * f, F.lit(0)).alias("excess_units_proxy"),
+    cover = f"CASE WHEN demand_forecast_clean > 0 THEN {safe_div('inventory_level', 'demand_forecast_clean')} END"
+    return sql(
+        f"""
+SELECT {', '.join(keep)},
+  forecast_error,
+  abs(forecast_error) AS abs_forecast_error,
+  cover_days,
+  CASE WHEN cover_days < {num(low_cover_days)} THEN 1 ELSE 0 END AS low_cover_flag,
+  CASE WHEN cover_days > {num(high_cover_days)} THEN 1 ELSE 0 END AS high_cover_flag,
+  CASE WHEN inventory_level = 0 THEN 1 ELSE 0 END AS zero_inventory_flag,
+  greatest(demand_forecast_clean - inventory_level, 0) AS at_risk_units_proxy,
+  greatest(inventory_level - 7 * demand_forecast_clean, 0) AS excess_units_proxy
+FROM (
+  SELECT *, demand_forecast_clean - units_sold AS forecast_error, {cover} AS cover_days
+  FROM {{clean}}
+)
+""",
+        clean=clean,
     )
 
 
-def kpi_measures() -> list[Column]:
+def kpi_measures() -> list[str]:
     """The measure list every KPI grain shares."""
-    c = F.col
-    sold = F.sum("units_sold")
     return [
-        sold.cast("bigint").alias("total_units_sold"),
-        round_half_up(F.avg("inventory_level"), 2).alias("avg_inventory_level"),
-        F.sum("units_ordered").cast("bigint").alias("total_units_ordered"),
-        round_half_up(safe_div(F.sum("units_ordered"), sold), 2).alias("replenishment_to_sales_ratio"),
-        round_half_up(F.avg("cover_days"), 2).alias("avg_cover_days"),
-        pct(F.avg(c("low_cover_flag"))).alias("low_cover_pct"),
-        pct(F.avg(c("high_cover_flag"))).alias("high_cover_pct"),
-        pct(F.avg(c("zero_inventory_flag"))).alias("zero_inventory_pct"),
-        round_half_up(safe_div(F.sum("abs_forecast_error"), sold), 4).alias("wape"),
-        round_half_up(safe_div(F.sum("forecast_error"), sold), 4).alias("forecast_bias"),
-        F.sum("at_risk_units_proxy").cast("bigint").alias("total_at_risk_units_proxy"),
-        F.sum("excess_units_proxy").cast("bigint").alias("total_excess_units_proxy"),
+        "CAST(sum(units_sold) AS BIGINT) AS total_units_sold",
+        f"{round_half_up('avg(inventory_level)', 2)} AS avg_inventory_level",
+        "CAST(sum(units_ordered) AS BIGINT) AS total_units_ordered",
+        f"{round_half_up(safe_div('sum(units_ordered)', 'sum(units_sold)'), 2)} AS replenishment_to_sales_ratio",
+        f"{round_half_up('avg(cover_days)', 2)} AS avg_cover_days",
+        f"{pct('avg(low_cover_flag)')} AS low_cover_pct",
+        f"{pct('avg(high_cover_flag)')} AS high_cover_pct",
+        f"{pct('avg(zero_inventory_flag)')} AS zero_inventory_pct",
+        f"{round_half_up(safe_div('sum(abs_forecast_error)', 'sum(units_sold)'), 4)} AS wape",
+        f"{round_half_up(safe_div('sum(forecast_error)', 'sum(units_sold)'), 4)} AS forecast_bias",
+        "CAST(sum(at_risk_units_proxy) AS BIGINT) AS total_at_risk_units_proxy",
+        "CAST(sum(excess_units_proxy) AS BIGINT) AS total_excess_units_proxy",
     ]
 
 
+def _rollup(kb: DataFrame, keys: list[str], key_exprs: list[str] | None = None, order: str | None = None) -> DataFrame:
+    key_exprs = key_exprs or keys
+    items = [f"{e} AS {k}" for e, k in zip(key_exprs, keys)] + kpi_measures()
+    group = f"GROUP BY {', '.join(key_exprs)}" if keys else ""
+    if order is None and keys:
+        order = "total_units_sold DESC NULLS FIRST, " + ", ".join(keys)
+    order_by = f"ORDER BY {order}" if order else ""
+    return sql(f"SELECT {select_list(items)} FROM {{kb}} {group} {order_by}", kb=kb)
+
+
 def kpi_overall(kb: DataFrame) -> DataFrame:
     """The twelve measures over all rows."""
-    return kb.agg(*kpi_measures())
+    return _rollup(kb, [])
 
 
 def kpi_monthly(kb: DataFrame) -> DataFrame:
     """Measures per calendar month."""
-    return (
-        kb.groupBy(F.trunc("date", "MM").alias("month"))
-        .agg(*kpi_measures())
-        .orderBy("month")
-    )
-
-
-def _by(kb: DataFrame, *keys: str) -> DataFrame:
-    return (
-        kb.groupBy(*keys)
-        .agg(*kpi_measures())
-        .orderBy(F.col("total_units_sold").desc_nulls_first(), *[F.col(k).asc() for k in keys])
-    )
+    return _rollup(kb, ["month"], ["trunc(date, 'MM')"], order="month")
 
 
 def kpi_category(kb: DataFrame) -> DataFrame:
     """B7."""
-    return _by(kb, "category_clean")
+    return _rollup(kb, ["category_clean"])
 
 
 def kpi_region(kb: DataFrame) -> DataFrame:
     """B8."""
-    return _by(kb, "region_clean")
+    return _rollup(kb, ["region_clean"])
 
 
 def kpi_store(kb: DataFrame) -> DataFrame:
     """B9."""
-    return _by(kb, "store_id")
+    return _rollup(kb, ["store_id"])
 
 
 def kpi_product(kb: DataFrame) -> DataFrame:
     """B10."""
-    return _by(kb, "product_id", "category_clean")
+    return _rollup(kb, ["product_id", "category_clean"])
 
 
 def kpi_base_preview(kb: DataFrame, n: int = 20) -> DataFrame:
     """First rows of the KPI base in key order (top-k, not a sort)."""
-    return kb.orderBy("date", "store_id", "product_id").limit(n)
+    return sql(f"SELECT * FROM {{kb}} ORDER BY date, store_id, product_id LIMIT {n}", kb=kb)
 
 
 def check_total_units_sold(clean: DataFrame) -> DataFrame:
     """Control total over the cleaned table."""
-    return clean.agg(F.sum("units_sold").cast("bigint").alias("total_units_sold"))
+    return sql("SELECT CAST(sum(units_sold) AS BIGINT) AS total_units_sold FROM {t}", t=clean)
 
 
 def check_total_units_ordered(clean: DataFrame) -> DataFrame:
     """B12."""
-    return clean.agg(F.sum("units_ordered").cast("bigint").alias("total_units_ordered"))
+    return sql("SELECT CAST(sum(units_ordered) AS BIGINT) AS total_units_ordered FROM {t}", t=clean)
 
 
 def check_flag_totals(kb: DataFrame) -> DataFrame:
     """Number of low-cover, high-cover and zero-inventory rows."""
-    return kb.agg(
-        F.sum("low_cover_flag").cast("bigint").alias("low_cover_rows"),
-        F.sum("high_cover_flag").cast("bigint").alias("high_cover_rows"),
-        F.sum("zero_inventory_flag").cast("bigint").alias("zero_inventory_rows"),
+    return sql(
+        """
+SELECT CAST(sum(low_cover_flag) AS BIGINT) AS low_cover_rows,
+       CAST(sum(high_cover_flag) AS BIGINT) AS high_cover_rows,
+       CAST(sum(zero_inventory_flag) AS BIGINT) AS zero_inventory_rows
+FROM {kb}
+""",
+        kb=kb,
     )
 
 
 def lowest_cover_rows(kb: DataFrame, n: int = 20) -> DataFrame:
     """The n rows with the lowest defined cover (key tie-break)."""
-    return (
-        kb.where(F.col("cover_days").isNotNull())
-        .orderBy(F.col("cover_days").asc(), "date", "store_id", "product_id")
-        .limit(n)
+    return sql(
+        f"SELECT * FROM {{kb}} WHERE cover_days IS NOT NULL "
+        f"ORDER BY cover_days, date, store_id, product_id LIMIT {n}",
+        kb=kb,
     )
 
 
 def highest_cover_rows(kb: DataFrame, n: int = 20) -> DataFrame:
     """The n rows with the highest defined cover (key tie-break)."""
-    return (
-        kb.where(F.col("cover_days").isNotNull())
-        .orderBy(F.col("cover_days").desc(), "date", "store_id", "product_id")
-        .limit(n)
+    return sql(
+        f"SELECT * FROM {{kb}} WHERE cover_days IS NOT NULL "
+        f"ORDER BY cover_days DESC, date, store_id, product_id LIMIT {n}",
+        kb=kb,
     )
 
 
 def forecast_error_stats(kb: DataFrame) -> DataFrame:
     """Range and mean of the forecast error."""
-    return kb.agg(
-        F.min("forecast_error").alias("min_forecast_error"),
-        F.max("forecast_error").alias("max_forecast_error"),
-        round_half_up(F.avg("forecast_error"), 10).alias("avg_forecast_error"),
-        F.min("abs_forecast_error").alias("min_abs_forecast_error"),
-        F.max("abs_forecast_error").alias("max_abs_forecast_error"),
+    return sql(
+        f"""
+SELECT min(forecast_error) AS min_forecast_error,
+       max(forecast_error) AS max_forecast_error,
+       {round_half_up('avg(forecast_error)', 10)} AS avg_forecast_error,
+       min(abs_forecast_error) AS min_abs_forecast_error,
+       max(abs_forecast_error) AS max_abs_forecast_error
+FROM {{kb}}
+""",
+        kb=kb,
     )
 
 
 def check_wape_bias(kb: DataFrame) -> DataFrame:
     """Global WAPE and forecast bias."""
-    sold = F.sum("units_sold")
-    return kb.agg(
-        round_half_up(safe_div(F.sum("abs_forecast_error"), sold), 4).alias("wape"),
-        round_half_up(safe_div(F.sum("forecast_error"), sold), 4).alias("forecast_bias"),
+    return sql(
+        f"""
+SELECT {round_half_up(safe_div('sum(abs_forecast_error)', 'sum(units_sold)'), 4)} AS wape,
+       {round_half_up(safe_div('sum(forecast_error)', 'sum(units_sold)'), 4)} AS forecast_bias
+FROM {{kb}}
+""",
+        kb=kb,
     )

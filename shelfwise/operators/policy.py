@@ -8,14 +8,14 @@ left join to a second aggregate is not needed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from shelfwise import config as L
 from shelfwise.config import DEFAULT, Thresholds
-from shelfwise.functions import order_case, pct, round_half_up
+from shelfwise.functions import lit, num, order_case, pct, round_half_up, select_list, sql
 
 PRIORITY_ORDER = [L.PRIORITY_HIGH, L.PRIORITY_MEDIUM, L.PRIORITY_LOW]
+POLICY_LABELS = ["policy_status", "root_cause_hint", "priority_band"]
 
 POLICY_COLUMNS = [
     "store_id", "product_id", "category_clean", "region_clean",
@@ -25,161 +25,159 @@ POLICY_COLUMNS = [
     "order_day_pct", "wape", "forecast_bias",
     "total_at_risk_units_proxy", "total_excess_units_proxy",
     "abc_segment", "velocity_segment", "forecast_segment", "inventory_position_segment",
-    "policy_status", "root_cause_hint", "priority_band",
+    *POLICY_LABELS,
 ]
 
 
-def _signals(t: Thresholds) -> dict[str, Column]:
-    c = F.col
-    ratio = c("replenishment_to_sales_ratio")
-    under = (
-        (c("avg_cover_days") < t.low_cover_days)
-        | (c("low_cover_rate") >= t.low_cover_rate)
-        | (c("zero_inventory_rate") >= t.zero_inventory_rate)
-    )
-    over = (c("avg_cover_days") > t.high_cover_days) | (c("high_cover_rate") >= t.high_cover_rate)
-    forecast = (c("wape") > t.wape_poor) | (F.abs(c("forecast_bias")) > t.bias_abs)
-    ratio_off = (ratio > t.ratio_high) | (ratio < t.ratio_low)
-    replen = ratio_off | (c("order_day_rate") > t.order_day_rate_high) | (c("order_day_rate") < t.order_day_rate_low)
-    return {"under": under, "over": over, "forecast": forecast, "ratio_off": ratio_off, "replen": replen}
-
-
-def policy_labels(t: Thresholds = DEFAULT) -> dict[str, Column]:
+def policy_labels(t: Thresholds = DEFAULT) -> list[str]:
     """policy_status, root_cause_hint, priority_band over unrounded pair rates."""
-    s = _signals(t)
-    status = (
-        F.when(s["under"] & s["over"], L.STATUS_MIXED)
-        .when(s["under"], L.STATUS_UNDER)
-        .when(s["over"], L.STATUS_OVER)
-        .otherwise(L.STATUS_STABLE)
+    under = (
+        f"(avg_cover_days < {num(t.low_cover_days)} OR low_cover_rate >= {num(t.low_cover_rate)}"
+        f" OR zero_inventory_rate >= {num(t.zero_inventory_rate)})"
     )
-    cause = (
-        F.when(s["forecast"] & s["replen"], L.CAUSE_BOTH)
-        .when(s["forecast"], L.CAUSE_FORECAST)
-        .when(s["replen"], L.CAUSE_REPLENISHMENT)
-        .otherwise(L.CAUSE_MONITOR)
+    over = f"(avg_cover_days > {num(t.high_cover_days)} OR high_cover_rate >= {num(t.high_cover_rate)})"
+    forecast = f"(wape > {num(t.wape_poor)} OR abs(forecast_bias) > {num(t.bias_abs)})"
+    ratio_off = (
+        f"(replenishment_to_sales_ratio > {num(t.ratio_high)}"
+        f" OR replenishment_to_sales_ratio < {num(t.ratio_low)})"
     )
-    unstable = s["under"] | s["over"]
-    priority = (
-        F.when(unstable & (s["forecast"] | s["ratio_off"]), L.PRIORITY_HIGH)
-        .when(unstable, L.PRIORITY_MEDIUM)
-        .otherwise(L.PRIORITY_LOW)
+    replen = (
+        f"({ratio_off} OR order_day_rate > {num(t.order_day_rate_high)}"
+        f" OR order_day_rate < {num(t.order_day_rate_low)})"
     )
-    return {"policy_status": status, "root_cause_hint": cause, "priority_band": priority}
+    return [
+        f"""CASE WHEN {under} AND {over} THEN {lit(L.STATUS_MIXED)}
+       WHEN {under} THEN {lit(L.STATUS_UNDER)}
+       WHEN {over} THEN {lit(L.STATUS_OVER)}
+       ELSE {lit(L.STATUS_STABLE)} END AS policy_status""",
+        f"""CASE WHEN {forecast} AND {replen} THEN {lit(L.CAUSE_BOTH)}
+       WHEN {forecast} THEN {lit(L.CAUSE_FORECAST)}
+       WHEN {replen} THEN {lit(L.CAUSE_REPLENISHMENT)}
+       ELSE {lit(L.CAUSE_MONITOR)} END AS root_cause_hint""",
+        f"""CASE WHEN ({under} OR {over}) AND ({forecast} OR {ratio_off}) THEN {lit(L.PRIORITY_HIGH)}
+       WHEN {under} OR {over} THEN {lit(L.PRIORITY_MEDIUM)}
+       ELSE {lit(L.PRIORITY_LOW)} END AS priority_band""",
+    ]
 
 
 def policy_diagnosis(seg: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """Rounded pair measures, segment labels and the three policy labels."""
     r = round_half_up
-    labels = policy_labels(t)
-    return seg.select(
+    cols = [
         "store_id", "product_id", "category_clean", "region_clean",
         "total_units_sold", "total_units_ordered",
-        r("avg_order_size_on_order_days", 2).alias("avg_order_size_on_order_days"),
-        r("replenishment_to_sales_ratio", 2).alias("replenishment_to_sales_ratio"),
-        r("avg_daily_units_sold", 2).alias("avg_daily_units_sold"),
-        r("avg_inventory_level", 2).alias("avg_inventory_level"),
-        r("avg_cover_days", 2).alias("avg_cover_days"),
-        pct("low_cover_rate").alias("low_cover_pct"),
-        pct("high_cover_rate").alias("high_cover_pct"),
-        pct("zero_inventory_rate").alias("zero_inventory_pct"),
-        pct("order_day_rate").alias("order_day_pct"),
-        r("wape", 4).alias("wape"),
-        r("forecast_bias", 4).alias("forecast_bias"),
+        f"{r('avg_order_size_on_order_days', 2)} AS avg_order_size_on_order_days",
+        f"{r('replenishment_to_sales_ratio', 2)} AS replenishment_to_sales_ratio",
+        f"{r('avg_daily_units_sold', 2)} AS avg_daily_units_sold",
+        f"{r('avg_inventory_level', 2)} AS avg_inventory_level",
+        f"{r('avg_cover_days', 2)} AS avg_cover_days",
+        f"{pct('low_cover_rate')} AS low_cover_pct",
+        f"{pct('high_cover_rate')} AS high_cover_pct",
+        f"{pct('zero_inventory_rate')} AS zero_inventory_pct",
+        f"{pct('order_day_rate')} AS order_day_pct",
+        f"{r('wape', 4)} AS wape",
+        f"{r('forecast_bias', 4)} AS forecast_bias",
         "total_at_risk_units_proxy", "total_excess_units_proxy",
         "abc_segment", "velocity_segment", "forecast_segment", "inventory_position_segment",
-        *[col.alias(name) for name, col in labels.items()],
-    )
+        *policy_labels(t),
+    ]
+    return sql(f"SELECT {select_list(cols)} FROM {{seg}}", seg=seg)
+
+
+_BY_SALES = "total_units_sold DESC NULLS FIRST, product_id, store_id"
 
 
 def policy_row_count(pd: DataFrame) -> DataFrame:
     """D3."""
-    return pd.agg(F.count(F.lit(1)).alias("policy_rows"))
+    return sql("SELECT count(*) AS policy_rows FROM {pd}", pd=pd)
 
 
 def policy_top20(pd: DataFrame, n: int = 20) -> DataFrame:
     """D4."""
-    return pd.orderBy(F.col("total_units_sold").desc_nulls_first(), "product_id", "store_id").limit(n)
+    return sql(f"SELECT * FROM {{pd}} ORDER BY {_BY_SALES} LIMIT {n}", pd=pd)
 
 
-def _distribution(pd: DataFrame, label: str) -> DataFrame:
-    return pd.groupBy(label).agg(
-        F.count(F.lit(1)).alias("sku_store_count"),
-        F.sum("total_units_sold").cast("bigint").alias("total_units_sold"),
+def _distribution(pd: DataFrame, label: str, order: str) -> DataFrame:
+    return sql(
+        f"""
+SELECT {label}, count(*) AS sku_store_count, CAST(sum(total_units_sold) AS BIGINT) AS total_units_sold
+FROM {{pd}} GROUP BY {label} ORDER BY {order}
+""",
+        pd=pd,
     )
 
 
 def policy_status_distribution(pd: DataFrame) -> DataFrame:
     """D5."""
-    return _distribution(pd, "policy_status").orderBy("policy_status")
+    return _distribution(pd, "policy_status", "policy_status")
 
 
 def root_cause_distribution(pd: DataFrame) -> DataFrame:
     """D6."""
-    return _distribution(pd, "root_cause_hint").orderBy("root_cause_hint")
+    return _distribution(pd, "root_cause_hint", "root_cause_hint")
 
 
 def priority_distribution(pd: DataFrame) -> DataFrame:
     """D7."""
-    return _distribution(pd, "priority_band").orderBy(order_case("priority_band", PRIORITY_ORDER))
+    return _distribution(pd, "priority_band", order_case("priority_band", PRIORITY_ORDER))
 
 
 def policy_null_labels(pd: DataFrame) -> DataFrame:
     """Pairs with a missing policy label (expected empty)."""
-    c = F.col
-    return pd.where(c("policy_status").isNull() | c("root_cause_hint").isNull() | c("priority_band").isNull())
+    return pd.where(" OR ".join(f"{n} IS NULL" for n in POLICY_LABELS))
 
 
 def diagnosis_master(pd: DataFrame) -> DataFrame:
     """The diagnosis export, by priority then units sold."""
-    return pd.select(*POLICY_COLUMNS).orderBy(
-        order_case("priority_band", PRIORITY_ORDER),
-        F.col("total_units_sold").desc_nulls_first(), "product_id", "store_id",
+    return sql(
+        f"SELECT {', '.join(POLICY_COLUMNS)} FROM {{pd}} "
+        f"ORDER BY {order_case('priority_band', PRIORITY_ORDER)}, {_BY_SALES}",
+        pd=pd,
     )
 
 
 def policy_status_summary(pd: DataFrame) -> DataFrame:
     """D10 (averages of already rounded columns, as published)."""
-    return (
-        pd.groupBy("policy_status")
-        .agg(
-            F.count(F.lit(1)).alias("sku_store_count"),
-            F.sum("total_units_sold").cast("bigint").alias("total_units_sold"),
-            round_half_up(F.avg("avg_cover_days"), 2).alias("avg_cover_days"),
-            round_half_up(F.avg("wape"), 4).alias("avg_wape"),
-            F.sum("total_at_risk_units_proxy").cast("bigint").alias("total_at_risk_units_proxy"),
-            F.sum("total_excess_units_proxy").cast("bigint").alias("total_excess_units_proxy"),
-        )
-        .orderBy("policy_status")
+    return sql(
+        f"""
+SELECT policy_status, count(*) AS sku_store_count,
+  CAST(sum(total_units_sold) AS BIGINT) AS total_units_sold,
+  {round_half_up('avg(avg_cover_days)', 2)} AS avg_cover_days,
+  {round_half_up('avg(wape)', 4)} AS avg_wape,
+  CAST(sum(total_at_risk_units_proxy) AS BIGINT) AS total_at_risk_units_proxy,
+  CAST(sum(total_excess_units_proxy) AS BIGINT) AS total_excess_units_proxy
+FROM {{pd}} GROUP BY policy_status ORDER BY policy_status
+""",
+        pd=pd,
     )
 
 
 def root_cause_summary(pd: DataFrame) -> DataFrame:
     """D11."""
-    return (
-        pd.groupBy("root_cause_hint")
-        .agg(
-            F.count(F.lit(1)).alias("sku_store_count"),
-            F.sum("total_units_sold").cast("bigint").alias("total_units_sold"),
-            round_half_up(F.avg("wape"), 4).alias("avg_wape"),
-            round_half_up(F.avg("replenishment_to_sales_ratio"), 2).alias("avg_replenishment_to_sales_ratio"),
-            F.sum("total_at_risk_units_proxy").cast("bigint").alias("total_at_risk_units_proxy"),
-            F.sum("total_excess_units_proxy").cast("bigint").alias("total_excess_units_proxy"),
-        )
-        .orderBy("root_cause_hint")
+    return sql(
+        f"""
+SELECT root_cause_hint, count(*) AS sku_store_count,
+  CAST(sum(total_units_sold) AS BIGINT) AS total_units_sold,
+  {round_half_up('avg(wape)', 4)} AS avg_wape,
+  {round_half_up('avg(replenishment_to_sales_ratio)', 2)} AS avg_replenishment_to_sales_ratio,
+  CAST(sum(total_at_risk_units_proxy) AS BIGINT) AS total_at_risk_units_proxy,
+  CAST(sum(total_excess_units_proxy) AS BIGINT) AS total_excess_units_proxy
+FROM {{pd}} GROUP BY root_cause_hint ORDER BY root_cause_hint
+""",
+        pd=pd,
     )
 
 
 def _two_way(pd: DataFrame, dim: str) -> DataFrame:
-    return (
-        pd.groupBy(dim, "policy_status")
-        .agg(
-            F.count(F.lit(1)).alias("sku_store_count"),
-            F.sum("total_units_sold").cast("bigint").alias("total_units_sold"),
-            F.sum("total_at_risk_units_proxy").cast("bigint").alias("total_at_risk_units_proxy"),
-            F.sum("total_excess_units_proxy").cast("bigint").alias("total_excess_units_proxy"),
-        )
-        .orderBy(dim, "policy_status")
+    return sql(
+        f"""
+SELECT {dim}, policy_status, count(*) AS sku_store_count,
+  CAST(sum(total_units_sold) AS BIGINT) AS total_units_sold,
+  CAST(sum(total_at_risk_units_proxy) AS BIGINT) AS total_at_risk_units_proxy,
+  CAST(sum(total_excess_units_proxy) AS BIGINT) AS total_excess_units_proxy
+FROM {{pd}} GROUP BY {dim}, policy_status ORDER BY {dim}, policy_status
+""",
+        pd=pd,
     )
 
 
@@ -193,17 +191,20 @@ def region_policy_summary(pd: DataFrame) -> DataFrame:
     return _two_way(pd, "region_clean")
 
 
+HIGH_PRIORITY_COLUMNS = [
+    "store_id", "product_id", "category_clean", "region_clean",
+    "total_units_sold", "total_units_ordered", "replenishment_to_sales_ratio",
+    "avg_cover_days", "low_cover_pct", "high_cover_pct", "zero_inventory_pct",
+    "wape", "forecast_bias", "total_at_risk_units_proxy", "total_excess_units_proxy",
+    "abc_segment", "velocity_segment", "forecast_segment", "inventory_position_segment",
+    *POLICY_LABELS,
+]
+
+
 def high_priority_items(pd: DataFrame) -> DataFrame:
     """High-priority pairs, 22 columns, by units sold."""
-    return (
-        pd.where(F.col("priority_band") == L.PRIORITY_HIGH)
-        .select(
-            "store_id", "product_id", "category_clean", "region_clean",
-            "total_units_sold", "total_units_ordered", "replenishment_to_sales_ratio",
-            "avg_cover_days", "low_cover_pct", "high_cover_pct", "zero_inventory_pct",
-            "wape", "forecast_bias", "total_at_risk_units_proxy", "total_excess_units_proxy",
-            "abc_segment", "velocity_segment", "forecast_segment", "inventory_position_segment",
-            "policy_status", "root_cause_hint", "priority_band",
-        )
-        .orderBy(F.col("total_units_sold").desc_nulls_first(), "product_id", "store_id")
+    return sql(
+        f"SELECT {', '.join(HIGH_PRIORITY_COLUMNS)} FROM {{pd}} "
+        f"WHERE priority_band = {lit(L.PRIORITY_HIGH)} ORDER BY {_BY_SALES}",
+        pd=pd,
     )

@@ -3,50 +3,59 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from shelfwise.functions import count_if, flag
+from shelfwise.functions import count_if, flag, select_list, sql
 from shelfwise.plans.joins import lookup_join
 from shelfwise.sources.inventory import RAW_COLUMNS
 
 KEY = ["date", "store_id", "product_id"]
 CLEAN_COLUMNS = RAW_COLUMNS + ["category_clean", "region_clean", "demand_forecast_clean"]
+ROW_KEY = "concat_ws('|', CAST(date AS STRING), store_id, product_id)"
 
 
-def label_map(raw: DataFrame, id_col: str, label_col: str, out_col: str) -> DataFrame:
-    """Canonical label per id: the most frequent one, ties to the smallest.
+def label_maps(raw: DataFrame) -> DataFrame:
+    """A3 + A4 in one pass: canonical label per id, the most frequent one,
+    ties to the smallest (entity, id, label).
 
     Two aggregations, no window: (id, label) counts are combined map-side,
     so an id that owns a third of all rows costs one partial row per task;
     the second step picks ``min((-count, label))`` per id.
     """
-    counts = (
-        raw.where(F.col(label_col).isNotNull())
-        .groupBy(id_col, label_col)
-        .agg(F.count(F.lit(1)).alias("_n"))
+    return sql(
+        """
+WITH labelled AS (
+  SELECT 'product' AS entity, product_id AS id, category AS label FROM {raw} WHERE category IS NOT NULL
+  UNION ALL
+  SELECT 'store' AS entity, store_id AS id, region AS label FROM {raw} WHERE region IS NOT NULL
+), counts AS (
+  SELECT entity, id, label, count(*) AS n FROM labelled GROUP BY entity, id, label
+)
+SELECT entity, id, min(named_struct('neg_n', -n, 'label', label)).label AS label
+FROM counts
+GROUP BY entity, id
+""",
+        raw=raw,
     )
-    best = counts.groupBy(id_col).agg(
-        F.min(F.struct((-F.col("_n")).alias("neg_n"), F.col(label_col).alias("label"))).alias("_best")
-    )
-    return best.select(id_col, F.col("_best.label").alias(out_col))
 
 
-def product_map(raw: DataFrame) -> DataFrame:
+def product_map(maps: DataFrame) -> DataFrame:
     """A3: product_id -> category_clean."""
-    return label_map(raw, "product_id", "category", "category_clean")
+    return sql(
+        "SELECT id AS product_id, label AS category_clean FROM {m} WHERE entity = 'product'", m=maps
+    )
 
 
-def store_map(raw: DataFrame) -> DataFrame:
+def store_map(maps: DataFrame) -> DataFrame:
     """A4: store_id -> region_clean."""
-    return label_map(raw, "store_id", "region", "region_clean")
+    return sql("SELECT id AS store_id, label AS region_clean FROM {m} WHERE entity = 'store'", m=maps)
 
 
-def clean_forecast(forecast, mode: str = "zero"):
+def clean_forecast(mode: str = "zero") -> str:
     """Negative forecasts are not demand: clip to 0 (default) or drop to NULL."""
     if mode == "zero":
-        return F.greatest(forecast, F.lit(0))
+        return "greatest(demand_forecast, 0)"
     if mode == "null":
-        return F.when(forecast >= 0, forecast)
+        return "CASE WHEN demand_forecast >= 0 THEN demand_forecast END"
     raise ValueError(f"negative_forecast must be 'zero' or 'null', got {mode!r}")
 
 
@@ -66,108 +75,99 @@ def inventory_clean(
     """
     df = lookup_join(raw, pmap, ["product_id"], pmap_rows)
     df = lookup_join(df, smap, ["store_id"], smap_rows)
-    return df.select(
+    return df.selectExpr(
         *RAW_COLUMNS,
         "category_clean",
         "region_clean",
-        clean_forecast(F.col("demand_forecast"), negative_forecast).alias("demand_forecast_clean"),
+        f"{clean_forecast(negative_forecast)} AS demand_forecast_clean",
     )
 
 
-def row_key() -> F.Column:
-    return F.concat_ws("|", F.col("date").cast("string"), F.col("store_id"), F.col("product_id"))
-
-
 def duplicate_keys(raw: DataFrame) -> DataFrame:
     """Row keys that occur more than once, with their multiplicity."""
-    return (
-        raw.groupBy(row_key().alias("Row_Key"))
-        .agg(F.count(F.lit(1)).alias("key_rows"))
-        .where(F.col("key_rows") > 1)
+    return sql(
+        f"SELECT {ROW_KEY} AS Row_Key, count(*) AS key_rows FROM {{raw}} GROUP BY 1 HAVING count(*) > 1",
+        raw=raw,
     )
 
 
 def quality_flags(clean: DataFrame, dup_keys: DataFrame, dup_key_rows: int) -> DataFrame:
     """The cleaned table with its row key and 12 quality flags."""
-    c = F.col
-    bad = lambda name: c(name).isNull() | (c(name) < 0)
-    flagged = clean.withColumn("Row_Key", row_key())
-    flagged = lookup_join(
-        flagged, dup_keys.select("Row_Key", F.lit(1).alias("_dup")), ["Row_Key"], dup_key_rows
-    )
-    return flagged.select(
+    bad = lambda n: f"{n} IS NULL OR {n} < 0"
+    keyed = clean.selectExpr("*", f"{ROW_KEY} AS Row_Key")
+    flagged = lookup_join(keyed, dup_keys.selectExpr("Row_Key", "1 AS _dup"), ["Row_Key"], dup_key_rows)
+    return flagged.selectExpr(
         *CLEAN_COLUMNS,
         "Row_Key",
-        F.coalesce(c("_dup"), F.lit(0)).alias("Duplicate_Flag"),
-        flag(bad("inventory_level")).alias("Inventory_Invalid_Flag"),
-        flag(bad("units_sold")).alias("UnitsSold_Invalid_Flag"),
-        flag(bad("units_ordered")).alias("UnitsOrdered_Invalid_Flag"),
-        flag(bad("demand_forecast")).alias("DemandForecast_Invalid_Flag"),
-        flag(bad("price")).alias("Price_Invalid_Flag"),
+        "coalesce(_dup, 0) AS Duplicate_Flag",
+        f"{flag(bad('inventory_level'))} AS Inventory_Invalid_Flag",
+        f"{flag(bad('units_sold'))} AS UnitsSold_Invalid_Flag",
+        f"{flag(bad('units_ordered'))} AS UnitsOrdered_Invalid_Flag",
+        f"{flag(bad('demand_forecast'))} AS DemandForecast_Invalid_Flag",
+        f"{flag(bad('price'))} AS Price_Invalid_Flag",
         # a discount may be stored as a fraction (0..1) or a percent (0..100)
-        flag(bad("discount") | (c("discount") > 100)).alias("Discount_Invalid_Flag"),
-        flag(c("holiday_promotion").isNull() | ~c("holiday_promotion").isin(0, 1)).alias(
-            "HolidayPromo_Invalid_Flag"
-        ),
-        flag(bad("competitor_pricing")).alias("CompetitorPrice_Invalid_Flag"),
-        flag(c("demand_forecast") < 0).alias("Negative_Forecast_Flag"),
-        flag(~c("category").eqNullSafe(c("category_clean"))).alias("Category_Mismatch_Flag"),
-        flag(~c("region").eqNullSafe(c("region_clean"))).alias("Region_Mismatch_Flag"),
+        f"{flag(bad('discount') + ' OR discount > 100')} AS Discount_Invalid_Flag",
+        f"{flag('holiday_promotion IS NULL OR holiday_promotion NOT IN (0, 1)')} AS HolidayPromo_Invalid_Flag",
+        f"{flag(bad('competitor_pricing'))} AS CompetitorPrice_Invalid_Flag",
+        f"{flag('demand_forecast < 0')} AS Negative_Forecast_Flag",
+        f"{flag('NOT (category <=> category_clean)')} AS Category_Mismatch_Flag",
+        f"{flag('NOT (region <=> region_clean)')} AS Region_Mismatch_Flag",
     )
 
 
 def map_conflicts(raw: DataFrame) -> DataFrame:
     """Ids carrying more than one raw label (entity, entity_id, label_count)."""
-
-    def conflicts(entity: str, id_col: str, label_col: str) -> DataFrame:
-        return (
-            raw.where(F.col(label_col).isNotNull())
-            .select(id_col, label_col)
-            .distinct()  # distinct (id, label), combined map-side
-            .groupBy(id_col)
-            .agg(F.count(F.lit(1)).alias("label_count"))
-            .where(F.col("label_count") > 1)
-            .select(F.lit(entity).alias("entity"), F.col(id_col).alias("entity_id"), "label_count")
-        )
-
-    return conflicts("product", "product_id", "category").unionByName(
-        conflicts("store", "store_id", "region")
+    return sql(
+        """
+WITH pairs AS (
+  SELECT DISTINCT 'product' AS entity, product_id AS entity_id, category AS label
+  FROM {raw} WHERE category IS NOT NULL
+  UNION ALL
+  SELECT DISTINCT 'store' AS entity, store_id AS entity_id, region AS label
+  FROM {raw} WHERE region IS NOT NULL
+)
+SELECT entity, entity_id, count(*) AS label_count
+FROM pairs
+GROUP BY entity, entity_id
+HAVING count(*) > 1
+""",
+        raw=raw,
     )
 
 
 def audit_summary(raw: DataFrame) -> DataFrame:
     """A2: one row of audit counts over the raw table."""
-    c = F.col
-    base = raw.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        sum((count_if(c(n).isNull()) for n in RAW_COLUMNS), F.lit(0)).cast("bigint").alias("missing_values"),
-        count_if(c("demand_forecast") < 0).alias("negative_forecast_rows"),
-    )
-    dups = duplicate_keys(raw).agg(
-        F.coalesce(F.sum(c("key_rows") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows")
-    )
-    conf = map_conflicts(raw).agg(
-        count_if(c("entity") == "product").alias("products_with_multiple_categories"),
-        count_if(c("entity") == "store").alias("stores_with_multiple_regions"),
-    )
-    # three one-row frames: the cross joins are 1 x 1 x 1
-    return base.crossJoin(dups).crossJoin(conf).select(
-        "total_rows",
-        "missing_values",
-        "duplicate_rows",
-        "negative_forecast_rows",
-        F.coalesce(c("products_with_multiple_categories"), F.lit(0)).cast("bigint").alias(
-            "products_with_multiple_categories"
-        ),
-        F.coalesce(c("stores_with_multiple_regions"), F.lit(0)).cast("bigint").alias(
-            "stores_with_multiple_regions"
-        ),
+    missing = " + ".join(count_if(f"{n} IS NULL") for n in RAW_COLUMNS)
+    return sql(
+        f"""
+WITH base AS (
+  SELECT count(*) AS total_rows,
+         CAST({missing} AS BIGINT) AS missing_values,
+         {count_if('demand_forecast < 0')} AS negative_forecast_rows
+  FROM {{raw}}
+), dups AS (
+  SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_rows
+  FROM (SELECT count(*) AS n FROM {{raw}} GROUP BY {ROW_KEY} HAVING count(*) > 1)
+), conf AS (
+  SELECT CAST(coalesce(sum(CASE WHEN entity = 'product' THEN 1 ELSE 0 END), 0) AS BIGINT)
+           AS products_with_multiple_categories,
+         CAST(coalesce(sum(CASE WHEN entity = 'store' THEN 1 ELSE 0 END), 0) AS BIGINT)
+           AS stores_with_multiple_regions
+  FROM {{conflicts}}
+)
+-- three one-row tables: the joins are 1 x 1 x 1
+SELECT total_rows, missing_values, duplicate_rows, negative_forecast_rows,
+       products_with_multiple_categories, stores_with_multiple_regions
+FROM base CROSS JOIN dups CROSS JOIN conf
+""",
+        raw=raw,
+        conflicts=map_conflicts(raw),
     )
 
 
 def negative_forecast_rows(clean: DataFrame) -> DataFrame:
     """Rows whose raw forecast is negative (isolated, then clipped)."""
-    return clean.where(F.col("demand_forecast") < 0)
+    return clean.where("demand_forecast < 0")
 
 
 def kpi_null_check(clean: DataFrame) -> DataFrame:
@@ -176,15 +176,12 @@ def kpi_null_check(clean: DataFrame) -> DataFrame:
         "date", "store_id", "product_id", "category_clean", "region_clean",
         "inventory_level", "units_sold", "units_ordered", "demand_forecast_clean",
     ]
-    return clean.agg(*[count_if(F.col(n).isNull()).alias(f"null_{n}") for n in cols])
+    items = [f"{count_if(f'{n} IS NULL')} AS null_{n}" for n in cols]
+    return sql(f"SELECT {select_list(items)} FROM {{clean}}", clean=clean)
 
 
 def kpi_bad_numeric_rows(clean: DataFrame) -> DataFrame:
     """B2: rows with a negative stock, sales, order or cleaned forecast value."""
-    c = F.col
     return clean.where(
-        (c("inventory_level") < 0)
-        | (c("units_sold") < 0)
-        | (c("units_ordered") < 0)
-        | (c("demand_forecast_clean") < 0)
+        "inventory_level < 0 OR units_sold < 0 OR units_ordered < 0 OR demand_forecast_clean < 0"
     )

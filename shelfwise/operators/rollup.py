@@ -11,9 +11,8 @@ and each view is a narrow projection of it.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from shelfwise.functions import pct, round_half_up, safe_div
+from shelfwise.functions import pct, round_half_up, safe_div, select_list, sql
 
 PAIR_KEYS = ["store_id", "product_id", "category_clean", "region_clean"]
 JOIN_KEYS = ["store_id", "product_id"]
@@ -34,96 +33,102 @@ UNROUNDED_DOUBLES = [
 
 def pair_rollup(kb: DataFrame) -> DataFrame:
     """Unrounded per-pair aggregates of the KPI base."""
-    c = F.col
-    on_order_days = F.when(c("units_ordered") > 0, c("units_ordered"))
-    g = kb.groupBy(*PAIR_KEYS).agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.sum("units_sold").cast("bigint").alias("total_units_sold"),
-        F.avg("units_sold").alias("avg_daily_units_sold"),
-        F.avg("inventory_level").alias("avg_inventory_level"),
-        F.avg("cover_days").alias("avg_cover_days"),
-        F.avg("low_cover_flag").alias("low_cover_rate"),
-        F.avg("high_cover_flag").alias("high_cover_rate"),
-        F.avg("zero_inventory_flag").alias("zero_inventory_rate"),
-        F.avg(F.when(c("units_ordered") > 0, F.lit(1.0)).otherwise(F.lit(0.0))).alias("order_day_rate"),
-        F.sum("abs_forecast_error").alias("_sum_abs_error"),
-        F.sum("forecast_error").alias("_sum_error"),
-        F.sum("at_risk_units_proxy").cast("bigint").alias("total_at_risk_units_proxy"),
-        F.sum("excess_units_proxy").cast("bigint").alias("total_excess_units_proxy"),
-        F.sum("units_ordered").cast("bigint").alias("total_units_ordered"),
-        F.avg(on_order_days).alias("avg_order_size_on_order_days"),
-        F.stddev_samp("units_sold").alias("demand_stddev"),
-        F.avg("demand_forecast_clean").alias("avg_daily_forecast"),
-        F.stddev_samp("demand_forecast_clean").alias("forecast_stddev"),
-    )
-    return g.select(
-        *[n for n in g.columns if not n.startswith("_")],
-        safe_div("_sum_abs_error", "total_units_sold").alias("wape"),
-        safe_div("_sum_error", "total_units_sold").alias("forecast_bias"),
-        safe_div("total_units_ordered", "total_units_sold").alias("replenishment_to_sales_ratio"),
+    return sql(
+        f"""
+SELECT *,
+  {safe_div('sum_abs_error', 'total_units_sold')} AS wape,
+  {safe_div('sum_error', 'total_units_sold')} AS forecast_bias,
+  {safe_div('total_units_ordered', 'total_units_sold')} AS replenishment_to_sales_ratio
+FROM (
+  SELECT {', '.join(PAIR_KEYS)},
+    count(*) AS row_count,
+    CAST(sum(units_sold) AS BIGINT) AS total_units_sold,
+    avg(units_sold) AS avg_daily_units_sold,
+    avg(inventory_level) AS avg_inventory_level,
+    avg(cover_days) AS avg_cover_days,
+    avg(low_cover_flag) AS low_cover_rate,
+    avg(high_cover_flag) AS high_cover_rate,
+    avg(zero_inventory_flag) AS zero_inventory_rate,
+    avg(CASE WHEN units_ordered > 0 THEN 1.0D ELSE 0.0D END) AS order_day_rate,
+    sum(abs_forecast_error) AS sum_abs_error,
+    sum(forecast_error) AS sum_error,
+    CAST(sum(at_risk_units_proxy) AS BIGINT) AS total_at_risk_units_proxy,
+    CAST(sum(excess_units_proxy) AS BIGINT) AS total_excess_units_proxy,
+    CAST(sum(units_ordered) AS BIGINT) AS total_units_ordered,
+    avg(CASE WHEN units_ordered > 0 THEN units_ordered END) AS avg_order_size_on_order_days,
+    stddev_samp(units_sold) AS demand_stddev,
+    avg(demand_forecast_clean) AS avg_daily_forecast,
+    stddev_samp(demand_forecast_clean) AS forecast_stddev
+  FROM {{kb}}
+  GROUP BY {', '.join(PAIR_KEYS)}
+)
+""",
+        kb=kb,
     )
 
 
+def exact(col: str, digits: int | None) -> str:
+    """Expose an unrounded average cut to ``digits`` (for cross-engine checks)."""
+    return f"{round_half_up(col, digits)} AS {col}" if digits else col
+
+
 def sku_store_summary(rollup: DataFrame, exact_digits: int | None = None) -> DataFrame:
     """The unrounded pair summary.
 
     ``exact_digits`` rounds the unrounded averages for comparisons across
     engines (their last bits depend on summation order).
     """
-    cols = [
-        round_half_up(n, exact_digits).alias(n) if exact_digits and n in UNROUNDED_DOUBLES else F.col(n)
-        for n in SUMMARY_COLUMNS
-    ]
-    return rollup.select(*cols)
+    return rollup.selectExpr(
+        *[exact(n, exact_digits) if n in UNROUNDED_DOUBLES else n for n in SUMMARY_COLUMNS]
+    )
 
 
 def sku_store_count(rollup: DataFrame) -> DataFrame:
     """C2."""
-    return rollup.agg(F.count(F.lit(1)).alias("sku_store_rows"))
+    return sql("SELECT count(*) AS sku_store_rows FROM {r}", r=rollup)
 
 
 def sku_store_top20(rollup: DataFrame, exact_digits: int | None = 10, n: int = 20) -> DataFrame:
     """Top pairs by units sold (tie-break product, store)."""
-    return (
-        sku_store_summary(rollup, exact_digits)
-        .orderBy(F.col("total_units_sold").desc_nulls_first(), "product_id", "store_id")
-        .limit(n)
+    return sql(
+        f"SELECT * FROM {{s}} ORDER BY total_units_sold DESC NULLS FIRST, product_id, store_id LIMIT {n}",
+        s=sku_store_summary(rollup, exact_digits),
     )
 
 
 def order_metrics(rollup: DataFrame) -> DataFrame:
     """Per-pair order totals, order size on order days, order/sales ratio."""
-    return rollup.select(
+    return rollup.selectExpr(
         *JOIN_KEYS,
         "total_units_ordered",
-        round_half_up("avg_order_size_on_order_days", 10).alias("avg_order_size_on_order_days"),
-        round_half_up("replenishment_to_sales_ratio", 10).alias("replenishment_to_sales_ratio"),
+        exact("avg_order_size_on_order_days", 10),
+        exact("replenishment_to_sales_ratio", 10),
     )
 
 
-def replenishment_columns() -> list:
+def replenishment_columns() -> list[str]:
     """E3 columns (rounded) as expressions over the unrounded rollup."""
     r = round_half_up
     return [
-        *[F.col(k) for k in PAIR_KEYS],
-        F.col("row_count"),
-        F.col("total_units_sold"),
-        F.col("total_units_ordered"),
-        r("avg_daily_units_sold", 2).alias("avg_daily_demand"),
-        r("demand_stddev", 2).alias("demand_stddev"),
-        r(safe_div("demand_stddev", "avg_daily_units_sold"), 4).alias("demand_cv"),
-        r("avg_daily_forecast", 2).alias("avg_daily_forecast"),
-        r("forecast_stddev", 2).alias("forecast_stddev"),
-        r("avg_inventory_level", 2).alias("avg_inventory_level"),
-        r("avg_cover_days", 2).alias("avg_cover_days"),
-        pct("low_cover_rate").alias("low_cover_pct"),
-        pct("high_cover_rate").alias("high_cover_pct"),
-        pct("zero_inventory_rate").alias("zero_inventory_pct"),
-        pct("order_day_rate").alias("order_day_pct"),
-        r("wape", 4).alias("wape"),
-        r("forecast_bias", 4).alias("forecast_bias"),
-        F.col("total_at_risk_units_proxy"),
-        F.col("total_excess_units_proxy"),
+        *PAIR_KEYS,
+        "row_count",
+        "total_units_sold",
+        "total_units_ordered",
+        f"{r('avg_daily_units_sold', 2)} AS avg_daily_demand",
+        f"{r('demand_stddev', 2)} AS demand_stddev",
+        f"{r(safe_div('demand_stddev', 'avg_daily_units_sold'), 4)} AS demand_cv",
+        f"{r('avg_daily_forecast', 2)} AS avg_daily_forecast",
+        f"{r('forecast_stddev', 2)} AS forecast_stddev",
+        f"{r('avg_inventory_level', 2)} AS avg_inventory_level",
+        f"{r('avg_cover_days', 2)} AS avg_cover_days",
+        f"{pct('low_cover_rate')} AS low_cover_pct",
+        f"{pct('high_cover_rate')} AS high_cover_pct",
+        f"{pct('zero_inventory_rate')} AS zero_inventory_pct",
+        f"{pct('order_day_rate')} AS order_day_pct",
+        f"{r('wape', 4)} AS wape",
+        f"{r('forecast_bias', 4)} AS forecast_bias",
+        "total_at_risk_units_proxy",
+        "total_excess_units_proxy",
     ]
 
 
@@ -138,4 +143,4 @@ REPLENISHMENT_COLUMNS = [
 
 def replenishment_base(rollup: DataFrame) -> DataFrame:
     """The rounded replenishment-behaviour base."""
-    return rollup.select(*replenishment_columns())
+    return sql(f"SELECT {select_list(replenishment_columns())} FROM {{r}}", r=rollup)

@@ -3,212 +3,204 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from shelfwise import config as L
 from shelfwise.config import DEFAULT, Thresholds
-from shelfwise.functions import order_case, pct, round_half_up
-from shelfwise.operators.rollup import SUMMARY_COLUMNS, UNROUNDED_DOUBLES
-from shelfwise.plans.global_order import DEFAULT_ROWS_PER_BUCKET, global_order, ntile
+from shelfwise.functions import lit, num, order_case, pct, round_half_up, select_list, sql
+from shelfwise.operators.rollup import SUMMARY_COLUMNS, UNROUNDED_DOUBLES, exact
+from shelfwise.plans.global_order import Key, global_order, ntile
 
 SEGMENT_EXTRA = [
     "units_sales_share", "cumulative_units_share", "velocity_tile", "forecast_tile",
     "abc_segment", "velocity_segment", "forecast_segment", "inventory_position_segment",
 ]
 SEGMENT_COLUMNS = SUMMARY_COLUMNS + SEGMENT_EXTRA
+SEGMENT_LABELS = SEGMENT_EXTRA[4:]
 
 VELOCITY_ORDER = [L.VELOCITY_FAST, L.VELOCITY_MEDIUM, L.VELOCITY_SLOW]
 FORECAST_ORDER = [L.FORECAST_GOOD, L.FORECAST_MODERATE, L.FORECAST_POOR]
+_TIE = [Key("product_id"), Key("store_id")]
 
 
-def segment_position(t: Thresholds = DEFAULT) -> F.Column:
-    c = F.col
-    return (
-        F.when((c("avg_cover_days") < t.low_cover_days) | (c("low_cover_rate") >= t.low_cover_rate), L.POSITION_UNDER)
-        .when((c("avg_cover_days") > t.high_cover_days) | (c("high_cover_rate") >= t.high_cover_rate), L.POSITION_OVER)
-        .otherwise(L.POSITION_BALANCED)
-    )
-
-
-def inventory_segments(
-    rollup: DataFrame,
-    t: Thresholds = DEFAULT,
-    rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
-) -> DataFrame:
+def inventory_segments(rollup: DataFrame, buckets: int, t: Thresholds = DEFAULT) -> DataFrame:
     """C4: pair rollup + sales shares, tiles and the four segment labels.
 
     The cumulative share and both tiles are whole-table orderings; each
     is computed by :func:`global_order` (range buckets over the full
     composite key, per-bucket windows, broadcast bucket offsets), never
     by a single-partition window.  Ties are broken by (product, store).
+    ``buckets`` comes from the caller's exact count of pairs.
     """
-    c = F.col
-    tie = [c("product_id").asc(), c("store_id").asc()]
     df = global_order(
         rollup,
-        [c("total_units_sold").desc_nulls_first(), *tie],
-        rn_col="_rn_sales", n_col="_n_sales", sum_col="total_units_sold",
-        running_col="_running_sales", total_col="_grand_total",
-        rows_per_bucket=rows_per_bucket, name="abc",
+        [Key("total_units_sold", desc=True, nulls_first=True), *_TIE],
+        buckets=buckets, rn_col="_rn_sales", n_col="_n_sales", sum_col="total_units_sold",
+        running_col="_running_sales", total_col="_grand_total", name="abc",
     )
     df = global_order(
         df,
-        [c("avg_daily_units_sold").desc_nulls_last(), *tie],
-        rn_col="_rn_velocity", n_col="_n_velocity",
-        rows_per_bucket=rows_per_bucket, name="velocity",
+        [Key("avg_daily_units_sold", desc=True, nulls_first=False), *_TIE],
+        buckets=buckets, rn_col="_rn_velocity", n_col="_n_velocity", name="velocity",
     )
     df = global_order(
         df,
-        [c("wape").asc_nulls_last(), *tie],
-        rn_col="_rn_forecast", n_col="_n_forecast",
-        rows_per_bucket=rows_per_bucket, name="forecast",
+        [Key("wape", nulls_first=False), *_TIE],
+        buckets=buckets, rn_col="_rn_forecast", n_col="_n_forecast", name="forecast",
     )
-    grand = F.nullif(c("_grand_total"), F.lit(0)).cast("double")
-    df = df.select(
-        *SUMMARY_COLUMNS,
-        (c("total_units_sold").cast("double") / grand).alias("units_sales_share"),
-        (c("_running_sales").cast("double") / grand).alias("cumulative_units_share"),
-        ntile(t.tiles, "_rn_velocity", "_n_velocity").alias("velocity_tile"),
-        ntile(t.tiles, "_rn_forecast", "_n_forecast").alias("forecast_tile"),
-        *[n for n in df.columns if n not in SUMMARY_COLUMNS and not n.startswith("_")],
-    )
-    return df.withColumns(
-        {
-            "abc_segment": F.when(c("cumulative_units_share") <= t.abc_a, L.ABC_A)
-            .when(c("cumulative_units_share") <= t.abc_b, L.ABC_B)
-            .otherwise(L.ABC_C),
-            "velocity_segment": F.when(c("velocity_tile") == 1, L.VELOCITY_FAST)
-            .when(c("velocity_tile") == 2, L.VELOCITY_MEDIUM)
-            .otherwise(L.VELOCITY_SLOW),
-            "forecast_segment": F.when(c("forecast_tile") == 1, L.FORECAST_GOOD)
-            .when(c("forecast_tile") == 2, L.FORECAST_MODERATE)
-            .otherwise(L.FORECAST_POOR),
-            "inventory_position_segment": segment_position(t),
-        }
+    rest = [c for c in df.columns if c not in SUMMARY_COLUMNS and not c.startswith("_")]
+    return sql(
+        f"""
+SELECT *,
+  CASE WHEN cumulative_units_share <= {num(t.abc_a)} THEN {lit(L.ABC_A)}
+       WHEN cumulative_units_share <= {num(t.abc_b)} THEN {lit(L.ABC_B)}
+       ELSE {lit(L.ABC_C)} END AS abc_segment,
+  CASE velocity_tile WHEN 1 THEN {lit(L.VELOCITY_FAST)} WHEN 2 THEN {lit(L.VELOCITY_MEDIUM)}
+       ELSE {lit(L.VELOCITY_SLOW)} END AS velocity_segment,
+  CASE forecast_tile WHEN 1 THEN {lit(L.FORECAST_GOOD)} WHEN 2 THEN {lit(L.FORECAST_MODERATE)}
+       ELSE {lit(L.FORECAST_POOR)} END AS forecast_segment,
+  CASE WHEN avg_cover_days < {num(t.low_cover_days)} OR low_cover_rate >= {num(t.low_cover_rate)}
+         THEN {lit(L.POSITION_UNDER)}
+       WHEN avg_cover_days > {num(t.high_cover_days)} OR high_cover_rate >= {num(t.high_cover_rate)}
+         THEN {lit(L.POSITION_OVER)}
+       ELSE {lit(L.POSITION_BALANCED)} END AS inventory_position_segment
+FROM (
+  SELECT {', '.join(SUMMARY_COLUMNS)},
+    CAST(total_units_sold AS DOUBLE) / CAST(NULLIF(_grand_total, 0) AS DOUBLE) AS units_sales_share,
+    CAST(_running_sales AS DOUBLE) / CAST(NULLIF(_grand_total, 0) AS DOUBLE) AS cumulative_units_share,
+    {ntile(t.tiles, '_rn_velocity', '_n_velocity')} AS velocity_tile,
+    {ntile(t.tiles, '_rn_forecast', '_n_forecast')} AS forecast_tile
+    {''.join(', ' + c for c in rest)}
+  FROM {{df}}
+)
+""",
+        df=df,
     )
 
 
 def segments_view(seg: DataFrame, exact_digits: int | None = 10) -> DataFrame:
     """C4 as exposed: the segment columns, unrounded averages cut to 10 digits."""
-    return seg.select(
-        *[
-            round_half_up(n, exact_digits).alias(n) if exact_digits and n in UNROUNDED_DOUBLES else F.col(n)
-            for n in SEGMENT_COLUMNS
-        ]
-    )
+    return seg.selectExpr(*[exact(n, exact_digits) if n in UNROUNDED_DOUBLES else n for n in SEGMENT_COLUMNS])
+
+
+_BY_SALES = "total_units_sold DESC NULLS FIRST, product_id, store_id"
 
 
 def segments_preview(seg: DataFrame) -> DataFrame:
     """Twelve columns by units sold."""
-    return seg.select(
-        "store_id", "product_id", "category_clean", "region_clean", "total_units_sold",
-        round_half_up("avg_daily_units_sold", 10).alias("avg_daily_units_sold"),
-        round_half_up("avg_cover_days", 10).alias("avg_cover_days"),
-        round_half_up("wape", 10).alias("wape"),
-        "abc_segment", "velocity_segment", "forecast_segment", "inventory_position_segment",
-    ).orderBy(F.col("total_units_sold").desc_nulls_first(), "product_id", "store_id")
+    return sql(
+        f"""
+SELECT store_id, product_id, category_clean, region_clean, total_units_sold,
+  {exact('avg_daily_units_sold', 10)}, {exact('avg_cover_days', 10)}, {exact('wape', 10)},
+  abc_segment, velocity_segment, forecast_segment, inventory_position_segment
+FROM {{seg}} ORDER BY {_BY_SALES}
+""",
+        seg=seg,
+    )
 
 
 def abc_distribution(seg: DataFrame) -> DataFrame:
     """C6."""
-    return (
-        seg.groupBy("abc_segment")
-        .agg(F.count(F.lit(1)).alias("sku_store_count"), F.sum("total_units_sold").cast("bigint").alias("total_units_sold"))
-        .orderBy("abc_segment")
+    return sql(
+        """
+SELECT abc_segment, count(*) AS sku_store_count, CAST(sum(total_units_sold) AS BIGINT) AS total_units_sold
+FROM {seg} GROUP BY abc_segment ORDER BY abc_segment
+""",
+        seg=seg,
     )
 
 
 def velocity_distribution(seg: DataFrame) -> DataFrame:
     """C7."""
-    return (
-        seg.groupBy("velocity_segment")
-        .agg(
-            F.count(F.lit(1)).alias("sku_store_count"),
-            round_half_up(F.avg("avg_daily_units_sold"), 2).alias("avg_daily_units_sold"),
-        )
-        .orderBy(order_case("velocity_segment", VELOCITY_ORDER))
+    return sql(
+        f"""
+SELECT velocity_segment, count(*) AS sku_store_count,
+  {round_half_up('avg(avg_daily_units_sold)', 2)} AS avg_daily_units_sold
+FROM {{seg}} GROUP BY velocity_segment ORDER BY {order_case('velocity_segment', VELOCITY_ORDER)}
+""",
+        seg=seg,
     )
 
 
 def forecast_distribution(seg: DataFrame) -> DataFrame:
     """C8."""
-    return (
-        seg.groupBy("forecast_segment")
-        .agg(F.count(F.lit(1)).alias("sku_store_count"), round_half_up(F.avg("wape"), 4).alias("avg_wape"))
-        .orderBy(order_case("forecast_segment", FORECAST_ORDER))
+    return sql(
+        f"""
+SELECT forecast_segment, count(*) AS sku_store_count, {round_half_up('avg(wape)', 4)} AS avg_wape
+FROM {{seg}} GROUP BY forecast_segment ORDER BY {order_case('forecast_segment', FORECAST_ORDER)}
+""",
+        seg=seg,
     )
 
 
 def position_distribution(seg: DataFrame) -> DataFrame:
     """C9."""
-    return (
-        seg.groupBy("inventory_position_segment")
-        .agg(
-            F.count(F.lit(1)).alias("sku_store_count"),
-            round_half_up(F.avg("avg_cover_days"), 2).alias("avg_cover_days"),
-            pct(F.avg("low_cover_rate")).alias("avg_low_cover_pct"),
-            pct(F.avg("high_cover_rate")).alias("avg_high_cover_pct"),
-        )
-        .orderBy("inventory_position_segment")
+    return sql(
+        f"""
+SELECT inventory_position_segment, count(*) AS sku_store_count,
+  {round_half_up('avg(avg_cover_days)', 2)} AS avg_cover_days,
+  {pct('avg(low_cover_rate)')} AS avg_low_cover_pct,
+  {pct('avg(high_cover_rate)')} AS avg_high_cover_pct
+FROM {{seg}} GROUP BY inventory_position_segment ORDER BY inventory_position_segment
+""",
+        seg=seg,
     )
 
 
 def segment_null_labels(seg: DataFrame) -> DataFrame:
     """Pairs with a missing label (expected empty)."""
-    c = F.col
-    return segments_view(seg).where(
-        c("abc_segment").isNull()
-        | c("velocity_segment").isNull()
-        | c("forecast_segment").isNull()
-        | c("inventory_position_segment").isNull()
-    )
+    return segments_view(seg).where(" OR ".join(f"{n} IS NULL" for n in SEGMENT_LABELS))
 
 
 def segment_master(seg: DataFrame) -> DataFrame:
     """C11: the rounded segment export."""
     r = round_half_up
-    return seg.select(
+    cols = [
         "store_id", "product_id", "category_clean", "region_clean", "total_units_sold",
-        r("avg_daily_units_sold", 2).alias("avg_daily_units_sold"),
-        r("avg_inventory_level", 2).alias("avg_inventory_level"),
-        r("avg_cover_days", 2).alias("avg_cover_days"),
-        pct("low_cover_rate").alias("low_cover_pct"),
-        pct("high_cover_rate").alias("high_cover_pct"),
-        pct("zero_inventory_rate").alias("zero_inventory_pct"),
-        pct("order_day_rate").alias("order_day_pct"),
-        r("wape", 4).alias("wape"),
-        r("forecast_bias", 4).alias("forecast_bias"),
+        f"{r('avg_daily_units_sold', 2)} AS avg_daily_units_sold",
+        f"{r('avg_inventory_level', 2)} AS avg_inventory_level",
+        f"{r('avg_cover_days', 2)} AS avg_cover_days",
+        f"{pct('low_cover_rate')} AS low_cover_pct",
+        f"{pct('high_cover_rate')} AS high_cover_pct",
+        f"{pct('zero_inventory_rate')} AS zero_inventory_pct",
+        f"{pct('order_day_rate')} AS order_day_pct",
+        f"{r('wape', 4)} AS wape",
+        f"{r('forecast_bias', 4)} AS forecast_bias",
         "total_at_risk_units_proxy", "total_excess_units_proxy",
-        "abc_segment", "velocity_segment", "forecast_segment", "inventory_position_segment",
-    ).orderBy(F.col("total_units_sold").desc_nulls_first(), "product_id", "store_id")
-
-
-def _segment_summary(seg: DataFrame, label: str) -> DataFrame:
-    return seg.groupBy(label).agg(
-        F.count(F.lit(1)).alias("sku_store_count"),
-        F.sum("total_units_sold").cast("bigint").alias("total_units_sold"),
-        round_half_up(F.avg("avg_cover_days"), 2).alias("avg_cover_days"),
-        round_half_up(F.avg("wape"), 4).alias("avg_wape"),
-        F.sum("total_at_risk_units_proxy").cast("bigint").alias("total_at_risk_units_proxy"),
-        F.sum("total_excess_units_proxy").cast("bigint").alias("total_excess_units_proxy"),
+        *SEGMENT_LABELS,
+    ]
+    return sql(f"SELECT {select_list(cols)} FROM {{seg}} ORDER BY {_BY_SALES}", seg=seg)
+
+
+def _segment_summary(seg: DataFrame, label: str, order: str) -> DataFrame:
+    return sql(
+        f"""
+SELECT {label}, count(*) AS sku_store_count,
+  CAST(sum(total_units_sold) AS BIGINT) AS total_units_sold,
+  {round_half_up('avg(avg_cover_days)', 2)} AS avg_cover_days,
+  {round_half_up('avg(wape)', 4)} AS avg_wape,
+  CAST(sum(total_at_risk_units_proxy) AS BIGINT) AS total_at_risk_units_proxy,
+  CAST(sum(total_excess_units_proxy) AS BIGINT) AS total_excess_units_proxy
+FROM {{seg}} GROUP BY {label} ORDER BY {order}
+""",
+        seg=seg,
     )
 
 
 def abc_summary(seg: DataFrame) -> DataFrame:
     """C12."""
-    return _segment_summary(seg, "abc_segment").orderBy("abc_segment")
+    return _segment_summary(seg, "abc_segment", "abc_segment")
 
 
 def velocity_summary(seg: DataFrame) -> DataFrame:
     """C13."""
-    return _segment_summary(seg, "velocity_segment").orderBy(order_case("velocity_segment", VELOCITY_ORDER))
+    return _segment_summary(seg, "velocity_segment", order_case("velocity_segment", VELOCITY_ORDER))
 
 
 def forecast_summary(seg: DataFrame) -> DataFrame:
     """C14."""
-    return _segment_summary(seg, "forecast_segment").orderBy(order_case("forecast_segment", FORECAST_ORDER))
+    return _segment_summary(seg, "forecast_segment", order_case("forecast_segment", FORECAST_ORDER))
 
 
 def position_summary(seg: DataFrame) -> DataFrame:
     """C15."""
-    return _segment_summary(seg, "inventory_position_segment").orderBy("inventory_position_segment")
+    return _segment_summary(seg, "inventory_position_segment", "inventory_position_segment")

@@ -11,11 +11,10 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from shelfwise.config import DEFAULT, Thresholds
 from shelfwise.operators import assessment, cadence, impact, kpi, policy, quality, rollup, segments
-from shelfwise.plans.global_order import DEFAULT_ROWS_PER_BUCKET
+from shelfwise.plans.global_order import DEFAULT_ROWS_PER_BUCKET, bucket_count
 from shelfwise.plans.materialize import materialize
 from shelfwise.sources.inventory import inventory_from_tpch, read_inventory
 
@@ -72,10 +71,14 @@ class InventoryPipeline:
 
     @cached_property
     def _maps(self) -> tuple[DataFrame, int, DataFrame, int]:
-        pmap = materialize(quality.product_map(self.raw), "product_map")
-        smap = materialize(quality.store_map(self.raw), "store_map")
-        # exact row counts of the written maps license their broadcast
-        return pmap, pmap.count(), smap, smap.count()
+        # both maps in one aggregation and one write; the exact row count
+        # of each written map licenses (or refuses) its broadcast
+        maps = materialize(quality.label_maps(self.raw), "label_maps")
+        counts = dict(maps.groupBy("entity").count().collect())
+        return (
+            quality.product_map(maps), counts.get("product", 0),
+            quality.store_map(maps), counts.get("store", 0),
+        )
 
     @property
     def product_map(self) -> DataFrame:
@@ -97,10 +100,7 @@ class InventoryPipeline:
         the row set: store-, month- and whole-table rollups skip them.
         """
         raw = self._raw_single_pass()
-        return raw.select(
-            *raw.columns,
-            quality.clean_forecast(F.col("demand_forecast"), self.negative_forecast).alias("demand_forecast_clean"),
-        )
+        return raw.selectExpr("*", f"{quality.clean_forecast(self.negative_forecast)} AS demand_forecast_clean")
 
     def kpi_base(self, labels: bool = True) -> DataFrame:
         src = self.clean if labels else self.clean_unlabelled()
@@ -120,9 +120,14 @@ class InventoryPipeline:
     def rollup(self) -> DataFrame:
         return materialize(rollup.pair_rollup(self.kpi_base(labels=True)), "pair_rollup")
 
+    @cached_property
+    def pair_count(self) -> int:
+        return self.rollup.count()
+
     @cached_property
     def segments(self) -> DataFrame:
-        seg = segments.inventory_segments(self.rollup, self.t, self.rows_per_bucket)
+        buckets = bucket_count(self.pair_count, self.rows_per_bucket)
+        seg = segments.inventory_segments(self.rollup, buckets, self.t)
         return self._stage(seg, "segments")
 
     @cached_property

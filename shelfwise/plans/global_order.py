@@ -19,28 +19,54 @@ distributed sort works:
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.functions import sql
 from shelfwise.plans.materialize import materialize
 
 DEFAULT_ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 20_000
 
-_B = "_go_bucket"
+
+@dataclass(frozen=True)
+class Key:
+    """One sort key: column, direction and NULL placement (SQL semantics)."""
+
+    col: str
+    desc: bool = False
+    nulls_first: bool | None = None  # None = Spark default (first for ASC, last for DESC)
+
+    @property
+    def _nulls_first(self) -> bool:
+        return (not self.desc) if self.nulls_first is None else self.nulls_first
+
+    def sql(self) -> str:
+        return f"{self.col} {'DESC' if self.desc else 'ASC'} NULLS {'FIRST' if self._nulls_first else 'LAST'}"
+
+    def column(self) -> Column:
+        c = F.col(self.col)
+        if self.desc:
+            return c.desc_nulls_first() if self._nulls_first else c.desc_nulls_last()
+        return c.asc_nulls_first() if self._nulls_first else c.asc_nulls_last()
+
+
+def bucket_count(n_rows: int, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> int:
+    return max(1, min(MAX_BUCKETS, math.ceil(n_rows / max(1, rows_per_bucket))))
 
 
 def global_order(
     df: DataFrame,
-    order_by: list[Column],
+    order_by: list[Key],
     *,
+    buckets: int,
     rn_col: str,
     n_col: str,
     sum_col: str | None = None,
     running_col: str | None = None,
     total_col: str | None = None,
-    rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
     name: str = "order",
 ) -> DataFrame:
     """Add the global 1-based row number ``rn_col`` and row count ``n_col``.
@@ -50,66 +76,75 @@ def global_order(
     including this one, SQL ``ROWS UNBOUNDED PRECEDING``) and
     ``total_col`` (sum over all rows).
     """
-    n_rows = df.count()
-    buckets = max(1, min(MAX_BUCKETS, math.ceil(n_rows / max(1, rows_per_bucket))))
     ranged = materialize(
-        df.repartitionByRange(buckets, *order_by).withColumn(_B, F.spark_partition_id()),
+        df.repartitionByRange(buckets, *[k.column() for k in order_by]).withColumn(
+            "_go_bucket", F.spark_partition_id()
+        ),
         f"{name}-buckets",
     )
-
-    w = Window.partitionBy(_B).orderBy(*order_by)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged.withColumn("_go_lrn", F.row_number().over(w))
-    aggs = [F.count(F.lit(1)).alias("_go_bn")]
-    if sum_col is not None:
-        local = local.withColumn("_go_lsum", F.sum(sum_col).over(upto)).withColumn(
-            "_go_lnn", F.count(sum_col).over(upto)
-        )
-        aggs += [F.sum(sum_col).alias("_go_bs"), F.count(sum_col).alias("_go_bnn")]
-
-    # One row per bucket (at most MAX_BUCKETS rows): a single-partition
-    # window over it is bounded, and the result is safe to broadcast.
-    per_bucket = ranged.groupBy(_B).agg(*aggs)
-    before = Window.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    offs = [
-        F.coalesce(F.sum("_go_bn").over(before), F.lit(0)).alias("_go_off_n"),
-        F.sum("_go_bn").over(whole).cast("bigint").alias(n_col),
-    ]
-    if sum_col is not None:
-        offs += [
-            F.coalesce(F.sum("_go_bs").over(before), F.lit(0)).alias("_go_off_s"),
-            F.coalesce(F.sum("_go_bnn").over(before), F.lit(0)).alias("_go_off_nn"),
-            F.sum("_go_bs").over(whole).alias(total_col or "_go_total"),
-        ]
-    offsets = per_bucket.select(_B, *offs)
-
-    out = local.join(F.broadcast(offsets), on=_B, how="inner").withColumn(
-        rn_col, (F.col("_go_off_n") + F.col("_go_lrn")).cast("bigint")
+    order = ", ".join(k.sql() for k in order_by)
+    w = f"PARTITION BY _go_bucket ORDER BY {order}"
+    upto = f"({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    has_sum = sum_col is not None
+    local_sum = (
+        f", sum({sum_col}) OVER {upto} AS _go_lsum, count({sum_col}) OVER {upto} AS _go_lnn" if has_sum else ""
+    )
+    bucket_sum = f", sum({sum_col}) AS _go_bs, count({sum_col}) AS _go_bnn" if has_sum else ""
+    before = "(ORDER BY _go_bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    offset_sum = (
+        f""",
+    coalesce(sum(_go_bs) OVER {before}, 0) AS _go_off_s,
+    coalesce(sum(_go_bnn) OVER {before}, 0) AS _go_off_nn,
+    sum(_go_bs) OVER () AS {total_col or '_go_total'}"""
+        if has_sum
+        else ""
+    )
+    out_sum = (
+        f""",
+  CASE WHEN o._go_off_nn + l._go_lnn > 0 THEN o._go_off_s + coalesce(l._go_lsum, 0) END AS {running_col},
+  o.{total_col or '_go_total'}"""
+        if has_sum and running_col
+        else ""
+    )
+    data_cols = ", ".join(f"l.`{c}`" for c in df.columns)
+    return sql(
+        f"""
+WITH local AS (
+  SELECT *, row_number() OVER ({w}) AS _go_lrn{local_sum}
+  FROM {{ranged}}
+),
+-- one row per bucket (at most {MAX_BUCKETS}): a single-partition window
+-- over it is bounded, and the result is safe to broadcast
+per_bucket AS (
+  SELECT _go_bucket, count(*) AS _go_bn{bucket_sum}
+  FROM {{ranged}}
+  GROUP BY _go_bucket
+),
+offsets AS (
+  SELECT _go_bucket,
+    coalesce(sum(_go_bn) OVER {before}, 0) AS _go_off_n,
+    CAST(sum(_go_bn) OVER () AS BIGINT) AS {n_col}{offset_sum}
+  FROM per_bucket
+)
+SELECT /*+ BROADCAST(o) */ {data_cols},
+  CAST(o._go_off_n + l._go_lrn AS BIGINT) AS {rn_col},
+  o.{n_col}{out_sum}
+FROM local l JOIN offsets o ON l._go_bucket = o._go_bucket
+""",
+        ranged=ranged,
     )
-    if sum_col is not None and running_col is not None:
-        out = out.withColumn(
-            running_col,
-            F.when(
-                F.col("_go_off_nn") + F.col("_go_lnn") > 0,
-                F.col("_go_off_s") + F.coalesce(F.col("_go_lsum"), F.lit(0)),
-            ),
-        )
-    keep = [c for c in out.columns if not c.startswith("_go_")]
-    return out.select(*keep)
-
-
-def ntile(n_tiles: int, rn: Column | str, n_rows: Column | str) -> Column:
+
+
+def ntile(n_tiles: int, rn: str, n_rows: str) -> str:
     """SQL ``NTILE(n_tiles)`` from a global row number and the row count.
 
     The first ``N mod n`` tiles hold ``N div n + 1`` rows, the rest
     ``N div n`` rows.
     """
-    rn = F.col(rn) if isinstance(rn, str) else rn
-    n = F.col(n_rows) if isinstance(n_rows, str) else n_rows
-    q = F.floor(n / F.lit(n_tiles))
-    m = n - q * F.lit(n_tiles)
-    big = m * (q + F.lit(1))
-    first = F.floor((rn - F.lit(1)) / (q + F.lit(1))) + F.lit(1)
-    rest = m + F.floor((rn - F.lit(1) - big) / F.nullif(q, F.lit(0))) + F.lit(1)
-    return F.when(rn <= big, first).otherwise(rest).cast("int")
+    q = f"({n_rows} div {n_tiles})"
+    m = f"({n_rows} % {n_tiles})"
+    big = f"({m} * ({q} + 1))"
+    return (
+        f"CAST(CASE WHEN {rn} <= {big} THEN ({rn} - 1) div ({q} + 1) + 1 "
+        f"ELSE {m} + ({rn} - 1 - {big}) div NULLIF({q}, 0) + 1 END AS INT)"
+    )

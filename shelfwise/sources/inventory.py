@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # One row per (date, store_id, product_id).
@@ -50,10 +49,12 @@ _CSV_HEADER = {
 
 def conform(df: DataFrame) -> DataFrame:
     """Rename known header spellings and cast to :data:`RAW_SCHEMA`."""
-    for src, dst in _CSV_HEADER.items():
-        if src in df.columns and dst not in df.columns:
-            df = df.withColumnRenamed(src, dst)
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RAW_SCHEMA.fields])
+    present = set(df.columns)
+    exprs = []
+    for f in RAW_SCHEMA.fields:
+        src = next((h for h, n in _CSV_HEADER.items() if n == f.name and h in present), f.name)
+        exprs.append(f"CAST(`{src}` AS {f.dataType.simpleString()}) AS {f.name}")
+    return df.selectExpr(*exprs)
 
 
 def read_inventory(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
@@ -73,119 +74,90 @@ def inventory_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
     inconsistent on purpose); ship dates are folded into a per-supplier
     span of 16, 40, 120 or 731 days so that every ordering cadence
     occurs.  See FIXTURES.md section 2.
-    """
 
-    def t(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    nation (25 rows) and region (5 rows) are fixed-size by the TPC-H
+    spec, so broadcasting them is bounded at any scale factor; the
+    other joins are left to the planner (sort-merge at scale).
+    """
+    d = sf_dir.rstrip("/")
 
-    line = t("lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-        "l_quantity", "l_discount", "l_tax", "l_shipdate",
-    )
-    part = t("part").select("p_partkey", "p_brand", "p_type", "p_retailprice")
-    orders = t("orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    customer = t("customer").select("c_custkey", "c_nationkey")
-    # nation (25 rows) and region (5 rows) are fixed-size by the TPC-H
-    # spec, so their broadcast is bounded at any scale factor.
-    geo = t("nation").join(
-        F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey")
-    ).select("n_nationkey", "r_name")
-    cust_region = customer.join(
-        F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey")
-    ).select("c_custkey", "r_name")
-    order_info = orders.join(cust_region, F.col("o_custkey") == F.col("c_custkey")).select(
-        "o_orderkey", F.col("r_name").alias("region"), "o_orderpriority"
-    )
+    def t(name: str) -> str:
+        return f"parquet.`{d}/{name}.parquet`"
 
-    s = F.col("l_suppkey")
-    b = F.substring("p_brand", 7, 100).cast("int")
-    q = F.col("l_quantity").cast("bigint")
-    tx = F.round(F.col("l_tax") * 100).cast("bigint")
-    dn = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date"))
-    span = (
-        F.when(s % 5 == 0, 16).when(s % 5 == 1, 40).when(s % 5 == 2, 731).otherwise(120)
-    )
-    calc = (
-        line.join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .join(order_info, F.col("l_orderkey") == F.col("o_orderkey"))
-        .select(
-            s.alias("s"),
-            b.alias("b"),
-            F.col("p_type").alias("category"),
-            F.col("region"),
-            q.alias("q"),
-            F.col("l_linenumber").alias("ln"),
-            tx.alias("tx"),
-            F.col("l_orderkey").alias("ok"),
-            F.col("p_retailprice").alias("rp"),
-            F.col("l_discount").alias("disc"),
-            F.col("o_orderpriority").alias("opri"),
-            (dn % span).alias("d"),
-        )
-        .withColumn(
-            "fc",
-            F.when(F.col("s") % 3 == 0, F.col("q") + F.col("tx") - 5).otherwise(
-                F.col("q") + F.col("tx") * 2 - 8 + (F.col("b") % 4) * 3
-            ),
-        )
-    )
-    q, ln = F.col("q"), F.col("ln")
-    g = calc.groupBy("d", "s", "b").agg(
-        F.max("category").alias("category"),
-        F.max("region").alias("region"),
-        F.min("ok").alias("min_ok"),
-        F.sum(q).alias("sum_q"),
-        F.sum(q * (ln % 2)).alias("sum_q_odd"),
-        F.sum(F.when(ln == 1, q).otherwise(0)).alias("sum_q_first"),
-        F.sum(F.when(ln <= 5, q + 7).otherwise(0)).alias("sum_q_first5"),
-        F.sum("fc").alias("fcst"),
-        F.max("rp").alias("price"),
-        F.max("disc").alias("discount"),
-        F.max(F.when(F.col("opri") == "1-URGENT", 1).otherwise(0)).alias("holiday_promotion"),
-        F.max(F.col("rp") + F.col("tx")).alias("competitor_pricing"),
-    )
-
-    s, b, d, sq = F.col("s"), F.col("b"), F.col("d"), F.col("sum_q")
-    k = (s * 7 + b * 3) % 10
-    span = F.when(s % 5 == 0, 16).when(s % 5 == 1, 40).when(s % 5 == 2, 731).otherwise(120)
-    inv = (
-        F.when((k == 9) & (F.col("min_ok") % 5 == 0), F.lit(0))
-        .when(k == 7, F.floor(sq / 2))
-        .when((k == 8) & (F.col("min_ok") % 2 == 0), F.floor(sq / 3))
-        .when(k.isin(5, 8), sq * 9)
-        .when(k == 6, sq * 6)
-        .otherwise(sq * (k + 2))
-    )
-    ordered = (
-        F.when(span == 16, sq + k % 3)
-        .when(s % 7 == 3, F.col("sum_q_odd"))
-        .when(s % 7 == 5, F.col("sum_q_first") * 3)
-        .otherwise(F.col("sum_q_first5"))
-    )
-    weather = (
-        F.when(d % 4 == 0, "Sunny").when(d % 4 == 1, "Rainy").when(d % 4 == 2, "Cloudy").otherwise("Snowy")
-    )
-    season_ix = F.floor(d / 91) % 4
-    season = (
-        F.when(season_ix == 0, "Winter")
-        .when(season_ix == 1, "Spring")
-        .when(season_ix == 2, "Summer")
-        .otherwise("Autumn")
-    )
-    return g.select(
-        F.date_add(F.lit("2022-01-01").cast("date"), d.cast("int")).alias("date"),
-        F.concat(F.lit("S"), s.cast("string")).alias("store_id"),
-        F.concat(F.lit("P"), b.cast("string")).alias("product_id"),
-        "category",
-        "region",
-        inv.cast("bigint").alias("inventory_level"),
-        sq.cast("bigint").alias("units_sold"),
-        ordered.cast("bigint").alias("units_ordered"),
-        F.col("fcst").cast("bigint").alias("demand_forecast"),
-        F.col("price").cast("double").alias("price"),
-        F.col("discount").cast("double").alias("discount"),
-        weather.alias("weather_condition"),
-        F.col("holiday_promotion").cast("int").alias("holiday_promotion"),
-        F.col("competitor_pricing").cast("double").alias("competitor_pricing"),
-        season.alias("seasonality"),
+    span = "CASE s % 5 WHEN 0 THEN 16 WHEN 1 THEN 40 WHEN 2 THEN 731 ELSE 120 END"
+    k = "((s * 7 + b * 3) % 10)"
+    return spark.sql(
+        f"""
+WITH geo AS (
+  SELECT /*+ BROADCAST(r) */ n.n_nationkey, r.r_name
+  FROM {t('nation')} n JOIN {t('region')} r ON n.n_regionkey = r.r_regionkey
+), order_info AS (
+  SELECT /*+ BROADCAST(geo) */ o.o_orderkey, geo.r_name AS region, o.o_orderpriority
+  FROM {t('orders')} o
+  JOIN {t('customer')} cu ON o.o_custkey = cu.c_custkey
+  JOIN geo ON cu.c_nationkey = geo.n_nationkey
+), line AS (
+  SELECT l.l_suppkey AS s,
+         CAST(substr(p.p_brand, 7) AS INT) AS b,
+         p.p_type AS category,
+         oi.region,
+         CAST(l.l_quantity AS BIGINT) AS q,
+         l.l_linenumber AS ln,
+         CAST(round(l.l_tax * 100) AS BIGINT) AS tx,
+         l.l_orderkey AS ok,
+         p.p_retailprice AS rp,
+         l.l_discount AS disc,
+         oi.o_orderpriority AS opri,
+         datediff(CAST(l.l_shipdate AS DATE), DATE'1995-01-01') AS dn
+  FROM {t('lineitem')} l
+  JOIN {t('part')} p ON l.l_partkey = p.p_partkey
+  JOIN order_info oi ON l.l_orderkey = oi.o_orderkey
+), calc AS (
+  SELECT *,
+         CASE WHEN s % 3 = 0 THEN q + tx - 5 ELSE q + tx * 2 - 8 + (b % 4) * 3 END AS fc,
+         dn % ({span}) AS d
+  FROM line
+), g AS (
+  SELECT d, s, b,
+         max(category) AS category,
+         max(region) AS region,
+         min(ok) AS min_ok,
+         sum(q) AS sum_q,
+         sum(q * (ln % 2)) AS sum_q_odd,
+         sum(CASE WHEN ln = 1 THEN q ELSE 0 END) AS sum_q_first,
+         sum(CASE WHEN ln <= 5 THEN q + 7 ELSE 0 END) AS sum_q_first5,
+         sum(fc) AS fcst,
+         max(rp) AS price,
+         max(disc) AS discount,
+         max(CASE WHEN opri = '1-URGENT' THEN 1 ELSE 0 END) AS holiday_promotion,
+         max(rp + tx) AS competitor_pricing
+  FROM calc
+  GROUP BY d, s, b
+)
+SELECT
+  date_add(DATE'2022-01-01', CAST(d AS INT)) AS date,
+  concat('S', CAST(s AS STRING)) AS store_id,
+  concat('P', CAST(b AS STRING)) AS product_id,
+  category,
+  region,
+  CAST(CASE WHEN {k} = 9 AND min_ok % 5 = 0 THEN 0
+            WHEN {k} = 7 THEN sum_q div 2
+            WHEN {k} = 8 AND min_ok % 2 = 0 THEN sum_q div 3
+            WHEN {k} IN (5, 8) THEN sum_q * 9
+            WHEN {k} = 6 THEN sum_q * 6
+            ELSE sum_q * (2 + {k}) END AS BIGINT) AS inventory_level,
+  CAST(sum_q AS BIGINT) AS units_sold,
+  CAST(CASE WHEN ({span}) = 16 THEN sum_q + {k} % 3
+            WHEN s % 7 = 3 THEN sum_q_odd
+            WHEN s % 7 = 5 THEN sum_q_first * 3
+            ELSE sum_q_first5 END AS BIGINT) AS units_ordered,
+  CAST(fcst AS BIGINT) AS demand_forecast,
+  CAST(price AS DOUBLE) AS price,
+  CAST(discount AS DOUBLE) AS discount,
+  CASE d % 4 WHEN 0 THEN 'Sunny' WHEN 1 THEN 'Rainy' WHEN 2 THEN 'Cloudy' ELSE 'Snowy' END AS weather_condition,
+  CAST(holiday_promotion AS INT) AS holiday_promotion,
+  CAST(competitor_pricing AS DOUBLE) AS competitor_pricing,
+  CASE (d div 91) % 4 WHEN 0 THEN 'Winter' WHEN 1 THEN 'Spring' WHEN 2 THEN 'Summer' ELSE 'Autumn' END AS seasonality
+FROM g
+"""
     )
