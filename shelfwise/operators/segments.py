@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from shelfwise import config as L
 from shelfwise.config import DEFAULT, Thresholds
 from shelfwise.functions import lit, num, order_case, pct, round_half_up, select_list, sql
-from shelfwise.operators.rollup import SUMMARY_COLUMNS, UNROUNDED_DOUBLES, exact
-from shelfwise.plans.global_order import Key, global_order, ntile
+from shelfwise.operators.rollup import PAIR_KEYS, SUMMARY_COLUMNS, UNROUNDED_DOUBLES, exact
+from shelfwise.plans.global_order import Key, global_orders, ntile
 
 SEGMENT_EXTRA = [
     "units_sales_share", "cumulative_units_share", "velocity_tile", "forecast_tile",
@@ -25,29 +25,27 @@ _TIE = [Key("product_id"), Key("store_id")]
 def inventory_segments(rollup: DataFrame, buckets: int, t: Thresholds = DEFAULT) -> DataFrame:
     """C4: pair rollup + sales shares, tiles and the four segment labels.
 
-    The cumulative share and both tiles are whole-table orderings; each
-    is computed by :func:`global_order` (range buckets over the full
-    composite key, per-bucket windows, broadcast bucket offsets), never
-    by a single-partition window.  Ties are broken by (product, store).
-    ``buckets`` comes from the caller's exact count of pairs.
+    The cumulative share and both tiles are whole-table orderings; all
+    three come from one :func:`global_orders` pass (range buckets over
+    the full composite keys, per-bucket windows, broadcast bucket
+    offsets), never from a single-partition window.  Ties are broken by
+    (product, store).  ``buckets`` comes from the caller's exact count
+    of pairs.
     """
-    df = global_order(
+    ranks = global_orders(
         rollup,
-        [Key("total_units_sold", desc=True, nulls_first=True), *_TIE],
-        buckets=buckets, rn_col="_rn_sales", n_col="_n_sales", sum_col="total_units_sold",
-        running_col="_running_sales", total_col="_grand_total", name="abc",
+        {
+            "sales": [Key("total_units_sold", desc=True, nulls_first=True), *_TIE],
+            "velocity": [Key("avg_daily_units_sold", desc=True, nulls_first=False), *_TIE],
+            "forecast": [Key("wape", nulls_first=False), *_TIE],
+        },
+        keys=PAIR_KEYS,
+        buckets=buckets,
+        sums={"sales": "total_units_sold"},
+        name="segments",
     )
-    df = global_order(
-        df,
-        [Key("avg_daily_units_sold", desc=True, nulls_first=False), *_TIE],
-        buckets=buckets, rn_col="_rn_velocity", n_col="_n_velocity", name="velocity",
-    )
-    df = global_order(
-        df,
-        [Key("wape", nulls_first=False), *_TIE],
-        buckets=buckets, rn_col="_rn_forecast", n_col="_n_forecast", name="forecast",
-    )
-    rest = [c for c in df.columns if c not in SUMMARY_COLUMNS and not c.startswith("_")]
+    rest = [c for c in rollup.columns if c not in SUMMARY_COLUMNS]
+    on = " AND ".join(f"r.{k} <=> k.{k}" for k in PAIR_KEYS)
     return sql(
         f"""
 SELECT *,
@@ -64,16 +62,17 @@ SELECT *,
          THEN {lit(L.POSITION_OVER)}
        ELSE {lit(L.POSITION_BALANCED)} END AS inventory_position_segment
 FROM (
-  SELECT {', '.join(SUMMARY_COLUMNS)},
-    CAST(total_units_sold AS DOUBLE) / CAST(NULLIF(_grand_total, 0) AS DOUBLE) AS units_sales_share,
-    CAST(_running_sales AS DOUBLE) / CAST(NULLIF(_grand_total, 0) AS DOUBLE) AS cumulative_units_share,
-    {ntile(t.tiles, '_rn_velocity', '_n_velocity')} AS velocity_tile,
-    {ntile(t.tiles, '_rn_forecast', '_n_forecast')} AS forecast_tile
-    {''.join(', ' + c for c in rest)}
-  FROM {{df}}
+  SELECT {', '.join('r.' + c for c in SUMMARY_COLUMNS)},
+    CAST(r.total_units_sold AS DOUBLE) / CAST(NULLIF(k.total_sales, 0) AS DOUBLE) AS units_sales_share,
+    CAST(k.running_sales AS DOUBLE) / CAST(NULLIF(k.total_sales, 0) AS DOUBLE) AS cumulative_units_share,
+    {ntile(t.tiles, 'k.rn_velocity', 'k.n_velocity')} AS velocity_tile,
+    {ntile(t.tiles, 'k.rn_forecast', 'k.n_forecast')} AS forecast_tile
+    {''.join(', r.' + c for c in rest)}
+  FROM {{rollup}} r JOIN {{ranks}} k ON {on}
 )
 """,
-        df=df,
+        rollup=rollup,
+        ranks=ranks,
     )
 
 

@@ -148,3 +148,101 @@ def ntile(n_tiles: int, rn: str, n_rows: str) -> str:
         f"CAST(CASE WHEN {rn} <= {big} THEN ({rn} - 1) div ({q} + 1) + 1 "
         f"ELSE {m} + ({rn} - 1 - {big}) div NULLIF({q}, 0) + 1 END AS INT)"
     )
+
+
+def global_orders(
+    df: DataFrame,
+    orders: dict[str, list[Key]],
+    *,
+    keys: list[str],
+    buckets: int,
+    sums: dict[str, str] | None = None,
+    name: str = "orders",
+) -> DataFrame:
+    """Several whole-table orderings of ``df`` with one range shuffle and one write.
+
+    Every row is emitted once per ordering (``_kind``), each copy carrying
+    only its own ordering's sort columns; one ``repartitionByRange`` over
+    ``(_kind, <all sort columns>)`` then places all orderings in disjoint
+    key ranges, so the bucketed rows are written once for all of them.
+
+    Returns ``keys`` plus, for every ordering ``o``: ``rn_o`` (global
+    1-based row number) and ``n_o`` (row count); for ``o`` in ``sums``
+    also ``running_o`` (sum of ``sums[o]`` over rows up to this one) and
+    ``total_o``.  Each ordering must be total (end with unique keys).
+    """
+    sums = sums or {}
+    names = list(orders)
+    if not names:
+        raise ValueError("no orderings")
+    sort_cols: list[tuple[int, int, Key]] = [
+        (i, m, k) for i, o in enumerate(names) for m, k in enumerate(orders[o])
+    ]
+    key_list = ", ".join(f"`{k}`" for k in keys)
+
+    def branch(i: int, o: str) -> str:
+        cols = [f"{i} AS _kind", key_list]
+        for j, m, k in sort_cols:
+            cols.append(f"{k.col if j == i else f'NULL'} AS _k{j}_{m}")
+        cols.append(f"CAST({sums[o]} AS BIGINT) AS _v" if o in sums else "CAST(NULL AS BIGINT) AS _v")
+        return f"SELECT {', '.join(cols)} FROM {{df}}"
+
+    stacked = sql("\nUNION ALL\n".join(branch(i, o) for i, o in enumerate(names)), df=df)
+    order_keys = [Key("_kind")] + [
+        Key(f"_k{j}_{m}", desc=k.desc, nulls_first=k._nulls_first) for j, m, k in sort_cols
+    ]
+    ranged = materialize(
+        stacked.repartitionByRange(buckets * len(names), *[k.column() for k in order_keys]).withColumn(
+            "_go_bucket", F.spark_partition_id()
+        ),
+        f"{name}-buckets",
+    )
+    order = ", ".join(k.sql() for k in order_keys)
+    w = f"PARTITION BY _go_bucket, _kind ORDER BY {order}"
+    upto = f"({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    before = "(PARTITION BY _kind ORDER BY _go_bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    pivot = []
+    for i, o in enumerate(names):
+        pivot.append(f"max(CASE WHEN _kind = {i} THEN rn END) AS rn_{o}")
+        pivot.append(f"max(CASE WHEN _kind = {i} THEN n END) AS n_{o}")
+        if o in sums:
+            pivot.append(f"max(CASE WHEN _kind = {i} THEN running END) AS running_{o}")
+            pivot.append(f"max(CASE WHEN _kind = {i} THEN total END) AS total_{o}")
+    return sql(
+        f"""
+WITH local AS (
+  SELECT _go_bucket, _kind, {key_list},
+    row_number() OVER ({w}) AS lrn,
+    sum(_v) OVER {upto} AS lsum,
+    count(_v) OVER {upto} AS lnn
+  FROM {{ranged}}
+),
+-- one row per (bucket, ordering): a bounded table, safe to window over
+-- per ordering and to broadcast
+per_bucket AS (
+  SELECT _go_bucket, _kind, count(*) AS bn, sum(_v) AS bs, count(_v) AS bnn
+  FROM {{ranged}} GROUP BY _go_bucket, _kind
+),
+offsets AS (
+  SELECT _go_bucket, _kind,
+    coalesce(sum(bn) OVER {before}, 0) AS off_n,
+    coalesce(sum(bs) OVER {before}, 0) AS off_s,
+    coalesce(sum(bnn) OVER {before}, 0) AS off_nn,
+    CAST(sum(bn) OVER (PARTITION BY _kind) AS BIGINT) AS n,
+    sum(bs) OVER (PARTITION BY _kind) AS total
+  FROM per_bucket
+),
+ranked AS (
+  SELECT /*+ BROADCAST(o) */ l._kind, {', '.join(f'l.`{k}`' for k in keys)},
+    CAST(o.off_n + l.lrn AS BIGINT) AS rn,
+    o.n,
+    CASE WHEN o.off_nn + l.lnn > 0 THEN o.off_s + coalesce(l.lsum, 0) END AS running,
+    o.total
+  FROM local l JOIN offsets o ON l._go_bucket = o._go_bucket AND l._kind = o._kind
+)
+SELECT {key_list}, {', '.join(pivot)}
+FROM ranked
+GROUP BY {key_list}
+""",
+        ranged=ranged,
+    )
