@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfwise.config import DEFAULT, Thresholds
@@ -22,11 +23,14 @@ from shelfwise.sources.inventory import inventory_from_tpch, read_inventory
 class InventoryPipeline:
     """The layered analysis over one daily store-product table.
 
-    ``materialize_raw`` writes the raw table once before it is read a
-    second time (useful when the raw table is itself an expensive
-    derivation, as in the TPC-H fixture); a plain file source does not
-    need it.  ``materialize_stages`` also writes the pair-level stages,
-    for runs that export many marts from one build.
+    ``materialize_raw`` keeps the raw table for its second reader when
+    the raw table is itself an expensive derivation (the TPC-H fixture):
+    ``"cache"`` persists it (MEMORY_AND_DISK; lost blocks are recomputed
+    from lineage), ``"write"`` writes it under the checkpoint folder, and
+    ``"none"`` (the default, right for a Parquet/ORC/CSV source) reads the
+    source again, pruned to the columns each step needs.
+    ``materialize_stages`` also writes the pair-level stages, for runs
+    that export many marts from one build.
     """
 
     def __init__(
@@ -34,7 +38,7 @@ class InventoryPipeline:
         raw: DataFrame,
         thresholds: Thresholds = DEFAULT,
         negative_forecast: str = "zero",
-        materialize_raw: bool = False,
+        materialize_raw: str = "none",
         materialize_stages: bool = False,
         rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
     ) -> None:
@@ -48,7 +52,7 @@ class InventoryPipeline:
 
     @classmethod
     def from_tpch(cls, spark: SparkSession, sf_dir: str, **kw) -> InventoryPipeline:
-        kw.setdefault("materialize_raw", True)
+        kw.setdefault("materialize_raw", "write")
         return cls(inventory_from_tpch(spark, sf_dir), **kw)
 
     @classmethod
@@ -61,8 +65,14 @@ class InventoryPipeline:
     # ---- raw, maps, clean -------------------------------------------------
     @cached_property
     def raw(self) -> DataFrame:
-        """The raw table for multi-pass use (written once if configured)."""
-        return materialize(self.source, "raw") if self.materialize_raw else self.source
+        """The raw table for multi-pass use."""
+        if self.materialize_raw == "write":
+            return materialize(self.source, "raw")
+        if self.materialize_raw == "cache":
+            return self.source.persist(StorageLevel.MEMORY_AND_DISK)
+        if self.materialize_raw == "none":
+            return self.source
+        raise ValueError(f"materialize_raw must be 'cache', 'write' or 'none', got {self.materialize_raw!r}")
 
     def _raw_single_pass(self) -> DataFrame:
         # a consumer that reads the raw table once: reuse the written copy

@@ -1 +1,5 @@
-"""Incremental (Structured Streaming) execution of the daily KPI rollups."""
+"""Streaming entry points.
+
+The analysis has no streaming input: every operator is a batch job over
+the daily store-product table as it stands.  Nothing is defined here.
+"""
