@@ -19,6 +19,11 @@ from shelfwise.pipeline import InventoryPipeline
 
 Builder = Callable[[InventoryPipeline], DataFrame]
 
+
+def _by_label(p: InventoryPipeline, entity: str, label: str, keep_id: bool = False) -> DataFrame:
+    maps = p.label_maps  # first: the raw table is kept before its second reader
+    return B.kpi_by_label(p.kpi_base(labels=False), maps, entity, label, keep_id)
+
 CATALOG: dict[str, Builder] = {
     # A: sources, audit, cleaning
     "inventory_raw": lambda p: p.source,
@@ -36,10 +41,10 @@ CATALOG: dict[str, Builder] = {
     "kpi_base_preview": lambda p: B.kpi_base_preview(p.kpi_base()),
     "kpi_overall": lambda p: B.kpi_overall(p.kpi_base(labels=False)),
     "kpi_monthly": lambda p: B.kpi_monthly(p.kpi_base(labels=False)),
-    "kpi_category": lambda p: B.kpi_category(p.kpi_base()),
-    "kpi_region": lambda p: B.kpi_region(p.kpi_base()),
+    "kpi_category": lambda p: _by_label(p, "product", "category_clean"),
+    "kpi_region": lambda p: _by_label(p, "store", "region_clean"),
     "kpi_store": lambda p: B.kpi_store(p.kpi_base(labels=False)),
-    "kpi_product": lambda p: B.kpi_product(p.kpi_base()),
+    "kpi_product": lambda p: _by_label(p, "product", "category_clean", keep_id=True),
     "check_total_units_sold": lambda p: B.check_total_units_sold(p.clean_unlabelled()),
     "check_total_units_ordered": lambda p: B.check_total_units_ordered(p.clean_unlabelled()),
     "check_flag_totals": lambda p: B.check_flag_totals(p.kpi_base(labels=False)),

@@ -94,6 +94,70 @@ def kpi_region(kb: DataFrame) -> DataFrame:
     return _rollup(kb, ["region_clean"])
 
 
+# Mergeable partial sums of M1-M12: a rollup by id combines these exactly
+# (integer sums) or up to summation order (the cover-days sum).
+_PARTIALS = [
+    "count(*) AS n",
+    "sum(units_sold) AS sold",
+    "sum(inventory_level) AS inv_sum",
+    "count(inventory_level) AS inv_n",
+    "sum(units_ordered) AS ordered",
+    "sum(cover_days) AS cover_sum",
+    "count(cover_days) AS cover_n",
+    "sum(low_cover_flag) AS low_n",
+    "sum(high_cover_flag) AS high_n",
+    "sum(zero_inventory_flag) AS zero_n",
+    "sum(abs_forecast_error) AS abs_err",
+    "sum(forecast_error) AS err",
+    "sum(at_risk_units_proxy) AS at_risk",
+    "sum(excess_units_proxy) AS excess",
+]
+
+
+def _merged_measures() -> list[str]:
+    return [
+        "CAST(sum(sold) AS BIGINT) AS total_units_sold",
+        f"{round_half_up(safe_div('sum(inv_sum)', 'sum(inv_n)'), 2)} AS avg_inventory_level",
+        "CAST(sum(ordered) AS BIGINT) AS total_units_ordered",
+        f"{round_half_up(safe_div('sum(ordered)', 'sum(sold)'), 2)} AS replenishment_to_sales_ratio",
+        f"{round_half_up(safe_div('sum(cover_sum)', 'sum(cover_n)'), 2)} AS avg_cover_days",
+        f"{pct(safe_div('sum(low_n)', 'sum(n)'))} AS low_cover_pct",
+        f"{pct(safe_div('sum(high_n)', 'sum(n)'))} AS high_cover_pct",
+        f"{pct(safe_div('sum(zero_n)', 'sum(n)'))} AS zero_inventory_pct",
+        f"{round_half_up(safe_div('sum(abs_err)', 'sum(sold)'), 4)} AS wape",
+        f"{round_half_up(safe_div('sum(err)', 'sum(sold)'), 4)} AS forecast_bias",
+        "CAST(sum(at_risk) AS BIGINT) AS total_at_risk_units_proxy",
+        "CAST(sum(excess) AS BIGINT) AS total_excess_units_proxy",
+    ]
+
+
+def kpi_by_label(kb: DataFrame, maps: DataFrame, entity: str, label: str, keep_id: bool = False) -> DataFrame:
+    """B7/B8/B10 without joining the labels to the fact.
+
+    The unlabelled KPI rows are first combined per id (product or store,
+    partial aggregation per task), the canonical label is attached to
+    those per-id rows, and the partial sums are merged per label.
+    """
+    id_col = "product_id" if entity == "product" else "store_id"
+    keys = [id_col, label] if keep_id else [label]
+    items = [*(f"p.{k}" if k == id_col else f"m.label AS {label}" for k in keys), *_merged_measures()]
+    group = ", ".join(f"p.{k}" if k == id_col else "m.label" for k in keys)
+    return sql(
+        f"""
+WITH per_id AS (
+  SELECT {id_col}, {', '.join(_PARTIALS)} FROM {{kb}} GROUP BY {id_col}
+)
+SELECT {select_list(items)}
+FROM per_id p
+LEFT JOIN (SELECT id, label FROM {{maps}} WHERE entity = '{entity}') m ON p.{id_col} = m.id
+GROUP BY {group}
+ORDER BY total_units_sold DESC NULLS FIRST, {', '.join(keys)}
+""",
+        kb=kb,
+        maps=maps,
+    )
+
+
 def kpi_store(kb: DataFrame) -> DataFrame:
     """B9."""
     return _rollup(kb, ["store_id"])

@@ -31,16 +31,18 @@ UNROUNDED_DOUBLES = [
 ]
 
 
-def pair_rollup(kb: DataFrame) -> DataFrame:
-    """Unrounded per-pair aggregates of the KPI base."""
+def pair_rollup(kb: DataFrame, maps: DataFrame) -> DataFrame:
+    """Unrounded per-pair aggregates of the (unlabelled) KPI base.
+
+    The canonical category and region are functions of product and store,
+    so grouping by (store, product) and attaching the labels afterwards
+    equals grouping by all four keys: the label lookups join one row per
+    pair instead of one row per fact row.
+    """
     return sql(
         f"""
-SELECT *,
-  {safe_div('sum_abs_error', 'total_units_sold')} AS wape,
-  {safe_div('sum_error', 'total_units_sold')} AS forecast_bias,
-  {safe_div('total_units_ordered', 'total_units_sold')} AS replenishment_to_sales_ratio
-FROM (
-  SELECT {', '.join(PAIR_KEYS)},
+WITH agg AS (
+  SELECT store_id, product_id,
     count(*) AS row_count,
     CAST(sum(units_sold) AS BIGINT) AS total_units_sold,
     avg(units_sold) AS avg_daily_units_sold,
@@ -60,13 +62,30 @@ FROM (
     avg(demand_forecast_clean) AS avg_daily_forecast,
     stddev_samp(demand_forecast_clean) AS forecast_stddev
   FROM {{kb}}
-  GROUP BY {', '.join(PAIR_KEYS)}
+  GROUP BY store_id, product_id
 )
+SELECT a.store_id, a.product_id, pm.label AS category_clean, sm.label AS region_clean,
+  {', '.join('a.' + c for c in ROLLUP_MEASURES)},
+  {safe_div('a.sum_abs_error', 'a.total_units_sold')} AS wape,
+  {safe_div('a.sum_error', 'a.total_units_sold')} AS forecast_bias,
+  {safe_div('a.total_units_ordered', 'a.total_units_sold')} AS replenishment_to_sales_ratio
+FROM agg a
+LEFT JOIN (SELECT id, label FROM {{maps}} WHERE entity = 'product') pm ON a.product_id = pm.id
+LEFT JOIN (SELECT id, label FROM {{maps}} WHERE entity = 'store') sm ON a.store_id = sm.id
 """,
         kb=kb,
+        maps=maps,
     )
 
 
+ROLLUP_MEASURES = [
+    "row_count", "total_units_sold", "avg_daily_units_sold", "avg_inventory_level", "avg_cover_days",
+    "low_cover_rate", "high_cover_rate", "zero_inventory_rate", "order_day_rate",
+    "total_at_risk_units_proxy", "total_excess_units_proxy", "total_units_ordered",
+    "avg_order_size_on_order_days", "demand_stddev", "avg_daily_forecast", "forecast_stddev",
+]
+
+
 def exact(col: str, digits: int | None) -> str:
     """Expose an unrounded average cut to ``digits`` (for cross-engine checks)."""
     return f"{round_half_up(col, digits)} AS {col}" if digits else col

@@ -79,6 +79,11 @@ class InventoryPipeline:
         # if an earlier step made one, otherwise stream from the source
         return self.__dict__.get("raw", self.source)
 
+    @cached_property
+    def label_maps(self) -> DataFrame:
+        """Canonical labels, lazily (entity, id, label): for joins on aggregated rows."""
+        return quality.label_maps(self.raw)
+
     @cached_property
     def _maps(self) -> tuple[DataFrame, int, DataFrame, int]:
         # both maps in one aggregation and one write; the exact row count
@@ -128,7 +133,8 @@ class InventoryPipeline:
     # ---- pair level ---------------------------------------------------------
     @cached_property
     def rollup(self) -> DataFrame:
-        return materialize(rollup.pair_rollup(self.kpi_base(labels=True)), "pair_rollup")
+        maps = self.label_maps  # reads self.raw first, so the rollup reuses it
+        return materialize(rollup.pair_rollup(self.kpi_base(labels=False), maps), "pair_rollup")
 
     @cached_property
     def pair_count(self) -> int:
