@@ -29,10 +29,14 @@ IMPACT_COLUMNS = [
 ]
 
 
-def business_impact(seg: DataFrame, cadence: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    """one row per pair with policy, assessment and impact labels."""
-    # step 1: policy labels need the unrounded rates of the segment rows
-    pol = f"SELECT {select_list([*replenishment_columns(), *policy_labels(t)])} FROM {{seg}}"
+def business_impact(pairs: DataFrame, cadence: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """one row per pair with policy, assessment and impact labels.
+
+    ``pairs`` is the pair rollup (or anything carrying its columns, such
+    as the segments); no segment label is needed.
+    """
+    # step 1: policy labels need the unrounded rates of the pair rows
+    pol = f"SELECT {select_list([*replenishment_columns(), *policy_labels(t)])} FROM {{pairs}}"
     excess = (
         f"(reorder_behavior_assessment = {lit(L.TRIGGER_EARLY)} OR policy_status = {lit(L.STATUS_OVER)})"
     )
@@ -66,7 +70,7 @@ SELECT {', '.join(IMPACT_COLUMNS[:-1])},
   END AS primary_impact_vs_sales_ratio
 FROM themed
 """,
-        seg=seg,
+        pairs=pairs,
         cad=cadence,
     )
 

@@ -163,5 +163,7 @@ class InventoryPipeline:
 
     @cached_property
     def impact(self) -> DataFrame:
-        seg = self.segments
-        return self._stage(impact.business_impact(seg, self.cadence, self.t), "impact")
+        # the impact view uses the policy labels but no segment label, so
+        # it is built on the rollup and never waits for the orderings
+        rb = self.rollup
+        return self._stage(impact.business_impact(rb, self.cadence, self.t), "impact")
