@@ -21,8 +21,7 @@ Builder = Callable[[InventoryPipeline], DataFrame]
 
 
 def _by_label(p: InventoryPipeline, entity: str, label: str, keep_id: bool = False) -> DataFrame:
-    maps = p.label_maps  # first: the raw table is kept before its second reader
-    return B.kpi_by_label(p.kpi_base(labels=False), maps, entity, label, keep_id)
+    return B.kpi_by_label(p.kpi_base(labels=False), p.label_maps, entity, label, keep_id)
 
 CATALOG: dict[str, Builder] = {
     # A: sources, audit, cleaning

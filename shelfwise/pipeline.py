@@ -75,14 +75,20 @@ class InventoryPipeline:
         raise ValueError(f"materialize_raw must be 'cache', 'write' or 'none', got {self.materialize_raw!r}")
 
     def _raw_single_pass(self) -> DataFrame:
-        # a consumer that reads the raw table once: reuse the written copy
-        # if an earlier step made one, otherwise stream from the source
+        # a consumer whose reads of the raw table all happen in one job:
+        # reuse the written copy if an earlier step made one, otherwise
+        # read the source (a second derivation inside one job is cheaper
+        # than a separate write job)
         return self.__dict__.get("raw", self.source)
 
-    @cached_property
+    @property
     def label_maps(self) -> DataFrame:
-        """Canonical labels, lazily (entity, id, label): for joins on aggregated rows."""
-        return quality.label_maps(self.raw)
+        """Canonical labels, lazily (entity, id, label): for joins on aggregated rows.
+
+        Consumers of these maps read them in the same job as their other
+        branch over the raw table, so no written copy is forced here.
+        """
+        return quality.label_maps(self._raw_single_pass())
 
     @cached_property
     def _maps(self) -> tuple[DataFrame, int, DataFrame, int]:
@@ -133,8 +139,7 @@ class InventoryPipeline:
     # ---- pair level ---------------------------------------------------------
     @cached_property
     def rollup(self) -> DataFrame:
-        maps = self.label_maps  # reads self.raw first, so the rollup reuses it
-        return materialize(rollup.pair_rollup(self.kpi_base(labels=False), maps), "pair_rollup")
+        return materialize(rollup.pair_rollup(self.kpi_base(labels=False), self.label_maps), "pair_rollup")
 
     @cached_property
     def pair_count(self) -> int:
@@ -158,6 +163,7 @@ class InventoryPipeline:
 
     @cached_property
     def assessment(self) -> DataFrame:
+        _ = self.raw  # rollup and cadence run as separate jobs: keep raw once
         rb = self.rollup
         return self._stage(assessment.reorder_assessment(rb, self.cadence, self.t), "assessment")
 
@@ -165,5 +171,6 @@ class InventoryPipeline:
     def impact(self) -> DataFrame:
         # the impact view uses the policy labels but no segment label, so
         # it is built on the rollup and never waits for the orderings
+        _ = self.raw  # rollup and cadence run as separate jobs: keep raw once
         rb = self.rollup
         return self._stage(impact.business_impact(rb, self.cadence, self.t), "impact")
