@@ -8,6 +8,7 @@ filters through the whole chain.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark import StorageLevel
@@ -41,9 +42,12 @@ class InventoryPipeline:
         materialize_raw: str = "none",
         materialize_stages: bool = False,
         rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
+        source_factory: Callable[[], DataFrame] | None = None,
     ) -> None:
         self.spark: SparkSession = raw.sparkSession
         self.source = raw
+        # rebuilds an independent instance of the source (same data, new plan)
+        self.source_factory = source_factory
         self.t = thresholds
         self.negative_forecast = negative_forecast
         self.materialize_raw = materialize_raw
@@ -53,11 +57,11 @@ class InventoryPipeline:
     @classmethod
     def from_tpch(cls, spark: SparkSession, sf_dir: str, **kw) -> InventoryPipeline:
         kw.setdefault("materialize_raw", "write")
-        return cls(inventory_from_tpch(spark, sf_dir), **kw)
+        return cls(inventory_from_tpch(spark, sf_dir), source_factory=lambda: inventory_from_tpch(spark, sf_dir), **kw)
 
     @classmethod
     def from_path(cls, spark: SparkSession, path: str, fmt: str = "parquet", **kw) -> InventoryPipeline:
-        return cls(read_inventory(spark, path, fmt), **kw)
+        return cls(read_inventory(spark, path, fmt), source_factory=lambda: read_inventory(spark, path, fmt), **kw)
 
     def _stage(self, df: DataFrame, name: str) -> DataFrame:
         return materialize(df, name) if self.materialize_stages else df
@@ -81,6 +85,20 @@ class InventoryPipeline:
         # than a separate write job)
         return self.__dict__.get("raw", self.source)
 
+    def _second_branch(self) -> DataFrame:
+        """The raw table for a second branch of the same job.
+
+        Two branches over one unwritten multi-join source plan, joined in
+        one query, trip Spark's relation de-duplication; an independent
+        instance of the source avoids it.  Without a way to rebuild the
+        source, the raw table is written once instead.
+        """
+        if "raw" in self.__dict__:
+            return self.raw
+        if self.source_factory is not None:
+            return self.source_factory()
+        return self.raw
+
     @property
     def label_maps(self) -> DataFrame:
         """Canonical labels, lazily (entity, id, label): for joins on aggregated rows.
@@ -88,7 +106,7 @@ class InventoryPipeline:
         Consumers of these maps read them in the same job as their other
         branch over the raw table, so no written copy is forced here.
         """
-        return quality.label_maps(self._raw_single_pass())
+        return quality.label_maps(self._second_branch())
 
     @cached_property
     def _maps(self) -> tuple[DataFrame, int, DataFrame, int]:
