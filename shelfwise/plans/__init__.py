@@ -1,7 +1,7 @@
 """Physical-plan helpers: lineage cuts, checked broadcasts, whole-table ordering."""
 
-from shelfwise.plans.global_order import global_order, ntile
+from shelfwise.plans.global_order import Key, global_orders, ntile
 from shelfwise.plans.joins import lookup_join
 from shelfwise.plans.materialize import checkpoint_root, materialize
 
-__all__ = ["checkpoint_root", "global_order", "lookup_join", "materialize", "ntile"]
+__all__ = ["Key", "checkpoint_root", "global_orders", "lookup_join", "materialize", "ntile"]

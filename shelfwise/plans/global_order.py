@@ -7,7 +7,8 @@ distributed sort works:
 
 1. ``repartitionByRange`` samples the full composite sort key (value
    plus tie-breaks), so buckets stay balanced even when one value is
-   shared by a third of all rows;
+   shared by a third of all rows (several orderings share one range
+   shuffle, see :func:`global_orders`);
 2. the bucket id is frozen by writing the bucketed rows once
    (:func:`materialize`), so a re-executed task can never move a row;
 3. a window partitioned by bucket gives the local row number and
@@ -57,84 +58,6 @@ def bucket_count(n_rows: int, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) ->
     return max(1, min(MAX_BUCKETS, math.ceil(n_rows / max(1, rows_per_bucket))))
 
 
-def global_order(
-    df: DataFrame,
-    order_by: list[Key],
-    *,
-    buckets: int,
-    rn_col: str,
-    n_col: str,
-    sum_col: str | None = None,
-    running_col: str | None = None,
-    total_col: str | None = None,
-    name: str = "order",
-) -> DataFrame:
-    """Add the global 1-based row number ``rn_col`` and row count ``n_col``.
-
-    ``order_by`` must be a total order (end it with unique key columns).
-    With ``sum_col`` also add ``running_col`` (sum over all rows up to and
-    including this one, SQL ``ROWS UNBOUNDED PRECEDING``) and
-    ``total_col`` (sum over all rows).
-    """
-    ranged = materialize(
-        df.repartitionByRange(buckets, *[k.column() for k in order_by]).withColumn(
-            "_go_bucket", F.spark_partition_id()
-        ),
-        f"{name}-buckets",
-    )
-    order = ", ".join(k.sql() for k in order_by)
-    w = f"PARTITION BY _go_bucket ORDER BY {order}"
-    upto = f"({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    has_sum = sum_col is not None
-    local_sum = (
-        f", sum({sum_col}) OVER {upto} AS _go_lsum, count({sum_col}) OVER {upto} AS _go_lnn" if has_sum else ""
-    )
-    bucket_sum = f", sum({sum_col}) AS _go_bs, count({sum_col}) AS _go_bnn" if has_sum else ""
-    before = "(ORDER BY _go_bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    offset_sum = (
-        f""",
-    coalesce(sum(_go_bs) OVER {before}, 0) AS _go_off_s,
-    coalesce(sum(_go_bnn) OVER {before}, 0) AS _go_off_nn,
-    sum(_go_bs) OVER () AS {total_col or '_go_total'}"""
-        if has_sum
-        else ""
-    )
-    out_sum = (
-        f""",
-  CASE WHEN o._go_off_nn + l._go_lnn > 0 THEN o._go_off_s + coalesce(l._go_lsum, 0) END AS {running_col},
-  o.{total_col or '_go_total'}"""
-        if has_sum and running_col
-        else ""
-    )
-    data_cols = ", ".join(f"l.`{c}`" for c in df.columns)
-    return sql(
-        f"""
-WITH local AS (
-  SELECT *, row_number() OVER ({w}) AS _go_lrn{local_sum}
-  FROM {{ranged}}
-),
--- one row per bucket (at most {MAX_BUCKETS}): a single-partition window
--- over it is bounded, and the result is safe to broadcast
-per_bucket AS (
-  SELECT _go_bucket, count(*) AS _go_bn{bucket_sum}
-  FROM {{ranged}}
-  GROUP BY _go_bucket
-),
-offsets AS (
-  SELECT _go_bucket,
-    coalesce(sum(_go_bn) OVER {before}, 0) AS _go_off_n,
-    CAST(sum(_go_bn) OVER () AS BIGINT) AS {n_col}{offset_sum}
-  FROM per_bucket
-)
-SELECT /*+ BROADCAST(o) */ {data_cols},
-  CAST(o._go_off_n + l._go_lrn AS BIGINT) AS {rn_col},
-  o.{n_col}{out_sum}
-FROM local l JOIN offsets o ON l._go_bucket = o._go_bucket
-""",
-        ranged=ranged,
-    )
-
-
 def ntile(n_tiles: int, rn: str, n_rows: str) -> str:
     """SQL ``NTILE(n_tiles)`` from a global row number and the row count.
 
@@ -191,12 +114,13 @@ def global_orders(
     order_keys = [Key("_kind")] + [
         Key(f"_k{j}_{m}", desc=k.desc, nulls_first=k._nulls_first) for j, m, k in sort_cols
     ]
-    ranged = materialize(
-        stacked.repartitionByRange(buckets * len(names), *[k.column() for k in order_keys]).withColumn(
-            "_go_bucket", F.spark_partition_id()
-        ),
-        f"{name}-buckets",
-    )
+    if buckets == 1:
+        # each ordering fits one bucket (the caller's exact count bounds
+        # it): hash on the ordering id, no sampling pass needed
+        placed = stacked.repartition(len(names), "_kind")
+    else:
+        placed = stacked.repartitionByRange(buckets * len(names), *[k.column() for k in order_keys])
+    ranged = materialize(placed.withColumn("_go_bucket", F.spark_partition_id()), f"{name}-buckets")
     order = ", ".join(k.sql() for k in order_keys)
     w = f"PARTITION BY _go_bucket, _kind ORDER BY {order}"
     upto = f"({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"

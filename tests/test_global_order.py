@@ -29,7 +29,9 @@ def _rows(n: int, seed: int):
     return out
 
 
-@pytest.mark.parametrize("n,buckets,seed", [(1, 1, 1), (2, 3, 2), (3, 2, 3), (7, 3, 4), (50, 4, 5), (301, 6, 6)])
+@pytest.mark.parametrize(
+    "n,buckets,seed", [(1, 1, 1), (2, 3, 2), (3, 2, 3), (7, 3, 4), (50, 4, 5), (301, 6, 6), (120, 1, 8)]
+)
 def test_matches_window_functions(spark, n, buckets, seed):
     df = spark.createDataFrame(_rows(n, seed), SCHEMA)
     tie = [Key("a"), Key("b")]
