@@ -81,3 +81,15 @@ def test_store_rollup_skips_label_joins(spark, sf_small):
     plan = _plan(E.queries()["kpi_store"](spark, sf_small))
     assert "LeftOuter" not in plan
     del p
+
+
+def test_cadence_window_runs_on_day_aggregates(spark, sf_small):
+    """The LAG window must see one row per (pair, order day), never raw order rows."""
+    p = InventoryPipeline.from_tpch(spark, sf_small)
+    plan = p.cadence._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    win = next(i for i, line in enumerate(lines) if "Window [lag(" in line)
+    below = "\n".join(lines[win + 1:])
+    first_agg = below.find("Aggregate [store_id")
+    first_rel = below.find("Relation")
+    assert first_agg != -1 and (first_rel == -1 or first_agg < first_rel)
