@@ -22,7 +22,9 @@ FORECAST_ORDER = [L.FORECAST_GOOD, L.FORECAST_MODERATE, L.FORECAST_POOR]
 _TIE = [Key("product_id"), Key("store_id")]
 
 
-def inventory_segments(rollup: DataFrame, buckets: int, t: Thresholds = DEFAULT) -> DataFrame:
+def inventory_segments(
+    rollup: DataFrame, buckets: int, t: Thresholds = DEFAULT, registry: list[str] | None = None
+) -> DataFrame:
     """C4: pair rollup + sales shares, tiles and the four segment labels.
 
     The cumulative share and both tiles are whole-table orderings; all
@@ -43,6 +45,7 @@ def inventory_segments(rollup: DataFrame, buckets: int, t: Thresholds = DEFAULT)
         buckets=buckets,
         sums={"sales": "total_units_sold"},
         name="segments",
+        registry=registry,
     )
     rest = [c for c in rollup.columns if c not in SUMMARY_COLUMNS]
     on = " AND ".join(f"r.{k} <=> k.{k}" for k in PAIR_KEYS)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfwise.config import DEFAULT, Thresholds
 from shelfwise.operators import assessment, cadence, impact, kpi, policy, quality, rollup, segments
 from shelfwise.plans.global_order import DEFAULT_ROWS_PER_BUCKET, bucket_count
-from shelfwise.plans.materialize import materialize
+from shelfwise.plans.materialize import materialize, remove_written
 from shelfwise.sources.inventory import inventory_from_tpch, read_inventory
 
 
@@ -53,6 +53,23 @@ class InventoryPipeline:
         self.materialize_raw = materialize_raw
         self.materialize_stages = materialize_stages
         self.rows_per_bucket = rows_per_bucket
+        self._written: list[str] = []
+
+    def _write(self, df: DataFrame, name: str) -> DataFrame:
+        return materialize(df, name, self._written)
+
+    def close(self) -> None:
+        """Remove the stage tables this pipeline wrote.
+
+        DataFrames built from this pipeline must not be used afterwards.
+        """
+        remove_written(self.spark, self._written)
+
+    def __enter__(self) -> InventoryPipeline:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.close()
 
     @classmethod
     def from_tpch(cls, spark: SparkSession, sf_dir: str, **kw) -> InventoryPipeline:
@@ -64,14 +81,14 @@ class InventoryPipeline:
         return cls(read_inventory(spark, path, fmt), source_factory=lambda: read_inventory(spark, path, fmt), **kw)
 
     def _stage(self, df: DataFrame, name: str) -> DataFrame:
-        return materialize(df, name) if self.materialize_stages else df
+        return self._write(df, name) if self.materialize_stages else df
 
     # ---- raw, maps, clean -------------------------------------------------
     @cached_property
     def raw(self) -> DataFrame:
         """The raw table for multi-pass use."""
         if self.materialize_raw == "write":
-            return materialize(self.source, "raw")
+            return self._write(self.source, "raw")
         if self.materialize_raw == "cache":
             return self.source.persist(StorageLevel.MEMORY_AND_DISK)
         if self.materialize_raw == "none":
@@ -112,7 +129,7 @@ class InventoryPipeline:
     def _maps(self) -> tuple[DataFrame, int, DataFrame, int]:
         # both maps in one aggregation and one write; the exact row count
         # of each written map licenses (or refuses) its broadcast
-        maps = materialize(quality.label_maps(self.raw), "label_maps")
+        maps = self._write(quality.label_maps(self.raw), "label_maps")
         counts = dict(maps.groupBy("entity").count().collect())
         return (
             quality.product_map(maps), counts.get("product", 0),
@@ -147,7 +164,7 @@ class InventoryPipeline:
 
     @cached_property
     def duplicate_keys(self) -> tuple[DataFrame, int]:
-        dups = materialize(quality.duplicate_keys(self.raw), "duplicate_keys")
+        dups = self._write(quality.duplicate_keys(self.raw), "duplicate_keys")
         return dups, dups.count()
 
     def quality_flags(self) -> DataFrame:
@@ -157,7 +174,7 @@ class InventoryPipeline:
     # ---- pair level ---------------------------------------------------------
     @cached_property
     def rollup(self) -> DataFrame:
-        return materialize(rollup.pair_rollup(self.kpi_base(labels=False), self.label_maps), "pair_rollup")
+        return self._write(rollup.pair_rollup(self.kpi_base(labels=False), self.label_maps), "pair_rollup")
 
     @cached_property
     def pair_count(self) -> int:
@@ -166,7 +183,7 @@ class InventoryPipeline:
     @cached_property
     def segments(self) -> DataFrame:
         buckets = bucket_count(self.pair_count, self.rows_per_bucket)
-        seg = segments.inventory_segments(self.rollup, buckets, self.t)
+        seg = segments.inventory_segments(self.rollup, buckets, self.t, registry=self._written)
         return self._stage(seg, "segments")
 
     @cached_property

@@ -81,6 +81,7 @@ def global_orders(
     buckets: int,
     sums: dict[str, str] | None = None,
     name: str = "orders",
+    registry: list[str] | None = None,
 ) -> DataFrame:
     """Several whole-table orderings of ``df`` with one range shuffle and one write.
 
@@ -120,7 +121,7 @@ def global_orders(
         placed = stacked.repartition(len(names), "_kind")
     else:
         placed = stacked.repartitionByRange(buckets * len(names), *[k.column() for k in order_keys])
-    ranged = materialize(placed.withColumn("_go_bucket", F.spark_partition_id()), f"{name}-buckets")
+    ranged = materialize(placed.withColumn("_go_bucket", F.spark_partition_id()), f"{name}-buckets", registry)
     order = ", ".join(k.sql() for k in order_keys)
     w = f"PARTITION BY _go_bucket, _kind ORDER BY {order}"
     upto = f"({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"

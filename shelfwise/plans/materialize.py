@@ -42,9 +42,25 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or root
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once under the checkpoint folder and return a scan of it."""
+def materialize(df: DataFrame, name: str, registry: list[str] | None = None) -> DataFrame:
+    """Write ``df`` once under the checkpoint folder and return a scan of it.
+
+    The written path is appended to ``registry`` so its owner can remove
+    it with :func:`remove_written` when no reader needs it any more.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/shelfwise/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    if registry is not None:
+        registry.append(path)
     return spark.read.parquet(path)
+
+
+def remove_written(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stage tables this library wrote (on whatever file system holds them)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        jpath = jvm.org.apache.hadoop.fs.Path(p)
+        jpath.getFileSystem(conf).delete(jpath, True)
+    paths.clear()

@@ -43,3 +43,17 @@ def test_export_marts(spark, sf_small):
     csv = export_marts(p, out + "-csv", fmt="csv")
     head = spark.read.option("header", "true").csv(csv["dash_headline"]).columns
     assert "excess_sales_share_pct" in head
+
+
+def test_pipeline_removes_its_stage_tables(spark, sf_small):
+    import os
+
+    with InventoryPipeline.from_tpch(spark, sf_small) as p:
+        assert CATALOG["impact_overall"](p).collect()
+        assert CATALOG["abc_summary"](p).collect()
+        written = list(p._written)
+        assert len(written) >= 3  # raw, pair rollup, ordering buckets
+        local = [w.replace("file:", "") for w in written]
+        assert all(os.path.exists(w) for w in local)
+    assert p._written == []
+    assert not any(os.path.exists(w) for w in local)
