@@ -31,7 +31,9 @@ class InventoryPipeline:
     ``"none"`` (the default, right for a Parquet/ORC/CSV source) reads the
     source again, pruned to the columns each step needs.
     ``materialize_stages`` also writes the pair-level stages, for runs
-    that export many marts from one build.
+    that export many marts from one build.  ``source_factory`` rebuilds
+    the source (the ``from_*`` constructors set it); use the pipeline as a
+    context manager, or call :meth:`close`, to remove the written stages.
     """
 
     def __init__(
@@ -108,7 +110,9 @@ class InventoryPipeline:
         Two branches over one unwritten multi-join source plan, joined in
         one query, trip Spark's relation de-duplication; an independent
         instance of the source avoids it.  Without a way to rebuild the
-        source, the raw table is written once instead.
+        source, the raw table as configured by ``materialize_raw`` is used
+        (``"write"`` for a user-built multi-join DataFrame; a plain file
+        scan is safe to self-join as it is).
         """
         if "raw" in self.__dict__:
             return self.raw
