@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from shelfwise import config as L
 from shelfwise.config import DEFAULT, Thresholds
 from shelfwise.functions import lit, num, order_case, pct, round_half_up, select_list, sql
-from shelfwise.operators.rollup import PAIR_KEYS, SUMMARY_COLUMNS, UNROUNDED_DOUBLES, exact
+from shelfwise.operators.rollup import JOIN_KEYS, SUMMARY_COLUMNS, UNROUNDED_DOUBLES, exact
 from shelfwise.plans.global_order import Key, global_orders, ntile
 
 SEGMENT_EXTRA = [
@@ -41,14 +41,14 @@ def inventory_segments(
             "velocity": [Key("avg_daily_units_sold", desc=True, nulls_first=False), *_TIE],
             "forecast": [Key("wape", nulls_first=False), *_TIE],
         },
-        keys=PAIR_KEYS,
+        keys=JOIN_KEYS,  # the rollup is unique on (store, product)
         buckets=buckets,
         sums={"sales": "total_units_sold"},
         name="segments",
         registry=registry,
     )
     rest = [c for c in rollup.columns if c not in SUMMARY_COLUMNS]
-    on = " AND ".join(f"r.{k} <=> k.{k}" for k in PAIR_KEYS)
+    on = " AND ".join(f"r.{k} <=> k.{k}" for k in JOIN_KEYS)
     return sql(
         f"""
 SELECT *,
