@@ -57,3 +57,15 @@ def test_pipeline_removes_its_stage_tables(spark, sf_small):
         assert all(os.path.exists(w) for w in local)
     assert p._written == []
     assert not any(os.path.exists(w) for w in local)
+
+
+def test_lookup_join_broadcasts_only_within_limit(spark):
+    from shelfwise.plans.joins import lookup_join
+
+    fact = spark.range(100).selectExpr("id % 7 AS k", "id AS v")
+    lookup = spark.range(7).selectExpr("id AS k", "CAST(id AS STRING) AS label")
+    small = lookup_join(fact, lookup, ["k"], lookup_rows=7, max_broadcast_rows=10)
+    big = lookup_join(fact, lookup, ["k"], lookup_rows=7, max_broadcast_rows=5)
+    assert "broadcast" in small._jdf.queryExecution().analyzed().toString().lower()
+    assert "broadcast" not in big._jdf.queryExecution().analyzed().toString().lower()
+    assert sorted(small.collect()) == sorted(big.collect())
