@@ -1,8 +1,8 @@
 """Dashboard marts: the data behind the executive overview page.
 
-Shares of a grand total use a one-row aggregate joined to the grouped
-rows (a 1-row broadcast), never ``SUM() OVER ()``, which would move
-every row into one partition.
+Shares of a grand total divide by a scalar subquery (one value shipped
+to every task), never ``SUM() OVER ()``, which would move every row into
+one partition.
 """
 
 from __future__ import annotations
@@ -79,12 +79,12 @@ def _share(bi: DataFrame, dim: str, measure: str, total_name: str, pct_name: str
         f"""
 WITH grouped AS (
   SELECT {dim}, CAST(sum({measure}) AS BIGINT) AS {total_name} FROM {{bi}} GROUP BY {dim}
-), grand AS (
-  SELECT sum({measure}) AS grand_total FROM {{bi}}  -- exactly one row
 )
-SELECT /*+ BROADCAST(grand) */ {dim}, {total_name},
-  {round_half_up(f"100.0D * {total_name} / CAST(NULLIF(grand_total, 0) AS DOUBLE)", 2)} AS {pct_name}
-FROM grouped CROSS JOIN grand
+-- the grand total is a scalar subquery: one value, shipped to every task
+SELECT {dim}, {total_name},
+  {round_half_up(f"100.0D * {total_name} / CAST(NULLIF((SELECT sum({measure}) FROM {{bi}}), 0) AS DOUBLE)", 2)}
+    AS {pct_name}
+FROM grouped
 ORDER BY {total_name} DESC NULLS FIRST, {dim}
 """,
         bi=bi,

@@ -155,10 +155,13 @@ WITH base AS (
            AS stores_with_multiple_regions
   FROM {{conflicts}}
 )
--- three one-row tables: the joins are 1 x 1 x 1
-SELECT total_rows, missing_values, duplicate_rows, negative_forecast_rows,
-       products_with_multiple_categories, stores_with_multiple_regions
-FROM base CROSS JOIN dups CROSS JOIN conf
+-- three one-row aggregates, combined as scalar subqueries
+SELECT total_rows, missing_values,
+       (SELECT duplicate_rows FROM dups) AS duplicate_rows,
+       negative_forecast_rows,
+       (SELECT products_with_multiple_categories FROM conf) AS products_with_multiple_categories,
+       (SELECT stores_with_multiple_regions FROM conf) AS stores_with_multiple_regions
+FROM base
 """,
         raw=raw,
         conflicts=map_conflicts(raw),
