@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfwise.llm.common import pinned, row_key, seeded_hex
 from shelfwise.plans.materialize import materialize
@@ -43,7 +44,11 @@ def poisson_table(rate: float) -> tuple[int, list[float]]:
     return lo, np.cumsum(np.exp(k * np.log(rate) - rate - log_fact)).tolist()
 
 
-@F.pandas_udf("k0 long, cdf array<double>")
+# a type object, not DDL text: the module must import without a running session
+POISSON_TABLE = T.StructType([T.StructField("k0", T.LongType()), T.StructField("cdf", T.ArrayType(T.DoubleType()))])
+
+
+@F.pandas_udf(POISSON_TABLE)
 def _poisson(rate: pd.Series) -> pd.DataFrame:
     rows = [poisson_table(float(r)) for r in rate]
     return pd.DataFrame({"k0": [r[0] for r in rows], "cdf": [r[1] for r in rows]})

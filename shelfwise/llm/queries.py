@@ -68,7 +68,7 @@ WITH logged AS (
   SELECT DISTINCT turns[1:k] AS turns FROM (SELECT turns, unnest(range(1, n)) AS k FROM whole)
 )
 SELECT conv_id, n AS n_turns, n_copies,
-  array_to_string(list_transform(turns, x -> concat('<|im_start|>', replace(coalesce(x.r, ''), '<|', '< |'), chr(10),
+  array_to_string(list_transform(turns, lambda x: concat('<|im_start|>', replace(coalesce(x.r, ''), '<|', '< |'), chr(10),
     replace(coalesce(x.t, ''), '<|', '< |'), '<|im_end|>', chr(10))), '') AS rendered
 FROM whole WHERE turns NOT IN (SELECT turns FROM heads)
 """
@@ -80,7 +80,7 @@ WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS rid FROM documents
 ), w AS (
   SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
-    list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM d
 ), positions AS (
   SELECT rid, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c
@@ -93,7 +93,7 @@ WITH d AS (
   SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
     len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(lines) AS n_lines,
     len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
-    len(list_filter(words, x -> x IN ({_STOPS}))) AS n_stop_words
+    len(list_filter(words, lambda x: x IN ({_STOPS}))) AS n_stop_words
   FROM w LEFT JOIN covered USING (rid)
 )
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
@@ -132,7 +132,7 @@ WITH RECURSIVE w AS (
   FROM documents
 ), sets AS (
   SELECT doc_id, CASE WHEN len(words) = 1 THEN [words[1]]
-    ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(words), 1)), i -> words[i] || ' ' || words[i + 1]))) END AS s
+    ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(words), 1)), lambda i: words[i] || ' ' || words[i + 1]))) END AS s
   FROM w
 ), classes AS (
   SELECT min(doc_id) AS cid, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s
@@ -167,9 +167,9 @@ WITH RECURSIVE remainders AS (
 ), texts AS (
   SELECT text, hex(encode(text)) AS h, strlen(text) AS n FROM (SELECT DISTINCT text FROM d)
 ), bytes AS (
-  SELECT text, list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(0, n), i -> CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))) AS bs FROM texts
+  SELECT text, list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(0, n), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))) AS bs FROM texts
 ), digests AS (
-  SELECT text, xor(list_reduce(bs, (r, b) -> xor(r // 256, (SELECT t FROM lookup)[xor(r, b) % 256 + 1])), 4294967295) AS crc FROM bytes
+  SELECT text, xor(list_reduce(bs, lambda r, b: xor(r // 256, t[xor(r, b) % 256 + 1])), 4294967295) AS crc FROM bytes, lookup
 ), ranked AS (
   SELECT doc_id, strlen(text) + 1 AS size, crc, digest,
     (row_number() OVER (PARTITION BY source ORDER BY digest, doc_id, crc, strlen(text)) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS f, source
