@@ -141,7 +141,7 @@ def sketches(texts: list[str]) -> list[np.ndarray]:
         at = np.flatnonzero(new)
         again = np.flatnonzero(~new)
         nth = (again - at[np.searchsorted(at, again, "right") - 1]).astype(np.uint64)
-        key[again] = (key[again] & ~HALF) | (mix64(key[again] + (nth << np.uint64(32))) >> np.uint64(32))
+        key[again] = (key[again] & ~HALF) | (mix64((key[again] & HALF) + (nth << np.uint64(32))) >> np.uint64(32))
         key.sort()
         first = np.searchsorted(key, np.arange(b - a, dtype=np.uint64) << np.uint64(32)).tolist()
         low = key.astype(np.uint32)
