@@ -10,9 +10,11 @@ chosen coordinate - with probability 1/4 a second one - and members with
 the same minwise value there meet in the same child.  A pair of similarity
 0.8 then keeps about one common child per level, unrelated pairs none.
 Nodes of at most ``LEAF`` classes are compared exhaustively by sketch;
-larger ones are compared with their smallest members and branched further,
-unless all their members are already known to be connected.  The number of
-trees follows from the target recall for a pair right at the threshold.
+larger ones first with their smallest members.  Of a large node only pairs
+of different components matter from then on: if all but ``LEAF`` members
+are of one component, the others are compared with every member, else the
+node is branched further.  The number of trees follows from the target
+recall for a pair right at the threshold.
 
 Sketches only propose pairs (38 of 64 matches are asked for; a pair at the
 threshold has fewer with probability 1e-5).  Every link is confirmed on the
@@ -300,7 +302,12 @@ class NodeScan:
         return cid[i], cid[j], np.ones(len(i), bool)
 
 
-SCANNED = "a long, b long, tree boolean, node long, cid long, comp long, size long, sketch binary"
+PAIRS = "a long, b long, tree boolean"
+SCANNED = f"{PAIRS}, {NODE_ROWS}"
+
+
+def _pair_columns(a: np.ndarray, b: np.ndarray, tree: np.ndarray) -> list[pa.Array]:
+    return [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(tree)]
 
 
 def scan_nodes(rows: DataFrame, last_level: bool = False) -> DataFrame:
@@ -314,7 +321,7 @@ def scan_nodes(rows: DataFrame, last_level: bool = False) -> DataFrame:
             for kind, x in found:
                 n = len(x[0])
                 if kind == "pairs" and n:
-                    cols = [pa.array(np.minimum(x[0], x[1])), pa.array(np.maximum(x[0], x[1])), pa.array(x[2]), *[pa.nulls(n, pa.int64())] * 4, pa.nulls(n, pa.binary())]
+                    cols = [*_pair_columns(*x), *[pa.nulls(n, pa.int64())] * 4, pa.nulls(n, pa.binary())]
                     yield pa.RecordBatch.from_arrays(cols, ["a", "b", "tree", *NAMES])
                 elif kind == "rows":
                     cols = [*[pa.nulls(n, pa.int64())] * 2, pa.nulls(n, pa.bool_()), *_node_batch(*x).columns]
@@ -329,6 +336,40 @@ def scan_nodes(rows: DataFrame, last_level: bool = False) -> DataFrame:
     return dealt.mapInArrow(run, SCANNED)
 
 
+def compare_outsiders(rows: DataFrame) -> DataFrame:
+    """Proposed pairs (a, b, tree) between each node's rows marked ``outside``, at most LEAF, and all its rows.
+
+    The outsiders come first and are held while the other rows pass by.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None
+        for b in batches:
+            data, outside = _read(b), b.column(5).to_numpy(zero_copy_only=False).astype(bool)
+            starts = np.flatnonzero(np.concatenate([[True], data[0][1:] != data[0][:-1]])) if b.num_rows else []
+            for s, e in zip(starts, [*starts[1:], b.num_rows], strict=True):
+                mine, own = tuple(x[s:e] for x in data), outside[s:e]
+                if held is None or held[0][0] != mine[0][0]:
+                    held = tuple(x[:0] for x in mine)
+                held = tuple(np.concatenate([x, y[own]]) for x, y in zip(held, mine, strict=True))
+                k, n = len(held[0]), e - s
+                if not k:
+                    continue
+                _, cid, comp, size, marks = (np.concatenate([x, y]) for x, y in zip(held, mine, strict=True))
+                i, j = np.repeat(np.arange(k), n), np.tile(np.arange(k, k + n), k)
+                i, j, m = _plausible(i, j, comp, size, marks)
+                # each outsider's best match is confirmed before the rest
+                order = np.lexsort((j, -m, i))
+                i, j = i[order], j[order]
+                tree = np.concatenate([[True], i[1:] != i[:-1]]) if len(i) else np.zeros(0, bool)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays(_pair_columns(cid[i], cid[j], tree), ["a", "b", "tree"])
+            held = None if held is None else tuple(x.copy() for x in held)
+
+    dealt = rows.repartition("node").sortWithinPartitions("node", F.desc("outside"), "cid")
+    return dealt.select(*NAMES, "outside").mapInArrow(run, PAIRS)
+
+
 # ---- confirmation ----------------------------------------------------------
 def confirmed(pairs: DataFrame, docs: DataFrame, written: list[str]) -> DataFrame:
     """Those pairs (a, b) whose full sets reach 0.8, as a written table."""
@@ -410,22 +451,36 @@ class Join:
             last = level >= MAX_LEVEL
             own: list[str] = []
             found = materialize(scan_nodes(rows, last), "node_scan", own)
-            pairs = found.where("a IS NOT NULL").select("a", "b", "tree")
+            self._link_all(found.where("a IS NOT NULL"))
             large = found.where("a IS NULL").select(*NAMES)
-            self._link(pairs.where("tree"))
-            rest = _apart(pairs.where("NOT tree").select("a", "b"), self.components, "a", "b").where("a_c <> b_c").select("a", "b")
-            self._link(rest)
             if last or large.isEmpty():
                 remove_written(self.spark, own)
                 return
-            children = materialize(child_nodes(_apart(large, self.components, "cid").drop("comp").withColumnRenamed("cid_c", "comp")), "child_nodes", self.scratch)
+            open_rows = materialize(self._open_rows(large), "open_nodes", own)
+            outsiders = materialize(compare_outsiders(open_rows.where(f"n_outside <= {LEAF}")), "outsiders", own)
+            self._link_all(outsiders)
+            rows = materialize(child_nodes(open_rows.where(f"n_outside > {LEAF}")), "child_nodes", self.scratch)
             remove_written(self.spark, own)
-            # nodes whose members are all connected are done
-            open_nodes = children.groupBy("node").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("node")
-            rows = children.join(open_nodes, "node").select(*NAMES)
+            if rows.isEmpty():
+                return
             level += 1
 
+    def _open_rows(self, large: DataFrame) -> DataFrame:
+        """Rows of the nodes that hold several components, with ``outside`` (not of the node's main one) and ``n_outside``."""
+        now = _apart(large, self.components, "cid").drop("comp").withColumnRenamed("cid_c", "comp")
+        parts = now.groupBy("node", "comp").agg(F.count("*").alias("n"))
+        nodes = parts.groupBy("node").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), (F.sum("n") - F.max("n")).alias("n_outside"))
+        return now.join(nodes.where("n_outside > 0"), "node").withColumn("outside", F.col("comp") != F.col("main"))
+
+    def _link_all(self, pairs: DataFrame) -> None:
+        """Confirm a spanning forest of the proposed pairs, then those other pairs whose ends are still apart."""
+        self._link(pairs.where("tree").select("a", "b"))
+        rest = _apart(pairs.where("NOT tree").select("a", "b"), self.components, "a", "b")
+        self._link(rest.where("a_c <> b_c").select("a", "b"))
+
     def _link(self, pairs: DataFrame) -> None:
+        if pairs.isEmpty():
+            return
         links = confirmed(pairs, self.docs, self.scratch)
         if not links.isEmpty():
             self._connect(links)
