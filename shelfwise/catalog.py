@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from shelfwise.functions import presented
 from shelfwise.operators import assessment as E
 from shelfwise.operators import cadence as E12
 from shelfwise.operators import dashboard as G
@@ -16,17 +17,19 @@ from shelfwise.operators import quality as A
 from shelfwise.operators import rollup as C1
 from shelfwise.operators import segments as C
 from shelfwise.pipeline import InventoryPipeline
+from shelfwise.sources.inventory import RAW_COLUMNS
 
 Builder = Callable[[InventoryPipeline], DataFrame]
 
 
 def _by_label(p: InventoryPipeline, entity: str, label: str, keep_id: bool = False) -> DataFrame:
-    return B.kpi_by_label(p.kpi_base(labels=False), p.label_maps, entity, label, keep_id)
+    return B.kpi_by_label(p.kpi_base(labels=False), entity, label, keep_id)
 
-CATALOG: dict[str, Builder] = {
+
+_BUILDERS: dict[str, Builder] = {
     # A: sources, audit, cleaning
-    "inventory_raw": lambda p: p.source,
-    "audit_summary": lambda p: A.audit_summary(p.raw),
+    "inventory_raw": lambda p: p.source.select(*RAW_COLUMNS),
+    "audit_summary": lambda p: A.audit_summary(p.raw, p.audit_pairs),
     "product_map": lambda p: p.product_map,
     "store_map": lambda p: p.store_map,
     "inventory_clean": lambda p: p.clean,
@@ -34,10 +37,10 @@ CATALOG: dict[str, Builder] = {
     "negative_forecast_rows": lambda p: A.negative_forecast_rows(p.clean),
     "map_conflicts": lambda p: A.map_conflicts(p.source),
     # B: KPI layer
-    "kpi_null_check": lambda p: A.kpi_null_check(p.clean),
+    "kpi_null_check": lambda p: A.kpi_null_check(p.clean_unlabelled(), p.label_maps),
     "kpi_bad_numeric_rows": lambda p: A.kpi_bad_numeric_rows(p.clean),
     "kpi_base": lambda p: p.kpi_base(),
-    "kpi_base_preview": lambda p: B.kpi_base_preview(p.kpi_base()),
+    "kpi_base_preview": lambda p: B.kpi_base_preview(p.kpi_base(labels=False), p.label_maps),
     "kpi_overall": lambda p: B.kpi_overall(p.kpi_base(labels=False)),
     "kpi_monthly": lambda p: B.kpi_monthly(p.kpi_base(labels=False)),
     "kpi_category": lambda p: _by_label(p, "product", "category_clean"),
@@ -47,8 +50,8 @@ CATALOG: dict[str, Builder] = {
     "check_total_units_sold": lambda p: B.check_total_units_sold(p.clean_unlabelled()),
     "check_total_units_ordered": lambda p: B.check_total_units_ordered(p.clean_unlabelled()),
     "check_flag_totals": lambda p: B.check_flag_totals(p.kpi_base(labels=False)),
-    "lowest_cover_rows": lambda p: B.lowest_cover_rows(p.kpi_base()),
-    "highest_cover_rows": lambda p: B.highest_cover_rows(p.kpi_base()),
+    "lowest_cover_rows": lambda p: B.lowest_cover_rows(p.kpi_base(labels=False), p.label_maps),
+    "highest_cover_rows": lambda p: B.highest_cover_rows(p.kpi_base(labels=False), p.label_maps),
     "forecast_error_stats": lambda p: B.forecast_error_stats(p.kpi_base(labels=False)),
     "check_wape_bias": lambda p: B.check_wape_bias(p.kpi_base(labels=False)),
     # C: segmentation
@@ -60,27 +63,27 @@ CATALOG: dict[str, Builder] = {
     "abc_distribution": lambda p: C.abc_distribution(p.segments),
     "velocity_distribution": lambda p: C.velocity_distribution(p.segments),
     "forecast_distribution": lambda p: C.forecast_distribution(p.segments),
-    "position_distribution": lambda p: C.position_distribution(p.segments),
+    "position_distribution": lambda p: C.position_distribution(p.positions),
     "segment_null_labels": lambda p: C.segment_null_labels(p.segments),
     "segment_master": lambda p: C.segment_master(p.segments),
     "abc_summary": lambda p: C.abc_summary(p.segments),
     "velocity_summary": lambda p: C.velocity_summary(p.segments),
     "forecast_summary": lambda p: C.forecast_summary(p.segments),
-    "position_summary": lambda p: C.position_summary(p.segments),
+    "position_summary": lambda p: C.position_summary(p.positions),
     # D: policy diagnosis
     "order_metrics": lambda p: C1.order_metrics(p.rollup),
     "policy_diagnosis": lambda p: p.policy,
-    "policy_row_count": lambda p: D.policy_row_count(p.policy),
+    "policy_row_count": lambda p: D.policy_row_count(p.policy_labels),
     "policy_top20": lambda p: D.policy_top20(p.policy),
-    "policy_status_distribution": lambda p: D.policy_status_distribution(p.policy),
-    "root_cause_distribution": lambda p: D.root_cause_distribution(p.policy),
-    "priority_distribution": lambda p: D.priority_distribution(p.policy),
+    "policy_status_distribution": lambda p: D.policy_status_distribution(p.policy_labels),
+    "root_cause_distribution": lambda p: D.root_cause_distribution(p.policy_labels),
+    "priority_distribution": lambda p: D.priority_distribution(p.policy_labels),
     "policy_null_labels": lambda p: D.policy_null_labels(p.policy),
     "diagnosis_master": lambda p: D.diagnosis_master(p.policy),
-    "policy_status_summary": lambda p: D.policy_status_summary(p.policy),
-    "root_cause_summary": lambda p: D.root_cause_summary(p.policy),
-    "category_policy_summary": lambda p: D.category_policy_summary(p.policy),
-    "region_policy_summary": lambda p: D.region_policy_summary(p.policy),
+    "policy_status_summary": lambda p: D.policy_status_summary(p.policy_labels),
+    "root_cause_summary": lambda p: D.root_cause_summary(p.policy_labels),
+    "category_policy_summary": lambda p: D.category_policy_summary(p.policy_labels),
+    "region_policy_summary": lambda p: D.region_policy_summary(p.policy_labels),
     "high_priority_items": lambda p: D.high_priority_items(p.policy),
     # E: cadence and assessment
     "order_events": lambda p: E12.order_events(p.kpi_base(labels=False)),
@@ -124,9 +127,15 @@ CATALOG: dict[str, Builder] = {
     "dash_trigger_counts": lambda p: G.dash_trigger_counts(p.assessment),
 }
 
-# Marts written by the export step (G9), as published: segment, diagnosis,
-# assessment and impact exports plus their summaries, and the dashboard data.
+# exact decimals inside, doubles in what a query shows
+CATALOG: dict[str, Builder] = {name: (lambda p, f=f: presented(f(p))) for name, f in _BUILDERS.items()}
+
+# Tables written by the export step (G9), as published: the cleaned model
+# tables and KPI summaries, segment, diagnosis, assessment and impact exports
+# plus their summaries, and the dashboard data.
 EXPORT_MARTS = [
+    "product_map", "store_map", "inventory_clean",
+    "kpi_overall", "kpi_monthly", "kpi_category", "kpi_region", "kpi_store", "kpi_product",
     "segment_master", "abc_summary", "velocity_summary", "forecast_summary", "position_summary",
     "diagnosis_master", "policy_status_summary", "root_cause_summary",
     "category_policy_summary", "region_policy_summary", "high_priority_items",
@@ -143,8 +152,34 @@ def build(name: str, pipeline: InventoryPipeline) -> DataFrame:
     return CATALOG[name](pipeline)
 
 
+# the layered views by name: what a user of the analysis queries with SQL
+VIEWS = {
+    "inventory_clean": "inventory_clean",
+    "kpi_base": "kpi_base",
+    "sku_store_summary": "sku_store_summary",
+    "inventory_segments": "inventory_segments",
+    "policy_diagnosis": "policy_diagnosis",
+    "order_cadence": "order_cadence",
+    "replenishment_base": "replenishment_base",
+    "reorder_assessment": "reorder_assessment",
+    "business_impact": "business_impact",
+}
+
+
+def register_views(pipeline: InventoryPipeline, prefix: str = "") -> list[str]:
+    """Register the layered views as temporary views of the pipeline's session; returns their names."""
+    for view, name in VIEWS.items():
+        CATALOG[name](pipeline).createOrReplaceTempView(f"{prefix}{view}")
+    return [f"{prefix}{view}" for view in VIEWS]
+
+
 def export_marts(pipeline: InventoryPipeline, out_dir: str, fmt: str = "parquet") -> dict[str, str]:
-    """Write every export mart from one build of the pipeline."""
+    """Write every export table from one build of the pipeline.
+
+    Many tables read the pair-level stages, so these are written once,
+    whatever the pipeline was set to.
+    """
     from shelfwise.sources.sinks import export_marts as _write
 
+    pipeline.materialize_stages = True
     return _write({n: build(n, pipeline) for n in EXPORT_MARTS}, out_dir, fmt=fmt)

@@ -39,8 +39,6 @@ class Thresholds:
     # ABC cut-offs on the cumulative sales share
     abc_a: float = 0.80
     abc_b: float = 0.95
-    # number of tiles for velocity and forecast-quality ranking
-    tiles: int = 3
 
     @property
     def low_cover_pct(self) -> float:
@@ -57,6 +55,9 @@ class Thresholds:
 
 DEFAULT = Thresholds()
 
+# Velocity and forecast quality have three labels each, hence three tiles.
+TILES = 3
+
 # ---------------------------------------------------------------------------
 # Label strings that must equal the published analysis
 # exactly (dashboards and downstream filters match on them).

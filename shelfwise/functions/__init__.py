@@ -2,9 +2,11 @@ from shelfwise.functions.numeric import (
     count_if,
     flag,
     lit,
+    modal,
     num,
     order_case,
     pct,
+    presented,
     round_half_up,
     safe_div,
     select_list,
@@ -13,6 +15,6 @@ from shelfwise.functions.numeric import (
 )
 
 __all__ = [
-    "count_if", "flag", "lit", "num", "order_case", "pct", "round_half_up",
+    "count_if", "flag", "lit", "modal", "num", "order_case", "pct", "presented", "round_half_up",
     "safe_div", "select_list", "sql", "sum_if",
 ]

@@ -56,8 +56,20 @@ def count_if(cond: str) -> str:
     return f"CAST(SUM({flag(cond)}) AS BIGINT)"
 
 
-def sum_if(cond: str, value: str) -> str:
-    return f"CAST(SUM(CASE WHEN {cond} THEN {value} ELSE 0 END) AS BIGINT)"
+def sum_if(cond: str, value: str, kind: str = "BIGINT") -> str:
+    return f"CAST(SUM(CASE WHEN {cond} THEN {value} ELSE 0 END) AS {kind})"
+
+
+def modal(label: str, count: str) -> str:
+    """Aggregate: the most frequent non-null label, ties to the smallest."""
+    return f"min(CASE WHEN {label} IS NOT NULL THEN named_struct('neg', -{count}, 'label', {label}) END).label"
+
+
+def presented(df: DataFrame) -> DataFrame:
+    """Exact decimals shown as doubles."""
+    if not any(t.startswith("decimal") for _, t in df.dtypes):
+        return df
+    return df.selectExpr(*[f"CAST(`{n}` AS DOUBLE) AS `{n}`" if t.startswith("decimal") else f"`{n}`" for n, t in df.dtypes])
 
 
 def order_case(col: str, ordered: list[str]) -> str:

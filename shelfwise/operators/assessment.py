@@ -15,6 +15,7 @@ from shelfwise.functions import lit, num, round_half_up, select_list, sql
 from shelfwise.operators.cadence import CADENCE_COLUMNS
 from shelfwise.operators.rollup import REPLENISHMENT_COLUMNS, replenishment_columns
 
+# fixed values: the published column lists
 ASSESSMENT_LABELS = [
     "reorder_behavior_assessment", "safety_stock_behavior_assessment",
     "lead_time_behavior_proxy", "demand_variability_band",
@@ -126,8 +127,8 @@ def assessment_master(ra: DataFrame) -> DataFrame:
 
 
 _PROXY_SUMS = [
-    "CAST(sum(total_at_risk_units_proxy) AS BIGINT) AS total_at_risk_units_proxy",
-    "CAST(sum(total_excess_units_proxy) AS BIGINT) AS total_excess_units_proxy",
+    "CAST(sum(total_at_risk_units_proxy) AS DECIMAL(38,6)) AS total_at_risk_units_proxy",
+    "CAST(sum(total_excess_units_proxy) AS DECIMAL(38,6)) AS total_excess_units_proxy",
 ]
 
 

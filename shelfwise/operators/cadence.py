@@ -1,18 +1,18 @@
 """Order events and replenishment cadence.
 
-The reference formulation is ``LAG(date) OVER (PARTITION BY store,
-product ORDER BY date)`` over every order row.  A window partition is
-one task, so a pair with millions of duplicated rows would sit on one
-executor.  Here order rows are first combined per (pair, day) — a hash
-aggregate with map-side combine — so the window sees at most one row
-per calendar day per pair: its partition size is bounded by the number
-of days, not by the data volume.
-
-Consecutive-order gaps survive the collapse exactly: on a day holding
-``m`` orders, one order follows the previous order day and ``m - 1``
-follow an order on the same day (gap 0).  Order-size and gap moments
-are kept as exact integer sums, so mean and sample standard deviation
-are recovered without floating-point cancellation.
+The published formulation is LAG of the date over every order row of a
+pair, so a pair with millions of rows would sit in one task.  Here order
+rows are first combined per (pair, block of 64 days): the set of order
+days is a bit mask (``bit_or``), orders and sizes are sums.  That is one
+shuffle of the fact with map-side combine; everything after it handles at
+most one row per 64 calendar days and pair.
+
+Gaps survive exactly.  The gaps of a pair add up to last day minus first
+day, and repeated orders on a day add only zeros, so just the sum of
+squared gaps needs consecutive order days: inside a block they are
+neighbouring bits of the mask, across blocks the first bit here and the
+last bit before.  Order-size and gap moments stay exact integers until
+the final division.
 """
 
 from __future__ import annotations
@@ -28,40 +28,31 @@ CADENCE_COLUMNS = [
 
 _DEC = "DECIMAL(38,0)"
 
-ORDER_DAYS = f"""
-SELECT store_id, product_id, order_date, orders, size_sum, size_sumsq,
-       lag(order_date) OVER (PARTITION BY store_id, product_id ORDER BY order_date) AS prev_order_date
-FROM (
-  SELECT store_id, product_id, CAST(date AS DATE) AS order_date,
-         count(*) AS orders,
-         sum(CAST(units_ordered AS {_DEC})) AS size_sum,
-         sum(CAST(units_ordered AS {_DEC}) * CAST(units_ordered AS {_DEC})) AS size_sumsq
-  FROM {{kb}}
-  WHERE units_ordered > 0
-  GROUP BY store_id, product_id, CAST(date AS DATE)
-)
-"""
+BLOCK_DAYS = 64
 
 
 def order_events(kb: DataFrame) -> DataFrame:
-    """Order rows with the previous order day of the same pair.
+    """Order rows with the date of the order before them in the same pair.
 
-    Rows of one (pair, day) share that day's previous order day; where
-    a key is duplicated the reference gives it to one arbitrary copy and
-    the same day to the others (the gap statistics in E2 follow that).
-    The join is an equi-join on (pair, day) whose right side has one row
-    per key, so AQE's skew-join split handles a hot key on the left.
+    The first copy of a key follows the previous order day, every further
+    copy follows an order of the same day.  Copies are numbered inside
+    (pair, day), and the previous day comes from the distinct order days, so
+    neither window holds a pair's rows.
     """
     return sql(
-        f"""
-WITH days AS ({ORDER_DAYS})
-SELECT e.store_id, e.product_id, e.order_date, e.units_ordered, d.prev_order_date
-FROM (
-  SELECT store_id, product_id, CAST(date AS DATE) AS order_date, units_ordered
-  FROM {{kb}} WHERE units_ordered > 0
-) e
-LEFT JOIN days d
-  ON e.store_id = d.store_id AND e.product_id = d.product_id AND e.order_date = d.order_date
+        """
+WITH orders AS (
+  SELECT store_id, product_id, CAST(date AS DATE) AS order_date, units_ordered FROM {kb} WHERE units_ordered > 0
+), days AS (
+  SELECT *, lag(order_date) OVER (PARTITION BY store_id, product_id ORDER BY order_date) AS day_before
+  FROM (SELECT DISTINCT store_id, product_id, order_date FROM orders)
+), copies AS (
+  SELECT *, row_number() OVER (PARTITION BY store_id, product_id, order_date ORDER BY units_ordered) AS copy FROM orders
+)
+SELECT c.store_id, c.product_id, c.order_date, c.units_ordered,
+  CASE WHEN c.copy > 1 THEN c.order_date ELSE d.day_before END AS prev_order_date
+FROM copies c
+LEFT JOIN days d ON c.store_id <=> d.store_id AND c.product_id <=> d.product_id AND c.order_date = d.order_date
 """,
         kb=kb,
     )
@@ -85,16 +76,28 @@ def order_cadence_raw(kb: DataFrame) -> DataFrame:
     gap_mean, gap_sd = _mean_sd("(n - 1)", "gs", "gss")
     return sql(
         f"""
-WITH days AS ({ORDER_DAYS}),
-moments AS (
-  SELECT store_id, product_id,
-         CAST(sum(orders) AS BIGINT) AS n,
-         sum(size_sum) AS s,
-         sum(size_sumsq) AS ss,
-         coalesce(sum(CAST(datediff(order_date, prev_order_date) AS {_DEC})), CAST(0 AS {_DEC})) AS gs,
-         coalesce(sum(CAST(datediff(order_date, prev_order_date) AS {_DEC})
-                      * CAST(datediff(order_date, prev_order_date) AS {_DEC})), CAST(0 AS {_DEC})) AS gss
-  FROM days
+WITH blocks AS (
+  SELECT store_id, product_id, floor(day / {BLOCK_DAYS}) AS block, count(*) AS n,
+         CAST(sum(units_ordered) AS {_DEC}) AS s,
+         sum(CAST(units_ordered AS {_DEC}) * units_ordered) AS ss,
+         bit_or(shiftleft(1L, CAST(pmod(day, {BLOCK_DAYS}) AS INT))) AS days
+  FROM (SELECT *, datediff(CAST(date AS DATE), DATE'1970-01-01') AS day FROM {{kb}} WHERE units_ordered > 0)
+  GROUP BY store_id, product_id, floor(day / {BLOCK_DAYS})
+), placed AS (
+  -- order days of a block as day numbers, ascending
+  SELECT *, transform(filter(sequence(0, {BLOCK_DAYS - 1}), i -> getbit(days, i) = 1), i -> block * {BLOCK_DAYS} + i) AS at
+  FROM blocks
+), gaps AS (
+  SELECT *,
+    aggregate(sequence(1, size(at)), 0L,
+              (acc, i) -> acc + CASE WHEN i < size(at) THEN (get(at, i) - get(at, i - 1)) * (get(at, i) - get(at, i - 1)) ELSE 0L END) AS inside,
+    get(at, 0) - lag(get(at, size(at) - 1)) OVER (PARTITION BY store_id, product_id ORDER BY block) AS before
+  FROM placed
+), moments AS (
+  SELECT store_id, product_id, CAST(sum(n) AS BIGINT) AS n, sum(s) AS s, sum(ss) AS ss,
+         CAST(max(get(at, size(at) - 1)) - min(get(at, 0)) AS {_DEC}) AS gs,
+         CAST(sum(inside + coalesce(before * before, 0)) AS {_DEC}) AS gss
+  FROM gaps
   GROUP BY store_id, product_id
 )
 SELECT store_id, product_id,

@@ -21,7 +21,7 @@ def dash_headline(bi: DataFrame) -> DataFrame:
         f"""
 SELECT CAST(sum(total_units_sold) AS BIGINT) AS total_units_sold,
   count(*) AS sku_store_combinations,
-  CAST(sum(primary_impact_units_proxy) AS BIGINT) AS primary_impact_units,
+  CAST(sum(primary_impact_units_proxy) AS DECIMAL(38,6)) AS primary_impact_units,
   {count_if(f"impact_theme = {lit(L.THEME_BURDEN)}")} AS operational_burden_items,
   {count_if(f"impact_priority = {lit(L.PRIORITY_HIGH)}")} AS high_priority_items,
   {round_half_up(f"100.0D * {excess_sales} / CAST(NULLIF(sum(total_units_sold), 0) AS DOUBLE)", 2)} AS excess_sales_share_pct
@@ -74,11 +74,11 @@ ORDER BY region_clean, {order_case('impact_priority', PRIORITY_ORDER)}
     )
 
 
-def _share(bi: DataFrame, dim: str, measure: str, total_name: str, pct_name: str) -> DataFrame:
+def _share(bi: DataFrame, dim: str, measure: str, total_name: str, pct_name: str, kind: str = "DECIMAL(38,6)") -> DataFrame:
     return sql(
         f"""
 WITH grouped AS (
-  SELECT {dim}, CAST(sum({measure}) AS BIGINT) AS {total_name} FROM {{bi}} GROUP BY {dim}
+  SELECT {dim}, CAST(sum({measure}) AS {kind}) AS {total_name} FROM {{bi}} GROUP BY {dim}
 )
 -- the grand total is a scalar subquery: one value, shipped to every task
 SELECT {dim}, {total_name},
@@ -103,7 +103,7 @@ def dash_impact_by_category(bi: DataFrame) -> DataFrame:
 
 def dash_sales_by_category(bi: DataFrame) -> DataFrame:
     """Units sold per category and share of the total."""
-    return _share(bi, "category_clean", "total_units_sold", "total_units_sold", "sales_share_pct")
+    return _share(bi, "category_clean", "total_units_sold", "total_units_sold", "sales_share_pct", "BIGINT")
 
 
 def dash_trigger_counts(ra: DataFrame) -> DataFrame:

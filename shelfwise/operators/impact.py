@@ -18,6 +18,7 @@ from shelfwise.operators.assessment import ASSESSMENT_LABELS, assessment_labels,
 from shelfwise.operators.policy import POLICY_LABELS, PRIORITY_ORDER, policy_labels
 from shelfwise.operators.rollup import replenishment_columns
 
+# fixed values: the published column lists
 IMPACT_COLUMNS = [
     "store_id", "product_id", "category_clean", "region_clean",
     "total_units_sold", "total_units_ordered", "avg_inventory_level", "avg_cover_days",
@@ -61,7 +62,7 @@ WITH ra AS (
          ELSE {lit(L.PRIORITY_LOW)} END AS impact_priority,
     CAST(CASE WHEN {excess} THEN total_excess_units_proxy
               WHEN {service} THEN total_at_risk_units_proxy
-              ELSE 0 END AS BIGINT) AS primary_impact_units_proxy
+              ELSE 0 END AS DECIMAL(38,6)) AS primary_impact_units_proxy
   FROM ra
 )
 SELECT {', '.join(IMPACT_COLUMNS[:-1])},
@@ -96,7 +97,7 @@ def _impact_dist(bi: DataFrame, keys: str, order: str) -> DataFrame:
         f"""
 SELECT {keys}, count(*) AS sku_store_count,
   CAST(sum(total_units_sold) AS BIGINT) AS total_units_sold,
-  CAST(sum(primary_impact_units_proxy) AS BIGINT) AS total_primary_impact_units_proxy
+  CAST(sum(primary_impact_units_proxy) AS DECIMAL(38,6)) AS total_primary_impact_units_proxy
 FROM {{bi}} GROUP BY {keys} ORDER BY {order}
 """,
         bi=bi,
@@ -137,13 +138,13 @@ SELECT count(*) AS total_sku_store_count,
   CAST(sum(total_units_sold) AS BIGINT) AS total_units_sold,
   {count_if(excess)} AS excess_item_count,
   {sum_if(excess, 'total_units_sold')} AS units_sold_in_excess_items,
-  {sum_if(excess, 'primary_impact_units_proxy')} AS excess_units_proxy_total,
+  {sum_if(excess, 'primary_impact_units_proxy', 'DECIMAL(38,6)')} AS excess_units_proxy_total,
   {count_if(service)} AS service_risk_item_count,
   {sum_if(service, 'total_units_sold')} AS units_sold_in_service_risk_items,
-  {sum_if(service, 'primary_impact_units_proxy')} AS at_risk_units_proxy_total,
+  {sum_if(service, 'primary_impact_units_proxy', 'DECIMAL(38,6)')} AS at_risk_units_proxy_total,
   {count_if(f"impact_theme = {lit(L.THEME_BURDEN)}")} AS operational_burden_item_count,
   {count_if(high)} AS high_priority_item_count,
-  {sum_if(high, 'primary_impact_units_proxy')} AS high_priority_impact_units_proxy,
+  {sum_if(high, 'primary_impact_units_proxy', 'DECIMAL(38,6)')} AS high_priority_impact_units_proxy,
   {share} AS sales_share_in_excess_items_pct
 FROM {{bi}}
 """,
@@ -157,7 +158,7 @@ def impact_theme_summary(bi: DataFrame) -> DataFrame:
         f"""
 SELECT impact_theme, count(*) AS sku_store_count,
   CAST(sum(total_units_sold) AS BIGINT) AS total_units_sold,
-  CAST(sum(primary_impact_units_proxy) AS BIGINT) AS total_primary_impact_units_proxy,
+  CAST(sum(primary_impact_units_proxy) AS DECIMAL(38,6)) AS total_primary_impact_units_proxy,
   {round_half_up('avg(avg_cover_days)', 2)} AS avg_cover_days,
   {round_half_up('avg(wape)', 4)} AS avg_wape,
   {round_half_up('avg(order_day_pct)', 2)} AS avg_order_day_pct

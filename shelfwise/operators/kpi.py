@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from shelfwise.functions import num, pct, round_half_up, safe_div, select_list, sql
+from shelfwise.functions import modal, num, pct, round_half_up, safe_div, select_list, sql
 
 KPI_BASE_COLUMNS = [
     "date", "store_id", "product_id", "category_clean", "region_clean",
@@ -25,6 +25,10 @@ def kpi_base(clean: DataFrame, low_cover_days: float = 1.0, high_cover_days: flo
     subexpression elimination hoists the division out of the CASE.
     """
     keep = [n for n in KPI_BASE_COLUMNS[:9] if n in clean.columns]
+    if "category_clean" not in keep:
+        keep += ["category", "region"]  # raw labels, for rollups that pick the canonical ones themselves
+    # the days of stock that are not excess, as an exact decimal
+    cover_cap = f"CAST({float(high_cover_days)!r} AS DECIMAL(10,4))"
     cover = f"CASE WHEN demand_forecast_clean > 0 THEN {safe_div('inventory_level', 'demand_forecast_clean')} END"
     return sql(
         f"""
@@ -36,7 +40,7 @@ SELECT {', '.join(keep)},
   CASE WHEN cover_days > {num(high_cover_days)} THEN 1 ELSE 0 END AS high_cover_flag,
   CASE WHEN inventory_level = 0 THEN 1 ELSE 0 END AS zero_inventory_flag,
   greatest(demand_forecast_clean - inventory_level, 0) AS at_risk_units_proxy,
-  greatest(inventory_level - 7 * demand_forecast_clean, 0) AS excess_units_proxy
+  greatest(inventory_level - {cover_cap} * demand_forecast_clean, 0) AS excess_units_proxy
 FROM (
   SELECT *, demand_forecast_clean - units_sold AS forecast_error, {cover} AS cover_days
   FROM {{clean}}
@@ -46,54 +50,6 @@ FROM (
     )
 
 
-def kpi_measures() -> list[str]:
-    """The measure list every KPI grain shares."""
-    return [
-        "CAST(sum(units_sold) AS BIGINT) AS total_units_sold",
-        f"{round_half_up('avg(inventory_level)', 2)} AS avg_inventory_level",
-        "CAST(sum(units_ordered) AS BIGINT) AS total_units_ordered",
-        f"{round_half_up(safe_div('sum(units_ordered)', 'sum(units_sold)'), 2)} AS replenishment_to_sales_ratio",
-        f"{round_half_up('avg(cover_days)', 2)} AS avg_cover_days",
-        f"{pct('avg(low_cover_flag)')} AS low_cover_pct",
-        f"{pct('avg(high_cover_flag)')} AS high_cover_pct",
-        f"{pct('avg(zero_inventory_flag)')} AS zero_inventory_pct",
-        f"{round_half_up(safe_div('sum(abs_forecast_error)', 'sum(units_sold)'), 4)} AS wape",
-        f"{round_half_up(safe_div('sum(forecast_error)', 'sum(units_sold)'), 4)} AS forecast_bias",
-        "CAST(sum(at_risk_units_proxy) AS BIGINT) AS total_at_risk_units_proxy",
-        "CAST(sum(excess_units_proxy) AS BIGINT) AS total_excess_units_proxy",
-    ]
-
-
-def _rollup(kb: DataFrame, keys: list[str], key_exprs: list[str] | None = None, order: str | None = None) -> DataFrame:
-    key_exprs = key_exprs or keys
-    items = [f"{e} AS {k}" for e, k in zip(key_exprs, keys)] + kpi_measures()
-    group = f"GROUP BY {', '.join(key_exprs)}" if keys else ""
-    if order is None and keys:
-        order = "total_units_sold DESC NULLS FIRST, " + ", ".join(keys)
-    order_by = f"ORDER BY {order}" if order else ""
-    return sql(f"SELECT {select_list(items)} FROM {{kb}} {group} {order_by}", kb=kb)
-
-
-def kpi_overall(kb: DataFrame) -> DataFrame:
-    """The twelve measures over all rows."""
-    return _rollup(kb, [])
-
-
-def kpi_monthly(kb: DataFrame) -> DataFrame:
-    """Measures per calendar month."""
-    return _rollup(kb, ["month"], ["trunc(date, 'MM')"], order="month")
-
-
-def kpi_category(kb: DataFrame) -> DataFrame:
-    """B7."""
-    return _rollup(kb, ["category_clean"])
-
-
-def kpi_region(kb: DataFrame) -> DataFrame:
-    """B8."""
-    return _rollup(kb, ["region_clean"])
-
-
 # Mergeable partial sums of M1-M12: a rollup by id combines these exactly
 # (integer sums) or up to summation order (the cover-days sum).
 _PARTIALS = [
@@ -114,47 +70,72 @@ _PARTIALS = [
 ]
 
 
-def _merged_measures() -> list[str]:
+def kpi_measures(merge: bool) -> list[str]:
+    """M1-M12, the measure list of every KPI grain, over partial sums that are still to be merged or already are."""
+
+    def t(name: str) -> str:
+        return f"sum({name})" if merge else name
+
     return [
-        "CAST(sum(sold) AS BIGINT) AS total_units_sold",
-        f"{round_half_up(safe_div('sum(inv_sum)', 'sum(inv_n)'), 2)} AS avg_inventory_level",
-        "CAST(sum(ordered) AS BIGINT) AS total_units_ordered",
-        f"{round_half_up(safe_div('sum(ordered)', 'sum(sold)'), 2)} AS replenishment_to_sales_ratio",
-        f"{round_half_up(safe_div('sum(cover_sum)', 'sum(cover_n)'), 2)} AS avg_cover_days",
-        f"{pct(safe_div('sum(low_n)', 'sum(n)'))} AS low_cover_pct",
-        f"{pct(safe_div('sum(high_n)', 'sum(n)'))} AS high_cover_pct",
-        f"{pct(safe_div('sum(zero_n)', 'sum(n)'))} AS zero_inventory_pct",
-        f"{round_half_up(safe_div('sum(abs_err)', 'sum(sold)'), 4)} AS wape",
-        f"{round_half_up(safe_div('sum(err)', 'sum(sold)'), 4)} AS forecast_bias",
-        "CAST(sum(at_risk) AS BIGINT) AS total_at_risk_units_proxy",
-        "CAST(sum(excess) AS BIGINT) AS total_excess_units_proxy",
+        f"CAST({t('sold')} AS BIGINT) AS total_units_sold",
+        f"{round_half_up(safe_div(t('inv_sum'), t('inv_n')), 2)} AS avg_inventory_level",
+        f"CAST({t('ordered')} AS BIGINT) AS total_units_ordered",
+        f"{round_half_up(safe_div(t('ordered'), t('sold')), 2)} AS replenishment_to_sales_ratio",
+        f"{round_half_up(safe_div(t('cover_sum'), t('cover_n')), 2)} AS avg_cover_days",
+        f"{pct(safe_div(t('low_n'), t('n')))} AS low_cover_pct",
+        f"{pct(safe_div(t('high_n'), t('n')))} AS high_cover_pct",
+        f"{pct(safe_div(t('zero_n'), t('n')))} AS zero_inventory_pct",
+        f"{round_half_up(safe_div(t('abs_err'), t('sold')), 4)} AS wape",
+        f"{round_half_up(safe_div(t('err'), t('sold')), 4)} AS forecast_bias",
+        f"CAST({t('at_risk')} AS DECIMAL(38,6)) AS total_at_risk_units_proxy",
+        f"CAST({t('excess')} AS DECIMAL(38,6)) AS total_excess_units_proxy",
     ]
 
 
-def kpi_by_label(kb: DataFrame, maps: DataFrame, entity: str, label: str, keep_id: bool = False) -> DataFrame:
-    """B7/B8/B10 without joining the labels to the fact.
+def _rollup(kb: DataFrame, keys: list[str], key_exprs: list[str] | None = None, order: str | None = None) -> DataFrame:
+    key_exprs = key_exprs or keys
+    named = [f"{e} AS {k}" for e, k in zip(key_exprs, keys)]
+    group = f"GROUP BY {', '.join(key_exprs)}" if keys else ""
+    if order is None and keys:
+        order = "total_units_sold DESC NULLS FIRST, " + ", ".join(keys)
+    order_by = f"ORDER BY {order}" if order else ""
+    # one row per key: the measures are plain expressions over its sums
+    return sql(f"SELECT {select_list([*keys, *kpi_measures(merge=False)])} FROM (SELECT {select_list([*named, *_PARTIALS])} FROM {{kb}} {group}) {order_by}", kb=kb)
+
+
+def kpi_overall(kb: DataFrame) -> DataFrame:
+    """The twelve measures over all rows."""
+    return _rollup(kb, [])
+
+
+def kpi_monthly(kb: DataFrame) -> DataFrame:
+    """Measures per calendar month."""
+    return _rollup(kb, ["month"], ["trunc(date, 'MM')"], order="month")
 
-    The unlabelled KPI rows are first combined per id (product or store,
-    partial aggregation per task), the canonical label is attached to
-    those per-id rows, and the partial sums are merged per label.
+
+def kpi_by_label(kb: DataFrame, entity: str, label: str, keep_id: bool = False) -> DataFrame:
+    """B7/B8/B10 from one scan, without joining labels to the fact.
+
+    The rows are combined per (id, raw label); the id's canonical label is
+    the one most of its rows carry, picked over those few rows, and the
+    partial sums are merged per canonical label.
     """
-    id_col = "product_id" if entity == "product" else "store_id"
+    id_col, raw_label = ("product_id", "category") if entity == "product" else ("store_id", "region")
     keys = [id_col, label] if keep_id else [label]
-    items = [*(f"p.{k}" if k == id_col else f"m.label AS {label}" for k in keys), *_merged_measures()]
-    group = ", ".join(f"p.{k}" if k == id_col else "m.label" for k in keys)
+    merged = [f"sum({p.split(' AS ')[1]}) AS {p.split(' AS ')[1]}" for p in _PARTIALS]
     return sql(
         f"""
-WITH per_id AS (
-  SELECT {id_col}, {', '.join(_PARTIALS)} FROM {{kb}} GROUP BY {id_col}
+WITH per_label AS (
+  SELECT {id_col}, {raw_label} AS raw_label, {', '.join(_PARTIALS)} FROM {{kb}} GROUP BY {id_col}, {raw_label}
+), per_id AS (
+  SELECT {id_col}, {modal('raw_label', 'n')} AS {label}, {', '.join(merged)} FROM per_label GROUP BY {id_col}
 )
-SELECT {select_list(items)}
-FROM per_id p
-LEFT JOIN (SELECT id, label FROM {{maps}} WHERE entity = '{entity}') m ON p.{id_col} = m.id
-GROUP BY {group}
+SELECT {select_list([*keys, *kpi_measures(merge=True)])}
+FROM per_id
+GROUP BY {', '.join(keys)}
 ORDER BY total_units_sold DESC NULLS FIRST, {', '.join(keys)}
 """,
         kb=kb,
-        maps=maps,
     )
 
 
@@ -163,14 +144,26 @@ def kpi_store(kb: DataFrame) -> DataFrame:
     return _rollup(kb, ["store_id"])
 
 
-def kpi_product(kb: DataFrame) -> DataFrame:
-    """B10."""
-    return _rollup(kb, ["product_id", "category_clean"])
+def _top_rows(kb: DataFrame, maps: DataFrame, where: str, order: str, n: int) -> DataFrame:
+    """The first ``n`` KPI rows in an order; labels are looked up for those rows only."""
+    top = sql(f"SELECT * FROM {{kb}} {where} ORDER BY {order} LIMIT {n}", kb=kb)
+    named = [f"pm.label AS {c}" if c == "category_clean" else f"sm.label AS {c}" if c == "region_clean" else f"t.{c}" for c in KPI_BASE_COLUMNS]
+    return sql(
+        f"""
+SELECT {', '.join(named)}
+FROM {{top}} t
+LEFT JOIN (SELECT id, label FROM {{maps}} WHERE entity = 'product') pm ON t.product_id = pm.id
+LEFT JOIN (SELECT id, label FROM {{maps}} WHERE entity = 'store') sm ON t.store_id = sm.id
+ORDER BY {order}
+""",
+        top=top,
+        maps=maps,
+    )
 
 
-def kpi_base_preview(kb: DataFrame, n: int = 20) -> DataFrame:
+def kpi_base_preview(kb: DataFrame, maps: DataFrame, n: int = 20) -> DataFrame:
     """First rows of the KPI base in key order (top-k, not a sort)."""
-    return sql(f"SELECT * FROM {{kb}} ORDER BY date, store_id, product_id LIMIT {n}", kb=kb)
+    return _top_rows(kb, maps, "", "date, store_id, product_id", n)
 
 
 def check_total_units_sold(clean: DataFrame) -> DataFrame:
@@ -196,22 +189,14 @@ FROM {kb}
     )
 
 
-def lowest_cover_rows(kb: DataFrame, n: int = 20) -> DataFrame:
+def lowest_cover_rows(kb: DataFrame, maps: DataFrame, n: int = 20) -> DataFrame:
     """The n rows with the lowest defined cover (key tie-break)."""
-    return sql(
-        f"SELECT * FROM {{kb}} WHERE cover_days IS NOT NULL "
-        f"ORDER BY cover_days, date, store_id, product_id LIMIT {n}",
-        kb=kb,
-    )
+    return _top_rows(kb, maps, "WHERE cover_days IS NOT NULL", "cover_days, date, store_id, product_id", n)
 
 
-def highest_cover_rows(kb: DataFrame, n: int = 20) -> DataFrame:
+def highest_cover_rows(kb: DataFrame, maps: DataFrame, n: int = 20) -> DataFrame:
     """The n rows with the highest defined cover (key tie-break)."""
-    return sql(
-        f"SELECT * FROM {{kb}} WHERE cover_days IS NOT NULL "
-        f"ORDER BY cover_days DESC, date, store_id, product_id LIMIT {n}",
-        kb=kb,
-    )
+    return _top_rows(kb, maps, "WHERE cover_days IS NOT NULL", "cover_days DESC, date, store_id, product_id", n)
 
 
 def forecast_error_stats(kb: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from shelfwise.functions import lit, num, order_case, pct, round_half_up, select
 PRIORITY_ORDER = [L.PRIORITY_HIGH, L.PRIORITY_MEDIUM, L.PRIORITY_LOW]
 POLICY_LABELS = ["policy_status", "root_cause_hint", "priority_band"]
 
+# fixed values: the published column lists
 POLICY_COLUMNS = [
     "store_id", "product_id", "category_clean", "region_clean",
     "total_units_sold", "total_units_ordered", "avg_order_size_on_order_days",
@@ -60,8 +61,15 @@ def policy_labels(t: Thresholds = DEFAULT) -> list[str]:
     ]
 
 
-def policy_diagnosis(seg: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    """Rounded pair measures, segment labels and the three policy labels."""
+SEGMENTS = ["abc_segment", "velocity_segment", "forecast_segment", "inventory_position_segment"]
+
+
+def policy_diagnosis(pairs: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """Rounded pair measures, segment labels and the three policy labels.
+
+    On the pair rollup instead of the segments it gives all but the segment
+    labels, which is what the distributions and summaries read.
+    """
     r = round_half_up
     cols = [
         "store_id", "product_id", "category_clean", "region_clean",
@@ -78,10 +86,10 @@ def policy_diagnosis(seg: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
         f"{r('wape', 4)} AS wape",
         f"{r('forecast_bias', 4)} AS forecast_bias",
         "total_at_risk_units_proxy", "total_excess_units_proxy",
-        "abc_segment", "velocity_segment", "forecast_segment", "inventory_position_segment",
+        *(c for c in SEGMENTS if c in pairs.columns),
         *policy_labels(t),
     ]
-    return sql(f"SELECT {select_list(cols)} FROM {{seg}}", seg=seg)
+    return sql(f"SELECT {select_list(cols)} FROM {{pairs}}", pairs=pairs)
 
 
 _BY_SALES = "total_units_sold DESC NULLS FIRST, product_id, store_id"
@@ -144,8 +152,8 @@ SELECT policy_status, count(*) AS sku_store_count,
   CAST(sum(total_units_sold) AS BIGINT) AS total_units_sold,
   {round_half_up('avg(avg_cover_days)', 2)} AS avg_cover_days,
   {round_half_up('avg(wape)', 4)} AS avg_wape,
-  CAST(sum(total_at_risk_units_proxy) AS BIGINT) AS total_at_risk_units_proxy,
-  CAST(sum(total_excess_units_proxy) AS BIGINT) AS total_excess_units_proxy
+  CAST(sum(total_at_risk_units_proxy) AS DECIMAL(38,6)) AS total_at_risk_units_proxy,
+  CAST(sum(total_excess_units_proxy) AS DECIMAL(38,6)) AS total_excess_units_proxy
 FROM {{pd}} GROUP BY policy_status ORDER BY policy_status
 """,
         pd=pd,
@@ -160,8 +168,8 @@ SELECT root_cause_hint, count(*) AS sku_store_count,
   CAST(sum(total_units_sold) AS BIGINT) AS total_units_sold,
   {round_half_up('avg(wape)', 4)} AS avg_wape,
   {round_half_up('avg(replenishment_to_sales_ratio)', 2)} AS avg_replenishment_to_sales_ratio,
-  CAST(sum(total_at_risk_units_proxy) AS BIGINT) AS total_at_risk_units_proxy,
-  CAST(sum(total_excess_units_proxy) AS BIGINT) AS total_excess_units_proxy
+  CAST(sum(total_at_risk_units_proxy) AS DECIMAL(38,6)) AS total_at_risk_units_proxy,
+  CAST(sum(total_excess_units_proxy) AS DECIMAL(38,6)) AS total_excess_units_proxy
 FROM {{pd}} GROUP BY root_cause_hint ORDER BY root_cause_hint
 """,
         pd=pd,
@@ -173,8 +181,8 @@ def _two_way(pd: DataFrame, dim: str) -> DataFrame:
         f"""
 SELECT {dim}, policy_status, count(*) AS sku_store_count,
   CAST(sum(total_units_sold) AS BIGINT) AS total_units_sold,
-  CAST(sum(total_at_risk_units_proxy) AS BIGINT) AS total_at_risk_units_proxy,
-  CAST(sum(total_excess_units_proxy) AS BIGINT) AS total_excess_units_proxy
+  CAST(sum(total_at_risk_units_proxy) AS DECIMAL(38,6)) AS total_at_risk_units_proxy,
+  CAST(sum(total_excess_units_proxy) AS DECIMAL(38,6)) AS total_excess_units_proxy
 FROM {{pd}} GROUP BY {dim}, policy_status ORDER BY {dim}, policy_status
 """,
         pd=pd,

@@ -4,34 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from shelfwise.functions import count_if, flag, select_list, sql
-from shelfwise.plans.joins import lookup_join
-from shelfwise.sources.inventory import RAW_COLUMNS
+from shelfwise.functions import count_if, flag, modal, select_list, sql
+from shelfwise.sources.inventory import RAW_COLUMNS, REJECTED
 
 KEY = ["date", "store_id", "product_id"]
 CLEAN_COLUMNS = RAW_COLUMNS + ["category_clean", "region_clean", "demand_forecast_clean"]
+# shown only: rows are compared by the three columns, which may hold the delimiter or NULL
 ROW_KEY = "concat_ws('|', CAST(date AS STRING), store_id, product_id)"
+# both (id, label) pairs of a row in one pass
+LABELLED = "stack(2, 'product', product_id, category, 'store', store_id, region) AS (entity, id, label)"
 
 
 def label_maps(raw: DataFrame) -> DataFrame:
-    """A3 + A4 in one pass: canonical label per id, the most frequent one,
+    """A3 + A4 in one scan: canonical label per id, the most frequent one,
     ties to the smallest (entity, id, label).
 
     Two aggregations, no window: (id, label) counts are combined map-side,
     so an id that owns a third of all rows costs one partial row per task;
-    the second step picks ``min((-count, label))`` per id.
+    the second step picks the modal label per id.  ``raw`` may already be
+    grouped, with the rows of a group in a column ``n``.
     """
+    n = "sum(n)" if "n" in raw.columns else "count(*)"
+    carried = ", n" if "n" in raw.columns else ""
     return sql(
-        """
-WITH labelled AS (
-  SELECT 'product' AS entity, product_id AS id, category AS label FROM {raw} WHERE category IS NOT NULL
-  UNION ALL
-  SELECT 'store' AS entity, store_id AS id, region AS label FROM {raw} WHERE region IS NOT NULL
-), counts AS (
-  SELECT entity, id, label, count(*) AS n FROM labelled GROUP BY entity, id, label
+        f"""
+SELECT entity, id, {modal('label', 'n')} AS label
+FROM (
+  SELECT entity, id, label, {n} AS n
+  FROM (SELECT {LABELLED}{carried} FROM {{raw}})
+  WHERE label IS NOT NULL
+  GROUP BY entity, id, label
 )
-SELECT entity, id, min(named_struct('neg_n', -n, 'label', label)).label AS label
-FROM counts
 GROUP BY entity, id
 """,
         raw=raw,
@@ -59,22 +62,15 @@ def clean_forecast(mode: str = "zero") -> str:
     raise ValueError(f"negative_forecast must be 'zero' or 'null', got {mode!r}")
 
 
-def inventory_clean(
-    raw: DataFrame,
-    pmap: DataFrame,
-    smap: DataFrame,
-    pmap_rows: int,
-    smap_rows: int,
-    negative_forecast: str = "zero",
-) -> DataFrame:
+def inventory_clean(raw: DataFrame, pmap: DataFrame, smap: DataFrame, negative_forecast: str = "zero") -> DataFrame:
     """A5: raw rows + category_clean, region_clean, demand_forecast_clean.
 
     Left joins keep every raw row (an id without a usable label gets
-    NULL).  The maps have one row per id and their exact row counts
-    decide whether they are broadcast.
+    NULL).  The maps are written tables of one row per id: the planner
+    knows their bytes, broadcasts them below the session's threshold and
+    otherwise joins by shuffle, where AQE splits a hot id.
     """
-    df = lookup_join(raw, pmap, ["product_id"], pmap_rows)
-    df = lookup_join(df, smap, ["store_id"], smap_rows)
+    df = raw.join(pmap, "product_id", "left").join(smap, "store_id", "left")
     return df.selectExpr(
         *RAW_COLUMNS,
         "category_clean",
@@ -85,17 +81,19 @@ def inventory_clean(
 
 def duplicate_keys(raw: DataFrame) -> DataFrame:
     """Row keys that occur more than once, with their multiplicity."""
-    return sql(
-        f"SELECT {ROW_KEY} AS Row_Key, count(*) AS key_rows FROM {{raw}} GROUP BY 1 HAVING count(*) > 1",
-        raw=raw,
-    )
+    keys = ", ".join(KEY)
+    return sql(f"SELECT {keys}, count(*) AS key_rows FROM {{raw}} GROUP BY {keys} HAVING count(*) > 1", raw=raw)
 
 
-def quality_flags(clean: DataFrame, dup_keys: DataFrame, dup_key_rows: int) -> DataFrame:
+def quality_flags(clean: DataFrame, dup_keys: DataFrame) -> DataFrame:
     """The cleaned table with its row key and 12 quality flags."""
     bad = lambda n: f"{n} IS NULL OR {n} < 0"
-    keyed = clean.selectExpr("*", f"{ROW_KEY} AS Row_Key")
-    flagged = lookup_join(keyed, dup_keys.selectExpr("Row_Key", "1 AS _dup"), ["Row_Key"], dup_key_rows)
+    on = " AND ".join(f"c.{k} <=> d.{k}" for k in KEY)
+    flagged = sql(
+        f"SELECT c.*, CASE WHEN d.key_rows IS NOT NULL THEN 1 END AS _dup FROM {{c}} c LEFT JOIN {{d}} d ON {on}",
+        c=clean.selectExpr("*", f"{ROW_KEY} AS Row_Key"),
+        d=dup_keys,
+    )
     return flagged.selectExpr(
         *CLEAN_COLUMNS,
         "Row_Key",
@@ -118,53 +116,54 @@ def quality_flags(clean: DataFrame, dup_keys: DataFrame, dup_key_rows: int) -> D
 def map_conflicts(raw: DataFrame) -> DataFrame:
     """Ids carrying more than one raw label (entity, entity_id, label_count)."""
     return sql(
-        """
-WITH pairs AS (
-  SELECT DISTINCT 'product' AS entity, product_id AS entity_id, category AS label
-  FROM {raw} WHERE category IS NOT NULL
-  UNION ALL
-  SELECT DISTINCT 'store' AS entity, store_id AS entity_id, region AS label
-  FROM {raw} WHERE region IS NOT NULL
-)
-SELECT entity, entity_id, count(*) AS label_count
-FROM pairs
-GROUP BY entity, entity_id
+        f"""
+SELECT entity, id AS entity_id, count(*) AS label_count
+FROM (SELECT DISTINCT entity, id, label FROM (SELECT {LABELLED} FROM {{raw}}) WHERE label IS NOT NULL)
+GROUP BY entity, id
 HAVING count(*) > 1
 """,
         raw=raw,
     )
 
 
-def audit_summary(raw: DataFrame) -> DataFrame:
-    """A2: one row of audit counts over the raw table."""
-    missing = " + ".join(count_if(f"{n} IS NULL") for n in RAW_COLUMNS)
+def audit_pairs(raw: DataFrame) -> DataFrame:
+    """Everything the audit needs but repeated keys, per (product, store): a pair-level table from one scan."""
+    missing = " + ".join(flag(f"{n} IS NULL") for n in RAW_COLUMNS)
+    rejected = REJECTED if REJECTED in raw.columns else "0"
     return sql(
         f"""
-WITH base AS (
-  SELECT count(*) AS total_rows,
-         CAST({missing} AS BIGINT) AS missing_values,
-         {count_if('demand_forecast < 0')} AS negative_forecast_rows
-  FROM {{raw}}
-), dups AS (
-  SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_rows
-  FROM (SELECT count(*) AS n FROM {{raw}} GROUP BY {ROW_KEY} HAVING count(*) > 1)
-), conf AS (
-  SELECT CAST(coalesce(sum(CASE WHEN entity = 'product' THEN 1 ELSE 0 END), 0) AS BIGINT)
-           AS products_with_multiple_categories,
-         CAST(coalesce(sum(CASE WHEN entity = 'store' THEN 1 ELSE 0 END), 0) AS BIGINT)
-           AS stores_with_multiple_regions
-  FROM {{conflicts}}
-)
--- three one-row aggregates, combined as scalar subqueries
-SELECT total_rows, missing_values,
-       (SELECT duplicate_rows FROM dups) AS duplicate_rows,
-       negative_forecast_rows,
-       (SELECT products_with_multiple_categories FROM conf) AS products_with_multiple_categories,
-       (SELECT stores_with_multiple_regions FROM conf) AS stores_with_multiple_regions
-FROM base
+SELECT product_id, store_id, count(*) AS n, sum({missing}) AS missing, sum({rejected}) AS rejected,
+  {count_if('demand_forecast < 0')} AS negative,
+  min(category) AS category_lo, max(category) AS category_hi, min(region) AS region_lo, max(region) AS region_hi
+FROM {{raw}} GROUP BY product_id, store_id
 """,
         raw=raw,
-        conflicts=map_conflicts(raw),
+    )
+
+
+def audit_summary(raw: DataFrame, pairs: DataFrame) -> DataFrame:
+    """A2: one row of audit counts; ``pairs`` is the written :func:`audit_pairs` table.
+
+    ``rejected_cells`` counts cells whose content did not fit the column's
+    type; they are NULL in the table and so also among ``missing_values``.
+    An id has several labels if its smallest and largest differ.
+    """
+    several = lambda lo, hi: f"min({lo}) <> max({hi})"
+    return sql(
+        f"""
+SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS total_rows,
+  CAST(coalesce(sum(missing), 0) AS BIGINT) AS missing_values,
+  CAST(coalesce(sum(rejected), 0) AS BIGINT) AS rejected_cells,
+  (SELECT CAST(coalesce(sum(key_rows - 1), 0) AS BIGINT) FROM {{dups}}) AS duplicate_rows,
+  CAST(coalesce(sum(negative), 0) AS BIGINT) AS negative_forecast_rows,
+  (SELECT count(*) FROM (SELECT product_id FROM {{pairs}} GROUP BY product_id HAVING {several('category_lo', 'category_hi')}))
+    AS products_with_multiple_categories,
+  (SELECT count(*) FROM (SELECT store_id FROM {{pairs}} GROUP BY store_id HAVING {several('region_lo', 'region_hi')}))
+    AS stores_with_multiple_regions
+FROM {{pairs}}
+""",
+        pairs=pairs,
+        dups=duplicate_keys(raw),
     )
 
 
@@ -173,14 +172,30 @@ def negative_forecast_rows(clean: DataFrame) -> DataFrame:
     return clean.where("demand_forecast < 0")
 
 
-def kpi_null_check(clean: DataFrame) -> DataFrame:
-    """B1: NULL counts of the nine columns the KPI layer relies on."""
-    cols = [
-        "date", "store_id", "product_id", "category_clean", "region_clean",
-        "inventory_level", "units_sold", "units_ordered", "demand_forecast_clean",
-    ]
-    items = [f"{count_if(f'{n} IS NULL')} AS null_{n}" for n in cols]
-    return sql(f"SELECT {select_list(items)} FROM {{clean}}", clean=clean)
+def kpi_null_check(unlabelled: DataFrame, maps: DataFrame) -> DataFrame:
+    """B1: NULL counts of the nine columns the KPI layer relies on.
+
+    Counted per (product, store) first; the labels are looked up on those
+    rows, not on the fact.
+    """
+    own = ["date", "store_id", "product_id", "inventory_level", "units_sold", "units_ordered", "demand_forecast_clean"]
+    total = lambda x: f"CAST(coalesce(sum({x}), 0) AS BIGINT)"
+    shown = [f"{total('null_' + c)} AS null_{c}" for c in own]
+    shown[3:3] = [f"{total(flag(f'{m}.label IS NULL') + ' * p.n')} AS null_{c}" for m, c in (("pm", "category_clean"), ("sm", "region_clean"))]
+    return sql(
+        f"""
+WITH p AS (
+  SELECT product_id, store_id, count(*) AS n, {', '.join(f"{count_if(f'{c} IS NULL')} AS null_{c}" for c in own)}
+  FROM {{rows}} GROUP BY product_id, store_id
+)
+SELECT {select_list(shown)}
+FROM p
+LEFT JOIN (SELECT id, label FROM {{maps}} WHERE entity = 'product') pm ON p.product_id = pm.id
+LEFT JOIN (SELECT id, label FROM {{maps}} WHERE entity = 'store') sm ON p.store_id = sm.id
+""",
+        rows=unlabelled,
+        maps=maps,
+    )
 
 
 def kpi_bad_numeric_rows(clean: DataFrame) -> DataFrame:

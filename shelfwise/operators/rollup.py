@@ -1,11 +1,12 @@
 """The SKU-store pair rollup: one aggregation serving C1, D1 and E3.
 
 The three pair-level views of the analysis (segment summary, order
-metrics, replenishment base) all aggregate the same KPI rows by the
-same keys.  Computing them separately would scan and shuffle the fact
-three times; here a single hash aggregate (partial per task, so a hot
-pair costs one partial row per task) produces every unrounded input,
-and each view is a narrow projection of it.
+metrics, replenishment base) aggregate the same KPI rows by the same keys,
+and the canonical labels are counts over the same rows.  One scan of the
+fact combines it per (store, product, raw category, raw region) into
+mergeable sums (partial per task, so a hot pair costs one partial row per
+task); the written table gives both the label maps and the pair rows, and
+each view is a narrow projection of those.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from shelfwise.functions import pct, round_half_up, safe_div, select_list, sql
+from shelfwise.operators.quality import label_maps
 
 PAIR_KEYS = ["store_id", "product_id", "category_clean", "region_clean"]
 JOIN_KEYS = ["store_id", "product_id"]
@@ -31,61 +33,92 @@ UNROUNDED_DOUBLES = [
 ]
 
 
-def pair_rollup(kb: DataFrame, maps: DataFrame) -> DataFrame:
-    """Unrounded per-pair aggregates of the (unlabelled) KPI base.
-
-    The canonical category and region are functions of product and store,
-    so grouping by (store, product) and attaching the labels afterwards
-    equals grouping by all four keys: the label lookups join one row per
-    pair instead of one row per fact row.
+_SQUARE = "sum(CAST({0} AS DECIMAL(20,6)) * CAST({0} AS DECIMAL(20,6)))"
+# mergeable sums of the KPI rows: all exact but the one of cover days
+_SUMS = {
+    "n": "count(*)",
+    "sold": "sum(units_sold)",
+    "sold_n": "count(units_sold)",
+    "sold_sq": _SQUARE.format("units_sold"),
+    "inv": "sum(inventory_level)",
+    "inv_n": "count(inventory_level)",
+    "cover": "sum(cover_days)",
+    "cover_n": "count(cover_days)",
+    "low": "sum(low_cover_flag)",
+    "high": "sum(high_cover_flag)",
+    "zero": "sum(zero_inventory_flag)",
+    "order_rows": "sum(CASE WHEN units_ordered > 0 THEN 1 ELSE 0 END)",
+    "order_units": "sum(CASE WHEN units_ordered > 0 THEN units_ordered END)",
+    "ordered": "sum(units_ordered)",
+    "abs_err": "sum(abs_forecast_error)",
+    "err": "sum(forecast_error)",
+    "at_risk": "sum(at_risk_units_proxy)",
+    "excess": "sum(excess_units_proxy)",
+    "fc": "sum(demand_forecast_clean)",
+    "fc_n": "count(demand_forecast_clean)",
+    "fc_sq": _SQUARE.format("demand_forecast_clean"),
+}
+
+
+def pair_sums(kb: DataFrame) -> DataFrame:
+    """Mergeable sums of the (unlabelled) KPI base per pair and raw labels: the only pass over the fact."""
+    keys = "store_id, product_id, category, region"
+    sums = [f"{e} AS {n}" for n, e in _SUMS.items()]
+    return sql(f"SELECT {keys}, {select_list(sums)} FROM {{kb}} GROUP BY {keys}", kb=kb)
+
+
+def _sd(n: str, s: str, sq: str) -> str:
+    """Sample standard deviation from exact count, sum and sum of squares."""
+    spread = f"(CAST({n} * {sq} - CAST({s} AS DECIMAL(30,6)) * {s} AS DOUBLE) / CAST(NULLIF({n} * ({n} - 1), 0) AS DOUBLE))"
+    return f"CASE WHEN {n} > 1 THEN sqrt(greatest({spread}, 0.0D)) END"
+
+
+def pair_rollup(sums: DataFrame) -> DataFrame:
+    """Unrounded per-pair aggregates with canonical labels, from the written :func:`pair_sums`.
+
+    The canonical category and region are functions of product and store, so
+    the lookups join one row per pair.  Cover days are the one average over
+    doubles; it is cut to 10 digits, so no threshold depends on the order of
+    summation.
     """
+    merged = [f"sum({n}) AS {n}" for n in _SUMS]
+    measures = [
+        "n AS row_count",
+        "CAST(sold AS BIGINT) AS total_units_sold",
+        f"{safe_div('sold', 'sold_n')} AS avg_daily_units_sold",
+        f"{safe_div('inv', 'inv_n')} AS avg_inventory_level",
+        f"{round_half_up(safe_div('cover', 'cover_n'), 10)} AS avg_cover_days",
+        f"{safe_div('low', 'n')} AS low_cover_rate",
+        f"{safe_div('high', 'n')} AS high_cover_rate",
+        f"{safe_div('zero', 'n')} AS zero_inventory_rate",
+        f"{safe_div('order_rows', 'n')} AS order_day_rate",
+        "CAST(at_risk AS DECIMAL(38,6)) AS total_at_risk_units_proxy",
+        "CAST(excess AS DECIMAL(38,6)) AS total_excess_units_proxy",
+        "CAST(ordered AS BIGINT) AS total_units_ordered",
+        f"{safe_div('order_units', 'order_rows')} AS avg_order_size_on_order_days",
+        f"{_sd('sold_n', 'sold', 'sold_sq')} AS demand_stddev",
+        f"{safe_div('fc', 'fc_n')} AS avg_daily_forecast",
+        f"{_sd('fc_n', 'fc', 'fc_sq')} AS forecast_stddev",
+        f"{safe_div('abs_err', 'sold')} AS wape",
+        f"{safe_div('err', 'sold')} AS forecast_bias",
+        f"{safe_div('ordered', 'sold')} AS replenishment_to_sales_ratio",
+    ]
     return sql(
         f"""
 WITH agg AS (
-  SELECT store_id, product_id,
-    count(*) AS row_count,
-    CAST(sum(units_sold) AS BIGINT) AS total_units_sold,
-    avg(units_sold) AS avg_daily_units_sold,
-    avg(inventory_level) AS avg_inventory_level,
-    avg(cover_days) AS avg_cover_days,
-    avg(low_cover_flag) AS low_cover_rate,
-    avg(high_cover_flag) AS high_cover_rate,
-    avg(zero_inventory_flag) AS zero_inventory_rate,
-    avg(CASE WHEN units_ordered > 0 THEN 1.0D ELSE 0.0D END) AS order_day_rate,
-    sum(abs_forecast_error) AS sum_abs_error,
-    sum(forecast_error) AS sum_error,
-    CAST(sum(at_risk_units_proxy) AS BIGINT) AS total_at_risk_units_proxy,
-    CAST(sum(excess_units_proxy) AS BIGINT) AS total_excess_units_proxy,
-    CAST(sum(units_ordered) AS BIGINT) AS total_units_ordered,
-    avg(CASE WHEN units_ordered > 0 THEN units_ordered END) AS avg_order_size_on_order_days,
-    stddev_samp(units_sold) AS demand_stddev,
-    avg(demand_forecast_clean) AS avg_daily_forecast,
-    stddev_samp(demand_forecast_clean) AS forecast_stddev
-  FROM {{kb}}
-  GROUP BY store_id, product_id
+  SELECT store_id, product_id, {select_list(merged)} FROM {{sums}} GROUP BY store_id, product_id
 )
 SELECT a.store_id, a.product_id, pm.label AS category_clean, sm.label AS region_clean,
-  {', '.join('a.' + c for c in ROLLUP_MEASURES)},
-  {safe_div('a.sum_abs_error', 'a.total_units_sold')} AS wape,
-  {safe_div('a.sum_error', 'a.total_units_sold')} AS forecast_bias,
-  {safe_div('a.total_units_ordered', 'a.total_units_sold')} AS replenishment_to_sales_ratio
+  {select_list(measures)}
 FROM agg a
 LEFT JOIN (SELECT id, label FROM {{maps}} WHERE entity = 'product') pm ON a.product_id = pm.id
 LEFT JOIN (SELECT id, label FROM {{maps}} WHERE entity = 'store') sm ON a.store_id = sm.id
 """,
-        kb=kb,
-        maps=maps,
+        sums=sums,
+        maps=label_maps(sums),
     )
 
 
-ROLLUP_MEASURES = [
-    "row_count", "total_units_sold", "avg_daily_units_sold", "avg_inventory_level", "avg_cover_days",
-    "low_cover_rate", "high_cover_rate", "zero_inventory_rate", "order_day_rate",
-    "total_at_risk_units_proxy", "total_excess_units_proxy", "total_units_ordered",
-    "avg_order_size_on_order_days", "demand_stddev", "avg_daily_forecast", "forecast_stddev",
-]
-
-
 def exact(col: str, digits: int | None) -> str:
     """Expose an unrounded average cut to ``digits`` (for cross-engine checks)."""
     return f"{round_half_up(col, digits)} AS {col}" if digits else col

@@ -22,6 +22,20 @@ FORECAST_ORDER = [L.FORECAST_GOOD, L.FORECAST_MODERATE, L.FORECAST_POOR]
 _TIE = [Key("product_id"), Key("store_id")]
 
 
+def position_label(t: Thresholds = DEFAULT) -> str:
+    """C4h: stock position from unrounded pair rates."""
+    return f"""CASE WHEN avg_cover_days < {num(t.low_cover_days)} OR low_cover_rate >= {num(t.low_cover_rate)}
+         THEN {lit(L.POSITION_UNDER)}
+       WHEN avg_cover_days > {num(t.high_cover_days)} OR high_cover_rate >= {num(t.high_cover_rate)}
+         THEN {lit(L.POSITION_OVER)}
+       ELSE {lit(L.POSITION_BALANCED)} END AS inventory_position_segment"""
+
+
+def positions(rollup: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """The pair rollup with its stock position: needs no whole-table ordering."""
+    return sql(f"SELECT *, {position_label(t)} FROM {{r}}", r=rollup)
+
+
 def inventory_segments(
     rollup: DataFrame, buckets: int, t: Thresholds = DEFAULT, registry: list[str] | None = None
 ) -> DataFrame:
@@ -59,17 +73,13 @@ SELECT *,
        ELSE {lit(L.VELOCITY_SLOW)} END AS velocity_segment,
   CASE forecast_tile WHEN 1 THEN {lit(L.FORECAST_GOOD)} WHEN 2 THEN {lit(L.FORECAST_MODERATE)}
        ELSE {lit(L.FORECAST_POOR)} END AS forecast_segment,
-  CASE WHEN avg_cover_days < {num(t.low_cover_days)} OR low_cover_rate >= {num(t.low_cover_rate)}
-         THEN {lit(L.POSITION_UNDER)}
-       WHEN avg_cover_days > {num(t.high_cover_days)} OR high_cover_rate >= {num(t.high_cover_rate)}
-         THEN {lit(L.POSITION_OVER)}
-       ELSE {lit(L.POSITION_BALANCED)} END AS inventory_position_segment
+  {position_label(t)}
 FROM (
   SELECT {', '.join('r.' + c for c in SUMMARY_COLUMNS)},
     CAST(r.total_units_sold AS DOUBLE) / CAST(NULLIF(k.total_sales, 0) AS DOUBLE) AS units_sales_share,
     CAST(k.running_sales AS DOUBLE) / CAST(NULLIF(k.total_sales, 0) AS DOUBLE) AS cumulative_units_share,
-    {ntile(t.tiles, 'k.rn_velocity', 'k.n_velocity')} AS velocity_tile,
-    {ntile(t.tiles, 'k.rn_forecast', 'k.n_forecast')} AS forecast_tile
+    {ntile(L.TILES, 'k.rn_velocity', 'k.n_velocity')} AS velocity_tile,
+    {ntile(L.TILES, 'k.rn_forecast', 'k.n_forecast')} AS forecast_tile
     {''.join(', r.' + c for c in rest)}
   FROM {{rollup}} r JOIN {{ranks}} k ON {on}
 )
@@ -180,8 +190,8 @@ SELECT {label}, count(*) AS sku_store_count,
   CAST(sum(total_units_sold) AS BIGINT) AS total_units_sold,
   {round_half_up('avg(avg_cover_days)', 2)} AS avg_cover_days,
   {round_half_up('avg(wape)', 4)} AS avg_wape,
-  CAST(sum(total_at_risk_units_proxy) AS BIGINT) AS total_at_risk_units_proxy,
-  CAST(sum(total_excess_units_proxy) AS BIGINT) AS total_excess_units_proxy
+  CAST(sum(total_at_risk_units_proxy) AS DECIMAL(38,6)) AS total_at_risk_units_proxy,
+  CAST(sum(total_excess_units_proxy) AS DECIMAL(38,6)) AS total_excess_units_proxy
 FROM {{seg}} GROUP BY {label} ORDER BY {order}
 """,
         seg=seg,

@@ -8,7 +8,6 @@ filters through the whole chain.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import cached_property
 
 from pyspark import StorageLevel
@@ -18,7 +17,7 @@ from shelfwise.config import DEFAULT, Thresholds
 from shelfwise.operators import assessment, cadence, impact, kpi, policy, quality, rollup, segments
 from shelfwise.plans.global_order import DEFAULT_ROWS_PER_BUCKET, bucket_count
 from shelfwise.plans.materialize import materialize, remove_written
-from shelfwise.sources.inventory import inventory_from_tpch, read_inventory
+from shelfwise.sources.inventory import RAW_COLUMNS, inventory_from_tpch, read_inventory
 
 
 class InventoryPipeline:
@@ -31,9 +30,9 @@ class InventoryPipeline:
     ``"none"`` (the default, right for a Parquet/ORC/CSV source) reads the
     source again, pruned to the columns each step needs.
     ``materialize_stages`` also writes the pair-level stages, for runs
-    that export many marts from one build.  ``source_factory`` rebuilds
-    the source (the ``from_*`` constructors set it); use the pipeline as a
-    context manager, or call :meth:`close`, to remove the written stages.
+    that export many marts from one build.  Use the
+    pipeline as a context manager, or call :meth:`close`, to remove the
+    written stages.
     """
 
     def __init__(
@@ -44,12 +43,9 @@ class InventoryPipeline:
         materialize_raw: str = "none",
         materialize_stages: bool = False,
         rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
-        source_factory: Callable[[], DataFrame] | None = None,
     ) -> None:
         self.spark: SparkSession = raw.sparkSession
         self.source = raw
-        # rebuilds an independent instance of the source (same data, new plan)
-        self.source_factory = source_factory
         self.t = thresholds
         self.negative_forecast = negative_forecast
         self.materialize_raw = materialize_raw
@@ -76,11 +72,11 @@ class InventoryPipeline:
     @classmethod
     def from_tpch(cls, spark: SparkSession, sf_dir: str, **kw) -> InventoryPipeline:
         kw.setdefault("materialize_raw", "write")
-        return cls(inventory_from_tpch(spark, sf_dir), source_factory=lambda: inventory_from_tpch(spark, sf_dir), **kw)
+        return cls(inventory_from_tpch(spark, sf_dir), **kw)
 
     @classmethod
     def from_path(cls, spark: SparkSession, path: str, fmt: str = "parquet", **kw) -> InventoryPipeline:
-        return cls(read_inventory(spark, path, fmt), source_factory=lambda: read_inventory(spark, path, fmt), **kw)
+        return cls(read_inventory(spark, path, fmt), **kw)
 
     def _stage(self, df: DataFrame, name: str) -> DataFrame:
         return self._write(df, name) if self.materialize_stages else df
@@ -104,54 +100,22 @@ class InventoryPipeline:
         # than a separate write job)
         return self.__dict__.get("raw", self.source)
 
-    def _second_branch(self) -> DataFrame:
-        """The raw table for a second branch of the same job.
-
-        Two branches over one unwritten multi-join source plan, joined in
-        one query, trip Spark's relation de-duplication; an independent
-        instance of the source avoids it.  Without a way to rebuild the
-        source, the raw table as configured by ``materialize_raw`` is used
-        (``"write"`` for a user-built multi-join DataFrame; a plain file
-        scan is safe to self-join as it is).
-        """
-        if "raw" in self.__dict__:
-            return self.raw
-        if self.source_factory is not None:
-            return self.source_factory()
-        return self.raw
-
-    @property
-    def label_maps(self) -> DataFrame:
-        """Canonical labels, lazily (entity, id, label): for joins on aggregated rows.
-
-        Consumers of these maps read them in the same job as their other
-        branch over the raw table, so no written copy is forced here.
-        """
-        return quality.label_maps(self._second_branch())
-
     @cached_property
-    def _maps(self) -> tuple[DataFrame, int, DataFrame, int]:
-        # both maps in one aggregation and one write; the exact row count
-        # of each written map licenses (or refuses) its broadcast
-        maps = self._write(quality.label_maps(self.raw), "label_maps")
-        counts = dict(maps.groupBy("entity").count().collect())
-        return (
-            quality.product_map(maps), counts.get("product", 0),
-            quality.store_map(maps), counts.get("store", 0),
-        )
+    def label_maps(self) -> DataFrame:
+        """Canonical labels (entity, id, label): one scan, written, so joins know its size."""
+        return self._write(quality.label_maps(self._raw_single_pass()), "label_maps")
 
     @property
     def product_map(self) -> DataFrame:
-        return self._maps[0]
+        return quality.product_map(self.label_maps)
 
     @property
     def store_map(self) -> DataFrame:
-        return self._maps[2]
+        return quality.store_map(self.label_maps)
 
     @cached_property
     def clean(self) -> DataFrame:
-        pmap, pn, smap, sn = self._maps
-        return quality.inventory_clean(self.raw, pmap, smap, pn, sn, self.negative_forecast)
+        return quality.inventory_clean(self.raw, self.product_map, self.store_map, self.negative_forecast)
 
     def clean_unlabelled(self) -> DataFrame:
         """Cleaned rows without the label lookups.
@@ -160,25 +124,31 @@ class InventoryPipeline:
         the row set: store-, month- and whole-table rollups skip them.
         """
         raw = self._raw_single_pass()
-        return raw.selectExpr("*", f"{quality.clean_forecast(self.negative_forecast)} AS demand_forecast_clean")
+        return raw.selectExpr(*RAW_COLUMNS, f"{quality.clean_forecast(self.negative_forecast)} AS demand_forecast_clean")
 
     def kpi_base(self, labels: bool = True) -> DataFrame:
         src = self.clean if labels else self.clean_unlabelled()
         return kpi.kpi_base(src, self.t.low_cover_days, self.t.high_cover_days)
 
     @cached_property
-    def duplicate_keys(self) -> tuple[DataFrame, int]:
-        dups = self._write(quality.duplicate_keys(self.raw), "duplicate_keys")
-        return dups, dups.count()
+    def duplicate_keys(self) -> DataFrame:
+        return self._write(quality.duplicate_keys(self.raw), "duplicate_keys")
 
     def quality_flags(self) -> DataFrame:
-        dups, n = self.duplicate_keys
-        return quality.quality_flags(self.clean, dups, n)
+        return quality.quality_flags(self.clean, self.duplicate_keys)
+
+    @cached_property
+    def audit_pairs(self) -> DataFrame:
+        return self._write(quality.audit_pairs(self.raw), "audit_pairs")
 
     # ---- pair level ---------------------------------------------------------
+    @cached_property
+    def pair_sums(self) -> DataFrame:
+        return self._write(rollup.pair_sums(self.kpi_base(labels=False)), "pair_sums")
+
     @cached_property
     def rollup(self) -> DataFrame:
-        return self._write(rollup.pair_rollup(self.kpi_base(labels=False), self.label_maps), "pair_rollup")
+        return self._write(rollup.pair_rollup(self.pair_sums), "pair_rollup")
 
     @cached_property
     def pair_count(self) -> int:
@@ -196,13 +166,22 @@ class InventoryPipeline:
         # the written raw table instead of re-deriving the source
         return self._stage(cadence.order_cadence(self.kpi_base(labels=False)), "cadence")
 
+    @cached_property
+    def positions(self) -> DataFrame:
+        return segments.positions(self.rollup, self.t)
+
     @cached_property
     def policy(self) -> DataFrame:
         return policy.policy_diagnosis(self.segments, self.t)
 
+    @cached_property
+    def policy_labels(self) -> DataFrame:
+        """The diagnosis without segment labels: for everything that does not show them, no ordering runs."""
+        return policy.policy_diagnosis(self.rollup, self.t)
+
     @cached_property
     def assessment(self) -> DataFrame:
-        _ = self.raw  # rollup and cadence run as separate jobs: keep raw once
+        _ = self.raw if self.materialize_raw != "none" else None  # rollup and cadence are separate jobs
         rb = self.rollup
         return self._stage(assessment.reorder_assessment(rb, self.cadence, self.t), "assessment")
 
@@ -210,6 +189,6 @@ class InventoryPipeline:
     def impact(self) -> DataFrame:
         # the impact view uses the policy labels but no segment label, so
         # it is built on the rollup and never waits for the orderings
-        _ = self.raw  # rollup and cadence run as separate jobs: keep raw once
+        _ = self.raw if self.materialize_raw != "none" else None  # rollup and cadence are separate jobs
         rb = self.rollup
         return self._stage(impact.business_impact(rb, self.cadence, self.t), "impact")

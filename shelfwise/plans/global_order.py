@@ -13,8 +13,8 @@ distributed sort works:
    (:func:`materialize`), so a re-executed task can never move a row;
 3. a window partitioned by bucket gives the local row number and
    running sum;
-4. the per-bucket totals (one row per bucket, a bounded table) give
-   exclusive offsets that are broadcast back.
+4. the per-bucket totals (one row per million rows) give exclusive
+   offsets that are joined back; the planner broadcasts them by size.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ from shelfwise.functions import sql
 from shelfwise.plans.materialize import materialize
 
 DEFAULT_ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 20_000
 
 
 @dataclass(frozen=True)
@@ -55,7 +54,7 @@ class Key:
 
 
 def bucket_count(n_rows: int, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> int:
-    return max(1, min(MAX_BUCKETS, math.ceil(n_rows / max(1, rows_per_bucket))))
+    return max(1, math.ceil(n_rows / max(1, rows_per_bucket)))
 
 
 def ntile(n_tiles: int, rn: str, n_rows: str) -> str:
@@ -115,12 +114,7 @@ def global_orders(
     order_keys = [Key("_kind")] + [
         Key(f"_k{j}_{m}", desc=k.desc, nulls_first=k._nulls_first) for j, m, k in sort_cols
     ]
-    if buckets == 1:
-        # each ordering fits one bucket (the caller's exact count bounds
-        # it): hash on the ordering id, no sampling pass needed
-        placed = stacked.repartition(len(names), "_kind")
-    else:
-        placed = stacked.repartitionByRange(buckets * len(names), *[k.column() for k in order_keys])
+    placed = stacked.repartitionByRange(buckets * len(names), *[k.column() for k in order_keys])
     ranged = materialize(placed.withColumn("_go_bucket", F.spark_partition_id()), f"{name}-buckets", registry)
     order = ", ".join(k.sql() for k in order_keys)
     w = f"PARTITION BY _go_bucket, _kind ORDER BY {order}"
@@ -142,8 +136,7 @@ WITH local AS (
     count(_v) OVER {upto} AS lnn
   FROM {{ranged}}
 ),
--- one row per (bucket, ordering): a bounded table, safe to window over
--- per ordering and to broadcast
+-- one row per (bucket, ordering), a millionth of the rows
 per_bucket AS (
   SELECT _go_bucket, _kind, count(*) AS bn, sum(_v) AS bs, count(_v) AS bnn
   FROM {{ranged}} GROUP BY _go_bucket, _kind
@@ -158,7 +151,7 @@ offsets AS (
   FROM per_bucket
 ),
 ranked AS (
-  SELECT /*+ BROADCAST(o) */ l._kind, {', '.join(f'l.`{k}`' for k in keys)},
+  SELECT l._kind, {', '.join(f'l.`{k}`' for k in keys)},
     CAST(o.off_n + l.lrn AS BIGINT) AS rn,
     o.n,
     CASE WHEN o.off_nn + l.lnn > 0 THEN o.off_s + coalesce(l.lsum, 0) END AS running,

@@ -14,6 +14,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF_KEY = "spark.checkpoint.dir"
@@ -57,9 +58,18 @@ def materialize(df: DataFrame, name: str, registry: list[str] | None = None) ->
 
 
 def remove_written(spark: SparkSession, paths: list[str]) -> None:
-    """Delete stage tables this library wrote (on whatever file system holds them)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    """Delete stage tables this library wrote (on whatever file system holds them).
+
+    Works after the session was stopped too, as long as its JVM runs; a JVM
+    that is already gone leaves nothing to call.
+    """
+    jvm = SparkContext._jvm
+    gateway = SparkContext._gateway
+    if jvm is None or gateway is None or (getattr(gateway, "proc", None) is not None and gateway.proc.poll() is not None):
+        paths.clear()
+        return
+    stopped = spark.sparkContext._jsc is None
+    conf = jvm.org.apache.hadoop.conf.Configuration() if stopped else spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
         jpath = jvm.org.apache.hadoop.fs.Path(p)
         jpath.getFileSystem(conf).delete(jpath, True)

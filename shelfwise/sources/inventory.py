@@ -16,7 +16,7 @@ RAW_SCHEMA = T.StructType(
         T.StructField("inventory_level", T.LongType()),
         T.StructField("units_sold", T.LongType()),
         T.StructField("units_ordered", T.LongType()),
-        T.StructField("demand_forecast", T.LongType()),
+        T.StructField("demand_forecast", T.DecimalType(20, 6)),
         T.StructField("price", T.DoubleType()),
         T.StructField("discount", T.DoubleType()),
         T.StructField("weather_condition", T.StringType()),
@@ -26,6 +26,8 @@ RAW_SCHEMA = T.StructType(
     ]
 )
 RAW_COLUMNS = [f.name for f in RAW_SCHEMA.fields]
+# cells of a row that hold something the column's type cannot take
+REJECTED = "rejected_cells"
 
 # Header spellings used by the original CSV export.
 _CSV_HEADER = {
@@ -47,14 +49,27 @@ _CSV_HEADER = {
 }
 
 
+def _typed(column: str, kind: T.DataType) -> str:
+    """A cell as its column's type, NULL where it does not fit; whole numbers only for counts."""
+    if isinstance(kind, (T.LongType, T.IntegerType)):
+        exact = f"try_cast({column} AS DECIMAL(38,10))"
+        return f"CASE WHEN {exact} = floor({exact}) THEN try_cast({exact} AS {kind.simpleString()}) END"
+    return f"try_cast({column} AS {kind.simpleString()})"
+
+
 def conform(df: DataFrame) -> DataFrame:
-    """Rename known header spellings and cast to :data:`RAW_SCHEMA`."""
+    """Rename known header spellings and read every cell as its :data:`RAW_SCHEMA` type.
+
+    A cell that does not fit becomes NULL and is counted in
+    ``rejected_cells``, one count per row, which the audit adds up.
+    """
     present = set(df.columns)
-    exprs = []
+    exprs, rejected = [], []
     for f in RAW_SCHEMA.fields:
         src = next((h for h, n in _CSV_HEADER.items() if n == f.name and h in present), f.name)
-        exprs.append(f"CAST(`{src}` AS {f.dataType.simpleString()}) AS {f.name}")
-    return df.selectExpr(*exprs)
+        exprs.append(f"{_typed(f'`{src}`', f.dataType)} AS {f.name}")
+        rejected.append(f"CASE WHEN `{src}` IS NOT NULL AND ({_typed(f'`{src}`', f.dataType)}) IS NULL THEN 1 ELSE 0 END")
+    return df.selectExpr(*exprs, f"{' + '.join(rejected)} AS {REJECTED}")
 
 
 def read_inventory(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
@@ -151,7 +166,7 @@ SELECT
             WHEN s % 7 = 3 THEN sum_q_odd
             WHEN s % 7 = 5 THEN sum_q_first * 3
             ELSE sum_q_first5 END AS BIGINT) AS units_ordered,
-  CAST(fcst AS BIGINT) AS demand_forecast,
+  CAST(fcst + 0.25BD * ((d + s + b) % 4) AS DECIMAL(20,6)) AS demand_forecast,
   CAST(price AS DOUBLE) AS price,
   CAST(discount AS DOUBLE) AS discount,
   CASE d % 4 WHEN 0 THEN 'Sunny' WHEN 1 THEN 'Rainy' WHEN 2 THEN 'Cloudy' ELSE 'Snowy' END AS weather_condition,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import decimal
 import math
 import random
 import statistics
@@ -11,6 +12,7 @@ import pytest
 
 from shelfwise import config as L
 from shelfwise.catalog import CATALOG
+from shelfwise.config import Thresholds
 from shelfwise.pipeline import InventoryPipeline
 from shelfwise.sources.inventory import RAW_COLUMNS, RAW_SCHEMA
 
@@ -20,7 +22,7 @@ D0 = dt.date(2023, 1, 1)
 def row(day=0, store="S1", product="P1", inv=10, sold=5, ordered=0, fc=5, **kw):
     base = dict(
         date=D0 + dt.timedelta(days=day), store_id=store, product_id=product, category="Cat", region="East",
-        inventory_level=inv, units_sold=sold, units_ordered=ordered, demand_forecast=fc, price=1.0,
+        inventory_level=inv, units_sold=sold, units_ordered=ordered, demand_forecast=decimal.Decimal(str(fc)), price=1.0,
         discount=0.1, weather_condition="Sunny", holiday_promotion=0, competitor_pricing=1.0, seasonality="Winter",
     )
     base.update(kw)
@@ -189,3 +191,64 @@ def test_negative_forecast_modes(spark, mode, expected):
     p = pipeline(spark, [row(0, fc=-3)], negative_forecast=mode)
     (r,) = CATALOG["inventory_clean"](p).collect()
     assert r.demand_forecast_clean == expected
+
+
+def test_fractional_forecasts_are_kept(spark):
+    p = pipeline(spark, [row(0, inv=4, sold=1, fc=-0.4), row(1, inv=4, sold=1, fc=0.5), row(2, inv=3, sold=2, fc=135.47)])
+    (audit,) = CATALOG["audit_summary"](p).collect()
+    assert audit.negative_forecast_rows == 1 and audit.rejected_cells == 0
+    assert [r.demand_forecast for r in CATALOG["negative_forecast_rows"](p).collect()] == [-0.4]
+    kb = {r["date"]: r for r in CATALOG["kpi_base"](p).collect()}
+    assert kb[D0].demand_forecast_clean == 0 and kb[D0].excess_units_proxy == 4
+    half = kb[D0 + dt.timedelta(days=1)]
+    assert (half.cover_days, half.high_cover_flag, half.excess_units_proxy, half.forecast_error) == (8.0, 1, 0.5, -0.5)
+    (k,) = CATALOG["kpi_overall"](p).collect()
+    assert k.total_at_risk_units_proxy == 132.47 and k.total_excess_units_proxy == 4.5
+
+
+def test_row_keys_are_compared_by_column(spark):
+    rows = [row(0, "b|c", "a"), row(0, "c", "a|b"), row(0, None, "P"), row(0, None, "P"), row(0, "P", None)]
+    p = pipeline(spark, rows)
+    (audit,) = CATALOG["audit_summary"](p).collect()
+    assert audit.duplicate_rows == 1
+    flags = CATALOG["quality_flags"](p).collect()
+    assert len(flags) == 5
+    assert sorted((r.store_id or "", r.product_id or "", r.Duplicate_Flag) for r in flags) == [("", "P", 1), ("", "P", 1), ("P", "", 0), ("b|c", "a", 0), ("c", "a|b", 0)]
+
+
+def test_repeated_keys_follow_an_order_of_the_same_day(spark):
+    p = pipeline(spark, [row(0, ordered=3), row(4, ordered=5), row(4, ordered=9), row(4, ordered=9), row(6, ordered=0)])
+    day = lambda n: D0 + dt.timedelta(days=n)
+    got = sorted((r.order_date, r.units_ordered, r.prev_order_date) for r in CATALOG["order_events"](p).collect() if r.prev_order_date)
+    assert got == [(day(4), 5, day(0)), (day(4), 9, day(4)), (day(4), 9, day(4))]
+    assert CATALOG["order_events"](p).where("prev_order_date IS NULL").count() == 1
+    (c,) = CATALOG["order_cadence"](p).collect()
+    assert (c.order_event_count, c.avg_days_between_orders) == (4, round(4 / 3, 2))
+
+
+def test_cadence_across_blocks(spark):
+    rnd = random.Random(3)
+    rows = []
+    for s in range(3):
+        for d in sorted(rnd.sample(range(-200, 500), 40)) + [63, 64, 127, 128]:
+            rows.append(row(d, f"S{s}", "P1", ordered=rnd.randint(1, 9)))
+    got = {(r.store_id, r.product_id): (r.order_event_count, r.avg_days_between_orders, r.stddev_days_between_orders) for r in CATALOG["order_cadence"](pipeline(spark, rows)).collect()}
+    for k, w in _reference_cadence(rows).items():
+        assert got[k][0] == w[0] and got[k][1] == pytest.approx(w[3], abs=0.0051) and got[k][2] == pytest.approx(w[4], abs=0.0051)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_mean_cover_of_exactly_seven_is_not_high(spark, parts):
+    # covers of 6.9, 7.1 and thirds: their exact mean is 7, a sum of doubles may miss it by a digit
+    rows = [row(d, inv=69, fc=10) for d in range(30)] + [row(d, inv=71, fc=10) for d in range(30, 60)]
+    rows += [row(d, inv=20, fc=3) for d in range(60, 75)] + [row(d, inv=22, fc=3) for d in range(75, 90)]
+    df = spark.createDataFrame(rows, RAW_SCHEMA).repartition(parts, "date")
+    p = InventoryPipeline(df, Thresholds(high_cover_rate=0.9))
+    (pd,) = CATALOG["policy_diagnosis"](p).collect()
+    assert pd.avg_cover_days == 7.0 and pd.policy_status == L.STATUS_STABLE
+
+
+def test_excess_follows_the_cover_threshold(spark):
+    p = InventoryPipeline(spark.createDataFrame([row(0, inv=50, fc=4)], RAW_SCHEMA), Thresholds(high_cover_days=10.0))
+    (k,) = CATALOG["kpi_base"](p).collect()
+    assert k.excess_units_proxy == 10 and k.high_cover_flag == 1

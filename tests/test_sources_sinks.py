@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 
-from shelfwise.catalog import CATALOG, EXPORT_MARTS, export_marts
+import duckdb
+
+from shelfwise.catalog import CATALOG, EXPORT_MARTS, export_marts, register_views
+from shelfwise.oracle import oracle_sql
 from shelfwise.pipeline import InventoryPipeline
-from shelfwise.sources.inventory import RAW_SCHEMA, inventory_from_tpch
+from shelfwise.sources.inventory import RAW_COLUMNS, RAW_SCHEMA, inventory_from_tpch
 
 HEADER = [
     "Date", "Store_ID", "Product_ID", "Category", "Region", "Inventory_Level", "Units_Sold", "Units_Ordered",
@@ -26,7 +29,8 @@ def test_parquet_and_csv_sources_agree(spark, sf_small):
     raw.toDF(*HEADER).write.option("header", "true").csv(f"{out}/csv")
     from_pq = InventoryPipeline.from_path(spark, f"{out}/pq")
     from_csv = InventoryPipeline.from_path(spark, f"{out}/csv", fmt="csv")
-    assert from_csv.source.schema == RAW_SCHEMA
+    assert from_csv.source.select(*RAW_COLUMNS).schema == RAW_SCHEMA
+    assert from_csv.source.agg({"rejected_cells": "max"}).first()[0] == 0
     for q in ["kpi_overall", "kpi_category", "impact_overall"]:
         assert _rows(CATALOG[q](from_pq)) == _rows(CATALOG[q](from_csv))
     derived = InventoryPipeline.from_tpch(spark, sf_small)
@@ -34,12 +38,22 @@ def test_parquet_and_csv_sources_agree(spark, sf_small):
 
 
 def test_export_marts(spark, sf_small):
-    p = InventoryPipeline.from_tpch(spark, sf_small, materialize_stages=True)
+    p = InventoryPipeline.from_tpch(spark, sf_small)
     out = tempfile.mkdtemp(prefix="sw-marts-")
     paths = export_marts(p, out)
     assert set(paths) == set(EXPORT_MARTS)
-    back = spark.read.parquet(paths["impact_master"])
-    assert back.count() == CATALOG["impact_row_count"](p).collect()[0][0]
+    # every written table equals its SQL
+    con = duckdb.connect()
+    for t in ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_small}/{t}.parquet')")
+    sqls = oracle_sql()
+    for name, path in paths.items():
+        back = spark.read.parquet(path)
+        rel = con.execute(sqls[name])
+        cols = [d[0] for d in rel.description]
+        assert sorted(back.columns) == sorted(cols), name
+        show = lambda r: tuple(str(x) for x in r)
+        assert sorted(map(show, back.select(*cols).collect())) == sorted(map(show, rel.fetchall())), name
     csv = export_marts(p, out + "-csv", fmt="csv")
     head = spark.read.option("header", "true").csv(csv["dash_headline"]).columns
     assert "excess_sales_share_pct" in head
@@ -59,13 +73,26 @@ def test_pipeline_removes_its_stage_tables(spark, sf_small):
     assert not any(os.path.exists(w) for w in local)
 
 
-def test_lookup_join_broadcasts_only_within_limit(spark):
-    from shelfwise.plans.joins import lookup_join
+def test_csv_cells_that_do_not_fit_are_counted(spark):
+    out = tempfile.mkdtemp(prefix="sw-bad-")
+    lines = [",".join(HEADER)]
+    good = "2023-01-0{d},S1,P1,Cat,East,{inv},5,{o},{fc},1.5,0.1,Sunny,0,1.0,Winter"
+    lines += [good.format(d=1, inv=10, o=0, fc="135.47"), good.format(d=2, inv="10.5", o="3.0", fc="-0.25"), good.format(d=3, inv="many", o=2, fc="")]
+    with open(f"{out}/rows.csv", "w") as f:
+        f.write("\n".join(lines) + "\n")
+    p = InventoryPipeline.from_path(spark, out, fmt="csv")
+    got = {r["date"].day: r for r in CATALOG["inventory_raw"](p).collect()}
+    assert got[1].demand_forecast == 135.47 and got[2].demand_forecast == -0.25 and got[3].demand_forecast is None
+    assert (got[2].units_ordered, got[2].inventory_level, got[3].inventory_level) == (3, None, None)
+    (audit,) = CATALOG["audit_summary"](p).collect()
+    assert (audit.total_rows, audit.rejected_cells, audit.missing_values, audit.negative_forecast_rows) == (3, 2, 3, 1)
+
 
-    fact = spark.range(100).selectExpr("id % 7 AS k", "id AS v")
-    lookup = spark.range(7).selectExpr("id AS k", "CAST(id AS STRING) AS label")
-    small = lookup_join(fact, lookup, ["k"], lookup_rows=7, max_broadcast_rows=10)
-    big = lookup_join(fact, lookup, ["k"], lookup_rows=7, max_broadcast_rows=5)
-    assert "broadcast" in small._jdf.queryExecution().analyzed().toString().lower()
-    assert "broadcast" not in big._jdf.queryExecution().analyzed().toString().lower()
-    assert sorted(small.collect()) == sorted(big.collect())
+def test_views_by_name(spark, sf_small):
+    with InventoryPipeline.from_tpch(spark, sf_small) as p:
+        names = register_views(p, "sw_")
+        assert "sw_business_impact" in names
+        n = spark.sql("SELECT count(*) FROM sw_business_impact JOIN sw_inventory_segments USING (store_id, product_id)").first()[0]
+        assert n == 250
+        for v in names:
+            spark.catalog.dropTempView(v)
