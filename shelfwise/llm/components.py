@@ -2,8 +2,8 @@
 
 Each round links every node's larger neighbours to the smallest node it
 knows (large star), then every node's smaller neighbours likewise (small
-star), until nothing changes: edges then run from each node straight to the
-smallest node of its component.  Rounds grow with the logarithm of a
+star), until only stars are left: edges then run from each node straight to
+the smallest node of its component.  Rounds grow with the logarithm of a
 component's size; every round is two aggregations and two joins over edges,
 written to the checkpoint folder, so neither lineage nor a hub's neighbours
 pile up anywhere.
@@ -17,8 +17,23 @@ from pyspark.sql import functions as F
 from shelfwise.plans.materialize import materialize, remove_written
 
 
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64(F.lit(1), "a", "b").cast("decimal(20)"))).first())
+ROWS_PER_FILE = 250_000
+
+
+def in_few_files(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of at most about ``rows`` rows in as many partitions as they need, 8 at least.
+
+    Intermediate tables here are far smaller than the input that the
+    session's partition count is meant for.
+    """
+    return df.coalesce(max(8, -(-rows // ROWS_PER_FILE)))
+
+
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge down and none of those ends has one itself."""
+    if not edges.groupBy("a").count().where("count > 1").isEmpty():
+        return False
+    return edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty()
 
 
 def _to_smallest(pairs: DataFrame) -> DataFrame:
@@ -34,20 +49,19 @@ def connected(edges: DataFrame, written: list[str]) -> DataFrame:
     """
     spark = edges.sparkSession
     own: list[str] = []
-    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges", own)
-    state = _digest(edges)
-    while True:
+
+    def step(df: DataFrame, rows: int) -> DataFrame:
+        return materialize(in_few_files(df.where("a <> b").distinct(), rows), "edges", own)
+
+    rows = edges.count()
+    edges = step(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), rows)
+    while not _is_stars(edges):
         both = edges.selectExpr("a AS u", "b AS v").unionAll(edges.selectExpr("b AS u", "a AS v"))
-        large = _to_smallest(both).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = materialize(large, "edges", own)
+        down = step(_to_smallest(both).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")), 2 * rows)
         tops = _to_smallest(down.selectExpr("a AS u", "b AS v"))
-        small = tops.select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(tops.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        edges = materialize(small.where("a <> b").distinct(), "edges", own)
-        new = _digest(edges)
-        remove_written(spark, gone := own[:-1])
+        edges = step(tops.select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(tops.select(F.col("u").alias("a"), F.col("m").alias("b"))), 2 * rows)
+        done = own[:-1]
         own[:] = own[-1:]
-        del gone
-        if new == state:
-            written.append(own[-1])
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        state = new
+        remove_written(spark, done)
+    written.extend(own)
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import columns_of, mix64, pinned, slices
-from shelfwise.llm.components import connected
+from shelfwise.llm.components import connected, in_few_files
 from shelfwise.plans.materialize import materialize, remove_written
 
 COORDINATES = 64
@@ -375,8 +375,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, written: list[str]) -> DataFram
     """Those pairs (a, b) whose full sets reach 0.8, as a written table."""
     spark = docs.sparkSession
     own: list[str] = []
-    pairs = materialize(pairs.distinct(), "pairs", own)
-    wanted = materialize(pairs.select(F.col("a").alias("cid")).unionAll(pairs.select(F.col("b").alias("cid"))).distinct(), "wanted", own)
+    n = pairs.count()
+    pairs = materialize(in_few_files(pairs.distinct(), n), "pairs", own)
+    wanted = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select(F.col("b").alias("cid"))).distinct()
+    wanted = materialize(in_few_files(wanted, 2 * n), "wanted", own)
     texts = docs.select(F.col("doc_id").alias("cid"), "text").join(wanted, "cid")
     texts = materialize(texts, "wanted_texts", own)
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / HOT_PARTNERS).alias("salts"))
@@ -404,7 +406,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, written: list[str]) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
 
     together = left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
-    links = materialize(together.mapInArrow(run, "a long, b long"), "links", written)
+    links = materialize(in_few_files(together.mapInArrow(run, "a long, b long"), 100 * n), "links", written)
     remove_written(spark, own)
     return links
 
@@ -425,6 +427,7 @@ class Join:
         self.spark = docs.sparkSession
         self.recall = recall
         self.scratch: list[str] = []
+        self.latest: list[str] = []  # the table of ``components``
         kept: list[str] = []
         self.sets = materialize(document_sets(self.docs), "shingle_sets", kept)
         usable = self.sets.where("key IS NOT NULL AND doc_id IS NOT NULL")
@@ -440,30 +443,39 @@ class Join:
 
     def _connect(self, new: DataFrame) -> None:
         old = self.components.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        self.components = connected(old.unionByName(new.select("a", "b")), self.scratch)
+        own: list[str] = []
+        self.components = connected(old.unionByName(new.select("a", "b")), own)
+        self.scratch += self.latest
+        self.latest = own
 
     def run(self) -> None:
+        """Find all links; afterwards only the tables that :meth:`report` reads are left."""
+        self._branch()
+        remove_written(self.spark, self.scratch)
+
+    def _branch(self) -> None:
         self._connect_shared_ids()
         count = self.classes.count()
         level, trees = plan_trees(count, self.recall)
-        rows = root_nodes(self.classes, level, trees)
+        scanned = scan_nodes(root_nodes(self.classes, level, trees))
         while True:
-            last = level >= MAX_LEVEL
             own: list[str] = []
-            found = materialize(scan_nodes(rows, last), "node_scan", own)
+            found = materialize(scanned, "node_scan", own)
             self._link_all(found.where("a IS NOT NULL"))
             large = found.where("a IS NULL").select(*NAMES)
-            if last or large.isEmpty():
+            n = large.count()
+            if level >= MAX_LEVEL or not n:
                 remove_written(self.spark, own)
                 return
-            open_rows = materialize(self._open_rows(large), "open_nodes", own)
-            outsiders = materialize(compare_outsiders(open_rows.where(f"n_outside <= {LEAF}")), "outsiders", own)
-            self._link_all(outsiders)
-            rows = materialize(child_nodes(open_rows.where(f"n_outside > {LEAF}")), "child_nodes", self.scratch)
+            open_rows = materialize(in_few_files(self._open_rows(large), n), "open_nodes", own)
+            outsiders = compare_outsiders(open_rows.where(f"n_outside <= {LEAF}"))
+            self._link_all(materialize(in_few_files(outsiders, n), "outsiders", own))
+            rows = materialize(in_few_files(child_nodes(open_rows.where(f"n_outside > {LEAF}")), n), "child_nodes", self.scratch)
             remove_written(self.spark, own)
             if rows.isEmpty():
                 return
             level += 1
+            scanned = in_few_files(scan_nodes(rows, level >= MAX_LEVEL), 2 * n)
 
     def _open_rows(self, large: DataFrame) -> DataFrame:
         """Rows of the nodes that hold several components, with ``outside`` (not of the node's main one) and ``n_outside``."""
