@@ -18,7 +18,7 @@ from shelfwise.llm.mixing import mix_sources
 from shelfwise.llm.near_dup import drop_near_duplicates
 from shelfwise.llm.packing import pack_documents
 from shelfwise.llm.quality import quality_filter
-from shelfwise.plans.materialize import materialize
+from shelfwise.plans.materialize import materialize, remove_written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -63,6 +63,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written before the next reads it."""
     docs = table(spark, sf_dir, "documents")
+    read: list[str] = []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline_{name}")
+        written: list[str] = []
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline_{name}", written)
+        remove_written(spark, read)  # its only reader is done
+        read = written
     return STAGES[-1][1](spark, docs, sf_dir)
