@@ -6,8 +6,8 @@ documents.  Suffix sums over the histogram then answer, for every context
 limit at once, how many documents reach it, how many tokens remain when
 longer texts are truncated, and which quantile the limit is.
 
-Suffix sums are taken inside slices of 4,096 lengths and joined with the
-sums of later slices (one row per 4,096 tokens of the longest document), so
+Suffix sums are taken inside slices of 256 lengths and joined with the
+sums of later slices (one row per 256 tokens of the longest document), so
 no task sees the whole histogram.
 
 Defined cases: null or empty text has length 0; special-token strings in a
@@ -26,11 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import columns_of
+from shelfwise.plans.materialize import materialize
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the split pattern published with this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SLICE = 4096
+SLICE = 256
 
 
 class Encoder:
@@ -75,6 +76,8 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     truncated_total (tokens left when every text is cut to the limit),
     quantile (share of documents that fit).
     """
+    # read twice below: written once (a row per distinct length), or every text would be encoded twice
+    histogram = materialize(histogram, "length_histogram")
     h = histogram.withColumn("slice", F.floor(F.col("n_tokens") / SLICE)).withColumn("t", F.col("n_tokens") * F.col("n_docs"))
     sums = h.groupBy("slice").agg(F.sum("n_docs").alias("d"), F.sum("t").alias("t"))
     later = Window.orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
