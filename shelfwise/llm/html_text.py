@@ -1,9 +1,10 @@
 """HTML extraction by composite text density.
 
 A page is read into a tree of elements in one pass.  Elements that are
-boilerplate by what they are (scripts, menus, footers, forms ...) or by
-their name (class or id says advert, comments, cookie notice ...) are left
-out.  For every other element the composite text density is computed:
+boilerplate by what they are (scripts, menus, footers, forms ...) are left
+out, and those whose name (class or id) says advert, comments, cookie notice
+and the like, where their text agrees: mostly links, or little beside the
+text outside all such elements (see ``Page._named``).  For every other element the composite text density is computed:
 characters per tag, adjusted by how much of the text and of the tags is
 links, relative to the whole body.  The element with the largest sum of its
 children's densities is the core of the page; the least density on the path
@@ -23,10 +24,11 @@ like browsers do; an unfinished tag or comment runs to the end of the page.
 
 from __future__ import annotations
 
+import heapq
 import html
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -69,6 +71,13 @@ NAMES = frozenset(
     "header masthead footer foot colophon copyright related recommended recommendations share sharing social "
     "comment comments commentlist respond reply replies disqus discussion".split()
 )
+# words that also name a section's subject: such an element must be mostly links
+SUBJECTS = frozenset("related recommended recommendations discussion notice notices notification notifications alert disclaimer promotion advertising social sharing subscription".split())
+# words for text that may be longer than the article that it stands beside
+THREADS = frozenset("comment comments commentlist respond reply replies disqus cookie cookies consent gdpr".split())
+TITLES = frozenset("header masthead banner".split())  # inside an article, or beside these words, its own title
+TITLED = frozenset("entry post article section story content".split())
+PROSE = 140  # characters; less text outside links is not an article
 JOINED = re.compile(r"^(?:google_?ads?|adsense|adsbygoogle|sidenav|sidemenu|sitenav|mainnav|topnav|mainmenu|userComments|commentsection|cookiebar|cookiebanner)$", re.I)
 NEGATED = frozenset("no not without has with hide".split())
 CONTAINERS = frozenset(("article", "main"))
@@ -78,16 +87,23 @@ def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(source)}
 
 
-def _named_boilerplate(attrs: dict[str, str]) -> bool:
+def _left_out(attrs: dict[str, str]) -> bool:
     if attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
         return True
-    if "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return True
-    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
-        words = [w.lower() for w in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", name) if w]
-        if not NEGATED.intersection(words) and NAMES.intersection(words) or JOINED.match(name):
-            return True
-    return False
+    return "display:none" in attrs.get("style", "").replace(" ", "").lower()
+
+
+def _boilerplate_words(attrs: dict[str, str], in_article: bool) -> set[str]:
+    """The words of class and id that say boilerplate; inside an article those of the class only."""
+    found: set[str] = set()
+    for name in f"{attrs.get('class', '')} {'' if in_article else attrs.get('id', '')}".split():
+        words = {w.lower() for w in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", name) if w}
+        if not NEGATED.intersection(words):
+            titles = TITLES if in_article or TITLED.intersection(words) else frozenset()
+            found |= NAMES.intersection(words) - titles
+        if JOINED.match(name):
+            found.add("comments" if "comment" in name.lower() else "cookie" if "cookie" in name.lower() else "ads")
+    return found
 
 
 class Page:
@@ -184,6 +200,7 @@ class Page:
             holds[self.parent[i]] |= holds[i]
             size[self.parent[i]] += size[i]
         out = [False] * n
+        named: dict[int, set[str]] = {}
         for i in range(1, n):
             up, tag = self.parent[i], self.tag[i]
             in_article[i] = in_article[up] or tag in CONTAINERS
@@ -194,9 +211,70 @@ class Page:
             elif tag == "header":
                 out[i] = not holds[i] and not in_article[up]
             elif self.attrs[i] and not holds[i]:
-                out[i] = _named_boilerplate(_attributes(self.attrs[i]))
+                attrs = _attributes(self.attrs[i])
+                out[i] = _left_out(attrs)
+                if not out[i] and tag not in HEADINGS and (words := _boilerplate_words(attrs, in_article[up])):
+                    named[i] = words
+        for i in self._named(named, in_article, out):
+            out[i] = True
+        for i in range(1, n):
+            out[i] = out[i] or out[self.parent[i]]
         return out
 
+    def _named(self, named: dict[int, set[str]], in_article: list[bool], out: list[bool]) -> list[int]:
+        """Those of the elements with a boilerplate name whose text agrees with it.
+
+        An element's text is compared with the text outside all named
+        elements (both without links).  The largest one goes first: if it is
+        too large, it is a part of the layout, its text counts as outside,
+        and the named elements within it are looked at in turn.
+        """
+        n = len(self.tag)
+        linked, titled = [t == "a" for t in self.tag], [t == "h1" for t in self.tag]
+        plain, links = [0] * n, [0] * n
+        for i in range(1, n):
+            linked[i] = linked[i] or linked[self.parent[i]]
+        for e, t in self.text:
+            if not out[e]:
+                (links if linked[e] else plain)[e] += len("".join(t.split()))
+        own = list(plain)
+        for i in range(n - 1, 0, -1):
+            up = self.parent[i]
+            plain[up] += plain[i]
+            links[up] += links[i]
+            titled[up] |= titled[i]
+
+        def listed(i: int) -> bool:
+            return links[i] > plain[i]
+
+        named = {i: w for i, w in named.items() if (listed(i) or w - SUBJECTS) and not (titled[i] and in_article[i])}
+        owner, outside, within = list(range(n)), [0] * n, defaultdict(list)
+        for i in range(n):
+            if i and i not in named:
+                owner[i] = owner[self.parent[i]]
+            elif i:
+                within[owner[self.parent[i]]].append(i)
+            outside[owner[i]] += own[i]
+
+        def layout(i: int) -> bool:
+            if listed(i):
+                return plain[i] > max(clean, PROSE)
+            return 2 * plain[i] > clean and (titled[i] or not THREADS.intersection(named[i]) or plain[0] - plain[i] < PROSE)
+
+        clean = outside[0]
+        queue = [(-plain[i], i) for i in within[0]]
+        heapq.heapify(queue)
+        gone = []
+        while queue:
+            _, i = heapq.heappop(queue)
+            if not layout(i):
+                gone.append(i)
+                continue
+            clean += outside[i]
+            for j in within[i]:
+                heapq.heappush(queue, (-plain[j], j))
+        return gone
+
 
 def densities(page: Page, out: list[bool]) -> list[float]:
     """Composite text density of each element."""

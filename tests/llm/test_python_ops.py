@@ -121,6 +121,23 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+WORDS = "some plain words of prose "
+NAMED = [
+    ("<body><div class='right-sidebar'><div class=post><p>whole text</p></div></div></body>", "whole text"),
+    ("<div class='layout sidebar-right'><div class=sidebar><a>x</a> y</div><p>" + WORDS * 9 + "</p></div><div class=comments><p>" + WORDS * 40 + "</p></div>", (WORDS * 9).strip()),
+    ("<article><p>a</p><section id='related-work'><p>b</p></section><h2 id='discussion'>C</h2><p>d</p><div class='entry-header'><h1>Title</h1></div></article>", "a b C d Title"),
+    ("<article><h2 class='notice'>N</h2><section class='related-work'><p>" + WORDS + "</p></section><div class='related'><a>other page</a></div></article>", "N " + WORDS.strip()),
+    ("<div class=post><div class='post-header'><h1>Title</h1></div><p>" + WORDS * 20 + "</p></div><div class=sidebar><p>" + WORDS + "</p></div>", "Title " + (WORDS * 20).strip()),
+    ("<div class='nav'><a>Home</a> | <a>Up</a></div>", ""),
+    ("<div class='widget'>" * 20_000 + "deep", "deep"),
+]
+
+
+@pytest.mark.parametrize("page,text", NAMED, ids=range(len(NAMED)))
+def test_a_name_alone_drops_little(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_html_long_and_deep_pages():
     assert html_text.main_text("<div>" * 30_000 + "deep" + "</div>" * 30_000) == "deep"
     assert html_text.main_text("<b>" * 20_000 + "<p>x</p>" * 20_000).count("x") == 20_000
