@@ -13,8 +13,12 @@ Nodes of at most ``LEAF`` classes are compared exhaustively by sketch;
 larger ones first with their smallest members.  Of a large node only pairs
 of different components matter from then on: if all but ``LEAF`` members
 are of one component, the others are compared with every member, else the
-node is branched further.  The number of trees follows from the target
-recall for a pair right at the threshold.
+node is branched further.  The number of trees at a level follows from the
+target recall for a pair right at the threshold, averaged over its number of
+equal sketch bytes (all trees draw from the same bytes).  Each further level
+of nodes that are still large adds the trees that it needs, over the classes
+in those nodes; once that takes more comparisons than all pairs of these
+classes, all pairs are compared, block against block.
 
 Sketches only propose pairs (38 of 64 matches are asked for; a pair at the
 threshold has fewer with probability 1e-5).  Every link is confirmed on the
@@ -56,6 +60,7 @@ MAX_LEVEL = 40
 TARGET_RECALL = 0.9999
 EXTRA = 0.25  # probability of a second coordinate at a node: 1 + EXTRA = 1 / 0.8
 BACKGROUND = 0.05  # share of unrelated classes taken to meet at a coordinate
+BLOCK = 8192
 HOT_PARTNERS = 500
 SLICE_BYTES = 400_000
 
@@ -152,10 +157,37 @@ def survival(level: int, similarity: float = 0.8) -> float:
     return 1 - gone
 
 
+def trees_at(level: int, recall: float = TARGET_RECALL) -> int:
+    """Number of trees for the recall of a pair at the threshold, if nodes are small at this level.
+
+    All trees share one sketch: the pair's number of equal bytes is binomial,
+    and the trees are independent only for a given number.
+    """
+    equal = 0.8 + 0.2 / 256
+    counts = range(MIN_MATCHES, COORDINATES + 1)
+    share = [math.comb(COORDINATES, k) * equal**k * (1 - equal) ** (COORDINATES - k) for k in counts]
+    gone = [1 - survival(level, k / COORDINATES) for k in counts]
+    unseen = 1 - sum(share)  # too few equal bytes to be proposed at all
+
+    def missed(trees: int) -> float:
+        return unseen + sum(p * g**trees for p, g in zip(share, gone, strict=True))
+
+    if unseen >= 1 - recall:
+        raise ValueError(f"a sketch of {COORDINATES} bytes cannot reach a recall of {recall}")
+    high = 1
+    while missed(high) > 1 - recall:
+        high *= 2
+    low = high // 2
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if missed(middle) > 1 - recall else (low, middle)
+    return high
+
+
 def plan_trees(classes: int, recall: float = TARGET_RECALL) -> tuple[int, int]:
     """(first level at which nodes are expected to be small, number of trees for the recall there)."""
     level = max(1, math.ceil(math.log(max(classes, 1) / LEAF) / -math.log(BACKGROUND))) if classes > LEAF else 1
-    return level, math.ceil(math.log(1 - recall) / math.log(1 - survival(level)))
+    return level, trees_at(level, recall)
 
 
 def branch(node: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,21 +226,21 @@ def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return ints[0].view(np.uint64), ints[1], ints[2], ints[3], _sketch_matrix(batch.column(4))
 
 
-def root_nodes(classes: DataFrame, level: int, trees: int) -> DataFrame:
-    """Node rows of every class in every tree, at a level."""
+def root_nodes(classes: DataFrame, level: int, trees: int, first: int = 0) -> DataFrame:
+    """Node rows of every class in every tree from ``first`` to ``trees``, at a level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cid, size = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            marks = _sketch_matrix(b.column(2))
-            for tree in range(trees):
+            comp, marks = b.column(2).to_numpy(zero_copy_only=False), _sketch_matrix(b.column(3))
+            for tree in range(first, trees):
                 node, row = mix64(np.full(len(cid), tree + 1, np.uint64)), np.arange(len(cid))
                 for _ in range(level):
                     up, node = branch(node, marks[row])
                     row = row[up]
-                yield _node_batch(node, cid[row], cid[row], size[row], marks[row])
+                yield _node_batch(node, cid[row], comp[row], size[row], marks[row])
 
-    return classes.select("cid", "size", "sketch").mapInArrow(run, NODE_ROWS)
+    return classes.select("cid", "size", "comp", "sketch").mapInArrow(run, NODE_ROWS)
 
 
 def child_nodes(rows: DataFrame) -> DataFrame:
@@ -370,6 +402,53 @@ def compare_outsiders(rows: DataFrame) -> DataFrame:
     return dealt.select(*NAMES, "outside").mapInArrow(run, PAIRS)
 
 
+def compare_all(classes: DataFrame, n: int) -> DataFrame:
+    """Proposed pairs (a, b, tree) among all pairs of ``n`` classes: every two blocks of them meet in a group of rows."""
+    blocks = math.ceil(n / BLOCK)
+    dealt = classes.withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(blocks)))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    dealt = dealt.withColumn("node", F.least("block", "other") * blocks + F.greatest("block", "other"))
+
+    def pairs(rows: tuple, block: np.ndarray) -> Iterator[pa.RecordBatch]:
+        _, cid, comp, size, marks = rows
+        # the first block's rows with the second's; rows of a single block with those after them
+        ends = np.flatnonzero(block == block[0])
+        start = 0 if len(ends) == len(block) else len(ends)
+        step = max(1, 500_000 // len(block))
+        for at in range(0, len(ends), step):
+            own = np.arange(at, min(at + step, len(ends)))
+            i, j = np.repeat(own, len(block) - start), np.tile(np.arange(start, len(block)), len(own))
+            if not start:
+                i, j = i[i < j], j[i < j]
+            i, j, m = _plausible(i, j, comp, size, marks)
+            if len(i):
+                order = np.lexsort((j, -m, i))
+                i, j = i[order], j[order]
+                tree = np.concatenate([[True], i[1:] != i[:-1]])
+                yield pa.RecordBatch.from_arrays(_pair_columns(cid[i], cid[j], tree), ["a", "b", "tree"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                *rows, block = (np.concatenate(x) for x in zip(*held, strict=True))
+                yield from pairs(tuple(rows), block)
+                held.clear()
+
+        for b in batches:
+            data = (*_read(b), b.column(5).to_numpy(zero_copy_only=False))
+            starts = np.flatnonzero(np.concatenate([[True], data[0][1:] != data[0][:-1]])) if b.num_rows else []
+            for s, e in zip(starts, [*starts[1:], b.num_rows], strict=True):
+                if held and held[0][0][0] != data[0][s]:
+                    yield from done()
+                held.append(tuple(x[s:e].copy() for x in data))
+        yield from done()
+
+    dealt = dealt.repartition("node").sortWithinPartitions("node", "block", "cid")
+    return dealt.select(*NAMES, "block").mapInArrow(run, PAIRS)
+
+
 # ---- confirmation ----------------------------------------------------------
 def confirmed(pairs: DataFrame, docs: DataFrame, written: list[str]) -> DataFrame:
     """Those pairs (a, b) whose full sets reach 0.8, as a written table."""
@@ -457,7 +536,7 @@ class Join:
         self._connect_shared_ids()
         count = self.classes.count()
         level, trees = plan_trees(count, self.recall)
-        scanned = scan_nodes(root_nodes(self.classes, level, trees))
+        scanned = scan_nodes(root_nodes(self.classes.withColumn("comp", F.col("cid")), level, trees))
         while True:
             own: list[str] = []
             found = materialize(scanned, "node_scan", own)
@@ -470,11 +549,24 @@ class Join:
             open_rows = materialize(in_few_files(self._open_rows(large), n), "open_nodes", own)
             outsiders = compare_outsiders(open_rows.where(f"n_outside <= {LEAF}"))
             self._link_all(materialize(in_few_files(outsiders, n), "outsiders", own))
-            rows = materialize(in_few_files(child_nodes(open_rows.where(f"n_outside > {LEAF}")), n), "child_nodes", self.scratch)
-            remove_written(self.spark, own)
-            if rows.isEmpty():
+            still = open_rows.where(f"n_outside > {LEAF}")
+            classes = materialize(in_few_files(self._still_open(still), n), "open_classes", own)
+            left = classes.count()
+            if not left:
+                remove_written(self.spark, own)
                 return
             level += 1
+            needed = max(trees, trees_at(level, self.recall))
+            if LEAF * needed * (1 + EXTRA) ** level >= left:
+                self._link_all(materialize(compare_all(classes, left), "all_pairs", own))
+                remove_written(self.spark, own)
+                return
+            rows = child_nodes(still)
+            if needed > trees:
+                rows = rows.unionByName(root_nodes(classes, level, needed, trees))
+                trees = needed
+            rows = materialize(in_few_files(rows, n), "child_nodes", self.scratch)
+            remove_written(self.spark, own)
             scanned = in_few_files(scan_nodes(rows, level >= MAX_LEVEL), 2 * n)
 
     def _open_rows(self, large: DataFrame) -> DataFrame:
@@ -484,6 +576,11 @@ class Join:
         nodes = parts.groupBy("node").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), (F.sum("n") - F.max("n")).alias("n_outside"))
         return now.join(nodes.where("n_outside > 0"), "node").withColumn("outside", F.col("comp") != F.col("main"))
 
+    def _still_open(self, rows: DataFrame) -> DataFrame:
+        """One row for each class of these node rows, with its component."""
+        one = rows.groupBy("cid").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+        return _apart(one, self.components, "cid").withColumnRenamed("cid_c", "comp")
+
     def _link_all(self, pairs: DataFrame) -> None:
         """Confirm a spanning forest of the proposed pairs, then those other pairs whose ends are still apart."""
         self._link(pairs.where("tree").select("a", "b"))

@@ -291,6 +291,54 @@ def test_near_duplicates_match_brute_force(spark, leaf, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(k for k, (_, c) in want.items() if k == c)
 
 
+def test_trees_reach_the_recall_with_one_sketch():
+    assert near_dup.trees_at(3) >= 12 and near_dup.trees_at(5) >= 21
+    g = np.random.default_rng(21)
+    pairs, level = 40_000, 3
+    a = g.integers(0, 256, (pairs, near_dup.COORDINATES), np.uint8)
+    b = np.where(g.random(a.shape) < 0.8, a, g.integers(0, 256, a.shape, np.uint8))
+    found = np.zeros(pairs, bool)
+    for tree in range(near_dup.plan_trees(250_000)[1]):
+        row = np.arange(pairs)
+        node = near_dup.mix64(row.astype(np.uint64) * np.uint64(1000) + np.uint64(tree + 1))
+        for _ in range(level):
+            (up, x), (_, y) = near_dup.branch(node, a[row]), near_dup.branch(node, b[row])
+            row, node = row[up][x == y], x[x == y]
+        found[row] = True
+    assert (~found).sum() <= 10  # 4 expected
+
+
+@pytest.mark.parametrize("block", [8192, 150])
+def test_pairs_at_the_threshold_inside_a_family(spark, block, monkeypatch):
+    # members share about 2/3 of their shingles, partners 0.8 to 0.82; sketches propose, plain sets confirm
+    monkeypatch.setattr(near_dup, "BLOCK", block, raising=False)
+    rng = random.Random(22)
+    base = [f"b{i}" for i in range(300)]
+
+    def changed(words, n, name):
+        out = list(words)
+        for at in rng.sample(range(1, 299, 2), n):
+            out[at] = f"{name}x{at}"
+        return out
+
+    family = [changed(base, 17, f"m{i}") for i in range(400)]
+    texts = family + [changed(family[i], 16, f"p{i}") for i in range(40)]
+    data = [(i, " ".join(w), "en", "s", 0) for i, w in enumerate(texts)]
+    sets = {d[0]: _set(d[1]) for d in data}
+
+    def confirmed(pairs, docs, written):
+        both = pairs.distinct().toArrow().to_pydict()
+        shared = ((x, y, len(sets[x] & sets[y])) for x, y in zip(both["a"], both["b"], strict=True))
+        links = [(x, y) for x, y, n in shared if 100 * n >= 80 * (len(sets[x]) + len(sets[y]) - n)]
+        return spark.createDataFrame(links, "a long, b long")
+
+    monkeypatch.setattr(near_dup, "confirmed", confirmed)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(spark.createDataFrame(data, DOCS)).collect()}
+    want = _components(data)
+    assert sum(c != k for k, (_, c) in want.items()) >= 40
+    assert got == want
+
+
 def test_near_duplicates_awkward(spark):
     got = near_dup.near_duplicates(clashing(spark))
     assert got.count() == len(AWKWARD)
