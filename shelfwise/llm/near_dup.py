@@ -56,7 +56,6 @@ COORDINATES = 64
 MIN_MATCHES = 38
 LEAF = 64
 LEADERS = 3
-MAX_LEVEL = 40
 TARGET_RECALL = 0.9999
 EXTRA = 0.25  # probability of a second coordinate at a node: 1 + EXTRA = 1 / 0.8
 BACKGROUND = 0.05  # share of unrelated classes taken to meet at a coordinate
@@ -272,8 +271,7 @@ class NodeScan:
     that is ever in memory.
     """
 
-    def __init__(self, last_level: bool) -> None:
-        self.last_level = last_level  # then every node is compared exhaustively, in blocks of held rows
+    def __init__(self) -> None:
         self.held: tuple | None = None
         self.large: tuple | None = None  # (node, its leaders' rows)
 
@@ -286,7 +284,7 @@ class NodeScan:
             return
         starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
         lengths = np.diff(np.append(starts, len(node)))
-        large = lengths > LEAF if not self.last_level else np.zeros(len(lengths), bool)
+        large = lengths > LEAF
         known = self.large is not None and self.large[0] == node[0]
         large[0] |= known
         if not final and not large[-1]:
@@ -342,11 +340,11 @@ def _pair_columns(a: np.ndarray, b: np.ndarray, tree: np.ndarray) -> list[pa.Arr
     return [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(tree)]
 
 
-def scan_nodes(rows: DataFrame, last_level: bool = False) -> DataFrame:
+def scan_nodes(rows: DataFrame) -> DataFrame:
     """Proposed pairs (a, b, tree) of all nodes and, where ``a`` is null, the rows of large nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = NodeScan(last_level)
+        scan = NodeScan()
         empty = tuple(np.zeros((0, COORDINATES) if i == 4 else 0, np.uint8 if i == 4 else np.uint64 if i == 0 else np.int64) for i in range(5))
 
         def out(found: Iterator[tuple[str, tuple]]) -> Iterator[pa.RecordBatch]:
@@ -543,7 +541,7 @@ class Join:
             self._link_all(found.where("a IS NOT NULL"))
             large = found.where("a IS NULL").select(*NAMES)
             n = large.count()
-            if level >= MAX_LEVEL or not n:
+            if not n:
                 remove_written(self.spark, own)
                 return
             open_rows = materialize(in_few_files(self._open_rows(large), n), "open_nodes", own)
@@ -567,7 +565,7 @@ class Join:
                 trees = needed
             rows = materialize(in_few_files(rows, n), "child_nodes", self.scratch)
             remove_written(self.spark, own)
-            scanned = in_few_files(scan_nodes(rows, level >= MAX_LEVEL), 2 * n)
+            scanned = in_few_files(scan_nodes(rows), 2 * n)
 
     def _open_rows(self, large: DataFrame) -> DataFrame:
         """Rows of the nodes that hold several components, with ``outside`` (not of the node's main one) and ``n_outside``."""

@@ -339,6 +339,19 @@ def test_pairs_at_the_threshold_inside_a_family(spark, block, monkeypatch):
     assert got == want
 
 
+def test_last_nodes_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 20)
+    g = np.random.default_rng(23)
+    marks = np.where(g.random((90, near_dup.COORDINATES)) < 0.75, np.uint8(7), g.integers(0, 256, (90, near_dup.COORDINATES), np.uint8))
+    data = [(i, i % 80, 100, bytearray(m.tobytes())) for i, m in enumerate(marks)]
+    classes = spark.createDataFrame(data, "cid long, comp long, size long, sketch binary")
+    got = [(r["a"], r["b"]) for r in near_dup.compare_all(classes, 90).collect()]
+    want = {(i, j) for i, j in combinations(range(90), 2) if i % 80 != j % 80 and (marks[i] == marks[j]).sum() >= near_dup.MIN_MATCHES}
+    assert want and sorted(got) == sorted(want)
+    # the branching ends by its own cost, for any number of classes, before rows grow without bound
+    assert any(near_dup.LEAF * near_dup.trees_at(level) * 1.25**level > 10**9 for level in range(40))
+
+
 def test_near_duplicates_awkward(spark):
     got = near_dup.near_duplicates(clashing(spark))
     assert got.count() == len(AWKWARD)
