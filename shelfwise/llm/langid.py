@@ -21,7 +21,10 @@ Defined cases: null text and text without a letter is ``und``, score 0,
 rejected; with no labelled documents nothing is learned, every text is
 ``und`` with score 0 and only texts without letters are rejected; ties go
 to the alphabetically first language; rows without an id are never learned
-from and are not held out.
+from and are not held out.  Where ``lang`` has more than ``MAX_LANGUAGES``
+values (typing errors, free text), only those with ``LEAST_DOCS`` labelled
+documents or more have a model, the ``MAX_LANGUAGES`` most frequent of them
+(ties by name); documents of other labels are scored like all others.
 """
 
 from __future__ import annotations
@@ -42,6 +45,7 @@ ORDER = 5
 SAMPLE_DOCS = 1200
 CALIBRATION_DOCS = 400
 MAX_LANGUAGES = 1000
+LEAST_DOCS = 50  # labelled documents of a language, where there are more labels than that
 SPACE = 32
 SLICE_CHARS = 500_000
 UNKNOWN = "und"
@@ -298,9 +302,12 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, calibration_docs: int =
     """
     letters = letter_map()
     fold = _fold(columns_of(docs, doc_id="doc_id", text="text", lang="lang"))
-    sizes = {r["lang"]: r["n"] for r in fold.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    labels = fold.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = {r["lang"]: r["n"] for r in labels.limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages: lang does not name a language")
+        most = labels.where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+        sizes = {r["lang"]: r["n"] for r in most.collect()}
+        fold = fold.where(F.col("lang").isin(list(sizes)))
     if not sizes:
         return Model([], letters)
     counts: dict[str, dict[str, int]] = {}

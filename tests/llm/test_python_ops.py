@@ -66,6 +66,17 @@ def test_language_accuracy_on_held_out_documents(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
 
 
+def test_noisy_labels_end_no_job(spark):
+    data = _language_docs()
+    truth = {d[0]: d[2] for d in data}
+    noisy = data + [(1000 + i, data[i % 600][1], f"free text {i}", "s", 0) for i in range(2 * langid.MAX_LANGUAGES)]
+    got = langid.language_report(spark.createDataFrame(noisy, DOCS), sample_docs=60, calibration_docs=40).collect()
+    assert len(got) == len(noisy) and {r["lang_pred"] for r in got} == {"aa", "bb", "cc"}
+    assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in got if r["doc_id"] < 600) > 0.98 * 600
+    unknown = spark.createDataFrame([d for d in noisy if d[0] >= 1000], DOCS)
+    assert {r["lang_pred"] for r in langid.language_report(unknown).collect()} == {"und"}
+
+
 def test_kneser_ney_sums_to_one_and_matches_plain_lookup():
     counts = {"x": Counter(), "y": Counter()}
     for lang, text in (("x", "    abra cadabra "), ("y", "    banana bandana ")):
