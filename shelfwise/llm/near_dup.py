@@ -11,14 +11,14 @@ the same minwise value there meet in the same child.  A pair of similarity
 0.8 then keeps about one common child per level, unrelated pairs none.
 Nodes of at most ``LEAF`` classes are compared exhaustively by sketch;
 larger ones first with their smallest members.  Of a large node only pairs
-of different components matter from then on: if all but ``LEAF`` members
-are of one component, the others are compared with every member, else the
-node is branched further.  The number of trees at a level follows from the
-target recall for a pair right at the threshold, averaged over its number of
-equal sketch bytes (all trees draw from the same bytes).  Each further level
-of nodes that are still large adds the trees that it needs, over the classes
-in those nodes; once that takes more comparisons than all pairs of these
-classes, all pairs are compared, block against block.
+of different components matter from then on.  If comparing all pairs of the
+classes in such nodes takes no more work than another level, that is done,
+block against block.  Else, where all but ``LEAF`` members are of one
+component, the others are compared with every member, and the remaining nodes
+are branched further.  The number of trees at a level follows from the target
+recall for a pair right at the threshold, averaged over its number of equal
+sketch bytes (all trees draw from the same bytes); each further level adds the
+trees that it needs, over the classes in those nodes.
 
 Sketches only propose pairs (38 of 64 matches are asked for; a pair at the
 threshold has fewer with probability 1e-5).  Every link is confirmed on the
@@ -26,7 +26,9 @@ full sets, computed again from the texts of just the classes in question:
 first a spanning forest of each node's pairs, then only those other pairs
 whose ends are still apart, so a large group of near copies costs a few
 confirmations per member, not per pair, and no link between components is
-lost.
+lost.  Members of large nodes meet as texts: a task holds some sets, tries the
+others' closest candidates first and puts out only links that join components,
+so no table holds the pairs of a family.
 
 Every shuffle deals rows by a hash of path or id; a representative with many
 partners is confirmed in several salted groups.
@@ -41,6 +43,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,7 +62,9 @@ LEADERS = 3
 TARGET_RECALL = 0.9999
 EXTRA = 0.25  # probability of a second coordinate at a node: 1 + EXTRA = 1 / 0.8
 BACKGROUND = 0.05  # share of unrelated classes taken to meet at a coordinate
-BLOCK = 8192
+BLOCK_SHINGLES = 1_000_000  # of a block of texts that a task holds
+LEAST_BLOCKS = 8
+ROW_COST = 256  # comparisons that handling a node row one level down is taken for
 HOT_PARTNERS = 500
 SLICE_BYTES = 400_000
 
@@ -366,85 +371,169 @@ def scan_nodes(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, SCANNED)
 
 
-def compare_outsiders(rows: DataFrame) -> DataFrame:
-    """Proposed pairs (a, b, tree) between each node's rows marked ``outside``, at most LEAF, and all its rows.
+MASKED = "node long, cid long, comp long, slot int, mask long"
 
-    The outsiders come first and are held while the other rows pass by.
+
+def outsider_masks(rows: DataFrame) -> DataFrame:
+    """For each node's rows marked ``outside``, at most LEAF, which other rows may be linked with them.
+
+    One row (node, cid, comp, slot, mask) for each outsider, numbered by
+    ``slot``, and one with slot null for each row that some outsiders' sketches
+    come close to: bit s of ``mask`` stands for the outsider of slot s.  The
+    outsiders come first and are held while the other rows pass by, so what is
+    made grows with the rows, not with the pairs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
         for b in batches:
             data, outside = _read(b), b.column(5).to_numpy(zero_copy_only=False).astype(bool)
+            slot, mask = np.full(b.num_rows, -1, np.int64), np.zeros(b.num_rows, np.uint64)
             starts = np.flatnonzero(np.concatenate([[True], data[0][1:] != data[0][:-1]])) if b.num_rows else []
             for s, e in zip(starts, [*starts[1:], b.num_rows], strict=True):
                 mine, own = tuple(x[s:e] for x in data), outside[s:e]
                 if held is None or held[0][0] != mine[0][0]:
-                    held = tuple(x[:0] for x in mine)
+                    held = tuple(x[:0].copy() for x in mine)
+                before = len(held[0])
                 held = tuple(np.concatenate([x, y[own]]) for x, y in zip(held, mine, strict=True))
                 k, n = len(held[0]), e - s
-                if not k:
-                    continue
-                _, cid, comp, size, marks = (np.concatenate([x, y]) for x, y in zip(held, mine, strict=True))
+                slot[s:e][own] = np.arange(before, k)
+                _, _, comp, size, marks = (np.concatenate([x, y]) for x, y in zip(held, mine, strict=True))
                 i, j = np.repeat(np.arange(k), n), np.tile(np.arange(k, k + n), k)
-                i, j, m = _plausible(i, j, comp, size, marks)
-                # each outsider's best match is confirmed before the rest
-                order = np.lexsort((j, -m, i))
-                i, j = i[order], j[order]
-                tree = np.concatenate([[True], i[1:] != i[:-1]]) if len(i) else np.zeros(0, bool)
-                if len(i):
-                    yield pa.RecordBatch.from_arrays(_pair_columns(cid[i], cid[j], tree), ["a", "b", "tree"])
-            held = None if held is None else tuple(x.copy() for x in held)
+                i, j, _ = _plausible(i, j, comp, size, marks)
+                np.bitwise_or.at(mask, s + j - k, np.uint64(1) << i.astype(np.uint64))
+            keep = (slot >= 0) | (mask != 0)
+            cols = [pa.array(data[0].view(np.int64)[keep]), pa.array(data[1][keep]), pa.array(data[2][keep])]
+            cols += [pa.array(slot[keep].astype(np.int32), mask=slot[keep] < 0), pa.array(mask[keep].view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, ["node", "cid", "comp", "slot", "mask"])
 
     dealt = rows.repartition("node").sortWithinPartitions("node", F.desc("outside"), "cid")
-    return dealt.select(*NAMES, "outside").mapInArrow(run, PAIRS)
+    return dealt.select(*NAMES, "outside").mapInArrow(run, MASKED)
 
 
-def compare_all(classes: DataFrame, n: int) -> DataFrame:
-    """Proposed pairs (a, b, tree) among all pairs of ``n`` classes: every two blocks of them meet in a group of rows."""
-    blocks = math.ceil(n / BLOCK)
-    dealt = classes.withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(blocks)))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    dealt = dealt.withColumn("node", F.least("block", "other") * blocks + F.greatest("block", "other"))
+class Held:
+    """Texts' sets that a task holds, to confirm other texts against; links that join nothing new are left out.
 
-    def pairs(rows: tuple, block: np.ndarray) -> Iterator[pa.RecordBatch]:
-        _, cid, comp, size, marks = rows
-        # the first block's rows with the second's; rows of a single block with those after them
-        ends = np.flatnonzero(block == block[0])
-        start = 0 if len(ends) == len(block) else len(ends)
-        step = max(1, 500_000 // len(block))
-        for at in range(0, len(ends), step):
-            own = np.arange(at, min(at + step, len(ends)))
-            i, j = np.repeat(own, len(block) - start), np.tile(np.arange(start, len(block)), len(own))
-            if not start:
-                i, j = i[i < j], j[i < j]
-            i, j, m = _plausible(i, j, comp, size, marks)
-            if len(i):
-                order = np.lexsort((j, -m, i))
-                i, j = i[order], j[order]
-                tree = np.concatenate([[True], i[1:] != i[:-1]])
-                yield pa.RecordBatch.from_arrays(_pair_columns(cid[i], cid[j], tree), ["a", "b", "tree"])
+    Components merge here as links are found: of the candidates in one
+    component the closest is tried first, and one link is enough.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+    def __init__(self) -> None:
+        self.cid: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.comp: list[int] = []
+        self.up: dict[int, int] = {}
+
+    def add(self, cid: int, comp: int, members: np.ndarray) -> None:
+        self.cid.append(cid)
+        self.comp.append(comp)
+        self.sets.append(members)
+
+    def root(self, c: int) -> int:
+        while c in self.up:
+            c = self.up[c]
+        return c
+
+    def reaching(self, members: np.ndarray, candidates: list[int]) -> list[int]:
+        """Those candidates whose similarity with ``members`` is 0.8 or more."""
+        sets = [self.sets[i] for i in candidates]
+        lengths = np.fromiter(map(len, sets), np.int64, len(sets))
+        every = np.concatenate(sets)
+        at = np.searchsorted(members, every)
+        at[at == len(members)] = 0
+        both = np.add.reduceat((members[at] == every).astype(np.int64), np.concatenate([[0], np.cumsum(lengths)[:-1]]))
+        return [i for i, ok in zip(candidates, (100 * both >= 80 * (len(members) + lengths - both)).tolist(), strict=True) if ok]
+
+    def links(self, comp: int, members: np.ndarray, candidates: list[int]) -> list[int]:
+        """Indices of held texts, one for each other component that is linked; candidates come closest first."""
+        found: list[int] = []
+        width = 1  # tried of each component at once; doubled while none of them is linked
+        while candidates:
+            now, rest, mine, tried = [], [], self.root(comp), Counter()
+            for i in candidates:
+                r = self.root(self.comp[i])
+                if r != mine:
+                    tried[r] += 1
+                    (now if tried[r] <= width else rest).append(i)
+            if not now:
+                break
+            for i in self.reaching(members, now):
+                r, mine = self.root(self.comp[i]), self.root(comp)
+                if r != mine:
+                    self.up[max(r, mine)] = min(r, mine)
+                    found.append(i)
+            candidates, width = rest, 2 * width
+        return found
+
+
+def _link_batch(a: list[int], b: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        def done() -> Iterator[pa.RecordBatch]:
-            if held:
-                *rows, block = (np.concatenate(x) for x in zip(*held, strict=True))
-                yield from pairs(tuple(rows), block)
-                held.clear()
 
+def confirm_masks(masked: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) of the rows of :func:`outsider_masks`, confirmed on full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, of_slot = None, Held(), defaultdict(list)
+        for batch in batches:
+            found: tuple[list[int], list[int]] = ([], [])
+            columns = (batch.column(i).to_pylist() for i in range(5))
+            for node, cid, comp, slot, mask, members in zip(*columns, shingle_sets(batch.column(5).to_pylist()), strict=True):
+                if node != at:
+                    at, held, of_slot = node, Held(), defaultdict(list)
+                # an outsider's mask may name outsiders after it: those meet it from their side
+                for i in held.links(comp, members, [i for s in range(LEAF) if mask >> s & 1 for i in of_slot[s]]):
+                    found[0].append(held.cid[i])
+                    found[1].append(cid)
+                if slot is not None:
+                    of_slot[slot].append(len(held.cid))
+                    held.add(cid, comp, members)
+            yield _link_batch(*found)
+
+    dealt = masked.join(texts, "cid").repartition("node").sortWithinPartitions("node", F.asc_nulls_last("slot"), "cid")
+    return dealt.select("node", "cid", "comp", "slot", "mask", "text").mapInArrow(run, "a long, b long")
+
+
+def link_all(classes: DataFrame, texts: DataFrame, shingles: int) -> DataFrame:
+    """Links (a, b) among all pairs of the classes, confirmed on full sets: every two blocks of them meet in one task.
+
+    ``shingles`` is the classes' total size; it sets the number of blocks, so
+    a block's sets take a bounded amount of memory.  Only links between
+    different components come out, one for each pair of them and task.
+    """
+    blocks = max(LEAST_BLOCKS, math.ceil(shingles / BLOCK_SHINGLES))
+    dealt = classes.withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(blocks))).join(texts, "cid")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    dealt = dealt.withColumn("node", F.least("block", "other") * blocks + F.greatest("block", "other"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, Held()
+        marks, size = np.zeros((256, COORDINATES), np.uint8), np.zeros(256, np.int64)
         for b in batches:
-            data = (*_read(b), b.column(5).to_numpy(zero_copy_only=False))
-            starts = np.flatnonzero(np.concatenate([[True], data[0][1:] != data[0][:-1]])) if b.num_rows else []
-            for s, e in zip(starts, [*starts[1:], b.num_rows], strict=True):
-                if held and held[0][0][0] != data[0][s]:
-                    yield from done()
-                held.append(tuple(x[s:e].copy() for x in data))
-        yield from done()
+            found: tuple[list[int], list[int]] = ([], [])
+            node, cid, comp = (b.column(i).to_pylist() for i in (0, 1, 2))
+            own_size, own_marks = b.column(3).to_numpy(zero_copy_only=False), _sketch_matrix(b.column(4))
+            block, sets = b.column(5).to_pylist(), shingle_sets(b.column(6).to_pylist())
+            for r in range(b.num_rows):
+                if node[r] != at:
+                    at, held = node[r], Held()
+                k, (low, high) = len(held.cid), divmod(node[r], blocks)
+                # the lower block is held; the other block's rows meet it, or else each row those before it
+                if block[r] == high:
+                    m = matches(marks[:k], np.broadcast_to(own_marks[r], (k, COORDINATES)))
+                    near = np.flatnonzero((m >= MIN_MATCHES) & (5 * np.minimum(size[:k], own_size[r]) >= 4 * np.maximum(size[:k], own_size[r])))
+                    for i in held.links(comp[r], sets[r], near[np.argsort(-m[near], kind="stable")].tolist()):
+                        found[0].append(held.cid[i])
+                        found[1].append(cid[r])
+                if block[r] == low:
+                    if k == len(marks):
+                        marks, size = np.concatenate([marks, np.zeros_like(marks)]), np.concatenate([size, np.zeros_like(size)])
+                    marks[k], size[k] = own_marks[r], own_size[r]
+                    held.add(cid[r], comp[r], sets[r])
+            yield _link_batch(*found)
 
     dealt = dealt.repartition("node").sortWithinPartitions("node", "block", "cid")
-    return dealt.select(*NAMES, "block").mapInArrow(run, PAIRS)
+    return dealt.select("node", "cid", "comp", "size", "sketch", "block", "text").mapInArrow(run, "a long, b long")
 
 
 # ---- confirmation ----------------------------------------------------------
@@ -483,7 +572,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, written: list[str]) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
 
     together = left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
-    links = materialize(in_few_files(together.mapInArrow(run, "a long, b long"), 100 * n), "links", written)
+    links = materialize(together.mapInArrow(run, "a long, b long"), "links", written)
     remove_written(spark, own)
     return links
 
@@ -544,28 +633,47 @@ class Join:
             if not n:
                 remove_written(self.spark, own)
                 return
-            open_rows = materialize(in_few_files(self._open_rows(large), n), "open_nodes", own)
-            outsiders = compare_outsiders(open_rows.where(f"n_outside <= {LEAF}"))
-            self._link_all(materialize(in_few_files(outsiders, n), "outsiders", own))
+            open_rows = materialize(self._open_rows(large), "open_nodes", own)
+            if self._finished(open_rows, level, trees, own):
+                remove_written(self.spark, own)
+                return
+            few = outsider_masks(open_rows.where(f"n_outside <= {LEAF}"))
+            self._add_links(confirm_masks(materialize(few, "outsiders", own), self._texts(open_rows, own)), own)
             still = open_rows.where(f"n_outside > {LEAF}")
             classes = materialize(in_few_files(self._still_open(still), n), "open_classes", own)
-            left = classes.count()
-            if not left:
+            if classes.isEmpty():
                 remove_written(self.spark, own)
                 return
             level += 1
             needed = max(trees, trees_at(level, self.recall))
-            if LEAF * needed * (1 + EXTRA) ** level >= left:
-                self._link_all(materialize(compare_all(classes, left), "all_pairs", own))
-                remove_written(self.spark, own)
-                return
             rows = child_nodes(still)
             if needed > trees:
                 rows = rows.unionByName(root_nodes(classes, level, needed, trees))
                 trees = needed
-            rows = materialize(in_few_files(rows, n), "child_nodes", self.scratch)
+            rows = materialize(rows, "child_nodes", self.scratch)
             remove_written(self.spark, own)
-            scanned = in_few_files(scan_nodes(rows), 2 * n)
+            scanned = scan_nodes(rows)
+
+    def _finished(self, open_rows: DataFrame, level: int, trees: int, own: list[str]) -> bool:
+        """Whether nothing is open, or little enough that all its pairs take no more work than the next level: then they are compared here."""
+        classes = materialize(self._still_open(open_rows), "open_classes", own)
+        n, shingles = classes.agg(F.count("*"), F.sum("size")).first()
+        if not n:
+            return True
+        if n > 2 * ROW_COST * max(trees, trees_at(level + 1, self.recall)) * (1 + EXTRA) ** (level + 1):
+            return False
+        self._add_links(link_all(classes, self._texts(classes, own), shingles), own)
+        return True
+
+    def _texts(self, rows: DataFrame, own: list[str]) -> DataFrame:
+        """cid, text of the rows' classes, as a written table."""
+        wanted = rows.select("cid").distinct()
+        return materialize(self.docs.withColumnRenamed("doc_id", "cid").join(wanted, "cid"), "open_texts", own)
+
+    def _add_links(self, links: DataFrame, own: list[str]) -> None:
+        links = materialize(links, "open_links", own)
+        if not links.isEmpty():
+            self._connect(links)
 
     def _open_rows(self, large: DataFrame) -> DataFrame:
         """Rows of the nodes that hold several components, with ``outside`` (not of the node's main one) and ``n_outside``."""

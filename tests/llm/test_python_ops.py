@@ -319,10 +319,11 @@ def test_trees_reach_the_recall_with_one_sketch():
     assert (~found).sum() <= 10  # 4 expected
 
 
-@pytest.mark.parametrize("block", [8192, 150])
-def test_pairs_at_the_threshold_inside_a_family(spark, block, monkeypatch):
-    # members share about 2/3 of their shingles, partners 0.8 to 0.82; sketches propose, plain sets confirm
-    monkeypatch.setattr(near_dup, "BLOCK", block, raising=False)
+@pytest.mark.parametrize("row_cost", [near_dup.ROW_COST, 1])
+def test_pairs_at_the_threshold_inside_a_family(spark, row_cost, monkeypatch):
+    # members share about 2/3 of their shingles, partners 0.8 to 0.82; sketches propose, plain sets confirm.
+    # With the small row cost large nodes are branched over several levels before all pairs are compared.
+    monkeypatch.setattr(near_dup, "ROW_COST", row_cost)
     rng = random.Random(22)
     base = [f"b{i}" for i in range(300)]
 
@@ -350,17 +351,69 @@ def test_pairs_at_the_threshold_inside_a_family(spark, block, monkeypatch):
     assert got == want
 
 
-def test_last_nodes_are_compared_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "BLOCK", 20)
-    g = np.random.default_rng(23)
-    marks = np.where(g.random((90, near_dup.COORDINATES)) < 0.75, np.uint8(7), g.integers(0, 256, (90, near_dup.COORDINATES), np.uint8))
-    data = [(i, i % 80, 100, bytearray(m.tobytes())) for i, m in enumerate(marks)]
-    classes = spark.createDataFrame(data, "cid long, comp long, size long, sketch binary")
-    got = [(r["a"], r["b"]) for r in near_dup.compare_all(classes, 90).collect()]
-    want = {(i, j) for i, j in combinations(range(90), 2) if i % 80 != j % 80 and (marks[i] == marks[j]).sum() >= near_dup.MIN_MATCHES}
-    assert want and sorted(got) == sorted(want)
+def _links_of(df):
+    return {tuple(sorted((r["a"], r["b"]))) for r in df.collect()}
+
+
+def _family(rng, n, changes):
+    base = [f"b{i}" for i in range(60)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for at in rng.sample(range(60), rng.randint(0, changes)):
+            w[at] = f"m{i}x{at}"
+        out.append(" ".join(w))
+    return out
+
+
+def _merged(comp, links):
+    up = {c: c for c in comp.values()}
+
+    def find(c):
+        while up[c] != c:
+            c = up[c]
+        return c
+
+    for a, b in links:
+        up[find(comp[a])] = find(comp[b])
+    return {frozenset(k for k in comp if find(comp[k]) == find(comp[r])) for r in comp}
+
+
+@pytest.mark.parametrize("shingles", [10, 12 * near_dup.BLOCK_SHINGLES])
+def test_all_pairs_of_open_classes(spark, shingles):
+    rng = random.Random(23)
+    texts = _family(rng, 90, 12)
+    sets = [_set(t) for t in texts]
+    comp = {i: i % 70 for i in range(90)}
+    marks = [near_dup.sketch(s).tobytes() for s in near_dup.shingle_sets(texts)]
+    classes = spark.createDataFrame([(i, comp[i], len(sets[i]), bytearray(marks[i])) for i in range(90)], "cid long, comp long, size long, sketch binary")
+    got = _links_of(near_dup.link_all(classes, spark.createDataFrame(list(enumerate(texts)), "cid long, text string"), shingles))
+    every = {(i, j) for i, j in combinations(range(90), 2) if comp[i] != comp[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    # only true links, and enough of them to join whatever all of them join
+    assert got and got <= every and _merged(comp, got) == _merged(comp, every)
+    assert 0 < len(_merged(comp, every)) < 70
+
+
+def test_outsiders_meet_all_members(spark):
+    rng = random.Random(24)
+    texts = _family(rng, 300, 12)
+    sets = [_set(t) for t in texts]
+    comp = {i: 1000 + i if i % 10 == 0 else 5 for i in range(300)}
+    marks = [near_dup.sketch(s).tobytes() for s in near_dup.shingle_sets(texts)]
+    data = [(i % 2, i, comp[i], len(sets[i]), bytearray(marks[i]), comp[i] != 5) for i in range(300)]
+    open_rows = spark.createDataFrame(data, "node long, cid long, comp long, size long, sketch binary, outside boolean")
+    masked = near_dup.outsider_masks(open_rows)
+    assert masked.count() <= 300
+    docs = spark.createDataFrame([*enumerate(texts), (0, "another text under the same id")], "cid long, text string")
+    got = _links_of(near_dup.confirm_masks(masked, docs))
+    every = {(i, j) for i, j in combinations(range(300), 2) if i % 2 == j % 2 and comp[i] != comp[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert got and got <= every and _merged(comp, got) == _merged(comp, every)
+    assert len(got) <= 30  # at most one for each outsider, not one for each member that it is near
+
+
+def test_branching_ends_by_cost():
     # the branching ends by its own cost, for any number of classes, before rows grow without bound
-    assert any(near_dup.LEAF * near_dup.trees_at(level) * 1.25**level > 10**9 for level in range(40))
+    assert any(near_dup.ROW_COST * near_dup.trees_at(level) * 1.25**level > 10**9 for level in range(40))
 
 
 def test_near_duplicates_awkward(spark):
