@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import columns_of, pinned
+from shelfwise.llm.common import columns_of, filtered, pinned
 
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 WORD_CHAR = r"[^\x20\x09-\x0D]"
@@ -48,10 +48,11 @@ class Rule:
     least: float | None = None
     most: float | None = None
 
-    def column(self) -> Column:
-        value = F.col(self.numerator)
+    def column(self, count: Callable[[str], Column] = F.col) -> Column:
+        """The rule over the counts that ``count`` gives by name."""
+        value = count(self.numerator)
         if self.denominator:
-            value = F.when(F.col(self.denominator) > 0, value / F.col(self.denominator))
+            value = F.when(count(self.denominator) > 0, value / count(self.denominator))
         bounds = [value >= F.lit(self.least)] * (self.least is not None) + [value <= F.lit(self.most)] * (self.most is not None)
         held = F.lit(True)
         for b in bounds:
@@ -148,8 +149,25 @@ def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
     return rows.withColumn("base_failed", base).withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & passed)
 
 
+def _passes(text: Column, rules: tuple[Rule, ...], stop_words: str = STOP_WORDS) -> Column:
+    """Whether a text passes every rule, as one expression that measures it once.
+
+    A filter over :func:`measured` rows would be pushed below the projection
+    and measure the text again at each reference.
+    """
+    part = {"n_lines": "l", "n_dup_lines": "l", "n_symbols": None}
+
+    def held(f: Column) -> Column:
+        count = lambda name: f[name] if part.get(name, "w") is None else f[part.get(name, "w")][name]
+        out = F.lit(True)
+        for r in rules:
+            out = out & r.column(count)
+        return out
+
+    return _let(F.coalesce(text, F.lit("")), lambda t: _let(_features(t, stop_words.split()), held))
+
+
 def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that pass every rule, with their own columns."""
     inner, (text,) = pinned(docs, "text")
-    rows = measured(inner, text, inner.columns)
-    return rows.where(verdict(rules)[1]).select(*inner.columns).toDF(*docs.columns)
+    return filtered(docs, _passes(F.col(text), rules), inner)

@@ -64,6 +64,17 @@ def _quality_brute(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
 
 
+def test_quality_filter_measures_a_text_once(spark):
+    out = quality.quality_filter(clashing(spark))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("xxhash64", plan)) == 1
+    kept = {r["doc_id"] for r in quality.quality_report(awkward(spark)).where("kept").collect()}
+    assert {r["doc_id"] for r in out.collect()} == kept and out.columns == clashing(spark).columns
+    strict = (quality.Rule("lines", "n_dup_lines", "n_lines", most=0.0), quality.Rule("short", "n_words", most=20))
+    want = {r["doc_id"] for r in quality.quality_report(awkward(spark), strict).where("size(failed_rules) = 0").collect()}
+    assert {r["doc_id"] for r in quality.quality_filter(awkward(spark), strict).collect()} == want
+
+
 def test_quality_counts(spark):
     rng = random.Random(2)
     texts = [None, "", "a", "a a a a", "a b c a b c", "x\ny\nx\n\n \n", "a b c\x0bd\x1ce", "\U0001f600 # | <b>", "a b a b a b a"]
