@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, and their SQL where SQL can express them."""
+"""Registered queries of the operators, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import chat, fingerprints, html_text, langid, mixing, near_dup, packing, quality, sharding, tokens
+from shelfwise.llm import (
+    chat, fingerprints, html_text, langid, mixing, near_dup, packing, quality, quality_model, ranking, sharding, spelling, tokens,
+)
 from shelfwise.llm.common import table
 
 
@@ -50,11 +52,24 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_length_histogram, op2_language_id, op3_chat_formatting, op4_best_fit_packing, op5_quality_rules,
         op6_source_mixing, op7_html_extraction, op8_document_fingerprints, op9_minhash_near_dedup, op10_sharding,
+        op11_ranked_search, op12_spelling_variants, op13_quality_classifier,
     )
 }
 
@@ -182,10 +197,84 @@ SELECT doc_id, source, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text
 FROM placed
 """
 
+_RANKING = r"""
+WITH terms AS (
+  SELECT rid, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT *, row_number() OVER () AS rid FROM documents)
+), tf AS (
+  SELECT rid, doc_id, term, count(*) AS tf FROM terms GROUP BY ALL
+), sizes AS (
+  SELECT rid, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY rid
+), corpus AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS occurrences FROM sizes
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, corpus GROUP BY term, docs
+), wanted AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY ALL
+), scores AS (
+  SELECT item_id, rid, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // occurrences)))) AS BIGINT) AS score
+  FROM wanted JOIN tf USING (term) JOIN weights USING (term) JOIN sizes USING (rid), corpus
+  GROUP BY item_id, rid, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0
+QUALIFY rank <= 10
+"""
+
+# crc32 as in op10's SQL, over the distinct runs of a document
+_SPELLING = r"""
+WITH RECURSIVE remainders AS (
+  SELECT 0 AS step, i AS b, i AS r FROM range(0, 256) AS g(i)
+  UNION ALL
+  SELECT step + 1, b, CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END FROM remainders WHERE step < 8
+), lookup AS (
+  SELECT list(r ORDER BY b) AS t FROM remainders WHERE step = 8
+), runs AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL
+), named AS (
+  SELECT run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS h FROM runs
+), hashed AS (
+  SELECT run, n, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+    lambda r, b: xor(r // 256, t[xor(r, b) % 256 + 1])), 4294967295) AS crc
+  FROM named, lookup
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN crc % 31 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), cut AS (
+  SELECT word, i, substr(word, 1, i) AS a, substr(word, i + 2) AS b FROM (SELECT word, unnest(range(0, length(word))) AS i FROM words)
+), near AS (
+  SELECT x.word, y.word AS other FROM cut x JOIN cut y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION
+  SELECT c.word, w.word FROM cut c JOIN words w ON c.a || c.b = w.word
+  UNION
+  SELECT w.word, c.word FROM cut c JOIN words w ON c.a || c.b = w.word
+), ranked AS (
+  SELECT near.word, other, o.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near, row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, other) AS r
+  FROM near JOIN words o ON o.word = other
+), forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * w.n THEN other END AS form, CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.r = 1
+), chain AS (
+  SELECT word, word AS at, 0 AS step FROM forms
+  UNION ALL
+  SELECT c.word, f.form, step + 1 FROM chain c JOIN forms f ON f.word = c.at WHERE f.form IS NOT NULL
+), ends AS (
+  SELECT word, arg_max(at, step) AS root FROM chain GROUP BY word
+)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM forms JOIN ends USING (word)
+"""
+
 ORACLES = {
     "op3_chat_formatting": _CHAT,
     "op5_quality_rules": _QUALITY,
     "op6_source_mixing": _MIXING,
     "op9_minhash_near_dedup": _NEAR_DUP,
     "op10_sharding": _SHARDING,
+    "op11_ranked_search": _RANKING,
+    "op12_spelling_variants": _SPELLING,
 }
