@@ -9,12 +9,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-# rows per Arrow batch handed to Python: bounds a worker's memory when texts are long
+# rows and bytes per Arrow batch handed to Python: they bound a worker's memory when texts are long
 ARROW_ROWS = 1000
+ARROW_BYTES = 8_000_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to what the operators' workers are meant for, never raise them."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = spark.conf.get(key)
+        if not (now and now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -25,6 +33,7 @@ def pinned(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
     with the names an operator uses itself, not even in another letter case.
     An exact match wins over one in another case; a missing column is an error.
     """
+    bounded_batches(df.sparkSession)
     inner = df.toDF(*[f"in_{i}" for i in range(len(df.columns))])
     found = []
     for name in names:

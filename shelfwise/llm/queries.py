@@ -260,11 +260,11 @@ WITH RECURSIVE remainders AS (
   SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * w.n THEN other END AS form, CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n
   FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.r = 1
 ), chain AS (
-  SELECT word, word AS at, 0 AS step FROM forms
+  SELECT word, word AS head, 0 AS step FROM forms
   UNION ALL
-  SELECT c.word, f.form, step + 1 FROM chain c JOIN forms f ON f.word = c.at WHERE f.form IS NOT NULL
+  SELECT c.word, f.form, step + 1 FROM chain c JOIN forms f ON f.word = c.head WHERE f.form IS NOT NULL
 ), ends AS (
-  SELECT word, arg_max(at, step) AS root FROM chain GROUP BY word
+  SELECT word, arg_max(head, step) AS root FROM chain GROUP BY word
 )
 SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM forms JOIN ends USING (word)
 """
