@@ -39,8 +39,10 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents by their source's rate, in shuffled order."""
-    return mix_sources(docs).drop("copy", "rate", "shuffle_key")
+    """Repeats documents by their source's rate, in shuffled order; columns stay by position, whatever their names."""
+    mixed = mix_sources(docs)
+    places = mixed.toDF(*[f"c{i}" for i in range(len(mixed.columns))])
+    return places.select(*places.columns[: len(docs.columns)]).toDF(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,11 +64,17 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written before the next reads it."""
-    docs = table(spark, sf_dir, "documents")
+    return run_stages(spark, table(spark, sf_dir, "documents"), sf_dir)
+
+
+def run_stages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All stages over ``docs``; stage tables hold the columns by position, so names may clash in any case."""
+    names = docs.columns
+    places = [f"c{i}" for i in range(len(names))]
     read: list[str] = []
     for name, stage in STAGES[:-1]:
         written: list[str] = []
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline_{name}", written)
+        docs = materialize(stage(spark, docs, sf_dir).toDF(*places), f"pipeline_{name}", written).toDF(*names)
         remove_written(spark, read)  # its only reader is done
         read = written
     return STAGES[-1][1](spark, docs, sf_dir)
