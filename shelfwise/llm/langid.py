@@ -277,12 +277,10 @@ def count_grams(docs: DataFrame, letters: np.ndarray) -> DataFrame:
                 own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
                 for i, j in slices([len(t) for t in own], SLICE_CHARS):
                     sym, ends, _ = letters_only(own[i:j], letters)
-                    starts = np.concatenate([[0], ends[:-1]])
                     valid = np.ones(max(len(sym) - ORDER + 1, 0), bool)
                     for k in range(1, ORDER):
                         cut = ends[:-1] - k
                         valid[cut[(cut >= 0) & (cut < len(valid))]] = False
-                    valid[[s for s in starts if s >= len(valid)]] = False
                     at = np.flatnonzero(valid)
                     windows = [sym[at + k] for k in range(ORDER)]
                     _, first, n = np.unique(hashes(windows), return_index=True, return_counts=True)
