@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +71,15 @@ def seeded_hex(seed: int, *parts: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
 
 
+def shipped(spark: SparkSession, value: object) -> Broadcast[bytes]:
+    """A broadcast of an object of this subpackage as plain bytes; :func:`unpacked` rebuilds it where the library is not installed."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def unpacked(shared: Broadcast[bytes]) -> object:
+    return pickle.loads(shared.value)
+
+
 def slices(lengths: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
     """Index ranges of consecutive items whose lengths add up to ``most`` or a bit more."""
     start = total = end = 0

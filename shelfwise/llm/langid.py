@@ -21,10 +21,10 @@ Defined cases: null text and text without a letter is ``und``, score 0,
 rejected; with no labelled documents nothing is learned, every text is
 ``und`` with score 0 and only texts without letters are rejected; ties go
 to the alphabetically first language; rows without an id are never learned
-from and are not held out.  Where ``lang`` has more than ``MAX_LANGUAGES``
-values (typing errors, free text), only those with ``LEAST_DOCS`` labelled
-documents or more have a model, the ``MAX_LANGUAGES`` most frequent of them
-(ties by name); documents of other labels are scored like all others.
+from and are not held out.  A value of ``lang`` has a model if at least one in
+``MAX_LANGUAGES`` of the labelled documents carries it, which keeps typing
+errors and free text out and the number of models bounded; documents of other
+labels are scored like all others.
 """
 
 from __future__ import annotations
@@ -39,13 +39,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwise.llm.common import code_points, columns_of, mix64, pinned, slices
+from shelfwise.llm.common import code_points, columns_of, mix64, pinned, shipped, slices, unpacked
+from shelfwise.plans.materialize import materialize, remove_written
 
 ORDER = 5
 SAMPLE_DOCS = 1200
 CALIBRATION_DOCS = 400
 MAX_LANGUAGES = 1000
-LEAST_DOCS = 50  # labelled documents of a language, where there are more labels than that
 SPACE = 32
 SLICE_CHARS = 500_000
 UNKNOWN = "und"
@@ -300,12 +300,11 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, calibration_docs: int =
     """
     letters = letter_map()
     fold = _fold(columns_of(docs, doc_id="doc_id", text="text", lang="lang"))
-    labels = fold.groupBy("lang").agg(F.count("*").alias("n"))
-    sizes = {r["lang"]: r["n"] for r in labels.limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        most = labels.where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-        sizes = {r["lang"]: r["n"] for r in most.collect()}
-        fold = fold.where(F.col("lang").isin(list(sizes)))
+    own: list[str] = []
+    labels = materialize(fold.groupBy("lang").agg(F.count("*").alias("n")), "lang_labels", own)
+    total = labels.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    sizes = {r["lang"]: r["n"] for r in labels.where(F.col("n") * MAX_LANGUAGES >= total).collect()}
+    remove_written(docs.sparkSession, own)
     if not sizes:
         return Model([], letters)
     counts: dict[str, dict[str, int]] = {}
@@ -320,10 +319,10 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, calibration_docs: int =
 
 def calibrate(model: Model, docs: DataFrame) -> None:
     """Set each language's rejection limit and the sharpness of scores from labelled documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shipped(docs.sparkSession, model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = unpacked(shared)
         at = {x: j for j, x in enumerate(m.langs)}
         for b in batches:
             true = [at.get(x, -1) for x in b.column(0).to_pylist()]
@@ -333,6 +332,7 @@ def calibrate(model: Model, docs: DataFrame) -> None:
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.list_(pa.float64())), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64())], ["t", "ce", "var", "n"])
 
     rows = docs.select("lang", "text").mapInArrow(measure, "t int, ce array<double>, var double, n long").collect()
+    shared.destroy()
     k = len(model.langs)
     model.mean, model.spread, model.noise, model.limit = np.full(k, 1e9), np.ones(k), np.ones(k), np.ones(k)
     if not rows:
@@ -358,13 +358,14 @@ def calibrate(model: Model, docs: DataFrame) -> None:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` with lang_pred, score, cross_entropy and rejected appended."""
     inner, (text,) = pinned(docs, "text")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shipped(docs.sparkSession, model)
     at = inner.columns.index(text)
     schema = T.StructType([*inner.schema.fields, *T.StructType.fromDDL("p_lang string, p_score double, p_entropy double, p_rejected boolean").fields])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = unpacked(shared)
         for b in batches:
-            lang, score, entropy, rejected = shared.value.predict(b.column(at).to_pylist())
+            lang, score, entropy, rejected = m.predict(b.column(at).to_pylist())
             more = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(rejected.astype(bool))]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "p_lang", "p_score", "p_entropy", "p_rejected"])
 

@@ -21,11 +21,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import columns_of
+from shelfwise.llm.common import columns_of, shipped, unpacked
 from shelfwise.plans.materialize import materialize
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -44,7 +43,10 @@ class Encoder:
     def __getstate__(self) -> dict:
         return {"ranks": self.ranks, "pattern": self.pattern, "_built": None}
 
-    def built(self) -> tiktoken.Encoding:
+    def built(self):  # noqa: ANN201
+        """The encoding of the tiktoken package, needed only where texts are encoded."""
+        import tiktoken
+
         if self._built is None:
             ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, self.ranks.splitlines())}
             self._built = tiktoken.Encoding("corpus", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
@@ -58,11 +60,12 @@ class Encoder:
 def length_histogram(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """n_tokens, n_docs: documents by encoded length."""
     # a vocabulary file of fixed size, read on the driver: executors need no copy
-    encoder = docs.sparkSession.sparkContext.broadcast(Encoder(vocabulary, pattern))
+    encoder = shipped(docs.sparkSession, Encoder(vocabulary, pattern))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = unpacked(encoder)
         for b in batches:
-            n, times = np.unique(encoder.value.lengths(b.column(0).to_pylist()), return_counts=True)
+            n, times = np.unique(own.lengths(b.column(0).to_pylist()), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(times.astype(np.int64))], ["n_tokens", "n_docs"])
 
     counted = columns_of(docs, text="text").mapInArrow(count, "n_tokens long, n_docs long")
