@@ -58,7 +58,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("best_fit_packing", pack_sequences),
 ]
 
-# Language models and greedy packing have no SQL form; a brute-force version is in tests/llm.
+# Language models and greedy packing have no SQL form; tests/llm holds run() against a plain version of the stages.
 ORACLE_SQL = None
 
 
