@@ -29,13 +29,14 @@ def _by_label(p: InventoryPipeline, entity: str, label: str, keep_id: bool = Fal
 _BUILDERS: dict[str, Builder] = {
     # A: sources, audit, cleaning
     "inventory_raw": lambda p: p.source.select(*RAW_COLUMNS),
-    "audit_summary": lambda p: A.audit_summary(p.raw, p.audit_pairs),
+    "audit_summary": lambda p: A.audit_summary(p.audit_pairs),
     "product_map": lambda p: p.product_map,
     "store_map": lambda p: p.store_map,
     "inventory_clean": lambda p: p.clean,
     "quality_flags": lambda p: p.quality_flags(),
     "negative_forecast_rows": lambda p: A.negative_forecast_rows(p.clean),
     "map_conflicts": lambda p: A.map_conflicts(p.source),
+    "clean_label_conflicts": lambda p: A.clean_label_conflicts(p.clean),
     # B: KPI layer
     "kpi_null_check": lambda p: A.kpi_null_check(p.clean_unlabelled(), p.label_maps),
     "kpi_bad_numeric_rows": lambda p: A.kpi_bad_numeric_rows(p.clean),
@@ -86,7 +87,7 @@ _BUILDERS: dict[str, Builder] = {
     "region_policy_summary": lambda p: D.region_policy_summary(p.policy_labels),
     "high_priority_items": lambda p: D.high_priority_items(p.policy),
     # E: cadence and assessment
-    "order_events": lambda p: E12.order_events(p.kpi_base(labels=False)),
+    "order_events": lambda p: E12.order_events(p.order_rows),
     "order_cadence": lambda p: p.cadence,
     "replenishment_base": lambda p: C1.replenishment_base(p.rollup),
     "reorder_assessment": lambda p: p.assessment,

@@ -5,7 +5,12 @@ pair, so a pair with millions of rows would sit in one task.  Here order
 rows are first combined per (pair, block of 64 days): the set of order
 days is a bit mask (``bit_or``), orders and sizes are sums.  That is one
 shuffle of the fact with map-side combine; everything after it handles at
-most one row per 64 calendar days and pair.
+most one row per 64 calendar days and pair.  The pair rollup can carry the
+same state (:func:`shelfwise.operators.rollup.pair_blocks`); cadence then needs
+no pass over the fact of its own.
+
+The order before an order row comes from the masks, too: the highest bit below
+its day, or else the last day of the pair's block before.
 
 Gaps survive exactly.  The gaps of a pair add up to last day minus first
 day, and repeated orders on a day add only zeros, so just the sum of
@@ -31,28 +36,74 @@ _DEC = "DECIMAL(38,0)"
 BLOCK_DAYS = 64
 
 
-def order_events(kb: DataFrame) -> DataFrame:
-    """Order rows with the date of the order before them in the same pair.
+DAY = "datediff(CAST(date AS DATE), DATE'1970-01-01')"
+
+
+def block_of(day: str) -> str:
+    return f"floor({day} / {BLOCK_DAYS})"
+
+
+def day_bit(day: str) -> str:
+    """The day's bit in its block's mask."""
+    return f"shiftleft(1L, CAST(pmod({day}, {BLOCK_DAYS}) AS INT))"
+
+
+def _last_bit(mask: str) -> str:
+    """Number of the highest bit of a mask that is not 0 (the sign bit is 63)."""
+    return f"(length(bin({mask})) - 1)"
+
+
+def order_rows(kb: DataFrame) -> DataFrame:
+    """The order rows with their block and day in it: what E1 reads twice, so it is written in between."""
+    return sql(
+        f"""
+SELECT store_id, product_id, order_date, units_ordered, {block_of('day')} AS block, CAST(pmod(day, {BLOCK_DAYS}) AS INT) AS place
+FROM (SELECT store_id, product_id, CAST(date AS DATE) AS order_date, units_ordered, {DAY} AS day FROM {{kb}} WHERE units_ordered > 0)
+""",
+        kb=kb,
+    )
+
+
+def order_events(orders: DataFrame) -> DataFrame:
+    """Order rows with the date of the order before them in the same pair, from the written :func:`order_rows`.
 
     The first copy of a key follows the previous order day, every further
-    copy follows an order of the same day.  Copies are numbered inside
-    (pair, day), and the previous day comes from the distinct order days, so
-    neither window holds a pair's rows.
+    copy follows an order of the same day.  Rows move once, to their block;
+    the window there holds the copies of one key, and the blocks' window holds
+    a row per 64 days of a pair.
     """
     return sql(
-        """
-WITH orders AS (
-  SELECT store_id, product_id, CAST(date AS DATE) AS order_date, units_ordered FROM {kb} WHERE units_ordered > 0
-), days AS (
-  SELECT *, lag(order_date) OVER (PARTITION BY store_id, product_id ORDER BY order_date) AS day_before
-  FROM (SELECT DISTINCT store_id, product_id, order_date FROM orders)
-), copies AS (
-  SELECT *, row_number() OVER (PARTITION BY store_id, product_id, order_date ORDER BY units_ordered) AS copy FROM orders
+        f"""
+WITH blocks AS (
+  SELECT store_id, product_id, block, bit_or(shiftleft(1L, place)) AS days FROM {{orders}} GROUP BY store_id, product_id, block
+), placed AS (
+  SELECT *, lag(block * {BLOCK_DAYS} + {_last_bit('days')}) OVER (PARTITION BY store_id, product_id ORDER BY block) AS last_before FROM blocks
+), met AS (
+  SELECT o.*, b.days & ~shiftleft(-1L, o.place) AS earlier, b.last_before
+  FROM {{orders}} o
+  JOIN placed b ON o.store_id <=> b.store_id AND o.product_id <=> b.product_id AND o.block <=> b.block
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY store_id, product_id, block, order_date ORDER BY units_ordered) AS copy FROM met
 )
-SELECT c.store_id, c.product_id, c.order_date, c.units_ordered,
-  CASE WHEN c.copy > 1 THEN c.order_date ELSE d.day_before END AS prev_order_date
-FROM copies c
-LEFT JOIN days d ON c.store_id <=> d.store_id AND c.product_id <=> d.product_id AND c.order_date = d.order_date
+SELECT store_id, product_id, order_date, units_ordered,
+  CASE WHEN copy > 1 OR order_date IS NULL THEN order_date
+       ELSE date_add(DATE'1970-01-01', CAST(CASE WHEN earlier <> 0 THEN block * {BLOCK_DAYS} + {_last_bit('earlier')} ELSE last_before END AS INT)) END AS prev_order_date
+FROM numbered
+""",
+        orders=orders,
+    )
+
+
+def order_blocks(kb: DataFrame) -> DataFrame:
+    """Per (pair, block): orders ``n``, sum ``s`` and sum of squares ``ss`` of their sizes, and the mask of order days."""
+    return sql(
+        f"""
+SELECT store_id, product_id, {block_of('day')} AS block, count(*) AS n,
+       CAST(sum(units_ordered) AS {_DEC}) AS s,
+       sum(CAST(units_ordered AS {_DEC}) * units_ordered) AS ss,
+       bit_or({day_bit('day')}) AS days
+FROM (SELECT *, {DAY} AS day FROM {{kb}} WHERE units_ordered > 0)
+GROUP BY store_id, product_id, {block_of('day')}
 """,
         kb=kb,
     )
@@ -69,24 +120,17 @@ def _mean_sd(n: str, s: str, ss: str) -> tuple[str, str]:
     return mean, sd
 
 
-def order_cadence_raw(kb: DataFrame) -> DataFrame:
-    """Unrounded cadence per pair with at least one order."""
+def order_cadence_raw(blocks: DataFrame) -> DataFrame:
+    """Unrounded cadence per pair with at least one order, from :func:`order_blocks` rows."""
     size_mean, size_sd = _mean_sd("n", "s", "ss")
     # every order but the first has a predecessor: n - 1 gaps
     gap_mean, gap_sd = _mean_sd("(n - 1)", "gs", "gss")
     return sql(
         f"""
-WITH blocks AS (
-  SELECT store_id, product_id, floor(day / {BLOCK_DAYS}) AS block, count(*) AS n,
-         CAST(sum(units_ordered) AS {_DEC}) AS s,
-         sum(CAST(units_ordered AS {_DEC}) * units_ordered) AS ss,
-         bit_or(shiftleft(1L, CAST(pmod(day, {BLOCK_DAYS}) AS INT))) AS days
-  FROM (SELECT *, datediff(CAST(date AS DATE), DATE'1970-01-01') AS day FROM {{kb}} WHERE units_ordered > 0)
-  GROUP BY store_id, product_id, floor(day / {BLOCK_DAYS})
-), placed AS (
+WITH placed AS (
   -- order days of a block as day numbers, ascending
   SELECT *, transform(filter(sequence(0, {BLOCK_DAYS - 1}), i -> getbit(days, i) = 1), i -> block * {BLOCK_DAYS} + i) AS at
-  FROM blocks
+  FROM {{blocks}}
 ), gaps AS (
   SELECT *,
     aggregate(sequence(1, size(at)), 0L,
@@ -108,11 +152,11 @@ SELECT store_id, product_id,
        {gap_sd} AS stddev_days_between_orders
 FROM moments
 """,
-        kb=kb,
+        blocks=blocks,
     )
 
 
-def order_cadence(kb: DataFrame) -> DataFrame:
-    """Rounded order cadence per pair with at least one order."""
+def order_cadence(blocks: DataFrame) -> DataFrame:
+    """Rounded order cadence per pair with at least one order, from :func:`order_blocks` rows."""
     rounded = [f"{round_half_up(n, 2)} AS {n}" for n in CADENCE_COLUMNS[1:]]
-    return order_cadence_raw(kb).selectExpr("store_id", "product_id", "order_event_count", *rounded)
+    return order_cadence_raw(blocks).selectExpr("store_id", "product_id", "order_event_count", *rounded)

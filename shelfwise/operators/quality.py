@@ -79,10 +79,40 @@ def inventory_clean(raw: DataFrame, pmap: DataFrame, smap: DataFrame, negative_f
     )
 
 
-def duplicate_keys(raw: DataFrame) -> DataFrame:
-    """Row keys that occur more than once, with their multiplicity."""
+# A row key is (date, store, product).  Of the rows of a pair in 64 days, as many keys are distinct as bits are set in the
+# mask of their days; rows without a date are one key.
+_DAY = "datediff(CAST(date AS DATE), DATE'1970-01-01')"
+_BLOCK = "floor(day / 64)"
+_MASK = "bit_or(shiftleft(1L, CAST(pmod(day, 64) AS INT)))"
+_DISTINCT = "CASE WHEN block IS NULL THEN 1 ELSE bit_count(days) END"
+
+
+def crowded_blocks(raw: DataFrame) -> DataFrame:
+    """(store_id, product_id, block) where some key occurs twice: combined map-side, a row per pair and 64 days is shuffled."""
+    return sql(
+        f"""
+SELECT store_id, product_id, block
+FROM (SELECT store_id, product_id, {_BLOCK} AS block, count(*) AS n, {_MASK} AS days
+      FROM (SELECT store_id, product_id, {_DAY} AS day FROM {{raw}}) GROUP BY store_id, product_id, {_BLOCK})
+WHERE n > {_DISTINCT}
+""",
+        raw=raw,
+    )
+
+
+def duplicate_keys(raw: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Row keys that occur more than once, with their multiplicity; only rows of ``crowded`` blocks are grouped by key."""
     keys = ", ".join(KEY)
-    return sql(f"SELECT {keys}, count(*) AS key_rows FROM {{raw}} GROUP BY {keys} HAVING count(*) > 1", raw=raw)
+    return sql(
+        f"""
+SELECT {keys}, count(*) AS key_rows
+FROM (SELECT {keys}, {_BLOCK} AS block FROM (SELECT {keys}, {_DAY} AS day FROM {{raw}})) r
+LEFT SEMI JOIN {{crowded}} c ON r.store_id <=> c.store_id AND r.product_id <=> c.product_id AND r.block <=> c.block
+GROUP BY {keys} HAVING count(*) > 1
+""",
+        raw=raw,
+        crowded=crowded,
+    )
 
 
 def quality_flags(clean: DataFrame, dup_keys: DataFrame) -> DataFrame:
@@ -126,22 +156,54 @@ HAVING count(*) > 1
     )
 
 
+def clean_label_conflicts(clean: DataFrame) -> DataFrame:
+    """A8 after cleaning: ids that still carry several canonical labels, or a row whose label is lost.  Expect no rows.
+
+    Cleaning makes category a function of the product and region of the store;
+    everything after it relies on that (a pair with two labels would be two
+    rows of every pair view).  NULL counts as a label of its own here.
+    """
+    return sql(
+        """
+SELECT entity, id AS entity_id, count(*) AS label_count
+FROM (
+  SELECT DISTINCT entity, id, label
+  FROM (SELECT stack(2, 'product', product_id, category_clean, 'store', store_id, region_clean) AS (entity, id, label) FROM {clean})
+)
+GROUP BY entity, id
+HAVING count(*) > 1
+""",
+        clean=clean,
+    )
+
+
 def audit_pairs(raw: DataFrame) -> DataFrame:
-    """Everything the audit needs but repeated keys, per (product, store): a pair-level table from one scan."""
+    """Everything the audit needs, per (product, store): a pair-level table from one scan.
+
+    Repeated keys are counted per block of 64 days, as the rows beyond the
+    bits of the block's day mask; two steps by keys that contain each other,
+    so the second adds no shuffle of the fact.
+    """
     missing = " + ".join(flag(f"{n} IS NULL") for n in RAW_COLUMNS)
     rejected = REJECTED if REJECTED in raw.columns else "0"
     return sql(
         f"""
-SELECT product_id, store_id, count(*) AS n, sum({missing}) AS missing, sum({rejected}) AS rejected,
-  {count_if('demand_forecast < 0')} AS negative,
-  min(category) AS category_lo, max(category) AS category_hi, min(region) AS region_lo, max(region) AS region_hi
-FROM {{raw}} GROUP BY product_id, store_id
+SELECT product_id, store_id, sum(n) AS n, sum(missing) AS missing, sum(rejected) AS rejected, sum(negative) AS negative,
+  sum(n - {_DISTINCT}) AS repeated,
+  min(category_lo) AS category_lo, max(category_hi) AS category_hi, min(region_lo) AS region_lo, max(region_hi) AS region_hi
+FROM (
+  SELECT product_id, store_id, {_BLOCK} AS block, count(*) AS n, sum({missing}) AS missing, sum({rejected}) AS rejected,
+    {count_if('demand_forecast < 0')} AS negative, {_MASK} AS days,
+    min(category) AS category_lo, max(category) AS category_hi, min(region) AS region_lo, max(region) AS region_hi
+  FROM (SELECT *, {_DAY} AS day FROM {{raw}}) GROUP BY product_id, store_id, {_BLOCK}
+)
+GROUP BY product_id, store_id
 """,
         raw=raw,
     )
 
 
-def audit_summary(raw: DataFrame, pairs: DataFrame) -> DataFrame:
+def audit_summary(pairs: DataFrame) -> DataFrame:
     """A2: one row of audit counts; ``pairs`` is the written :func:`audit_pairs` table.
 
     ``rejected_cells`` counts cells whose content did not fit the column's
@@ -154,7 +216,7 @@ def audit_summary(raw: DataFrame, pairs: DataFrame) -> DataFrame:
 SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS total_rows,
   CAST(coalesce(sum(missing), 0) AS BIGINT) AS missing_values,
   CAST(coalesce(sum(rejected), 0) AS BIGINT) AS rejected_cells,
-  (SELECT CAST(coalesce(sum(key_rows - 1), 0) AS BIGINT) FROM {{dups}}) AS duplicate_rows,
+  CAST(coalesce(sum(repeated), 0) AS BIGINT) AS duplicate_rows,
   CAST(coalesce(sum(negative), 0) AS BIGINT) AS negative_forecast_rows,
   (SELECT count(*) FROM (SELECT product_id FROM {{pairs}} GROUP BY product_id HAVING {several('category_lo', 'category_hi')}))
     AS products_with_multiple_categories,
@@ -163,7 +225,6 @@ SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS total_rows,
 FROM {{pairs}}
 """,
         pairs=pairs,
-        dups=duplicate_keys(raw),
     )
 
 

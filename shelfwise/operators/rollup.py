@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from shelfwise.functions import pct, round_half_up, safe_div, select_list, sql
+from shelfwise.operators import cadence
 from shelfwise.operators.quality import label_maps
 
 PAIR_KEYS = ["store_id", "product_id", "category_clean", "region_clean"]
@@ -67,6 +68,43 @@ def pair_sums(kb: DataFrame) -> DataFrame:
     return sql(f"SELECT {keys}, {select_list(sums)} FROM {{kb}} GROUP BY {keys}", kb=kb)
 
 
+def pair_blocks(kb: DataFrame) -> DataFrame:
+    """:func:`pair_sums` split by blocks of 64 days, with the order days and squared order sizes that cadence needs.
+
+    One state serves both: merged per pair it gives the rollup, merged per
+    (pair, block) the cadence (:func:`order_blocks_of`), so the assessment and
+    the impact view pass over the fact once.
+    """
+    keys = "store_id, product_id, category, region"
+    sums = [f"{e} AS {n}" for n, e in _SUMS.items()]
+    # an order row without a date counts, but has no day in a mask
+    order_state = [
+        "sum(CASE WHEN units_ordered > 0 THEN CAST(units_ordered AS DECIMAL(38,0)) * units_ordered END) AS order_sq",
+        f"bit_or(CASE WHEN units_ordered > 0 THEN {cadence.day_bit('day')} END) AS order_days",
+    ]
+    return sql(
+        f"""
+SELECT {keys}, {cadence.block_of('day')} AS block, {select_list([*sums, *order_state])}
+FROM (SELECT *, {cadence.DAY} AS day FROM {{kb}})
+GROUP BY {keys}, {cadence.block_of('day')}
+""",
+        kb=kb,
+    )
+
+
+def order_blocks_of(blocks: DataFrame) -> DataFrame:
+    """The rows of :func:`cadence.order_blocks`, from the written :func:`pair_blocks`."""
+    return sql(
+        """
+SELECT store_id, product_id, block, sum(order_rows) AS n, CAST(sum(order_units) AS DECIMAL(38,0)) AS s,
+       sum(order_sq) AS ss, bit_or(order_days) AS days
+FROM {blocks} WHERE order_rows > 0
+GROUP BY store_id, product_id, block
+""",
+        blocks=blocks,
+    )
+
+
 def _sd(n: str, s: str, sq: str) -> str:
     """Sample standard deviation from exact count, sum and sum of squares."""
     spread = f"(CAST({n} * {sq} - CAST({s} AS DECIMAL(30,6)) * {s} AS DOUBLE) / CAST(NULLIF({n} * ({n} - 1), 0) AS DOUBLE))"
@@ -74,7 +112,7 @@ def _sd(n: str, s: str, sq: str) -> str:
 
 
 def pair_rollup(sums: DataFrame) -> DataFrame:
-    """Unrounded per-pair aggregates with canonical labels, from the written :func:`pair_sums`.
+    """Unrounded per-pair aggregates with canonical labels, from the written :func:`pair_sums` or :func:`pair_blocks`.
 
     The canonical category and region are functions of product and store, so
     the lookups join one row per pair.  Cover days are the one average over

@@ -132,23 +132,34 @@ class InventoryPipeline:
 
     @cached_property
     def duplicate_keys(self) -> DataFrame:
-        return self._write(quality.duplicate_keys(self.raw), "duplicate_keys")
+        crowded = self._write(quality.crowded_blocks(self.raw), "crowded_blocks")
+        return self._write(quality.duplicate_keys(self.raw, crowded), "duplicate_keys")
 
     def quality_flags(self) -> DataFrame:
         return quality.quality_flags(self.clean, self.duplicate_keys)
 
     @cached_property
     def audit_pairs(self) -> DataFrame:
-        return self._write(quality.audit_pairs(self.raw), "audit_pairs")
+        return self._write(quality.audit_pairs(self._raw_single_pass()), "audit_pairs")
 
     # ---- pair level ---------------------------------------------------------
     @cached_property
     def pair_sums(self) -> DataFrame:
         return self._write(rollup.pair_sums(self.kpi_base(labels=False)), "pair_sums")
 
+    @cached_property
+    def pair_blocks(self) -> DataFrame:
+        """The one pass over the fact that rollup and cadence share."""
+        return self._write(rollup.pair_blocks(self.kpi_base(labels=False)), "pair_blocks")
+
+    def _have(self, name: str) -> bool:
+        return name in self.__dict__
+
     @cached_property
     def rollup(self) -> DataFrame:
-        return self._write(rollup.pair_rollup(self.pair_sums), "pair_rollup")
+        # the rollup alone needs no blocks; where they are there anyway, they are its sums
+        sums = self.pair_blocks if self._have("pair_blocks") else self.pair_sums
+        return self._write(rollup.pair_rollup(sums), "pair_rollup")
 
     @cached_property
     def pair_count(self) -> int:
@@ -162,9 +173,12 @@ class InventoryPipeline:
 
     @cached_property
     def cadence(self) -> DataFrame:
-        # cadence needs no labels; evaluated after the rollup it reuses
-        # the written raw table instead of re-deriving the source
-        return self._stage(cadence.order_cadence(self.kpi_base(labels=False)), "cadence")
+        blocks = rollup.order_blocks_of(self.pair_blocks) if self._have("pair_blocks") else cadence.order_blocks(self.kpi_base(labels=False))
+        return self._stage(cadence.order_cadence(blocks), "cadence")
+
+    @cached_property
+    def order_rows(self) -> DataFrame:
+        return self._write(cadence.order_rows(self.kpi_base(labels=False)), "order_rows")
 
     @cached_property
     def positions(self) -> DataFrame:
@@ -181,7 +195,7 @@ class InventoryPipeline:
 
     @cached_property
     def assessment(self) -> DataFrame:
-        _ = self.raw if self.materialize_raw != "none" else None  # rollup and cadence are separate jobs
+        _ = self.pair_blocks if not (self._have("rollup") and self._have("cadence")) else None
         rb = self.rollup
         return self._stage(assessment.reorder_assessment(rb, self.cadence, self.t), "assessment")
 
@@ -189,6 +203,6 @@ class InventoryPipeline:
     def impact(self) -> DataFrame:
         # the impact view uses the policy labels but no segment label, so
         # it is built on the rollup and never waits for the orderings
-        _ = self.raw if self.materialize_raw != "none" else None  # rollup and cadence are separate jobs
+        _ = self.pair_blocks if not (self._have("rollup") and self._have("cadence")) else None
         rb = self.rollup
         return self._stage(impact.business_impact(rb, self.cadence, self.t), "impact")

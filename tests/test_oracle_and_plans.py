@@ -11,11 +11,12 @@ import pytest
 
 import __spark_entry__ as E
 from shelfwise.catalog import CATALOG
+from shelfwise.operators import quality
 from shelfwise.pipeline import InventoryPipeline
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 SAMPLE = [
-    "audit_summary", "kpi_monthly", "kpi_product", "quality_flags", "inventory_segments",
+    "audit_summary", "clean_label_conflicts", "order_events", "kpi_monthly", "kpi_product", "quality_flags", "inventory_segments",
     "diagnosis_master", "order_cadence", "reorder_assessment", "impact_overall", "dash_impact_by_region",
 ]
 
@@ -81,8 +82,9 @@ def _relations(df) -> int:
     return df._jdf.queryExecution().optimizedPlan().toString().count("Relation ")
 
 
-def test_impact_reads_the_fact_twice(spark, sf_small):
-    """One pass for all pair sums and label counts, one for the order days."""
+@pytest.mark.parametrize("name", ["impact_overall", "reorder_assessment"])
+def test_impact_and_assessment_read_the_fact_once(spark, sf_small, name):
+    """One pass for pair sums, label counts and order days."""
     raw = InventoryPipeline.from_tpch(spark, sf_small).raw
     p = InventoryPipeline(raw)
     scans = []
@@ -93,13 +95,39 @@ def test_impact_reads_the_fact_twice(spark, sf_small):
         return real(df, name)
 
     p._write = write
-    bi = CATALOG["impact_overall"](p)
+    bi = CATALOG[name](p)
     assert bi.collect()
     written = dict(scans)
-    assert written["pair_sums"] == 1  # the fact, once
-    # the rollup reads the sums table (rows and labels), the query the rollup and, for the cadence, the fact
-    assert set(written) == {"pair_sums", "pair_rollup"}
+    assert written["pair_blocks"] == 1  # the fact, once
+    # the rollup reads the blocks table (rows and labels), the query the rollup and the blocks
+    assert set(written) == {"pair_blocks", "pair_rollup"}
     assert _relations(bi) == 2
+    assert "weather_condition" not in bi._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_order_events_move_order_rows_once(spark, sf_small):
+    with InventoryPipeline(InventoryPipeline.from_tpch(spark, sf_small).raw) as p:
+        assert _relations(p.kpi_base(labels=False)) == 1
+        events = CATALOG["order_events"](p)
+        # the written order rows twice: as they are, and combined to blocks before they move
+        assert _relations(events) == 2
+        before = events._jdf.queryExecution().sparkPlan().toString()
+        assert before.count("Window [row_number") == 1 and "CartesianProduct" not in before
+        events.collect()
+        ran = _plan(events)
+        final = ran[: ran.find("Initial Plan")]
+        rows_moved = [x for x in final.splitlines() if "Exchange hashpartitioning" in x and "Reused" not in x]
+        assert len(rows_moved) <= 4, rows_moved  # blocks (twice), their join side, order rows
+
+
+def test_duplicates_shuffle_blocks_not_keys(spark, sf_small):
+    raw = InventoryPipeline.from_tpch(spark, sf_small).raw
+    with InventoryPipeline(raw) as p:
+        plan = _plan(quality.audit_pairs(raw))
+        exchanges = [x for x in plan.splitlines() if "Exchange" in x]
+        assert all("date" not in x.split("ENSURE")[0] for x in exchanges) and "bit_or" in plan
+        CATALOG["audit_summary"](p).collect()
+        assert not any("duplicate" in w or "crowded" in w for w in p._written)
 
 
 def test_summaries_without_segment_labels_run_no_ordering(spark, sf_small):

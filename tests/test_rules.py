@@ -252,3 +252,60 @@ def test_excess_follows_the_cover_threshold(spark):
     p = InventoryPipeline(spark.createDataFrame([row(0, inv=50, fc=4)], RAW_SCHEMA), Thresholds(high_cover_days=10.0))
     (k,) = CATALOG["kpi_base"](p).collect()
     assert k.excess_units_proxy == 10 and k.high_cover_flag == 1
+
+
+def _awkward_days(seed, n):
+    """Rows whose keys repeat, miss a store or a day, and lie before 1970 or far apart."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        day = rng.choice([None, D0, D0 + dt.timedelta(days=rng.randint(-70, 140)), dt.date(1969, 12, 31), dt.date(1970, 1, 1), dt.date(2031, 5, 6)])
+        out.append(row(store=rng.choice(["S1", "S2", None]), product=rng.choice(["P1", "P2"]), ordered=rng.choice([0, 3, 8, 8]), date=day))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_duplicates_by_occupancy(spark, seed):
+    rows = _awkward_days(seed, 150)
+    p = pipeline(spark, rows)
+    key = lambda r: (r[0], r[1], r[2])
+    times = {}
+    for r in rows:
+        times[key(r)] = times.get(key(r), 0) + 1
+    assert CATALOG["audit_summary"](p).collect()[0].duplicate_rows == sum(n - 1 for n in times.values())
+    flags = CATALOG["quality_flags"](p).collect()
+    assert len(flags) == len(rows) and any(r.Duplicate_Flag for r in flags) and not all(r.Duplicate_Flag for r in flags)
+    assert all(r.Duplicate_Flag == int(times[r.date, r.store_id, r.product_id] > 1) for r in flags)
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_order_events_equal_lag(spark, seed):
+    rows = _awkward_days(seed, 200)
+    orders = sorted(((r[1], r[2], r[0], r[7]) for r in rows if r[7] > 0 and r[0] is not None), key=lambda r: (str(r[0]), r[1], r[2], r[3]))
+    want, before = [], None
+    for r in orders:
+        want.append((*r, before[2] if before and before[:2] == r[:2] else None))
+        before = r
+    want += [(r[1], r[2], None, r[7], None) for r in rows if r[7] > 0 and r[0] is None]
+    got = [(r.store_id, r.product_id, r.order_date, r.units_ordered, r.prev_order_date) for r in CATALOG["order_events"](pipeline(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and any(r[4] for r in want)
+
+
+def test_shared_pass_gives_the_same_rollup_and_cadence(spark):
+    rows = [r for r in _awkward_days(6, 400) if r[1]]
+    alone, shared = pipeline(spark, rows), pipeline(spark, rows)
+    shared.pair_blocks.count()
+    for name in ("sku_store_summary", "order_metrics", "replenishment_base", "order_cadence", "product_map"):
+        a, b = (sorted(map(str, CATALOG[name](p).collect())) for p in (alone, shared))
+        assert a == b, name
+    assert any("pair_blocks" in w for w in shared._written) and not any("pair_sums" in w for w in shared._written)
+
+
+def test_labels_that_cleaning_lost_are_reported(spark):
+    from shelfwise.operators.quality import clean_label_conflicts
+
+    p = pipeline(spark, [row(0), row(1, category="Other"), row(2, product="P2", category=None)])
+    assert {(r.entity, r.entity_id) for r in CATALOG["map_conflicts"](p).collect()} == {("product", "P1")}
+    assert CATALOG["clean_label_conflicts"](p).count() == 0
+    broken = p.clean.selectExpr("* EXCEPT (category_clean)", "category AS category_clean")
+    assert [(r.entity, r.entity_id, r.label_count) for r in clean_label_conflicts(broken).collect()] == [("product", "P1", 2)]
