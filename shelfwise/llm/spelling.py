@@ -2,7 +2,8 @@
 
 Words are the letter runs of whole texts, counted in one pass.  The trie of
 all words is a table of edges, (node, next letters), whose nodes are named by
-their prefix.  A state (word, position, node, edits) says that the word's
+their prefix; an edge also names the letter after it, so that states without a
+future are not made.  A state (word, position, node, edits) says that the word's
 letters before ``position`` lead to ``node`` with so many edits.  Level by level
 the states meet the edges of their node: a state without an edit goes on along
 its own letter, or takes another child (one letter replaced), or skips a letter
@@ -53,7 +54,6 @@ HELD_WORDS = 100_000  # distinct words that a task counts before it sends them o
 
 RUN = re.compile("[A-Za-zÀ-ÿ]{%d,}" % LEAST_LETTERS)
 LOWER = {i: i + 32 for i in range(65, 91)}
-STATE = "o string, n long, length int, pos int, node string"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
@@ -112,52 +112,51 @@ def oriented(words: DataFrame) -> DataFrame:
         F.struct(F.concat(F.lit(">"), "word").alias("o"), half.alias("start")),
         F.struct(F.concat(F.lit("<"), F.reverse("word")).alias("o"), (F.col("length") - half).alias("start")),
     )
-    return words.select("n", "length", F.explode(ways).alias("w")).select("w.o", "n", "length", "w.start")
+    return words.select("length", F.explode(ways).alias("w")).select("w.o", "length", "w.start")
 
 
-def _letter(word: str, at: str) -> str:
-    """SQL for a word's letter at a position from 0; the mark before it counts."""
-    return f"substring({word}, {at} + 2, 1)"
+def _letters(at: str, n: int) -> str:
+    """SQL for ``n`` letters of a word (fewer at its end) at a position from 0; the mark before it counts."""
+    return f"substring(o, {at} + 2, {n})"
 
 
 def edges_at(ways: DataFrame, depth: int) -> DataFrame:
-    """edge_node, children: the letters that lead on from each node of one level, as an array."""
+    """edge_node, children: what leads on from each node of one level: a letter and the one after it, or alone where a word ends."""
     there = ways.where(f"start <= {depth} AND {depth} < length")
-    return there.groupBy(F.expr(f"substring(o, 1, {depth + 1})").alias("edge_node")).agg(F.collect_set(F.expr(_letter("o", str(depth)))).alias("children"))
+    return there.groupBy(F.expr(f"substring(o, 1, {depth + 1})").alias("edge_node")).agg(F.collect_set(F.expr(_letters(str(depth), 2))).alias("children"))
 
 
 def step(ways: DataFrame, states: DataFrame | None, depth: int) -> DataFrame:
     """The one-edit states that the states at nodes of this depth lead to."""
-    unedited = ways.where(f"start <= {depth} AND {depth} < length").selectExpr("o", "n", "length", f"{depth} AS pos", f"substring(o, 1, {depth + 1}) AS node", "0 AS edits")
-    here = unedited if states is None else unedited.unionByName(states.where("pos < length").withColumn("edits", F.lit(1)))
-    own = _letter("o", "pos")
-    after = _letter("o", "pos + 1")
-    to = lambda pos, letter: f"named_struct('pos', {pos}, 'node', concat(node, {letter}))"
+    unedited = ways.where(f"start <= {depth} AND {depth} < length").selectExpr("o", f"{depth} AS pos", f"substring(o, 1, {depth + 1}) AS node", "0 AS edits")
+    here = unedited if states is None else unedited.unionByName(states.where("pos < length(o) - 1").withColumn("edits", F.lit(1)))
+    own, after = _letters("pos", 2), _letters("pos + 1", 2)
+    to = lambda pos, letters: f"named_struct('pos', {pos}, 'node', concat(node, left({letters}, 1)))"
     follow = f"CASE WHEN array_contains(children, {own}) THEN array({to('pos + 1', own)}) END"
-    replaced = f"transform(filter(children, c -> c > {own}), c -> {to('pos + 1', 'c')})"
-    left_out = f"CASE WHEN pos + 1 < length AND array_contains(children, {after}) THEN array({to('pos + 2', after)}) ELSE array() END"
+    replaced = f"transform(filter(children, c -> left(c, 1) > left({own}, 1) AND substring(c, 2) = substring({own}, 2)), c -> {to('pos + 1', 'c')})"
+    left_out = f"CASE WHEN {after} <> '' AND array_contains(children, {after}) THEN array({to('pos + 2', after)}) ELSE array() END"
     ways_on = f"CASE WHEN edits = 1 THEN {follow} ELSE concat({replaced}, {left_out}) END"
     met = here.join(edges_at(ways, depth), F.col("node") == F.col("edge_node"))
-    return met.selectExpr("o", "n", "length", f"explode({ways_on}) AS t").selectExpr("o", "n", "length", "t.pos", "t.node")
+    return met.selectExpr("o", f"explode({ways_on}) AS t").selectExpr("o", "t.pos", "t.node")
 
 
 def trie_pairs(words: DataFrame, written: list[str]) -> DataFrame:
-    """word, n, other: neighbours among words of at most LONGEST code points, each pair from one side."""
+    """word, other: neighbours among words of at most LONGEST code points, each pair from one side."""
     short = words.where(f"length <= {LONGEST}")
     first, last = short.agg(F.min(F.floor(F.col("length") / 2)), F.max("length")).first()
     ways = materialize(oriented(short), "oriented_words", written)
     # the last letter left out ends at the node before it
-    ends = ways.selectExpr("o", "n", "substring(o, 1, length) AS node")
+    ends = ways.selectExpr("o", "substring(o, 1, length) AS node")
     states: DataFrame | None = None
     for depth in range(first or 0, last or 0):
         states = materialize(step(ways, states, depth), "trie_states", written)
-        ends = ends.unionByName(states.where("pos = length").select("o", "n", "node"))
+        ends = ends.unionByName(states.where("pos = length(o) - 1").select("o", "node"))
     read = lambda c: F.expr(f"CASE WHEN {c} LIKE '<%' THEN reverse(substring({c}, 2)) ELSE substring({c}, 2) END")
-    return ends.select(read("o").alias("word"), "n", read("node").alias("other"))
+    return ends.select(read("o").alias("word"), read("node").alias("other"))
 
 
 def long_pairs(words: DataFrame) -> DataFrame:
-    """word, n, other: neighbours among words of LONGEST code points or more, by the names of their ends; to be confirmed."""
+    """word, other: neighbours among words of LONGEST code points or more, by the names of their ends; to be confirmed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,14 +179,12 @@ def long_pairs(words: DataFrame) -> DataFrame:
     # at most a letter of the alphabet each: a group stays small
     alike = ends.where("kind = 2").groupBy("key", "length").agg(F.collect_set("id").alias("ids")).where("size(ids) > 1")
     replaced = alike.selectExpr("explode(ids) AS id", "ids").selectExpr("id", "explode(filter(ids, x -> x > id)) AS other_id")
-    named = words.where(f"length >= {LONGEST}").join(
-        long.mapInArrow(lambda bs: _ids(bs), "word string, id long"), "word"
-    ).select("word", "n", "id")
+    named = long.mapInArrow(_ids, "word string, id long")
     pairs = shorter.unionByName(replaced).distinct()
     other = named.selectExpr("word AS other", "id AS other_id")
     found = pairs.join(named, "id").join(other, "other_id").where("word <> other AND levenshtein(word, other, 1) = 1")
     # words of LONGEST code points meet in the trie
-    return found.where(f"greatest(length(word), length(other)) > {LONGEST}").select("word", "n", "other")
+    return found.where(f"greatest(length(word), length(other)) > {LONGEST}").select("word", "other")
 
 
 def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +200,8 @@ def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_forms(words: DataFrame, pairs: DataFrame) -> DataFrame:
     """word, n, n_near, form, form_n: each word's number of neighbours and its form."""
     known = words.selectExpr("word AS other", "n AS other_n")
-    one_way = pairs.select("word", "n", "other").distinct().join(known, "other")
+    # an end that is no word finds no partner here
+    one_way = pairs.distinct().join(known, "other").join(words.select("word", "n"), "word")
     both = one_way.select("word", "other", "other_n").unionAll(one_way.selectExpr("other AS word", "word AS other", "n AS other_n"))
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), F.col("other"))).alias("best"))
     joined = words.select("word", "n").join(best, "word", "left")
