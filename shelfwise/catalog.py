@@ -174,13 +174,27 @@ def register_views(pipeline: InventoryPipeline, prefix: str = "") -> list[str]:
     return [f"{prefix}{view}" for view in VIEWS]
 
 
+# pair-level exports: a row per pair, every label set
+MASTERS = {
+    "segment_master": tuple(C.SEGMENT_LABELS),
+    "diagnosis_master": tuple(D.POLICY_LABELS),
+    "assessment_master": tuple(E.ASSESSMENT_LABELS),
+    "impact_master": ("impact_theme", "impact_priority"),
+}
+
+
 def export_marts(pipeline: InventoryPipeline, out_dir: str, fmt: str = "parquet") -> dict[str, str]:
-    """Write every export table from one build of the pipeline.
+    """Write every export table from one build of the pipeline, and publish them together.
 
     Many tables read the pair-level stages, so these are written once,
-    whatever the pipeline was set to.
+    whatever the pipeline was set to.  The analysis' row-count and null-label
+    checks, and that no pair carries two labels (it would be two rows), are
+    counted by the writing jobs; if one fails, nothing is published.
     """
-    from shelfwise.sources.sinks import export_marts as _write
+    from shelfwise.sources.sinks import Check, publish_marts
 
     pipeline.materialize_stages = True
-    return _write({n: build(n, pipeline) for n in EXPORT_MARTS}, out_dir, fmt=fmt)
+    _ = pipeline.pair_blocks  # one pass over the fact for rollup and cadence
+    pairs = pipeline.rollup.select("store_id", "product_id").distinct().count()
+    checks = {name: Check(rows=pairs, labels=labels) for name, labels in MASTERS.items()}
+    return publish_marts({n: build(n, pipeline) for n in EXPORT_MARTS}, out_dir, fmt=fmt, checks=checks)

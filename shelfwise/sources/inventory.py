@@ -28,6 +28,8 @@ RAW_SCHEMA = T.StructType(
 RAW_COLUMNS = [f.name for f in RAW_SCHEMA.fields]
 # cells of a row that hold something the column's type cannot take
 REJECTED = "rejected_cells"
+# the text of a CSV line whose number of cells is not the header's
+MALFORMED = "_malformed_line"
 
 # Header spellings used by the original CSV export.
 _CSV_HEADER = {
@@ -57,28 +59,56 @@ def _typed(column: str, kind: T.DataType) -> str:
     return f"try_cast({column} AS {kind.simpleString()})"
 
 
+def _cells(df: DataFrame) -> list[tuple[T.StructField, str]]:
+    """Each column of the schema with the source column that holds it."""
+    present = set(df.columns)
+    return [(f, next((h for h, n in _CSV_HEADER.items() if n == f.name and h in present), f.name)) for f in RAW_SCHEMA.fields]
+
+
+def _misfit(field: T.StructField, src: str) -> str:
+    return f"`{src}` IS NOT NULL AND ({_typed(f'`{src}`', field.dataType)}) IS NULL"
+
+
 def conform(df: DataFrame) -> DataFrame:
     """Rename known header spellings and read every cell as its :data:`RAW_SCHEMA` type.
 
     A cell that does not fit becomes NULL and is counted in
-    ``rejected_cells``, one count per row, which the audit adds up.
+    ``rejected_cells``, one count per row, which the audit adds up.  A CSV line
+    with surplus or missing cells counts one more: what it holds is read, the
+    surplus is not.  :func:`quarantine` shows all of them.
     """
-    present = set(df.columns)
-    exprs, rejected = [], []
-    for f in RAW_SCHEMA.fields:
-        src = next((h for h, n in _CSV_HEADER.items() if n == f.name and h in present), f.name)
-        exprs.append(f"{_typed(f'`{src}`', f.dataType)} AS {f.name}")
-        rejected.append(f"CASE WHEN `{src}` IS NOT NULL AND ({_typed(f'`{src}`', f.dataType)}) IS NULL THEN 1 ELSE 0 END")
+    cells = _cells(df)
+    exprs = [f"{_typed(f'`{src}`', f.dataType)} AS {f.name}" for f, src in cells]
+    rejected = [f"CASE WHEN {_misfit(f, src)} THEN 1 ELSE 0 END" for f, src in cells]
+    if MALFORMED in df.columns:
+        rejected.append(f"CASE WHEN {MALFORMED} IS NOT NULL THEN 1 ELSE 0 END")
     return df.selectExpr(*exprs, f"{' + '.join(rejected)} AS {REJECTED}")
 
 
+def _scan(spark: SparkSession, path: str, fmt: str, options: dict) -> DataFrame:
+    """The source as it is; CSV cells as strings, with the text of lines that have too many or too few."""
+    if fmt != "csv":
+        return spark.read.options(**options).format(fmt).load(path)
+    reader = spark.read.option("header", "true").options(**options)
+    # strings, then cast: no schema-inference pass over the data, only the header is read here
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*reader.csv(path).columns, MALFORMED]])
+    # every cell of a line is parsed, whichever columns a query needs: else a line's length would go unseen
+    return reader.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", MALFORMED).option("columnPruning", "false").csv(path)
+
+
+def quarantine(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
+    """What :func:`read_inventory` rejects, a row each: file, column and cell; for a malformed line column is NULL and cell the line."""
+    df = _scan(spark, path, fmt, options)
+    found = [f"CASE WHEN {_misfit(f, src)} THEN named_struct('column', '{f.name}', 'cell', CAST(`{src}` AS STRING)) END" for f, src in _cells(df)]
+    if MALFORMED in df.columns:
+        found.append(f"CASE WHEN {MALFORMED} IS NOT NULL THEN named_struct('column', CAST(NULL AS STRING), 'cell', {MALFORMED}) END")
+    rows = df.selectExpr("_metadata.file_path AS file", f"explode(filter(array({', '.join(found)}), x -> x IS NOT NULL)) AS r")
+    return rows.selectExpr("file", "r.column", "r.cell")
+
+
 def read_inventory(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
     """Scan a daily inventory table (Parquet, ORC or CSV with a header)."""
-    if fmt == "csv":
-        reader = spark.read.option("header", "true").options(**options)
-        # Read as strings, then cast: no schema-inference pass over the data.
-        return conform(reader.csv(path))
-    return conform(spark.read.options(**options).format(fmt).load(path))
+    return conform(_scan(spark, path, fmt, options))
 
 
 def inventory_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
