@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -124,8 +125,10 @@ _BUILDERS: dict[str, Builder] = {
     "dash_priority_by_region": lambda p: G.dash_priority_by_region(p.impact),
     "dash_impact_by_region": lambda p: G.dash_impact_by_region(p.impact),
     "dash_impact_by_category": lambda p: G.dash_impact_by_category(p.impact),
-    "dash_sales_by_category": lambda p: G.dash_sales_by_category(p.impact),
+    # a sum of sales needs the KPI rows by category only; written, as the share reads them twice
+    "dash_sales_by_category": lambda p: G.dash_sales_by_category(p._write(_by_label(p, "product", "category_clean"), "category_kpis")),
     "dash_trigger_counts": lambda p: G.dash_trigger_counts(p.assessment),
+    "export_marts": lambda p: export_report(p),
 }
 
 # exact decimals inside, doubles in what a query shows
@@ -174,6 +177,18 @@ def register_views(pipeline: InventoryPipeline, prefix: str = "") -> list[str]:
     return [f"{prefix}{view}" for view in VIEWS]
 
 
+def export_report(pipeline: InventoryPipeline) -> DataFrame:
+    """G9 as a query: exports every table beside the pipeline's stages and lists what was published (mart, row_count)."""
+    from shelfwise.plans.materialize import checkpoint_root
+    from shelfwise.sources.sinks import manifest
+
+    spark = pipeline.spark
+    out = f"{checkpoint_root(spark).rstrip('/')}/shelfwise/marts-{uuid.uuid4().hex}"
+    pipeline._written.append(out)
+    export_marts(pipeline, out)
+    return spark.createDataFrame(sorted(manifest(spark, out)["rows"].items()), "mart string, row_count long")
+
+
 # pair-level exports: a row per pair, every label set
 MASTERS = {
     "segment_master": tuple(C.SEGMENT_LABELS),
