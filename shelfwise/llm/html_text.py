@@ -3,8 +3,9 @@
 A page is read into a tree of elements in one pass.  Elements that are
 boilerplate by what they are (scripts, menus, footers, forms ...) are left
 out, and those whose name (class or id) says advert, comments, cookie notice
-and the like, where their text agrees: mostly links, or little beside the
-text outside all such elements (see ``Page._named``).  For every other element the composite text density is computed:
+and the like, unless the page's structure says that they hold the article:
+a layout wrapper, a section named after its own heading, an element with the
+title (see ``Page._named``).  For every other element the composite text density is computed:
 characters per tag, adjusted by how much of the text and of the tags is
 links, relative to the whole body.  The element with the largest sum of its
 children's densities is the core of the page; the least density on the path
@@ -71,12 +72,19 @@ NAMES = frozenset(
     "header masthead footer foot colophon copyright related recommended recommendations share sharing social "
     "comment comments commentlist respond reply replies disqus discussion".split()
 )
-# words that also name a section's subject: such an element must be mostly links
-SUBJECTS = frozenset("related recommended recommendations discussion notice notices notification notifications alert disclaimer promotion advertising social sharing subscription".split())
+# words that also name a section's subject: a section, or an element with more words in its name, must be mostly links
+SUBJECTS = frozenset("related recommended recommendations discussion social sharing subscription".split())
+# words that name a subject only beside other words ("notice-period")
+NOTICES = frozenset("notice notices notification notifications alert disclaimer promotion advertising".split())
 # words for text that may be longer than the article that it stands beside
 THREADS = frozenset("comment comments commentlist respond reply replies disqus cookie cookies consent gdpr".split())
 TITLES = frozenset("header masthead banner".split())  # inside an article, or beside these words, its own title
 TITLED = frozenset("entry post article section story content".split())
+# words that say where a named element stands or what it is made of, not what it is about
+PLACES = frozenset("slot box container wrapper inner area block list bar panel column region zone site top bottom unit item items text message thread links posts articles stories user reader readers section number".split())
+MARKS = frozenset("post article entry story".split())  # an element with such a name holds an article
+MARK_PARTS = frozenset("content body text main inner wrapper container".split())
+NAMED_BY_ID = frozenset("div section p ul ol dl table form fieldset".split())  # inside an article ids of other elements are anchors
 PROSE = 140  # characters; less text outside links is not an article
 JOINED = re.compile(r"^(?:google_?ads?|adsense|adsbygoogle|sidenav|sidemenu|sitenav|mainnav|topnav|mainmenu|userComments|commentsection|cookiebar|cookiebanner)$", re.I)
 NEGATED = frozenset("no not without has with hide".split())
@@ -93,17 +101,44 @@ def _left_out(attrs: dict[str, str]) -> bool:
     return "display:none" in attrs.get("style", "").replace(" ", "").lower()
 
 
-def _boilerplate_words(attrs: dict[str, str], in_article: bool) -> set[str]:
-    """The words of class and id that say boilerplate; inside an article those of the class only."""
-    found: set[str] = set()
-    for name in f"{attrs.get('class', '')} {'' if in_article else attrs.get('id', '')}".split():
-        words = {w.lower() for w in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", name) if w}
-        if not NEGATED.intersection(words):
-            titles = TITLES if in_article or TITLED.intersection(words) else frozenset()
-            found |= NAMES.intersection(words) - titles
+def _words(name: str) -> list[str]:
+    return [w.lower() for w in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", name) if w]
+
+
+class Name:
+    """What an element's class and id say: its boilerplate words, by how sure they are."""
+
+    def __init__(self, attrs: dict[str, str], tag: str, in_article: bool) -> None:
+        self.words: set[str] = set()
+        self.exact = False  # one class or id says nothing but that
+        self.marks = False  # it names an article
+        self.id: list[str] = []  # the words of an id inside an article, which may be made from a heading
+        self.heads: set[tuple[str, ...]] = set()  # classes and ids that a heading of the same words explains
+        for kind in ("class", "id"):
+            for name in attrs.get(kind, "").split():
+                self._add(kind, name, tag, in_article)
+
+    def _add(self, kind: str, name: str, tag: str, in_article: bool) -> None:
+        words = _words(name)
         if JOINED.match(name):
-            found.add("comments" if "comment" in name.lower() else "cookie" if "cookie" in name.lower() else "ads")
-    return found
+            self.words.add("comments" if "comment" in name.lower() else "cookie" if "cookie" in name.lower() else "ads")
+            self.exact = True
+        if NEGATED.intersection(words):
+            return
+        titles = TITLES if in_article or TITLED.intersection(words) else frozenset()
+        found = NAMES.intersection(words) - titles
+        if not found:
+            self.marks |= bool(MARKS.intersection(words)) and not set(words) - MARKS - MARK_PARTS
+            return
+        exact = all(w in NAMES or w in PLACES or w.isdigit() for w in words)
+        if kind == "id" and in_article:
+            if not exact or tag not in NAMED_BY_ID:
+                return
+            self.id = words
+        if not found - SUBJECTS - NOTICES:
+            self.heads.add(tuple(words))
+        self.words |= found
+        self.exact |= exact and (tag != "section" or bool(found - SUBJECTS))
 
 
 class Page:
@@ -193,75 +228,141 @@ class Page:
         n = len(self.tag)
         holds = [t in CONTAINERS for t in self.tag]
         in_article = [False] * n
-        size = [0] * n
-        for e, t in self.text:
-            size[e] += len(t)
         for i in range(n - 1, 0, -1):
             holds[self.parent[i]] |= holds[i]
-            size[self.parent[i]] += size[i]
         out = [False] * n
-        named: dict[int, set[str]] = {}
+        named: dict[int, Name] = {}
+        marked = [False] * n
         for i in range(1, n):
             up, tag = self.parent[i], self.tag[i]
             in_article[i] = in_article[up] or tag in CONTAINERS
             if out[up] or tag in DROPPED:
                 out[i] = True
-            elif tag == "form":
-                out[i] = not holds[i] and 2 * size[i] < size[0]
             elif tag == "header":
                 out[i] = not holds[i] and not in_article[up]
-            elif self.attrs[i] and not holds[i]:
+            elif (self.attrs[i] or tag == "form") and not holds[i]:
                 attrs = _attributes(self.attrs[i])
                 out[i] = _left_out(attrs)
-                if not out[i] and tag not in HEADINGS and (words := _boilerplate_words(attrs, in_article[up])):
-                    named[i] = words
-        for i in self._named(named, in_article, out):
+                if not out[i] and tag not in HEADINGS:
+                    name = Name(attrs, tag, in_article[up])
+                    if tag == "form":
+                        name.words, name.exact = name.words | {"form"}, True
+                    marked[i] = name.marks
+                    if name.words:
+                        named[i] = name
+        for i in self._named(named, marked, in_article, out):
             out[i] = True
         for i in range(1, n):
             out[i] = out[i] or out[self.parent[i]]
         return out
 
-    def _named(self, named: dict[int, set[str]], in_article: list[bool], out: list[bool]) -> list[int]:
-        """Those of the elements with a boilerplate name whose text agrees with it.
-
-        An element's text is compared with the text outside all named
-        elements (both without links).  The largest one goes first: if it is
-        too large, it is a part of the layout, its text counts as outside,
-        and the named elements within it are looked at in turn.
+    def _headings(self) -> list[tuple[str, ...]]:
+        """The words of the first heading in each element."""
+        n = len(self.tag)
+        heading, first = [0] * n, [n] * n
+        for i in range(1, n):
+            heading[i] = i if self.tag[i] in HEADINGS else heading[self.parent[i]]
+        texts: dict[int, list[str]] = defaultdict(list)
+        for e, t in self.text:
+            if heading[e]:
+                texts[heading[e]].append(t)
+        words = {h: tuple(re.findall(r"\w+", "".join(t).lower())) for h, t in texts.items()}
+        for i in range(n - 1, 0, -1):
+            if i in words:
+                first[i] = i
+            first[self.parent[i]] = min(first[self.parent[i]], first[i])
+        return [words.get(h, ()) for h in first]
+
+    def _named(self, named: dict[int, Name], marked: list[bool], in_article: list[bool], out: list[bool]) -> list[int]:
+        """Those of the elements with a boilerplate name that hold boilerplate.
+
+        Forms count as named.  The text outside all named elements (without
+        links) is what an element is held against.  One that is at most half
+        as long goes.  A longer one goes too where the page marks its article
+        elsewhere (article, main, or a class like "post"), or where its name
+        says nothing else and prose stands outside; threads of readers and
+        cookie texts go wherever prose stands outside.  Else it is a part of
+        the layout: its text counts as outside, and the named elements within
+        it are looked at in turn, largest first.  An element that holds the
+        title, or one marked as the article with half of its text, is layout.
+        Named after its own heading, a section is the article's: always for
+        words that are subjects, otherwise where the article goes on after it.
         """
         n = len(self.tag)
         linked, titled = [t == "a" for t in self.tag], [t == "h1" for t in self.tag]
-        plain, links = [0] * n, [0] * n
+        plain, links, begin = [0] * n, [0] * n, [len(self.text)] * n
         for i in range(1, n):
             linked[i] = linked[i] or linked[self.parent[i]]
-        for e, t in self.text:
+        for at, (e, t) in enumerate(self.text):
+            begin[e] = min(begin[e], at)
             if not out[e]:
                 (links if linked[e] else plain)[e] += len("".join(t.split()))
         own = list(plain)
+        best = [0] * n  # the longest text of a marked element within
         for i in range(n - 1, 0, -1):
             up = self.parent[i]
             plain[up] += plain[i]
             links[up] += links[i]
+            begin[up] = min(begin[up], begin[i])
             titled[up] |= titled[i]
+            best[up] = max(best[up], best[i], plain[i] * (marked[i] and i not in named))
 
         def listed(i: int) -> bool:
             return links[i] > plain[i]
 
-        named = {i: w for i, w in named.items() if (listed(i) or w - SUBJECTS) and not (titled[i] and in_article[i])}
+        first = self._headings() if named else []
+
+        def subject(i: int, name: Name) -> bool:
+            """Whether its words name what a section of the article is about."""
+            if listed(i) or name.words - SUBJECTS - NOTICES:
+                return False
+            heading = tuple(w for w in first[i] if not w.isdigit())
+            return not name.exact or heading in name.heads and (bool(name.words & SUBJECTS) or bool(name.id))
+
+        named = {i: x for i, x in named.items() if not subject(i, x) and not (titled[i] and in_article[i])}
+        # an id made from a heading names a section, if the article goes on after it
+        after = 0
+        rest = [0] * (len(self.text) + 1)
+        inside = [i in named for i in range(n)]
+        for i in range(1, n):
+            inside[i] = inside[i] or inside[self.parent[i]]
+        for at in range(len(self.text) - 1, -1, -1):
+            e, t = self.text[at]
+            if in_article[e] and not (out[e] or inside[e] or linked[e]):
+                after += len("".join(t.split()))
+            rest[at] = after
+        named = {i: x for i, x in named.items() if not (x.id and tuple(x.id) == first[i] and (rest[begin[i]] >= PROSE or not x.words & THREADS))}
+
+        # text outside named elements, all of it and that of a marked article, by the named element around it
         owner, outside, within = list(range(n)), [0] * n, defaultdict(list)
+        holds_named = [False] * n
+        for i in range(n - 1, 0, -1):
+            holds_named[self.parent[i]] |= holds_named[i] or i in named
+        claims = [False] * n
+        claimed_in = [0] * n
         for i in range(n):
             if i and i not in named:
                 owner[i] = owner[self.parent[i]]
             elif i:
                 within[owner[self.parent[i]]].append(i)
+            claims[i] = in_article[i] or (i > 0 and claims[self.parent[i]]) or marked[i] and not holds_named[i]
             outside[owner[i]] += own[i]
+            claimed_in[owner[i]] += own[i] * claims[i]
 
         def layout(i: int) -> bool:
             if listed(i):
                 return plain[i] > max(clean, PROSE)
-            return 2 * plain[i] > clean and (titled[i] or not THREADS.intersection(named[i]) or plain[0] - plain[i] < PROSE)
-
-        clean = outside[0]
+            if 2 * plain[i] <= clean:
+                return False
+            if titled[i]:
+                return True
+            if THREADS.intersection(named[i].words):
+                return plain[0] - plain[i] < PROSE and not claimed
+            if best[i] and 2 * best[i] >= plain[i]:
+                return True
+            return not claimed and (not named[i].exact or clean < PROSE)
+
+        clean, claimed = outside[0], claimed_in[0]
         queue = [(-plain[i], i) for i in within[0]]
         heapq.heapify(queue)
         gone = []
@@ -271,6 +372,7 @@ class Page:
                 gone.append(i)
                 continue
             clean += outside[i]
+            claimed += claimed_in[i]
             for j in within[i]:
                 heapq.heappush(queue, (-plain[j], j))
         return gone

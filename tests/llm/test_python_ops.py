@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -144,6 +145,81 @@ NAMED = [
 ]
 
 
+PROSE = (WORDS * 12).strip()
+LONGER = (WORDS * 30).strip()
+ARTICLE = f"<h1>T</h1><p>{PROSE}</p>"
+# boilerplate that a name says and the page's structure confirms, whatever its length
+STRUCTURE = [
+    *[(f"<main><article>{ARTICLE}</article><div id='comments'><p>{LONGER}</p></div></main>", "T " + PROSE)],
+    *[(f"<article>{ARTICLE}<div id='comments'><h3>2 Comments</h3><p>{LONGER}</p></div></article>", "T " + PROSE)],
+    *[(f"<article>{ARTICLE}<div class='{c}'><p>{x}</p></div></article>", "T " + PROSE) for c in ("notice", "alert", "promotion", "advertising", "site-notice") for x in (WORDS, LONGER)],
+    *[(f"<body><div class=content>{ARTICLE}</div><div class='{c}'><p>{WORDS * 3}</p></div></body>", "T " + PROSE) for c in ("notice", "alert", "promotion", "advertising")],
+    *[(f"<article>{ARTICLE}<div id='{i}'><p>{WORDS * 8}</p></div></article>", "T " + PROSE) for i in ("ad-slot", "sidebar", "footer", "respond")],
+    *[(f"<main>{ARTICLE}<div id='{i}'><p>{LONGER}</p></div></main>", "T " + PROSE) for i in ("ad-slot", "sidebar", "footer")],
+    *[(f"<div class=content>{ARTICLE}</div><div class='{c}'><p>{LONGER}</p></div>", "T " + PROSE) for c in ("sidebar", "footer", "site-footer")],
+    *[(f"<article><p>One line.</p></article><div class='{c}'><p>{LONGER}</p></div>", "One line.") for c in ("sidebar", "right-sidebar")],
+    (f"<div class=post><p>One line.</p></div><div class=sidebar><p>{LONGER}</p></div>", "One line."),
+    (f"<article><p>One line.</p></article><form><p>{LONGER}</p></form>", "One line."),
+    (f"<article><p>One line.</p><form><label>{LONGER}</label></form></article>", "One line."),
+    # what only looks like it
+    (f"<form><div class=content>{ARTICLE}</div><p>{WORDS}</p></form><p>c 2020</p>", f"T {PROSE}"),
+    (f"<main><p>crumb</p><div class='right-sidebar'><div class='post-content'><p>{PROSE}</p></div></div></main>", "crumb " + PROSE),
+    (f"<article><section id='comments'><h2>Comments</h2><p>A</p></section><section id='strings'><h2>Strings</h2><p>{PROSE}</p></section></article>", f"Comments A Strings {PROSE}"),
+    (f"<article><div class='section' id='discussion'><h2>4 Discussion</h2><p>{LONGER}</p></div><p>{PROSE}</p></article>", f"4 Discussion {LONGER} {PROSE}"),
+    (f"<article><p>{PROSE}</p><div id='notice-period'><p>b</p></div><dl><dt id='menu'>menu</dt><dd>c</dd></dl><span id='banner'>d</span></article>", f"{PROSE} b menu c d"),
+    (f"<article><section id='notice'><h2>Notice</h2><p>{WORDS}</p></section><p>{PROSE}</p></article>", f"Notice {WORDS}{PROSE}"),
+]
+
+
+@pytest.mark.parametrize("page,text", STRUCTURE, ids=range(len(STRUCTURE)))
+def test_names_and_structure(page, text):
+    assert html_text.main_text(page) == text
+
+
+def _plain_article(source):
+    """(sum of the children's densities) of each element by the formula's own definition, element by element."""
+    page = html_text.Page(source)
+    out, n = page.boilerplate(), len(page.tag)
+    under = lambda i, j: i == j or (j > 0 and under(i, page.parent[j]))
+    link = lambda j: j > 0 and (page.tag[j] == "a" or link(page.parent[j]))
+    size = lambda keep: sum(len("".join(t.split())) for e, t in page.text if not out[e] and keep(e))
+    body, body_links = size(lambda e: True), size(link)
+
+    def density(i):
+        c, lc = size(lambda e: under(i, e)), size(lambda e: under(i, e) and link(e))
+        below = [j for j in range(1, n) if j != i and under(i, j) and not out[j]]
+        t, lt = max(len(below), 1), max(sum(page.tag[j] == "a" for j in below), 1)
+        if not c:
+            return 0.0
+        x = c / max(lc, 1) * t / lt
+        y = math.log(c / max(c - lc, 1) * max(lc, 1) + body_links / max(body, 1) * c + math.e)
+        return max(0.0, c / t * math.log(x) / math.log(y))
+
+    values = [density(i) for i in range(n)]
+    sums = [0.0 if out[i] else sum(values[j] for j in range(1, n) if page.parent[j] == i and not out[j]) for i in range(n)]
+    return page, out, values, sums
+
+
+def test_html_densities_match_their_definition():
+    rng = random.Random(5)
+    for _ in range(15):
+        parts = [f"<div>{''.join(rng.choice(['<p>' + WORDS * rng.randint(0, 6) + '</p>', '<a>link</a>', '<ul><li>x<li><a>y y</a></ul>', '<div><p>' + WORDS + '</p><p>b <a>c</a></p></div>']) for _ in range(rng.randint(0, 6)))}</div>" for _ in range(rng.randint(1, 5))]
+        page, out, values, sums = _plain_article("".join(parts))
+        assert html_text.densities(page, out) == pytest.approx(values)
+        inside, _ = html_text.article(page)
+        core = max(range(len(sums)), key=lambda i: (not out[i], round(sums[i], 9), -i))
+        assert inside[core] or sums[core] == 0
+        path, i = [core], core
+        while i:
+            i = page.parent[i]
+            path.append(i)
+        threshold = min(values[i] for i in path)
+        for j in range(1, len(sums)):
+            # a neighbour on the path is in exactly if its density reaches the threshold
+            if core and sums[core] > 0 and page.parent[j] in path[1:] and j not in path and not out[j]:
+                assert inside[j] == (values[j] >= threshold)
+
+
 @pytest.mark.parametrize("page,text", NAMED, ids=range(len(NAMED)))
 def test_a_name_alone_drops_little(page, text):
     assert html_text.main_text(page) == text
