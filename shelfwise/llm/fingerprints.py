@@ -26,17 +26,19 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import code_points, columns_of, mix64, slices
-from shelfwise.plans.materialize import materialize
 
 SIZE = 64
 LEVELS = (2, 3)
 SLICE_CHARS = 400_000
 BUCKET_ROWS = 4096
+MOST_BUCKETS = 16_384
+SAMPLED = 32
 POWERS = mix64(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 HALF = np.uint64(0xFFFFFFFF)
 CODE_NAMES = mix64(np.arange(1, 65537, dtype=np.uint64))
@@ -175,28 +177,59 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
+def _order_key() -> Column:
+    """Sorts like (doc_id with nulls first, a hash of the text, a draw): equal ids, even equal rows, can be cut apart."""
+    word = lambda c: F.lpad(F.hex(c), 16, "0")
+    number = F.col("doc_id").cast("long")
+    from_zero = word(number.bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), 63)))
+    # the draw follows a row's place in its input split, so every reader of the input sees the same one
+    draw = word((F.rand(47) * F.lit(float(1 << 52))).cast("long"))
+    return F.concat(F.when(number.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), from_zero)), word(F.xxhash64("text")), draw)
+
+
+def id_buckets(rows: DataFrame, bucket_rows: int) -> DataFrame:
+    """``rows`` (doc_id, text) with ``key`` and ``bucket``: runs of the key's order, about ``bucket_rows`` rows each.
+
+    Borders come from a sample of the keys, ``SAMPLED`` a bucket, at most
+    ``MOST_BUCKETS * SAMPLED`` of them (buckets grow beyond that); they decide
+    how even the buckets are, never what the result is.
+    """
+    keyed = rows.withColumn("key", _order_key())
+    n = rows.count()
+    buckets = min(MOST_BUCKETS, max(1, math.ceil(n / bucket_rows)))
+    borders: list[str] = []
+    if buckets > 1:
+        sample = sorted(r[0] for r in keyed.select("key").where(F.rand(53) < SAMPLED * buckets / n).collect())
+        borders = sorted({sample[len(sample) * i // buckets] for i in range(1, buckets)} if sample else ())
+    cuts = np.array(borders, "U")
+
+    @F.pandas_udf("long")
+    def bucket(key: pd.Series) -> pd.Series:
+        if not len(cuts):
+            return pd.Series(np.zeros(len(key), np.int64))
+        return pd.Series(np.searchsorted(cuts, key.to_numpy().astype("U"), side="right").astype(np.int64))
+
+    return keyed.withColumn("bucket", bucket("key"))
+
+
 def in_id_order(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Rows (bucket, halo, doc_id, text) so that each row's successor by doc_id follows it in its bucket.
 
-    Integer ids are cut into buckets of equal width, ``bucket_rows`` rows on
-    average; each bucket also gets the first row of the next one (of the
-    first bucket, after the last), marked by ``halo``.  One shuffle of the
-    texts; what is gathered over all rows is one id per bucket.
+    Buckets follow the distribution of the rows, so outlying, clustered, null
+    or repeated ids make none larger; each bucket also gets the first row of
+    the next one (of the first bucket, after the last), marked by ``halo``.
+    Null ids come first, equal ids by a hash of their texts.  One shuffle of
+    the texts; what is gathered over all rows is one key per bucket, of at
+    most ``MOST_BUCKETS`` buckets.
     """
-    rows = columns_of(docs, doc_id="doc_id", text="text")
-    lo, hi, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    lo, hi = lo or 0, hi or 0
-    width = max(1, math.ceil((hi - lo + 1) / max(1, math.ceil(n / bucket_rows))))
-    # nulls come first, in a bucket of their own
-    rows = rows.withColumn("bucket", F.coalesce(F.expr(f"CAST((CAST(doc_id AS DECIMAL(20)) - {lo}) div {width} AS BIGINT)"), F.lit(-1).cast("long")))
-    heads = rows.groupBy("bucket").agg(F.min("doc_id").alias("head"))
+    rows = id_buckets(columns_of(docs, doc_id="doc_id", text="text"), bucket_rows)
+    heads = rows.groupBy("bucket").agg(F.min("key").alias("head"))
     order = Window.orderBy("bucket")
     before = F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    heads = materialize(heads.withColumn("before", before).select("bucket", "head", "before"), "fingerprint_heads")
-    heads = heads.select(F.col("bucket").alias("h_bucket"), "head", "before")
-    first = rows.join(heads, (F.col("bucket") == F.col("h_bucket")) & F.col("doc_id").eqNullSafe(F.col("head")))
-    halo = first.select(F.col("before").alias("bucket"), F.lit(1).alias("halo"), "doc_id", "text")
-    return rows.select("bucket", F.lit(0).alias("halo"), "doc_id", "text").unionByName(halo).repartition("bucket").sortWithinPartitions("bucket", "halo", "doc_id", "text")
+    heads = F.broadcast(heads.select("head", before.alias("before")))
+    halo = rows.join(heads, F.col("key") == F.col("head")).select(F.col("before").alias("bucket"), F.lit(1).alias("halo"), "key", "doc_id", "text")
+    both = rows.select("bucket", F.lit(0).alias("halo"), "key", "doc_id", "text").unionByName(halo)
+    return both.repartition("bucket").sortWithinPartitions("bucket", "halo", "key").select("bucket", "halo", "doc_id", "text")
 
 
 def _edited(text: str, following: str) -> str:

@@ -128,7 +128,7 @@ WITH sources AS (
   FROM sources
 ), steps AS (
   SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS below
-  FROM rates, range(0, 200) AS r(k)
+  FROM (SELECT source, rate, unnest(range(0, CAST(rate + 12 * sqrt(rate) + 31 AS BIGINT))) AS k FROM rates)
 ), drawn AS (
   SELECT doc_id, text, lang, source, n_chars,
     CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 't' || md5(coalesce(text, '')))), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
@@ -178,19 +178,20 @@ WITH RECURSIVE remainders AS (
 ), lookup AS (
   SELECT list(r ORDER BY b) AS t FROM remainders WHERE step = 8
 ), d AS (
-  SELECT doc_id, source, coalesce(text, '') AS text, md5('23:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS digest FROM documents
+  SELECT doc_id, source, coalesce(text, '') AS text FROM documents
 ), texts AS (
   SELECT text, hex(encode(text)) AS h, strlen(text) AS n FROM (SELECT DISTINCT text FROM d)
 ), bytes AS (
   SELECT text, list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(0, n), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))) AS bs FROM texts
 ), digests AS (
   SELECT text, xor(list_reduce(bs, lambda r, b: xor(r // 256, t[xor(r, b) % 256 + 1])), 4294967295) AS crc FROM bytes, lookup
-), ranked AS (
-  SELECT doc_id, strlen(text) + 1 AS size, crc, digest,
-    (row_number() OVER (PARTITION BY source ORDER BY digest, doc_id, crc, strlen(text)) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS f, source
+), hashed AS (
+  SELECT doc_id, strlen(text) + 1 AS size, crc, source, md5('23:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || crc || ':' || (strlen(text) + 1)) AS digest
   FROM d JOIN digests USING (text)
+), ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY digest, doc_id, crc, size) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS f FROM hashed
 ), placed AS (
-  SELECT *, row_number() OVER (ORDER BY f, digest, doc_id, crc, size) - 1 AS p, count(*) OVER () AS total FROM ranked
+  SELECT *, row_number() OVER (ORDER BY f, digest, doc_id, crc, size, source) - 1 AS p, count(*) OVER () AS total FROM ranked
 )
 SELECT doc_id, source, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'rows' AS law, CAST(p * 16 // total AS INTEGER) AS shard,
   CAST(row_number() OVER (PARTITION BY p * 16 // total ORDER BY p) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard

@@ -158,6 +158,24 @@ def test_sharding(spark):
     assert rows(again, "doc_id", "shard", "slot") == sorted((r["doc_id"], r["shard"], r["slot"]) for r in got)
 
 
+@pytest.mark.parametrize("kind", ["null ids", "one id", "one row"])
+def test_sharding_hot_keys(spark, kind, monkeypatch):
+    """A third of all rows without an id, with one id, or equal: no slice of the ranking holds them, places stay gapless."""
+    rng = random.Random(8)
+    data = [(i if i % 3 else None if kind == "null ids" else 7, "same" if kind == "one row" and i % 3 == 0 else f"t{i}", "en", rng.choice("ab"), 1) for i in range(6000)]
+    seen = {}
+    real = sharding.source_ranks
+    monkeypatch.setattr(sharding, "source_ranks", lambda rows: seen.setdefault("ranked", real(rows)))
+    blocks = sharding.one_by_one
+    monkeypatch.setattr(sharding, "one_by_one", lambda rows: blocks(rows, 64))
+    got = sharding.shard_documents(spark.createDataFrame(data, DOCS)).collect()
+    slices = Counter((r["source"], r["slice"]) for r in seen["ranked"].select("source", "slice").collect())
+    assert max(slices.values()) <= 12
+    assert Counter((r["doc_id"], r["source"], r["text_crc32"]) for r in got) == Counter((d[0], d[3], zlib.crc32(d[1].encode())) for d in data)
+    sizes = Counter(r["shard"] for r in got)
+    assert set(sizes.values()) == {375} and all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(375)) for s in sizes)
+
+
 def test_sharding_awkward(spark):
     assert sharding.shard_documents(clashing(spark)).count() == len(AWKWARD)
     assert sharding.shard_documents(empty(spark)).count() == 0

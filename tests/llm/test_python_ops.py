@@ -300,6 +300,28 @@ def test_edit_report(spark, bucket_rows, monkeypatch):
     assert got[9003]["fingerprint"] == got[data[5][0]]["fingerprint"]
 
 
+@pytest.mark.parametrize("kind", ["outlier", "clusters", "nulls", "one id", "one row"])
+def test_buckets_follow_the_rows(spark, kind):
+    rng = random.Random(3)
+    ids = {"outlier": [*range(2999), 10**12], "clusters": [10**9 * (i % 3) + i for i in range(3000)]}.get(kind, [None if i % 3 == 0 and kind == "nulls" else 7 if i % 3 == 0 else i * 5 for i in range(3000)])
+    data = [(k, "same" if kind == "one row" and k == 7 else _prose(rng, 6), "en", "s", 0) for k in ids]
+    rows_ = fingerprints.in_id_order(spark.createDataFrame(data, DOCS).repartition(3), 100).collect()
+    sizes = Counter(r["bucket"] for r in rows_ if not r["halo"])
+    assert sum(sizes.values()) == 3000 and 25 <= len(sizes) and max(sizes.values()) <= 2 * 3000 / len(sizes)
+    assert Counter(r["bucket"] for r in rows_ if r["halo"]) == Counter(dict.fromkeys(sizes, 1))
+    # the buckets joined are the order by id, and each halo row is the next bucket's first
+    order = lambda r: (r["doc_id"] is not None, r["doc_id"] or 0)
+    runs = {b: [r for r in rows_ if r["bucket"] == b and not r["halo"]] for b in sorted(sizes)}
+    flat = [r for b in sorted(runs) for r in runs[b]]
+    assert [order(r) for r in flat] == sorted(order(r) for r in flat)
+    assert Counter((r["doc_id"], r["text"]) for r in flat) == Counter(d[:2] for d in data)
+    following = dict(zip(sorted(runs), [*sorted(runs)[1:], min(runs)], strict=True))
+    for r in rows_:
+        if r["halo"]:
+            first = runs[following[r["bucket"]]][0]
+            assert (r["doc_id"], r["text"]) == (first["doc_id"], first["text"])
+
+
 def test_fingerprints_awkward(spark):
     got = fingerprints.edit_report(clashing(spark)).collect()
     assert len(got) == len(AWKWARD)
