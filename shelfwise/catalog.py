@@ -24,7 +24,7 @@ Builder = Callable[[InventoryPipeline], DataFrame]
 
 
 def _by_label(p: InventoryPipeline, entity: str, label: str, keep_id: bool = False) -> DataFrame:
-    return B.kpi_by_label(p.kpi_base(labels=False), entity, label, keep_id)
+    return B.kpi_by_label(p.kpi_rows(entity), entity, label, keep_id)
 
 
 _BUILDERS: dict[str, Builder] = {
@@ -43,11 +43,11 @@ _BUILDERS: dict[str, Builder] = {
     "kpi_bad_numeric_rows": lambda p: A.kpi_bad_numeric_rows(p.clean),
     "kpi_base": lambda p: p.kpi_base(),
     "kpi_base_preview": lambda p: B.kpi_base_preview(p.kpi_base(labels=False), p.label_maps),
-    "kpi_overall": lambda p: B.kpi_overall(p.kpi_base(labels=False)),
-    "kpi_monthly": lambda p: B.kpi_monthly(p.kpi_base(labels=False)),
+    "kpi_overall": lambda p: B.kpi_overall(p.kpi_rows("all")),
+    "kpi_monthly": lambda p: B.kpi_monthly(p.kpi_rows("month")),
     "kpi_category": lambda p: _by_label(p, "product", "category_clean"),
     "kpi_region": lambda p: _by_label(p, "store", "region_clean"),
-    "kpi_store": lambda p: B.kpi_store(p.kpi_base(labels=False)),
+    "kpi_store": lambda p: B.kpi_store(p.kpi_rows("store")),
     "kpi_product": lambda p: _by_label(p, "product", "category_clean", keep_id=True),
     "check_total_units_sold": lambda p: B.check_total_units_sold(p.clean_unlabelled()),
     "check_total_units_ordered": lambda p: B.check_total_units_ordered(p.clean_unlabelled()),
@@ -120,8 +120,8 @@ _BUILDERS: dict[str, Builder] = {
     "top_impact_items": lambda p: Fi.top_impact_items(p.impact),
     # G: dashboard marts
     "dash_headline": lambda p: G.dash_headline(p.impact),
-    "dash_monthly_units": lambda p: G.dash_monthly_units(p.kpi_base(labels=False)),
-    "dash_monthly_wape": lambda p: G.dash_monthly_wape(p.kpi_base(labels=False)),
+    "dash_monthly_units": lambda p: G.dash_monthly_units(p.kpi_rows("month")),
+    "dash_monthly_wape": lambda p: G.dash_monthly_wape(p.kpi_rows("month")),
     "dash_priority_by_region": lambda p: G.dash_priority_by_region(p.impact),
     "dash_impact_by_region": lambda p: G.dash_impact_by_region(p.impact),
     "dash_impact_by_category": lambda p: G.dash_impact_by_category(p.impact),
@@ -209,7 +209,7 @@ def export_marts(pipeline: InventoryPipeline, out_dir: str, fmt: str = "parquet"
     from shelfwise.sources.sinks import Check, publish_marts
 
     pipeline.materialize_stages = True
-    _ = pipeline.pair_blocks  # one pass over the fact for rollup and cadence
+    _ = pipeline.pair_blocks, pipeline.kpi_grains  # one pass over the fact for rollup and cadence, one for all KPI tables
     pairs = pipeline.rollup.select("store_id", "product_id").distinct().count()
     checks = {name: Check(rows=pairs, labels=labels) for name, labels in MASTERS.items()}
     return publish_marts({n: build(n, pipeline) for n in EXPORT_MARTS}, out_dir, fmt=fmt, checks=checks)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 
 from shelfwise import config as L
 from shelfwise.functions import count_if, lit, order_case, round_half_up, safe_div, sql, sum_if
+from shelfwise.operators.kpi import is_merged
 from shelfwise.operators.policy import PRIORITY_ORDER
 
 
@@ -33,15 +34,16 @@ FROM {{bi}}
 
 def dash_monthly_units(kb: DataFrame) -> DataFrame:
     """Monthly units sold, flagging a month the data does not cover to its end."""
+    month, sold, day = ("month", "sold", "last_date") if is_merged(kb) else ("trunc(date, 'MM')", "units_sold", "date")
     return sql(
-        """
+        f"""
 SELECT month, total_units_sold,
   CASE WHEN last_date < last_day(month) THEN 1 ELSE 0 END AS incomplete_month_flag
 FROM (
-  SELECT trunc(date, 'MM') AS month,
-         CAST(sum(units_sold) AS BIGINT) AS total_units_sold,
-         max(date) AS last_date
-  FROM {kb} GROUP BY trunc(date, 'MM')
+  SELECT {month} AS month,
+         CAST(sum({sold}) AS BIGINT) AS total_units_sold,
+         max({day}) AS last_date
+  FROM {{kb}} GROUP BY {month}
 )
 ORDER BY month
 """,
@@ -51,12 +53,15 @@ ORDER BY month
 
 def dash_monthly_wape(kb: DataFrame) -> DataFrame:
     """Monthly forecast accuracy (WAPE) and bias."""
+    merged = is_merged(kb)
+    month = "month" if merged else "trunc(date, 'MM')"
+    absolute, error, sold = ("abs_err", "err", "sold") if merged else ("abs_forecast_error", "forecast_error", "units_sold")
     return sql(
         f"""
-SELECT trunc(date, 'MM') AS month,
-  {round_half_up(safe_div('sum(abs_forecast_error)', 'sum(units_sold)'), 4)} AS wape,
-  {round_half_up(safe_div('sum(forecast_error)', 'sum(units_sold)'), 4)} AS forecast_bias
-FROM {{kb}} GROUP BY trunc(date, 'MM') ORDER BY month
+SELECT {month} AS month,
+  {round_half_up(safe_div(f'sum({absolute})', f'sum({sold})'), 4)} AS wape,
+  {round_half_up(safe_div(f'sum({error})', f'sum({sold})'), 4)} AS forecast_bias
+FROM {{kb}} GROUP BY {month} ORDER BY month
 """,
         kb=kb,
     )

@@ -70,6 +70,47 @@ _PARTIALS = [
 ]
 
 
+_MERGED = [f"sum({p.split(' AS ')[1]}) AS {p.split(' AS ')[1]}" for p in _PARTIALS]
+
+
+def is_merged(rows: DataFrame) -> bool:
+    """Whether ``rows`` are partial sums already (a grain of :func:`kpi_grains`), not KPI base rows."""
+    return "cover_n" in rows.columns
+
+
+def _partials(rows: DataFrame) -> list[str]:
+    return _MERGED if is_merged(rows) else _PARTIALS
+
+
+def kpi_cube(kb: DataFrame) -> DataFrame:
+    """Partial sums per month, pair and raw labels: the one pass over the fact that every KPI grain can be merged from."""
+    return sql(
+        f"""
+SELECT trunc(date, 'MM') AS month, store_id, region, product_id, category, max(date) AS last_date, {', '.join(_PARTIALS)}
+FROM {{kb}}
+GROUP BY trunc(date, 'MM'), store_id, region, product_id, category
+""",
+        kb=kb,
+    )
+
+
+def kpi_grains(cube: DataFrame) -> DataFrame:
+    """The cube merged in one pass to the grains ``all``, ``month``, ``store`` (with raw region) and ``product`` (with raw category).
+
+    Canonical labels are picked from the raw labels of the last two, so the
+    KPI tables by region, category, store and product need no other input.
+    """
+    return sql(
+        f"""
+SELECT CASE WHEN grouping(month) = 0 THEN 'month' WHEN grouping(store_id) = 0 THEN 'store' WHEN grouping(product_id) = 0 THEN 'product' ELSE 'all' END AS grain,
+  month, store_id, region, product_id, category, max(last_date) AS last_date, {', '.join(_MERGED)}
+FROM {{cube}}
+GROUP BY GROUPING SETS ((), (month), (store_id, region), (product_id, category))
+""",
+        cube=cube,
+    )
+
+
 def kpi_measures(merge: bool) -> list[str]:
     """M1-M12, the measure list of every KPI grain, over partial sums that are still to be merged or already are."""
 
@@ -100,7 +141,7 @@ def _rollup(kb: DataFrame, keys: list[str], key_exprs: list[str] | None = None,
         order = "total_units_sold DESC NULLS FIRST, " + ", ".join(keys)
     order_by = f"ORDER BY {order}" if order else ""
     # one row per key: the measures are plain expressions over its sums
-    return sql(f"SELECT {select_list([*keys, *kpi_measures(merge=False)])} FROM (SELECT {select_list([*named, *_PARTIALS])} FROM {{kb}} {group}) {order_by}", kb=kb)
+    return sql(f"SELECT {select_list([*keys, *kpi_measures(merge=False)])} FROM (SELECT {select_list([*named, *_partials(kb)])} FROM {{kb}} {group}) {order_by}", kb=kb)
 
 
 def kpi_overall(kb: DataFrame) -> DataFrame:
@@ -110,7 +151,7 @@ def kpi_overall(kb: DataFrame) -> DataFrame:
 
 def kpi_monthly(kb: DataFrame) -> DataFrame:
     """Measures per calendar month."""
-    return _rollup(kb, ["month"], ["trunc(date, 'MM')"], order="month")
+    return _rollup(kb, ["month"], None if is_merged(kb) else ["trunc(date, 'MM')"], order="month")
 
 
 def kpi_by_label(kb: DataFrame, entity: str, label: str, keep_id: bool = False) -> DataFrame:
@@ -122,13 +163,12 @@ def kpi_by_label(kb: DataFrame, entity: str, label: str, keep_id: bool = False)
     """
     id_col, raw_label = ("product_id", "category") if entity == "product" else ("store_id", "region")
     keys = [id_col, label] if keep_id else [label]
-    merged = [f"sum({p.split(' AS ')[1]}) AS {p.split(' AS ')[1]}" for p in _PARTIALS]
     return sql(
         f"""
 WITH per_label AS (
-  SELECT {id_col}, {raw_label} AS raw_label, {', '.join(_PARTIALS)} FROM {{kb}} GROUP BY {id_col}, {raw_label}
+  SELECT {id_col}, {raw_label} AS raw_label, {', '.join(_partials(kb))} FROM {{kb}} GROUP BY {id_col}, {raw_label}
 ), per_id AS (
-  SELECT {id_col}, {modal('raw_label', 'n')} AS {label}, {', '.join(merged)} FROM per_label GROUP BY {id_col}
+  SELECT {id_col}, {modal('raw_label', 'n')} AS {label}, {', '.join(_MERGED)} FROM per_label GROUP BY {id_col}
 )
 SELECT {select_list([*keys, *kpi_measures(merge=True)])}
 FROM per_id

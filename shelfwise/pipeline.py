@@ -130,6 +130,16 @@ class InventoryPipeline:
         src = self.clean if labels else self.clean_unlabelled()
         return kpi.kpi_base(src, self.t.low_cover_days, self.t.high_cover_days)
 
+    @cached_property
+    def kpi_grains(self) -> DataFrame:
+        """Every KPI grain, merged from one written pre-aggregate: for builds that make many KPI tables."""
+        cube = self._write(kpi.kpi_cube(self.kpi_base(labels=False)), "kpi_cube")
+        return self._write(kpi.kpi_grains(cube), "kpi_grains")
+
+    def kpi_rows(self, grain: str) -> DataFrame:
+        """What a KPI table of this grain merges: its partial sums where they are written, else the KPI base."""
+        return self.kpi_grains.where(f"grain = '{grain}'") if self._have("kpi_grains") else self.kpi_base(labels=False)
+
     @cached_property
     def duplicate_keys(self) -> DataFrame:
         crowded = self._write(quality.crowded_blocks(self.raw), "crowded_blocks")
