@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -111,7 +113,16 @@ def read_inventory(spark: SparkSession, path: str, fmt: str = "parquet", **optio
     return conform(_scan(spark, path, fmt, options))
 
 
-def inventory_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
+# order lines of a task that groups them: what it sorts and combines stays near 200 MB at any input size
+LINES_PER_TASK = 250_000
+
+
+def line_partitions(lines: int, cores: int, lines_per_task: int = LINES_PER_TASK) -> int:
+    """Tasks that group the order lines: by their number, and one a core at least."""
+    return max(1, cores, math.ceil(lines / lines_per_task))
+
+
+def inventory_from_tpch(spark: SparkSession, sf_dir: str, lines_per_task: int = LINES_PER_TASK) -> DataFrame:
     """Daily inventory rows derived from the TPC-H-like test tables.
 
     Store = supplier, product = part brand number, raw category = part
@@ -123,6 +134,11 @@ def inventory_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation (25 rows) and region (5 rows) are fixed-size by the TPC-H
     spec, so broadcasting them is bounded at any scale factor; the
     other joins are left to the planner (sort-merge at scale).
+
+    The joined lines move once more, to their store and product, in as many
+    partitions as their exact number asks for: daily rows are combined there,
+    and what groups them by pair next (pair sums, blocks, the KPI cube) finds
+    them in place, so the wide partial sums are never shuffled.
     """
     d = sf_dir.rstrip("/")
 
@@ -131,19 +147,22 @@ def inventory_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     span = "CASE s % 5 WHEN 0 THEN 16 WHEN 1 THEN 40 WHEN 2 THEN 731 ELSE 120 END"
     k = "((s * 7 + b * 3) % 10)"
+    n = line_partitions(spark.table(t("lineitem")).count(), spark.sparkContext.defaultParallelism, lines_per_task)
     return spark.sql(
         f"""
 WITH geo AS (
   SELECT /*+ BROADCAST(r) */ n.n_nationkey, r.r_name
   FROM {t('nation')} n JOIN {t('region')} r ON n.n_regionkey = r.r_regionkey
 ), order_info AS (
-  SELECT /*+ BROADCAST(geo) */ o.o_orderkey, geo.r_name AS region, o.o_orderpriority
+  SELECT /*+ BROADCAST(geo) */ o.o_orderkey, geo.r_name AS region, CASE WHEN o.o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS urgent
   FROM {t('orders')} o
   JOIN {t('customer')} cu ON o.o_custkey = cu.c_custkey
   JOIN geo ON cu.c_nationkey = geo.n_nationkey
 ), line AS (
   SELECT l.l_suppkey AS s,
          CAST(substr(p.p_brand, 7) AS INT) AS b,
+         concat('S', CAST(l.l_suppkey AS STRING)) AS store_id,
+         concat('P', CAST(CAST(substr(p.p_brand, 7) AS INT) AS STRING)) AS product_id,
          p.p_type AS category,
          oi.region,
          CAST(l.l_quantity AS BIGINT) AS q,
@@ -152,18 +171,23 @@ WITH geo AS (
          l.l_orderkey AS ok,
          p.p_retailprice AS rp,
          l.l_discount AS disc,
-         oi.o_orderpriority AS opri,
+         oi.urgent,
          datediff(CAST(l.l_shipdate AS DATE), DATE'1995-01-01') AS dn
   FROM {t('lineitem')} l
   JOIN {t('part')} p ON l.l_partkey = p.p_partkey
   JOIN order_info oi ON l.l_orderkey = oi.o_orderkey
+), placed AS (
+  SELECT /*+ REPARTITION({n}, store_id, product_id) */ * FROM line
 ), calc AS (
   SELECT *,
          CASE WHEN s % 3 = 0 THEN q + tx - 5 ELSE q + tx * 2 - 8 + (b % 4) * 3 END AS fc,
          dn % ({span}) AS d
-  FROM line
+  FROM placed
 ), g AS (
-  SELECT d, s, b,
+  -- store_id and product_id name s and b
+  SELECT d, store_id, product_id,
+         max(s) AS s,
+         max(b) AS b,
          max(category) AS category,
          max(region) AS region,
          min(ok) AS min_ok,
@@ -174,15 +198,15 @@ WITH geo AS (
          sum(fc) AS fcst,
          max(rp) AS price,
          max(disc) AS discount,
-         max(CASE WHEN opri = '1-URGENT' THEN 1 ELSE 0 END) AS holiday_promotion,
+         max(urgent) AS holiday_promotion,
          max(rp + tx) AS competitor_pricing
   FROM calc
-  GROUP BY d, s, b
+  GROUP BY d, store_id, product_id
 )
 SELECT
   date_add(DATE'2022-01-01', CAST(d AS INT)) AS date,
-  concat('S', CAST(s AS STRING)) AS store_id,
-  concat('P', CAST(b AS STRING)) AS product_id,
+  store_id,
+  product_id,
   category,
   region,
   CAST(CASE WHEN {k} = 9 AND min_ok % 5 = 0 THEN 0
