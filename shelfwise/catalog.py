@@ -209,7 +209,7 @@ def export_marts(pipeline: InventoryPipeline, out_dir: str, fmt: str = "parquet"
     from shelfwise.sources.sinks import Check, publish_marts
 
     pipeline.materialize_stages = True
-    _ = pipeline.pair_blocks, pipeline.kpi_grains  # one pass over the fact for rollup and cadence, one for all KPI tables
+    _ = pipeline.pair_blocks, pipeline.kpi_grains  # one pass over the fact for rollup, cadence, label maps and all KPI tables
     pairs = pipeline.rollup.select("store_id", "product_id").distinct().count()
     checks = {name: Check(rows=pairs, labels=labels) for name, labels in MASTERS.items()}
     return publish_marts({n: build(n, pipeline) for n in EXPORT_MARTS}, out_dir, fmt=fmt, checks=checks)

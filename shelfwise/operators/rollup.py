@@ -68,14 +68,17 @@ def pair_sums(kb: DataFrame) -> DataFrame:
     return sql(f"SELECT {keys}, {select_list(sums)} FROM {{kb}} GROUP BY {keys}", kb=kb)
 
 
-def pair_blocks(kb: DataFrame) -> DataFrame:
+def pair_blocks(kb: DataFrame, monthly: bool = False) -> DataFrame:
     """:func:`pair_sums` split by blocks of 64 days, with the order days and squared order sizes that cadence needs.
 
     One state serves both: merged per pair it gives the rollup, merged per
     (pair, block) the cadence (:func:`order_blocks_of`), so the assessment and
-    the impact view pass over the fact once.
+    the impact view pass over the fact once.  ``monthly`` splits the blocks by
+    month, too: then the KPI grains are merged from them (:func:`kpi_cube_of`).
     """
     keys = "store_id, product_id, category, region"
+    month = ", trunc(date, 'MM')" if monthly else ""
+    shown = f"{month} AS month, max(date) AS last_date" if monthly else ""
     sums = [f"{e} AS {n}" for n, e in _SUMS.items()]
     # an order row without a date counts, but has no day in a mask
     order_state = [
@@ -84,14 +87,22 @@ def pair_blocks(kb: DataFrame) -> DataFrame:
     ]
     return sql(
         f"""
-SELECT {keys}, {cadence.block_of('day')} AS block, {select_list([*sums, *order_state])}
+SELECT {keys}{shown}, {cadence.block_of('day')} AS block, {select_list([*sums, *order_state])}
 FROM (SELECT *, {cadence.DAY} AS day FROM {{kb}})
-GROUP BY {keys}, {cadence.block_of('day')}
+GROUP BY {keys}{month}, {cadence.block_of('day')}
 """,
         kb=kb,
     )
 
 
+def kpi_cube_of(blocks: DataFrame) -> DataFrame:
+    """The partial sums of :func:`kpi.kpi_cube`, from the written monthly :func:`pair_blocks`."""
+    names = {"inv": "inv_sum", "cover": "cover_sum", "low": "low_n", "high": "high_n", "zero": "zero_n"}
+    same = ["n", "sold", "inv_n", "ordered", "cover_n", "abs_err", "err", "at_risk", "excess"]
+    keys = ["month", "store_id", "region", "product_id", "category", "last_date"]
+    return blocks.selectExpr(*keys, *same, *[f"{a} AS {b}" for a, b in names.items()])
+
+
 def order_blocks_of(blocks: DataFrame) -> DataFrame:
     """The rows of :func:`cadence.order_blocks`, from the written :func:`pair_blocks`."""
     return sql(

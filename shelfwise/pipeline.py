@@ -103,7 +103,7 @@ class InventoryPipeline:
     @cached_property
     def label_maps(self) -> DataFrame:
         """Canonical labels (entity, id, label): one scan, written, so joins know its size."""
-        return self._write(quality.label_maps(self._raw_single_pass()), "label_maps")
+        return self._write(quality.label_maps(self.pair_blocks if self._have("pair_blocks") else self._raw_single_pass()), "label_maps")
 
     @property
     def product_map(self) -> DataFrame:
@@ -115,7 +115,9 @@ class InventoryPipeline:
 
     @cached_property
     def clean(self) -> DataFrame:
-        return quality.inventory_clean(self.raw, self.product_map, self.store_map, self.negative_forecast)
+        # an export reads the cleaned rows once, and its maps come from the blocks: no copy of the raw table
+        raw = self._raw_single_pass() if self.materialize_stages and self._have("pair_blocks") else self.raw
+        return quality.inventory_clean(raw, self.product_map, self.store_map, self.negative_forecast)
 
     def clean_unlabelled(self) -> DataFrame:
         """Cleaned rows without the label lookups.
@@ -133,7 +135,10 @@ class InventoryPipeline:
     @cached_property
     def kpi_grains(self) -> DataFrame:
         """Every KPI grain, merged from one written pre-aggregate: for builds that make many KPI tables."""
-        cube = self._write(kpi.kpi_cube(self.kpi_base(labels=False)), "kpi_cube")
+        if self._have("pair_blocks") and "month" in self.pair_blocks.columns:
+            cube = rollup.kpi_cube_of(self.pair_blocks)
+        else:
+            cube = self._write(kpi.kpi_cube(self.kpi_base(labels=False)), "kpi_cube")
         return self._write(kpi.kpi_grains(cube), "kpi_grains")
 
     def kpi_rows(self, grain: str) -> DataFrame:
@@ -159,8 +164,8 @@ class InventoryPipeline:
 
     @cached_property
     def pair_blocks(self) -> DataFrame:
-        """The one pass over the fact that rollup and cadence share."""
-        return self._write(rollup.pair_blocks(self.kpi_base(labels=False)), "pair_blocks")
+        """The one pass over the fact that rollup and cadence share; in an export the KPI grains, too."""
+        return self._write(rollup.pair_blocks(self.kpi_base(labels=False), monthly=self.materialize_stages), "pair_blocks")
 
     def _have(self, name: str) -> bool:
         return name in self.__dict__

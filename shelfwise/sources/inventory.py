@@ -159,9 +159,7 @@ WITH geo AS (
   JOIN {t('customer')} cu ON o.o_custkey = cu.c_custkey
   JOIN geo ON cu.c_nationkey = geo.n_nationkey
 ), line AS (
-  SELECT l.l_suppkey AS s,
-         CAST(substr(p.p_brand, 7) AS INT) AS b,
-         concat('S', CAST(l.l_suppkey AS STRING)) AS store_id,
+  SELECT concat('S', CAST(l.l_suppkey AS STRING)) AS store_id,
          concat('P', CAST(CAST(substr(p.p_brand, 7) AS INT) AS STRING)) AS product_id,
          p.p_type AS category,
          oi.region,
@@ -172,17 +170,19 @@ WITH geo AS (
          p.p_retailprice AS rp,
          l.l_discount AS disc,
          oi.urgent,
-         datediff(CAST(l.l_shipdate AS DATE), DATE'1995-01-01') AS dn
-  FROM {t('lineitem')} l
+         l.dn
+  FROM (SELECT *, datediff(CAST(l_shipdate AS DATE), DATE'1995-01-01') AS dn FROM {t('lineitem')}) l
   JOIN {t('part')} p ON l.l_partkey = p.p_partkey
   JOIN order_info oi ON l.l_orderkey = oi.o_orderkey
 ), placed AS (
   SELECT /*+ REPARTITION({n}, store_id, product_id) */ * FROM line
+), named AS (
+  SELECT *, CAST(substr(store_id, 2) AS BIGINT) AS s, CAST(substr(product_id, 2) AS INT) AS b FROM placed
 ), calc AS (
   SELECT *,
          CASE WHEN s % 3 = 0 THEN q + tx - 5 ELSE q + tx * 2 - 8 + (b % 4) * 3 END AS fc,
          dn % ({span}) AS d
-  FROM placed
+  FROM named
 ), g AS (
   -- store_id and product_id name s and b
   SELECT d, store_id, product_id,
