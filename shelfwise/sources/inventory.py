@@ -138,7 +138,10 @@ def inventory_from_tpch(spark: SparkSession, sf_dir: str, lines_per_task: int =
     The joined lines move once more, to their store and product, in as many
     partitions as their exact number asks for: daily rows are combined there,
     and what groups them by pair next (pair sums, blocks, the KPI cube) finds
-    them in place, so the wide partial sums are never shuffled.
+    them in place, so the wide partial sums are never shuffled.  From more than
+    one such partition a core on, the lines meet their orders in as many tasks
+    (the session's number of shuffle partitions at least), so what a task sorts
+    does not grow with the input.
     """
     d = sf_dir.rstrip("/")
 
@@ -147,14 +150,17 @@ def inventory_from_tpch(spark: SparkSession, sf_dir: str, lines_per_task: int =
 
     span = "CASE s % 5 WHEN 0 THEN 16 WHEN 1 THEN 40 WHEN 2 THEN 731 ELSE 120 END"
     k = "((s * 7 + b * 3) % 10)"
-    n = line_partitions(spark.table(t("lineitem")).count(), spark.sparkContext.defaultParallelism, lines_per_task)
+    cores = spark.sparkContext.defaultParallelism
+    n = line_partitions(spark.table(t("lineitem")).count(), cores, lines_per_task)
+    # on the orders' side: the join takes over the larger of this and the session's number, without a shuffle of its own
+    spread = f", REPARTITION({n}, o_orderkey)" if n > cores else ""
     return spark.sql(
         f"""
 WITH geo AS (
   SELECT /*+ BROADCAST(r) */ n.n_nationkey, r.r_name
   FROM {t('nation')} n JOIN {t('region')} r ON n.n_regionkey = r.r_regionkey
 ), order_info AS (
-  SELECT /*+ BROADCAST(geo) */ o.o_orderkey, geo.r_name AS region, CASE WHEN o.o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS urgent
+  SELECT /*+ BROADCAST(geo){spread} */ o.o_orderkey, geo.r_name AS region, CASE WHEN o.o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS urgent
   FROM {t('orders')} o
   JOIN {t('customer')} cu ON o.o_custkey = cu.c_custkey
   JOIN geo ON cu.c_nationkey = geo.n_nationkey

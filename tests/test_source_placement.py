@@ -42,6 +42,24 @@ def test_partitions_follow_the_lines(spark, sf_small):
     assert sorted(small.collect()) == sorted(inventory_from_tpch(spark, sf_small).collect())
 
 
+def test_lines_meet_their_orders_in_as_many_tasks(spark, sf_small):
+    """What a task of the join sorts follows from the number of lines, not from the session's number of partitions alone."""
+    lines = spark.read.parquet(f"{sf_small}/lineitem.parquet").count()
+    cores, session = spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for asked in (cores + 3, session + 3):
+            number = line_partitions(lines, cores, lines // asked)
+            assert number > cores
+            joined = [x for x in _exchanges(inventory_from_tpch(spark, sf_small, lines_per_task=lines // asked)) if "orderkey" in x]
+            assert len(joined) == 2 and all(f", {max(number, session)})" in x for x in joined), joined
+        few = [x for x in _exchanges(inventory_from_tpch(spark, sf_small, lines_per_task=lines)) if "orderkey" in x]
+        assert few and not any("REPARTITION_BY_NUM" in x for x in few), few
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
 def test_rows_without_a_supplier_stay_one_store_without_a_name(spark, tmp_path, sf_small):
     """Null and repeated keys are grouped as the numbers they name."""
     c = duckdb.connect()
