@@ -190,10 +190,8 @@ WITH geo AS (
          dn % ({span}) AS d
   FROM named
 ), g AS (
-  -- store_id and product_id name s and b
-  SELECT d, store_id, product_id,
-         max(s) AS s,
-         max(b) AS b,
+  -- store_id and product_id name s and b; numbers first, so sorting the lines seldom compares names
+  SELECT s, b, d, store_id, product_id,
          max(category) AS category,
          max(region) AS region,
          min(ok) AS min_ok,
@@ -207,7 +205,7 @@ WITH geo AS (
          max(urgent) AS holiday_promotion,
          max(rp + tx) AS competitor_pricing
   FROM calc
-  GROUP BY d, store_id, product_id
+  GROUP BY s, b, d, store_id, product_id
 )
 SELECT
   date_add(DATE'2022-01-01', CAST(d AS INT)) AS date,

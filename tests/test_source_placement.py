@@ -60,6 +60,13 @@ def test_lines_meet_their_orders_in_as_many_tasks(spark, sf_small):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
 
 
+def test_lines_are_sorted_by_numbers_before_names(spark, sf_small):
+    plan = inventory_from_tpch(spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate(key=[s#" in plan
+    keys = next(x for x in plan.splitlines() if "SortAggregate(key=[s#" in x).split("key=[")[1].split("]")[0].split(", ")
+    assert [k.split("#")[0] for k in keys] == ["s", "b", "d", "store_id", "product_id"]
+
+
 def test_rows_without_a_supplier_stay_one_store_without_a_name(spark, tmp_path, sf_small):
     """Null and repeated keys are grouped as the numbers they name."""
     c = duckdb.connect()
