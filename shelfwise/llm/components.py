@@ -20,13 +20,23 @@ from shelfwise.plans.materialize import materialize, remove_written
 ROWS_PER_FILE = 250_000
 
 
-def in_few_files(df: DataFrame, rows: int) -> DataFrame:
+def in_few_files(df: DataFrame, rows: int, per_file: int = ROWS_PER_FILE) -> DataFrame:
     """``df`` of at most about ``rows`` rows in as many partitions as they need, 8 at least.
 
     Intermediate tables here are far smaller than the input that the
     session's partition count is meant for.
     """
-    return df.coalesce(max(8, -(-rows // ROWS_PER_FILE)))
+    return df.coalesce(max(8, -(-rows // per_file)))
+
+
+def dealt_to_few_files(df: DataFrame, rows: int, per_file: int = ROWS_PER_FILE) -> DataFrame:
+    """Like :func:`in_few_files`, behind a shuffle: the steps before keep their own number of tasks.
+
+    For a small table made from a large one.  Else every task writes a small
+    file of its own, and where the checkpoint folder is on a local file
+    system, an executor starts three child processes (chmod) for each.
+    """
+    return in_few_files(df.hint("rebalance"), rows, per_file)
 
 
 def _is_stars(edges: DataFrame) -> bool:

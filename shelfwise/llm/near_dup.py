@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import columns_of, mix64, pinned, slices
-from shelfwise.llm.components import connected, in_few_files
+from shelfwise.llm.components import connected, dealt_to_few_files, in_few_files
 from shelfwise.plans.materialize import materialize, remove_written
 
 COORDINATES = 64
@@ -67,6 +67,7 @@ LEAST_BLOCKS = 8
 ROW_COST = 256  # comparisons that handling a node row one level down is taken for
 HOT_PARTNERS = 500
 SLICE_BYTES = 400_000
+TEXTS_PER_FILE = 5_000
 
 _G = np.random.Generator(np.random.PCG64(20))
 BYTE_NAMES = _G.integers(0, 2**64, 256, np.uint64)
@@ -537,6 +538,12 @@ def link_all(classes: DataFrame, texts: DataFrame, shingles: int) -> DataFrame:
 
 
 # ---- confirmation ----------------------------------------------------------
+def texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """cid, text of the ids in a written table (cid)."""
+    texts = docs.select(F.col("doc_id").alias("cid"), "text").join(wanted, "cid")
+    return dealt_to_few_files(texts, wanted.count(), TEXTS_PER_FILE)
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, written: list[str]) -> DataFrame:
     """Those pairs (a, b) whose full sets reach 0.8, as a written table."""
     spark = docs.sparkSession
@@ -545,8 +552,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, written: list[str]) -> DataFram
     pairs = materialize(in_few_files(pairs.distinct(), n), "pairs", own)
     wanted = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select(F.col("b").alias("cid"))).distinct()
     wanted = materialize(in_few_files(wanted, 2 * n), "wanted", own)
-    texts = docs.select(F.col("doc_id").alias("cid"), "text").join(wanted, "cid")
-    texts = materialize(texts, "wanted_texts", own)
+    texts = materialize(texts_of(wanted, docs), "wanted_texts", own)
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / HOT_PARTNERS).alias("salts"))
     left = texts.join(salts, F.col("cid") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
     right = pairs.join(salts, "a").join(texts, F.col("b") == F.col("cid"))
@@ -572,7 +578,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, written: list[str]) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
 
     together = left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
-    links = materialize(together.mapInArrow(run, "a long, b long"), "links", written)
+    links = materialize(dealt_to_few_files(together.mapInArrow(run, "a long, b long"), n), "links", written)
     remove_written(spark, own)
     return links
 
@@ -595,10 +601,11 @@ class Join:
         self.scratch: list[str] = []
         self.latest: list[str] = []  # the table of ``components``
         kept: list[str] = []
-        self.sets = materialize(document_sets(self.docs), "shingle_sets", kept)
+        rows = self.docs.count()
+        self.sets = materialize(dealt_to_few_files(document_sets(self.docs), rows), "shingle_sets", kept)
         usable = self.sets.where("key IS NOT NULL AND doc_id IS NOT NULL")
         by_key = usable.groupBy("key").agg(F.min("doc_id").alias("cid"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
-        self.classes = materialize(by_key, "set_classes", kept)
+        self.classes = materialize(in_few_files(by_key, rows), "set_classes", kept)
         self.links: list[DataFrame] = []
         self.components = self.spark.createDataFrame([], "node long, component long")
 
@@ -638,7 +645,7 @@ class Join:
                 remove_written(self.spark, own)
                 return
             few = outsider_masks(open_rows.where(f"n_outside <= {LEAF}"))
-            self._add_links(confirm_masks(materialize(few, "outsiders", own), self._texts(open_rows, own)), own)
+            self._add_links(confirm_masks(materialize(few, "outsiders", own), self._texts(open_rows, n, own)), n, own)
             still = open_rows.where(f"n_outside > {LEAF}")
             classes = materialize(in_few_files(self._still_open(still), n), "open_classes", own)
             if classes.isEmpty():
@@ -662,16 +669,16 @@ class Join:
             return True
         if n > 2 * ROW_COST * max(trees, trees_at(level + 1, self.recall)) * (1 + EXTRA) ** (level + 1):
             return False
-        self._add_links(link_all(classes, self._texts(classes, own), shingles), own)
+        self._add_links(link_all(classes, self._texts(classes, n, own), shingles), n, own)
         return True
 
-    def _texts(self, rows: DataFrame, own: list[str]) -> DataFrame:
-        """cid, text of the rows' classes, as a written table."""
-        wanted = rows.select("cid").distinct()
-        return materialize(self.docs.withColumnRenamed("doc_id", "cid").join(wanted, "cid"), "open_texts", own)
+    def _texts(self, rows: DataFrame, most: int, own: list[str]) -> DataFrame:
+        """cid, text of the rows' classes (``most`` rows), as a written table."""
+        wanted = materialize(in_few_files(rows.select("cid").distinct(), most), "open_ids", own)
+        return materialize(texts_of(wanted, self.docs), "open_texts", own)
 
-    def _add_links(self, links: DataFrame, own: list[str]) -> None:
-        links = materialize(links, "open_links", own)
+    def _add_links(self, links: DataFrame, rows: int, own: list[str]) -> None:
+        links = materialize(dealt_to_few_files(links, rows), "open_links", own)
         if not links.isEmpty():
             self._connect(links)
 

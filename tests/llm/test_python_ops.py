@@ -400,6 +400,27 @@ def test_near_duplicates_match_brute_force(spark, leaf, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(k for k, (_, c) in want.items() if k == c)
 
 
+def test_near_duplicates_write_small_tables_in_few_files(spark, monkeypatch):
+    # the documents come in 40 partitions; each file costs an executor child processes where the checkpoint folder is local
+    files: dict[str, int] = {}
+    write = near_dup.materialize
+
+    def counted(df, name, *registry):
+        table = write(df, name, *registry)
+        files[name] = max(files.get(name, 0), len(table.inputFiles()))
+        return table
+
+    monkeypatch.setattr(near_dup, "LEAF", 12)
+    monkeypatch.setattr(near_dup, "materialize", counted)
+    rng = random.Random(14)
+    texts = _near_copies(rng, 30, 4, 60, 3) + _near_copies(rng, 1, 40, 100, 8) + [_prose(rng, 30) for _ in range(120)]
+    data = [(i, t, "en", "s", 0) for i, t in enumerate(rng.sample(texts, len(texts)))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(spark.createDataFrame(data, DOCS).repartition(40)).collect()}
+    assert got == _components(data)
+    small = ("shingle_sets", "set_classes", "wanted_texts", "links", "open_texts", "open_links")
+    assert all(files[name] <= 8 for name in small), files
+
+
 def test_trees_reach_the_recall_with_one_sketch():
     assert near_dup.trees_at(3) >= 12 and near_dup.trees_at(5) >= 21
     g = np.random.default_rng(21)
